@@ -74,27 +74,20 @@ def box_to_pixels(df: DataFrame) -> DataFrame:
     Edges are checked before rounding; low edges are rounded down and high ones up. Spaces: abs (scaled from the preview
     if there is one), abs_centralized (origin in the middle of the canvas).
     """
-    at = lambda i: F.get("box", F.lit(i)).cast("decimal(20,6)")
-    xy = F.col("format") == "xyxy"
-    df = df.select("*", *[F.when(xy, at(i)).otherwise(at(j)).alias(n) for n, i, j in (("_a", 0, 1), ("_b", 1, 0), ("_c", 2, 3), ("_d", 3, 2))])
-    centered = F.col("space") == "abs_centralized"
-    w, h = F.col("width").cast("decimal(10,0)"), F.col("height").cast("decimal(10,0)")
-    pw = F.when(centered, w).otherwise(F.coalesce(F.col("preview_w").cast("decimal(10,0)"), w))
-    ph = F.when(centered, h).otherwise(F.coalesce(F.col("preview_h").cast("decimal(10,0)"), h))
-    half = F.lit("0.5").cast("decimal(2,1)")
-    move = lambda c, size: F.when(centered, F.col(c) + size * half).otherwise(F.col(c))
-    df = df.select("*", move("_a", w).alias("_x1"), move("_b", h).alias("_y1"), move("_c", w).alias("_x2"), move("_d", h).alias("_y2"), pw.alias("_pw"), ph.alias("_ph"))
+    # Edges in whole millionths of a pixel, so that all arithmetic is on integers and nothing rounds by itself.
+    at = lambda i: (F.get("box", F.lit(i)).cast("decimal(20,6)") * 1_000_000).cast("long")
+    xy, centered = F.col("format") == "xyxy", F.col("space") == "abs_centralized"
+    move = lambda c, size: F.when(centered, c + F.col(size).cast("long") * 500_000).otherwise(c)
+    edges = [move(F.when(xy, at(i)).otherwise(at(j)), size).alias(n) for n, i, j, size in (("x1", 0, 1, "width"), ("y1", 1, 0, "height"), ("x2", 2, 3, "width"), ("y2", 3, 2, "height"))]
+    limit = lambda p, size: (F.when(centered, F.col(size)).otherwise(F.coalesce(p, size)).cast("long") * 1_000_000).alias(f"p{size[0]}")
+    df = df.withColumn("_e", F.struct(*edges, limit("preview_w", "width"), limit("preview_h", "height")))
+    e = F.col("_e")
     known = F.col("format").isin("xyxy", "yxyx") & F.col("space").isin("abs", "abs_centralized") & (F.size("box") == 4)
-    valid = known & (F.col("_x1") >= 0) & (F.col("_x1") < F.col("_x2")) & (F.col("_x2") <= F.col("_pw")) & (F.col("_y1") >= 0) & (F.col("_y1") < F.col("_y2")) & (F.col("_y2") <= F.col("_ph"))
-    # floor(x * w / p) without a quotient that rounds: the product is exact, and so is its integer division.
-    million = F.lit(1_000_000)
-    whole = lambda c: (F.col(c) * million).cast("decimal(26,0)")
-    low = lambda c, size, p: F.floor((whole(c) * size - F.pmod(whole(c) * size, p * million)) / (p * million)).cast("long")
-    high = lambda c, size, p: low(c, size, p) + F.when(F.pmod(whole(c) * size, p * million) > 0, 1).otherwise(0)
-    ok = F.coalesce(valid, F.lit(False))
-    out = [("x1", low("_x1", w, F.col("_pw"))), ("y1", low("_y1", h, F.col("_ph"))), ("x2", high("_x2", w, F.col("_pw"))), ("y2", high("_y2", h, F.col("_ph")))]
-    res = df.select("*", ok.alias("valid"), *[F.when(ok, c).alias(n) for n, c in out])
-    return res.drop("_a", "_b", "_c", "_d", "_x1", "_y1", "_x2", "_y2", "_pw", "_ph")
+    inside = (e["x1"] >= 0) & (e["x1"] < e["x2"]) & (e["x2"] <= e["pw"]) & (e["y1"] >= 0) & (e["y1"] < e["y2"]) & (e["y2"] <= e["ph"])
+    df = df.withColumn("valid", F.coalesce(known & inside, F.lit(False)))
+    low = lambda n, p, size: F.expr(f"case when valid then (_e.{n} * {size}) div _e.{p} end").alias(n)
+    high = lambda n, p, size: F.expr(f"case when valid then (_e.{n} * {size} + _e.{p} - 1) div _e.{p} end").alias(n)
+    return df.select("*", low("x1", "pw", "width"), low("y1", "ph", "height"), high("x2", "pw", "width"), high("y2", "ph", "height")).drop("_e")
 
 
 def center_boxes(df: DataFrame) -> DataFrame:

@@ -31,4 +31,4 @@ def register(name: str, f: Callable[[SparkSession, str], DataFrame], text: str |
         ORACLE[name] = oracle(text)
 
 
-from tagloom.plans import captions, quotas, records, scalars, tags  # noqa: E402, F401
+from tagloom.plans import captions, layouts, lookups, quotas, records, scalars, tags  # noqa: E402, F401

@@ -68,9 +68,9 @@ def read_dataset_tags(c: Column) -> Column:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """A0g: the first data row of every CSV file, text columns with normal header names, unknown columns kept."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    first = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    first = df.select("*", F.col("_metadata.file_path").alias("_file"))
     first = first.withColumn("_i", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_i"))).where("_n = 1")
-    return norm.normalize_headers(first.drop("_n", "_i", "_at", "_file"))
+    return norm.normalize_headers(first.drop("_n", "_i", "_file"))
 
 
 def export_training_text(df: DataFrame, kinds: tuple[str, ...] = ("combined", "long", "short", "tag")) -> DataFrame:
