@@ -1,10 +1,10 @@
 """Operator 1: token counts from pre-token frequencies.
 
-Every document is cut into normalised pre-tokens and reduced to (pre-token, frequency) pairs. Pairs of a document are
-dealt to as many buckets as there are shuffle partitions by the hash of the pre-token, one row per document and
-bucket, so that all copies of a pre-token meet in one task while no task gets more than one entry of it for each
-document. There each distinct pre-token is run through the merges once, its piece count is joined to the frequencies
-and summed per document; a second aggregation adds up the buckets. Ids are never materialised.
+Every document is cut into normalised pre-tokens and reduced to (pre-token, frequency) pairs. The pairs of a group of
+some hundred documents are dealt to as many buckets as there are shuffle partitions by the hash of the pre-token, so
+that all copies of a pre-token meet in one task while no task gets more than one entry of it for each document. There
+each distinct pre-token is run through the merges once, its piece count is joined to the frequencies and summed per
+document; a second aggregation adds up the buckets. Ids are never materialised.
 
 Pre-tokens that are entries of the vocabulary (a table of fixed size) are counted where they are found.
 
@@ -19,11 +19,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,7 +32,7 @@ from tagloom.llm.common import shuffle_partitions, slices
 
 #: Distinct pre-tokens whose piece counts a task keeps; beyond it starts anew.
 KEPT = 500_000
-SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
+SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Pretokens:
@@ -94,71 +94,82 @@ def _load(path: str) -> Pretokens:
 
 
 def _frequencies(path: str, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document and bucket; `counted` holds pieces of vocabulary entries, on the row with `base`."""
+    """Rows of a group of documents: one with their ids, sizes and pieces counted here, and one for each bucket.
+
+    A bucket's row has, for each document a line, its pre-tokens with frequencies over one as `word<tab>n`. Pre-tokens
+    hold no white space. Lines are compressed, as pre-tokens make up most of what is shuffled.
+    """
     at = _load(path)
-    known = at.known
+    known, pack = at.known, zstandard.ZstdCompressor(level=3).compress
     for batch in slices(batches):
-        ids = batch.column("doc_id").to_pylist()
-        rows: list[list] = [[] for _ in range(7)]
-        for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+        stamp, ids, sizes, counted = blake2b(digest_size=8), [], [], []
+        lines: list[list[list[str]]] = [[] for _ in range(buckets)]
+        for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             data = (text or "").encode()
-            pretokens, counted = at.cut(text or "")
-            parts: dict[int, tuple[list, list]] = {}
+            stamp.update(b"%a %d " % (doc_id, len(data)) + zlib.crc32(data).to_bytes(4, "little"))
+            pretokens, pieces = at.cut(text or "")
+            for column in lines:
+                column.append([])
             for word, n in Counter(pretokens).items():
                 if word in known:
-                    counted += n * known[word]
+                    pieces += n * known[word]
                 else:
-                    words, counts = parts.setdefault(zlib.crc32(word.encode()) % buckets, ([], []))
-                    words.append(word)
-                    counts.append(n)
-            stamp = zlib.crc32(data)
-            base = stamp % buckets
-            parts.setdefault(base, ([], []))
-            for bucket, (words, counts) in parts.items():
-                mine = bucket == base
-                for column, x in zip(rows, (doc_id, stamp, len(data), bucket, counted if mine else 0, words, counts), strict=True):
-                    column.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
-        base = pa.array([b == s % buckets for b, s in zip(rows[3], rows[1], strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(rows, kinds, strict=True)), base], ["doc_id", "stamp", "n_bytes", "bucket", "counted", "pretokens", "freqs", "base"])
+                    lines[zlib.crc32(word.encode()) % buckets][k].append(word if n == 1 else f"{word}\t{n}")
+            ids.append(doc_id)
+            sizes.append(len(data))
+            counted.append(pieces)
+        key = int.from_bytes(stamp.digest(), "little", signed=True)
+        packed = [(b, pack("\n".join(map(" ".join, rows)).encode())) for b, rows in enumerate(lines) if any(rows)]
+        home = key % buckets
+        out = [
+            pa.array([key] * (1 + len(packed)), pa.int64()),
+            pa.array([home, *(b for b, _ in packed)], pa.int32()),
+            pa.array([ids] + [None] * len(packed), pa.list_(pa.int64())),
+            pa.array([sizes] + [None] * len(packed), pa.list_(pa.int64())),
+            pa.array([counted] + [None] * len(packed), pa.list_(pa.int64())),
+            pa.array([None, *(x for _, x in packed)], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(out, ["key", "bucket", "ids", "sizes", "sums", "lines"])
 
 
 def _partial_sums(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count each distinct pre-token once, join the counts to the frequencies, sum per row."""
-    at, count = _load(path), {}
+    """Count each distinct pre-token of a bucket once, join the counts to the frequencies, sum per document."""
+    at, unpack = _load(path), zstandard.ZstdDecompressor().decompress
+    count: dict[str, int] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = batch.column("pretokens")
-        words = pc.list_flatten(lists).dictionary_encode()
-        if len(count) > KEPT:
-            count = {}
-        distinct = words.dictionary.to_pylist()
-        for w in distinct:
-            if w not in count:
-                count[w] = at.pieces(w)
-        per_word = np.array([count[w] for w in distinct], np.int64)
-        freqs = pc.list_flatten(batch.column("freqs")).to_numpy(zero_copy_only=False)
-        products = np.concatenate([[0], np.cumsum(per_word[words.indices.to_numpy()] * freqs)]) if len(freqs) else np.zeros(1, np.int64)
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        sums = products[ends] - np.concatenate([[0], products[ends][:-1]]) + batch.column("counted").to_numpy()
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "stamp", "n_bytes", "base")), pa.array(sums, pa.int64())], ["doc_id", "stamp", "n_bytes", "base", "pieces"])
+        sums = batch.column("sums").to_pylist()
+        for i, packed in enumerate(batch.column("lines").to_pylist()):
+            if packed is None:
+                continue
+            if len(count) > KEPT:
+                count = {}
+            totals = []
+            for line in unpack(packed).decode().split("\n"):
+                total = 0
+                for entry in line.split(" ") if line else ():
+                    word, _, n = entry.partition("\t")
+                    if word not in count:
+                        count[word] = at.pieces(word)
+                    total += count[word] * int(n or 1)
+                totals.append(total)
+            sums[i] = totals
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "ids", "sizes")), pa.array(sums, pa.list_(pa.int64()))], ["key", "ids", "sizes", "sums"])
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row of docs (doc_id, text).
 
-    Equal rows (same id and text) are summed as one group and given out once for each copy.
+    Groups of equal rows (same ids and texts) have one key; they are summed as one and given out once for each copy.
     """
     buckets = buckets or shuffle_partitions(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         lambda it: _frequencies(tokenizer_path, buckets, it),
-        "doc_id long, stamp long, n_bytes long, bucket int, counted long, pretokens array<string>, freqs array<int>, base boolean",
-    )
-    sums = dealt.repartition(buckets, "bucket").mapInArrow(lambda it: _partial_sums(tokenizer_path, it), "doc_id long, stamp long, n_bytes long, base boolean, pieces long")
-    return (
-        sums.groupBy("doc_id", "stamp", "n_bytes")
-        .agg(F.sum("pieces").alias("pieces"), F.count_if("base").alias("copies"))
-        .select("doc_id", "n_bytes", F.expr("pieces div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        "key long, bucket int, ids array<long>, sizes array<long>, sums array<long>, lines binary",
     )
+    sums = dealt.repartition(buckets, "bucket").mapInArrow(lambda it: _partial_sums(tokenizer_path, it), "key long, ids array<long>, sizes array<long>, sums array<long>")
+    whole = sums.groupBy("key").agg(F.count("ids").alias("copies"), F.max("ids").alias("ids"), F.max("sizes").alias("sizes"), F.collect_list("sums").alias("parts"))
+    add = F.aggregate("parts", F.transform("ids", lambda _: F.lit(0).cast("long")), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    rows = whole.select("copies", "ids", "sizes", add.alias("sums"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = rows.select("copies", F.explode(F.arrays_zip("ids", "sizes", "sums")).alias("r"))
+    rows = rows.select(F.col("r.ids").alias("doc_id"), F.col("r.sizes").alias("n_bytes"), F.expr("r.sums div copies").alias("n_tokens"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
