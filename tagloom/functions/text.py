@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*(?![\p{L}\p{N}_])"
 BREAK = r"""[.!?]+(?:["')\]]+)?\s+"""
@@ -45,7 +46,7 @@ def one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC, for which there is no built-in function."""
     for s in parts:

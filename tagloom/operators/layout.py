@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 ITEM = "struct<label:string,caption:string,bbox:array<decimal(38,12)>,text:string,tags:array<string>>"
 SCHEMA = f"struct<summary:struct<caption:string,meta:array<string>,canvas:string,palette:array<string>>,items:array<{ITEM}>,bbox_coord_space:string,bbox_format:string>"
@@ -15,7 +16,7 @@ LABELS = ("object", "person", "text", "background")
 CANVASES = ("landscape", "portrait", "square")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def strict_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether a text is JSON without repeated keys and numbers that aren't finite; no built-in function tells."""
 

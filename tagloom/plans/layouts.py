@@ -12,7 +12,6 @@ from tagloom.plans.registry import query
 from tagloom.streaming import stream
 
 c = F.col
-i = F.col("p_partkey")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +44,7 @@ def g2_layout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarter-pixel edges, both orders and spaces, previews of another size, some reversed or outside."""
+    i = c("p_partkey")
     w, h = c("p_size") * 10 + 101, c("p_size") * 7 + 53
     x1, y1, x2, y2 = (i % 40) * 0.25, (i % 30) * 0.5, F.when(i % 29 == 0, F.lit(0.0)).otherwise((i % 40) * 0.25 + 20), F.when(i % 31 == 0, F.lit(5000.0)).otherwise((i % 30) * 0.5 + 10.125)
     mid = i % 3 == 1
