@@ -206,15 +206,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     For one block of items, the texts pass through the search with their rows; for more, the search of one block runs on
     what the block before has left.
     """
-    sc = docs.sparkSession.sparkContext
+    sc, columns = docs.sparkSession.sparkContext, docs.columns
+    # The row travels whole in one column, so its own columns can have any names.
+    df = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), "text")
     for block in blocks(benchmark):
         held = sc.broadcast(Patterns(block))
-        at = docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             patterns = held.value
             for batch in slices(batches):
-                yield batch.filter(pa.array([not patterns.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not patterns.search(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        df = df.mapInArrow(run, df.schema)
+    return df.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])

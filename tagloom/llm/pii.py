@@ -158,14 +158,15 @@ def mask(docs: DataFrame, min_confidence: float = 0.8, rounds: int = 3, min_seed
     base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS])
     spans = found.select("doc_id", "_stamp", F.explode(base).alias("s")).select("doc_id", "_stamp", "s.*").unionAll(more.select("doc_id", "_stamp", "start", "end", "kind")).distinct()
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("_stamp").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
-    df = docs.withColumn("_stamp", F.xxhash64(F.coalesce("text", F.lit(""))))
-    df = df.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_stamp") == F.col("_s")), "left")
+    # The row travels whole in one column, so its own columns can have any names.
+    text = F.col("text")
+    df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text, F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
+    df = df.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_s")), "left")
     ends = F.when(F.col("_spans").isNotNull(), running(F.transform("_spans", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)))
     df = df.withColumn("_reach", ends)
     # The text goes on where all spans before have ended; a span that starts before that adds nothing.
     reached = lambda i: F.when(i > 0, F.get("_reach", i - 1)).otherwise(0)
     part = lambda s, i: F.when(reached(i) <= s["start"], F.concat(F.substring("text", reached(i) + 1, s["start"] - reached(i)), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
-    parts = F.transform("_spans", part)
-    masked = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.element_at("_reach", -1) + 1, F.length("text")))
-    df = df.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(F.col("text")))
-    return df.select(*docs.columns)
+    masked = F.concat(F.array_join(F.transform("_spans", part), ""), F.substring(text, F.element_at("_reach", -1) + 1, F.length("text")))
+    masked = F.when(F.size("_spans") > 0, masked).otherwise(text)
+    return df.select(*[(masked if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

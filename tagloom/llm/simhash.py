@@ -62,14 +62,15 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 @lru_cache(maxsize=4)
 def _code(block: int) -> tuple[np.ndarray, np.ndarray]:
     """First bit and length of every block."""
-    first = np.arange(0, 64, block)
-    return first, np.minimum(block, 64 - first)
+    rest = 64 % block
+    length = np.array([block] * (64 // block) + ([rest] if rest % 2 else [rest - 1, 1] if rest else []))
+    return np.cumsum(length) - length, length
 
 
 def anchors(fps: np.ndarray, block: int, threshold: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Home anchor of each fingerprint, and the rows and anchors of all replicas, home included."""
     first, length = _code(block)
-    if (length % 2 == 0).any():
+    if block % 2 == 0:
         raise ValueError("blocks have an odd number of bits each")
     bits = (fps.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     ones = np.add.reduceat(bits.astype(np.int64), first, axis=1)
