@@ -16,6 +16,7 @@ c = F.col
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout per part: a person box, and a text box whose fields break a rule for some parts."""
+    i = c("p_partkey")
     t = F.when(i % 5 == 0, " ").otherwise(F.concat(F.lit("say "), i.cast("string")))
     items = F.array(
         F.struct(F.when(i % 11 == 0, "ghost").otherwise("person").alias("label"), F.lit("c").alias("caption"), F.array(i % 20, i % 10, i % 20 + 30, i % 10 + 40).alias("bbox"), F.lit("").alias("text"), F.array(F.lower("p_brand")).alias("tags")),
