@@ -180,7 +180,7 @@ def c15_resolve_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT tag, category, 0 AS p FROM tag_categories UNION ALL SELECT tag, CASE WHEN tag LIKE 'brand%' THEN 4 WHEN tag = 'hot' THEN 9 ELSE 1 END, 1 FROM (SELECT DISTINCT tag FROM record_tags)), m AS (SELECT tag, CASE WHEN bool_or(category = 4) THEN 4 ELSE arg_min(category, p) END AS category FROM s GROUP BY 1) "
+    "WITH s AS (SELECT tag, category, 0 AS p FROM tag_categories UNION ALL SELECT tag, CASE WHEN tag LIKE 'brand%' THEN 4 WHEN tag = 'hot' THEN 9 ELSE 1 END, 1 FROM (SELECT DISTINCT tag FROM record_tags)), m AS (SELECT tag, CASE WHEN bool_or(category = 4) THEN 4 ELSE arg_min(category, p * 100 + category) END AS category FROM s GROUP BY 1) "
     "SELECT tag, category, CASE category WHEN 0 THEN 'General' WHEN 1 THEN 'Artist' WHEN 3 THEN 'Copyright' WHEN 4 THEN 'Character' WHEN 5 THEN 'Meta' ELSE 'Unknown' END AS name, 1::BIGINT AS invalid FROM m"
 )
 def c16_merge_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
