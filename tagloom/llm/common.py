@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that a task turns into Python objects at once.
 SLICE_ROWS = 512
 #: Bytes of text of such a slice; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

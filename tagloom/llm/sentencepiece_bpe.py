@@ -32,7 +32,9 @@ MARK = "▁"
 #: Units longer than this are merged one by one with a heap.
 WIDE = 64
 #: Distinct units that a Python worker keeps; beyond it starts anew.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 250_000
+#: Units of one matrix, which bounds what merging takes beside them.
+MERGED_AT_ONCE = 16_384
 NONE = np.int32(2**31 - 1)
 
 
@@ -346,7 +348,7 @@ def load(path: str) -> Model:
 
 
 class Units(dict):
-    """What a worker knows of distinct units: a slot for each, with its pieces as text, their lengths, its surface.
+    """What a worker knows of distinct units: a slot for each, and all slots' pieces and lengths in two flat arrays.
 
     Looking up a unit that isn't known gives it the next slot; `settle` then encodes all such units at once.
     """
@@ -358,9 +360,7 @@ class Units(dict):
     def reset(self) -> None:
         self.clear()
         self.pending: list[str] = []
-        self.idtext: list[str] = []
-        self.surface: list[str] = []
-        self.starts, self.lens = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.starts, self.ids, self.lens = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def __missing__(self, unit: str) -> int:
         slot = self[unit] = len(self)
@@ -368,21 +368,22 @@ class Units(dict):
         return slot
 
     def settle(self) -> None:
-        counts, lens, texts, surface = [], [], self.model.id_text, self.model.surface
-        for ids, n in self.model.encode_units(self.pending):
-            self.idtext.append(" ".join([texts[i] for i in ids]))
-            self.surface.append(surface(ids))
-            counts.append(len(ids))
-            lens += n
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts, dtype=np.int64)])
-        self.lens = np.concatenate([self.lens, np.array(lens, np.int32)])
+        counts, ids, lens = [], [], []
+        for start in range(0, len(self.pending), MERGED_AT_ONCE):
+            parts = self.model.encode_units(self.pending[start : start + MERGED_AT_ONCE])
+            counts.append(np.array([len(i) for i, _ in parts], np.int64))
+            ids.append(np.array([x for i, _ in parts for x in i], np.int32))
+            lens.append(np.array([x for _, n in parts for x in n], np.int32))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
+        self.ids, self.lens = np.concatenate([self.ids, *ids]), np.concatenate([self.lens, *lens])
         self.pending = []
 
-    def piece_lens(self, slots: np.ndarray) -> np.ndarray:
-        """Normalised byte lengths of all pieces of a row of units."""
+    def pieces(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and normalised byte lengths of all pieces of a row of units."""
         start, n = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
         ends = np.cumsum(n)
-        return self.lens[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[at], self.lens[at]
 
 
 @lru_cache(maxsize=2)
@@ -400,18 +401,19 @@ def _digests(path: str, end: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
             known.reset()
         rows = [[known[u] for u in model.find(model.normalizer.text(t))] for t in texts]
         known.settle()
-        idtext, surface = known.idtext, known.surface
+        id_text, surface = model.id_text, model.surface
         out: list[list] = [[], [], [], []]
         for text, at in zip(texts, rows, strict=True):
-            lens = known.piece_lens(np.array(at, np.int64))
+            found, lens = known.pieces(np.array(at, np.int64))
+            ids = found.tolist()
             _, source = model.normalizer.align(text)
             ends = np.cumsum(lens, dtype=np.int64)
             spans = np.stack([source[ends - lens], source[ends]], 1).astype("<i4")
-            decoded = "".join([surface[i] for i in at])
+            decoded = surface(ids)
             if decoded.startswith(" ") and (model.normalizer.dummy or model.normalizer.squeeze):
                 decoded = decoded[1:]
             out[0].append(len(lens) + len(tail))
-            out[1].append(sha(" ".join([idtext[i] for i in at] + tail).encode()))
+            out[1].append(sha(" ".join([id_text[i] for i in ids] + tail).encode()))
             out[2].append(sha(decoded.encode()))
             out[3].append(sha(spans.tobytes()))
         kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
