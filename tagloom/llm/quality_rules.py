@@ -47,9 +47,9 @@ def _n_words(line: Column) -> Column:
     return F.size(F.array_remove(F.split(line, SPACES), ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words fails a rule; lines without words never do."""
-    words, chars = _n_words(line), F.length(line)
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether a line of so many words fails a rule; lines without words never do."""
+    chars = F.length(line)
     separators = _count(line, "|»›")
     symbols = _count(line, SYMBOLS) * 100 > chars * MAX_SYMBOLS_PERCENT
     exclaimed = (words >= 3) & (_count(line, "!") * 100 > words * 2 * MAX_EXCLAIMED_PERCENT)
@@ -64,7 +64,7 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keep = docs.columns
     # Each step is a projection of its own, so that arrays are built once.
-    df = docs.select(*keep, F.array_remove(F.split(text, SPACES), "").alias("_words"), F.split(text, "\n").alias("_lines"))
+    df = docs.select(*keep, F.array_remove(F.split(text, SPACES), "").alias("_words"), F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), _n_words(line).alias("n"))).alias("_lines"))
     df = df.select("*", F.size("_words").cast("long").alias("n_words"))
     w = F.col("_words")
     five = lambda i: [F.get(w, i + k) for k in range(5)]
@@ -85,15 +85,11 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct((a["n"] + 5 - F.greatest(F.lit(0), a["end"] - i)).alias("n"), (i + 5).alias("end")),
         lambda a: a["n"].cast("long"),
     )
-    filled = lambda line: F.length(F.translate(line, " \t\n\v\f\r", "")) > 0
-    df = df.select(
-        "*",
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.filter("_lines", filled).alias("_filled"),
-        F.filter("_lines", line_fails).alias("_failing"),
-        F.filter("_lines", lambda line: ~line_fails(line)).alias("_good"),
-    )
-    lost = F.aggregate("_failing", F.lit(0), lambda a, line: a + _n_words(line)).cast("long")
+    judged = F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"]).alias("fails")))
+    df = df.select("*", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), judged.alias("_judged"))
+    df = df.select("*", F.transform(F.filter("_judged", lambda x: x["n"] > 0), lambda x: x["line"]).alias("_filled"))
+    lost = F.aggregate("_judged", F.lit(0), lambda a, x: F.when(x["fails"], a + x["n"]).otherwise(a)).cast("long")
+    good = F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"])
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
     base_failed = (n < 10) | (repeats * 100 > n * 20)
     return df.select(
@@ -106,7 +102,7 @@ def measure(docs: DataFrame) -> DataFrame:
         lost.alias("n_lost"),
         base_failed.alias("base_failed"),
         (~base_failed & (lost * 100 <= n * MAX_LOST_PERCENT)).alias("kept"),
-        F.array_join("_good", "\n").alias("clean_text"),
+        F.array_join(good, "\n").alias("clean_text"),
     )
 
 
