@@ -23,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROUNDS = 10
 DAMPING = 0.85
 THRESHOLD = 0.2
+SALTS = 32
 LINK = r"""(?i)(?:href|src)\s*+=\s*+["']?+[a-z]++://([^/?#"'\s>]++)"""
 
 
@@ -91,4 +92,7 @@ def url_verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, d
     parsed = parsed.select("page_id", "host", "path", "html", "_r.rule", "_r.verdict")
     scores = host_scores(parsed, rounds, damping)
     spread = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return parsed.drop("html").join(scores.drop("pages"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", spread).alias("verdict"), "trust", "distrust")
+    # One host may have a third of all pages: they are spread over SALTS tasks, each with its own copy of the scores.
+    pages_ = parsed.drop("html").withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    copies = scores.drop("pages").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages_.join(copies, ["host", "_salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", spread).alias("verdict"), "trust", "distrust")
