@@ -1,6 +1,7 @@
 """The pipeline's stages against what each is to do, and run() against the stages by brute force."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import sentencepiece
@@ -32,6 +33,41 @@ def test_one_document_of_each_group_stays(spark, data):
     assert all(len(rows) == 1 for i, rows in left.items())
 
 
+def test_near_duplicates_by_five_word_similarity(spark, data):
+    """Pairs on both sides of 0.8, chains, copies and a large group, against all pairs by brute force."""
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((8, 40, 150, 400)))]
+        texts.append(" ".join(base))
+        for _ in range(30 if g == 0 else 6):
+            other = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 25)):
+                other[rng.randrange(len(other))] = f"v{rng.randrange(4000)}"
+            texts.append(" ".join(other[rng.randrange(3) :]))
+            base = other if rng.random() < 0.5 else base
+    texts += ["", " ", "one two", "One  two", "one three"]
+    cut = [t.lower().split() for t in texts]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a | b and len(a & b) >= 0.8 * len(a | b)):
+                close += a != b and bin(fingerprint(texts[i]) ^ fingerprint(texts[j])).count("1") > 2
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert close > 20  # pairs that the fingerprints' two bits don't link
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, data).collect()} == {find(i) for i in range(len(texts))}
+
+
 def test_run_equals_its_parts(spark, data):
     out = corpus_pipeline.run(spark, data)
     got = by_id(out)
