@@ -3,7 +3,8 @@
 Texts are lower-cased and cut into windows of `WINDOW` UTF-8 bytes that cover them whole. Bytes are embedded, filters
 of widths 2, 3 and 4 slide over a window, each filter keeps its largest response, and a softmax gives the languages.
 A document's probabilities are its windows' mean, weighted by their bytes. The network is trained in numpy on the
-driver, on at most `max_labelled` documents (smallest id hash) and `max_windows` of their windows.
+driver. Each of n languages gives at most `max_labelled` / n documents (one at least, smallest id hashes), and each
+document at most `max_windows` / `max_labelled` of its windows, chosen by hash over its whole text.
 
 A text that is null or has no letter gives `und` with score 0, as do all texts if there is nothing to learn from.
 Repeated rows give repeated results; rows with a null id are scored and never learned from.
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import fold, slices
@@ -108,21 +110,37 @@ class Network:
 
 
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, max_labelled: int = MAX_LABELLED, max_windows: int = MAX_WINDOWS) -> Network | None:
-    """Train on documents with a language, outside the held-out fold; None if there is none."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out))
-    chosen = usable.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(max_labelled).distinct()
-    head = F.substring(F.col("text"), 1, 16 * WINDOW)  # of the bounded training sample only
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", head.alias("text"), "lang").join(F.broadcast(chosen.select("doc_id")), "doc_id").orderBy(F.xxhash64("doc_id"), "lang", "text").limit(2 * max_labelled).collect()
+    """Train on documents with a language, outside the held-out fold; None if there is none. An id gives one text per language."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out)).select("doc_id", "lang", "text")
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    each = max(1, max_labelled // max(1, sizes.count()))
+    # Only hashes below a bound that lets some 2 x each (16 at least) of a language's ids through are ranked.
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * F.greatest(F.lit(2 * each), F.lit(16)) / F.col("ids")
+    ranked = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(low).select("doc_id", "lang").distinct()
+    at = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    chosen = ranked.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= each).select("doc_id", "lang")
+    per_doc = max(1, max_windows // max_labelled)
+    kinds = {"doc_id": usable.schema["doc_id"].dataType.simpleString(), "lang": "string", "parts": "array<binary>"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            has = pa.array([bool(LETTER(t)) for t in batch.column("text").to_pylist()], pa.bool_())
+            parts = []
+            for t in batch.column("text").filter(has).to_pylist():
+                cut = windows(t)[0]
+                order = sorted(range(len(cut)), key=lambda i: (crc32(i.to_bytes(8) + cut[i].tobytes()), i))
+                parts.append([cut[i].tobytes() for i in sorted(order[:per_doc])])
+            arrays = [batch.column("doc_id").filter(has), batch.column("lang").filter(has), pa.array(parts, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, list(kinds))
+
+    found = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    rows = found.groupBy("doc_id", "lang").agg(F.min("parts").alias("parts")).orderBy(F.xxhash64("doc_id"), "lang").collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
     place = {k: i for i, k in enumerate(languages)}
-    parts = [(windows(r.text)[0], place[r.lang]) for r in rows if LETTER(r.text)]
-    if not parts:
-        return None
-    per_doc = max(1, max_windows // len(parts))
-    x = np.concatenate([w[:per_doc] for w, _ in parts])
-    y = np.concatenate([np.full(min(per_doc, len(w)), k) for w, k in parts])
+    x = np.frombuffer(b"".join(w for r in rows for w in r.parts), np.uint8).reshape(-1, WINDOW)
+    y = np.concatenate([np.full(len(r.parts), place[r.lang]) for r in rows])
     net = Network(languages)
     net.train(x, y)
     return net

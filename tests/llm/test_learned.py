@@ -44,6 +44,23 @@ def test_language_held_out(spark):
     assert held_out(out, d.select("doc_id", F.col("lang").alias("truth")), "lang_pred") > 0.97
 
 
+def test_language_samples_every_language_and_whole_texts(spark):
+    rows = [(i, "the same words again and again", "en") for i in range(900)] + [(1000 + i, "x" * 6000 + " ñandú qué", "es") for i in range(4)]
+    seen = []
+
+    class Net(language_id.Network):
+        def train(self, x, y, **_):
+            seen.append((x, y))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id, "Network", Net)
+        net = language_id.fit(spark.createDataFrame(rows + rows[:900] * 3, "doc_id long, text string, lang string"), held_out=4, max_labelled=20, max_windows=480)
+    x, y = seen[0]
+    assert net.languages == ["en", "es"]
+    assert (y == 0).sum() == 10 and (y == 1).sum() == 4 * 24
+    assert any("ñandú".encode() in w.tobytes() for w in x)  # after the first 4096 characters
+
+
 def test_network_gradients():
     net = language_id.Network(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
