@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a task turns into Python objects at once.
@@ -17,10 +18,13 @@ SLICE_BYTES = 2 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only if there is none."""
+    """Use the folder that the session names in spark.checkpoint.dir; only a run in one local process sets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tagloom-checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -59,12 +63,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> DataFrame:
-    """At most `limit` labelled rows outside the held-out fold as (doc_id, text, y), smallest id hash first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, max_chars: int) -> DataFrame:
+    """Labelled rows outside the held-out fold as (doc_id, text, y), smallest id hash first, one row for an id.
 
-    The chosen ids and labels are at most `limit` rows of 20 bytes, so the side joined to the documents is
-    broadcast with that bound. Rows with a null id or label are left out, an id with several labels counts with
-    the largest.
+    At most `limit` ids are taken, and of these, in the same order, those whose texts have `max_chars` characters together
+    (the first one in any case); every text taken is whole. The chosen ids and labels are rows of 20 bytes, at most
+    `limit` of them, so the side joined to the documents is broadcast with that bound. Rows with a null id or label are
+    left out, an id with several labels counts with the largest, one with several texts with the smallest.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), modulus) != held_out))
@@ -73,4 +78,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = checkpoint(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    # At most `limit` rows of an id and a number go through this window.
+    before = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = one.select("doc_id", F.length("text").alias("_n")).select("doc_id", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    taken = upto.where((F.col("_before") == 0) | (F.col("_before") + F.col("_n") <= max_chars)).select("doc_id")
+    return one.join(F.broadcast(taken), "doc_id", "left_semi")

@@ -1,18 +1,25 @@
 """Operator 8: document quality from a linear-chain conditional random field over lines.
 
-Each line with words is one variable, good or bad. Its features are those of the line itself and of the lines before and
-after it. The field is trained on at most `max_labelled` labelled documents (smallest id hash, held-out fold left
-out), whose lines take the document's label, by gradient steps on the exact log-likelihood in numpy; long documents are
-cut into chains of `CHAIN` lines for training only. A document's raw quality is the mean of its lines' forward-backward
-marginals weighted by their length, and its score is that on a logistic curve fitted to the training documents.
+Each line with words is one variable, good or bad, and the lines of a document are one chain, whatever its length. A
+line's features are its own and those of the lines before and after it. The field is trained on labelled documents
+whose lines take the document's label, by gradient steps on the exact log-likelihood in numpy. A document's raw
+quality is the mean of its lines' forward-backward marginals weighted by their length, and its score is that on a
+logistic curve fitted to the training documents.
+
+At most `MAX_LABELLED` labelled rows of at most `MAX_CHARS` characters together (smallest id hash, held-out fold left out)
+are learned from; each is used whole, in training and for the curve. Nothing else is bounded.
+
+Chains are laid end to end with no potential between them, which keeps their marginals apart, and messages are passed by
+blocks: products of 2 x 2 factors inside all blocks at once, then from block to block. So one chain of a million lines
+takes some thousands of steps, and many short ones no padding.
 
 A text without words (null, empty, white space) scores 0. Without labelled rows of both kinds every other text
-scores the share of label 1, or 0. Repeated rows give repeated results.
+scores the share of label 1, or 0. Repeated rows give repeated results, equal texts equal scores, an empty table an empty
+one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +30,12 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import fold, labelled_sample, slices
 from tagloom.llm.toxicity import logistic
 
+#: Bounds of the labelled rows that are used.
 MAX_LABELLED = 3000
-CHAIN = 64
+MAX_CHARS = 16 << 20
 ENDS = ".!?…。\"”)"
 N_OWN = 16
-letters = re.compile(r"[^\W\d_]").findall
-uppers = str.isupper
+CHUNK = 4096
 
 
 def line_features(line: str, words: list[str], seen: set, grams: set) -> list[float]:
@@ -64,19 +71,36 @@ def line_features(line: str, words: list[str], seen: set, grams: set) -> list[fl
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Own features of the lines that have words, and the lines' lengths."""
-    rows, lens, seen, grams = [], [], set(), set()
+    done, rows, lens, seen, grams = [], [], [], set(), set()
     for line in (text or "").split("\n"):
         words = line.split()
         if words:
             rows.append(line_features(line, words, seen, grams))
             lens.append(len(line))
-    return np.array(rows, np.float64).reshape(-1, N_OWN), np.array(lens, np.float64)
+            if len(rows) == CHUNK:
+                done.append(np.array(rows, np.float32))
+                rows = []
+    done.append(np.array(rows, np.float32).reshape(-1, N_OWN))
+    return np.concatenate(done), np.array(lens, np.float64)
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    """Whether a line is the first of its chain, for chains of these sizes (none of them 0) laid end to end."""
+    first = np.zeros(int(sizes.sum()), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return first
+
 
+def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Own features beside those of the line before and the line after; zeros beyond the ends of a chain."""
+    before, after = np.roll(x, 1, 0), np.roll(x, -1, 0)
+    before[first] = 0
+    after[np.roll(first, -1)] = 0
+    return np.hstack([x, before, after])
 
-def with_neighbours(x: np.ndarray) -> np.ndarray:
-    """Own features beside those of the line before and the line after; zeros beyond the ends."""
-    edge = np.zeros((1, x.shape[1]))
-    return np.hstack([x, np.vstack([edge, x])[:-1], np.vstack([x, edge])[1:]])
+
+def _scale(m: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    return m / m.max(axes, keepdims=True)
 
 
 class Field:
@@ -86,87 +110,63 @@ class Field:
         self.w, self.step = np.zeros(size), np.zeros((2, 2))
         self.curve, self.fallback, self.trained = (1.0, 0.0), 0.0, False
 
-    def pad(self, chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.array([len(c) for c in chains])
-        out = np.zeros((len(chains), n.max(), chains[0].shape[1]))
-        for i, c in enumerate(chains):
-            out[i, : len(c)] = c
-        return out, n
-
-    def marginals(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of every line, the sum of all pairwise marginals, and log Z; x is padded to the longest chain."""
-        unary = np.stack([np.zeros(x.shape[:2]), x @ self.w], 2)
-        a, b = np.empty_like(unary), np.zeros_like(unary)
-        top = x.shape[1]
-        a[:, 0] = unary[:, 0]
-        for t in range(1, top):
-            a[:, t] = unary[:, t] + np.logaddexp(a[:, t - 1, 0, None] + self.step[0], a[:, t - 1, 1, None] + self.step[1])
-        for t in range(top - 2, -1, -1):
-            nxt = unary[:, t + 1] + b[:, t + 1]
-            new = np.logaddexp(self.step[:, 0] + nxt[:, :1], self.step[:, 1] + nxt[:, 1:])
-            b[:, t] = np.where((t + 1 < n)[:, None], new, 0)
-        last = a[np.arange(len(n)), n - 1]
-        z = np.logaddexp(last[:, 0], last[:, 1])
-        real = np.arange(top) < n[:, None]
-        good = np.where(real, np.exp(np.minimum(0, a[..., 1] + b[..., 1] - z[:, None])), 0)
-        pairs = np.zeros((2, 2))
-        for i in range(2):
-            for j in range(2):
-                p = np.exp(a[:, :-1, i] + self.step[i, j] + unary[:, 1:, j] + b[:, 1:, j] - z[:, None])
-                pairs[i, j] = np.where(real[:, 1:], p, 0).sum()
-        return good, pairs, z
-
-    def train(self, chains: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.05, ridge: float = 1e-3) -> None:
-        """Adam on the mean log-likelihood over batches of chains; rarer labels weigh as much in total as common ones."""
+    def marginals(self, unary: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(good) of every line, and P(i, j) of it and the line before it; unary is a line's potential for good."""
+        n = len(unary)
+        # factor[t, i, j]: label i of the line before t, j of t; scaled, which no marginal depends on.
+        u = np.stack([-np.maximum(unary, 0), unary - np.maximum(unary, 0)], 1)
+        factor = np.where(first[:, None, None], 0.0, self.step[None] - self.step.max()) + u[:, None, :]
+        block = max(1, int(np.sqrt(n)))
+        pad = -n % block
+        factor = np.exp(np.concatenate([np.maximum(factor, -300), np.zeros((pad, 2, 2))])).reshape(-1, block, 2, 2)
+        ahead, behind = np.empty_like(factor), np.empty_like(factor)
+        ahead[:, 0], behind[:, -1] = _scale(factor[:, 0], (1, 2)), np.eye(2)
+        for t in range(1, block):
+            ahead[:, t] = _scale(ahead[:, t - 1] @ factor[:, t], (1, 2))
+            behind[:, -1 - t] = _scale(factor[:, -t] @ behind[:, -t], (1, 2))
+        into, back = np.ones((len(factor), 2)), np.ones((len(factor), 2))
+        for k in range(1, len(factor)):
+            into[k] = _scale(into[k - 1] @ ahead[k - 1, -1], (0,))
+            back[-1 - k] = _scale(ahead[-k, -1] @ back[-k], (0,))
+        a = _scale((into[:, None, None, :] @ ahead)[:, :, 0].reshape(-1, 2), (1,))
+        b = _scale((behind @ back[:, None, :, None])[..., 0].reshape(-1, 2), (1,))
+        good = a[:, 1] * b[:, 1] / (a * b).sum(1)
+        before = np.concatenate([np.ones((1, 2)), a[:-1]])
+        pairs = before[:, :, None] * factor.reshape(-1, 2, 2) * b[:, None, :]
+        return good[:n], (pairs / pairs.sum((1, 2), keepdims=True))[:n]
+
+    def train(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = 150, rate: float = 0.05, ridge: float = 1e-3) -> None:
+        """Adam on the log-likelihood per line of chains laid end to end; rarer labels weigh as much in total as common ones."""
+        first, label = starts_of(sizes), np.repeat(y, sizes)
+        x = with_neighbours(x, first)
         share = y.mean()
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-        m, v, k = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4), 0
-        order = np.random.default_rng(0).permutation(len(chains))
-        batches = [order[i : i + 512] for i in range(0, len(order), 512)]
-        padded = [self.pad([chains[i] for i in b]) for b in batches]
-        for _ in range(epochs):
-            for b, (x, n) in zip(batches, padded, strict=True):
-                # One weight for a batch's chains of a label: the pairwise sums come by label.
-                g = np.zeros(len(m))
-                for label in (0, 1):
-                    part = y[b] == label
-                    if not part.any():
-                        continue
-                    good, pairs, _ = self.marginals(x[part], n[part])
-                    real = np.arange(x.shape[1]) < n[part][:, None]
-                    unary = np.einsum("bt,btf->f", real * label - good, x[part])
-                    steps = -pairs
-                    steps[label, label] += (n[part] - 1).sum()
-                    g += weight[b][part][0] * np.concatenate([unary, steps.ravel()]) / n.sum()
-                g -= ridge * np.concatenate([self.w, self.step.ravel()])
-                k += 1
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                d = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-                self.w += d[:-4]
-                self.step += d[-4:].reshape(2, 2)
+        weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / len(x)
+        inner = weight * ~first
+        m, v = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4)
+        for k in range(1, epochs + 1):
+            good, pairs = self.marginals(x @ self.w, first)
+            steps = -(pairs * inner[:, None, None]).sum(0)
+            for i in (0, 1):
+                steps[i, i] += inner[label == i].sum()
+            g = np.concatenate([(weight * (label - good)) @ x, steps.ravel()]) - ridge * np.concatenate([self.w, self.step.ravel()])
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            d = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+            self.w += d[:-4]
+            self.step += d[-4:].reshape(2, 2)
         self.trained = True
 
     def raw(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Log-odds of the length-weighted mean marginals; documents of like line counts are run together."""
+        """Log-odds of the length-weighted mean marginals; minus infinity for a document without lines."""
         out = np.full(len(docs), -np.inf)
-        order = sorted((i for i, (x, _) in enumerate(docs) if len(x)), key=lambda i: len(docs[i][0]))
-        start = 0
-        while start < len(order):
-            stop, longest = start, 0
-            while stop < len(order) and stop - start < 256:
-                longest = len(docs[order[stop]][0])
-                if stop > start and longest * (stop - start + 1) > 20_000:
-                    break
-                stop += 1
-            part = order[start:stop]
-            x, n = self.pad([with_neighbours(docs[i][0]) for i in part])
-            good, _, _ = self.marginals(x, n)
-            for i, g, k in zip(part, good, n, strict=True):
-                lens = docs[i][1]
-                mean = np.clip((g[:k] * lens).sum() / lens.sum(), 1e-6, 1 - 1e-6)
-                out[i] = np.log(mean / (1 - mean))
-            start = stop
+        some = [i for i, (x, _) in enumerate(docs) if len(x)]
+        if some:
+            sizes = np.array([len(docs[i][0]) for i in some])
+            first = starts_of(sizes)
+            good, _ = self.marginals(with_neighbours(np.concatenate([docs[i][0] for i in some]), first) @ self.w, first)
+            lens, at = np.concatenate([docs[i][1] for i in some]), np.cumsum(sizes) - sizes
+            mean = np.clip(np.add.reduceat(good * lens, at) / np.add.reduceat(lens, at), 1e-6, 1 - 1e-6)
+            out[some] = np.log(mean / (1 - mean))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -178,32 +178,25 @@ class Field:
         return np.where(np.isfinite(raw), 1 / (1 + np.exp(-z)), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, max_labelled: int = MAX_LABELLED) -> Field:
-    sample = labelled_sample(docs, labels, "quality", modulus, held_out, max_labelled)
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of all lines in place of texts, as 32-bit floats; a row for each document."""
+    for batch in slices(batches):
+        found = [features(t) for t in batch.column("text").to_pylist()]
+        x, lens = (pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), x, lens], ["doc_id", "y", "x", "lens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Training chains in place of texts: at most CHAIN lines from a document's start, middle and end."""
-        for batch in slices(batches):
-            rows: list[list] = [[], [], [], []]
-            for doc_id, y, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "y", "text")), strict=True):
-                x, lens = features(text)
-                if len(x) > CHAIN:
-                    at = sorted({*range(CHAIN // 2), *range(len(x) - CHAIN // 2, len(x))})
-                    x, lens = x[at], lens[at]
-                for column, value in zip(rows, (doc_id, y, x.ravel().tolist(), lens.tolist()), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["doc_id", "y", "x", "lens"])
-
-    rows = sample.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(run, "doc_id long, y int, x array<double>, lens array<double>").orderBy("doc_id", "y", F.size("x")).collect()
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Field:
+    sample = labelled_sample(docs, labels, "quality", modulus, held_out, max_labelled, max_chars)
+    rows = sample.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(_chains, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, x binary, lens binary").orderBy("doc_id").collect()
     field = Field(3 * N_OWN)
     rows = [r for r in rows if r.lens]
     y = np.array([r.y for r in rows])
     field.fallback = float(y.mean()) if len(y) else 0.0
     if len(set(y.tolist())) < 2:
         return field
-    chains = [(np.array(r.x).reshape(-1, N_OWN), np.array(r.lens)) for r in rows]
-    field.train([with_neighbours(x) for x, _ in chains], y)
+    chains = [(np.frombuffer(r.x, np.float32).reshape(-1, N_OWN), np.frombuffer(r.lens, np.float64)) for r in rows]
+    field.train(np.concatenate([x for x, _ in chains]), np.array([len(x) for x, _ in chains]), y)
     field.curve = logistic(field.raw(chains), y, ridge=1e-2)
     return field
 
