@@ -1,16 +1,22 @@
 """Operator 4: personal data by bootstrapped contextual extraction, with SQL functions only.
 
 Base extraction finds e-mail addresses, IPv4 addresses, payment cards and telephone numbers by their formats. These
-are the seeds: the two words before a span, and the words on both sides of it, are its lexical patterns. Other strings
-that could be identifiers (runs of digits, words with @, IPv6-like groups) are instances of the patterns around
-them. Spark scores the graph of patterns and instances over a few rounds: a pattern's confidence is the mean score
-of its distinct instances, an instance's score the noisy-or of its patterns, and a seed's score stays 1. Instances of
-patterns with enough distinct seeds and enough confidence become spans of the pattern's kind if their form fits it.
+are seeds, as are access keys of well-known or very random forms and account numbers (IBAN) with a right check
+number. Other strings that could be identifiers of a kind by their form are its candidates. Seeds and candidates are the
+instances; the words around an instance are its lexical patterns: the two and the three before it, the two after it, and
+one on either side. Another span of the same kind counts as one word, as do the ends of the text; nothing is cut.
+
+Spark scores the graph of patterns and instances in rounds. A pattern's confidence is the mean score of its distinct
+instances; it is promoted if that reaches `min_confidence` and at least `min_seeds` distinct instances reach it too. An
+instance's score is 1 for a seed and else the noisy-or of its promoted patterns, so promoted instances are seeds of the
+next round, in which they support the other patterns around them. Scores only grow; the rounds end when no pattern is
+promoted any more, or after `rounds`. What stands in a promoted pattern is a span of its kind, beside the base ones.
 
 Offsets are code points. Matches and the text between them give offsets by running sums, in blocks, so that a text of
-many matches costs little more than its length. Only spans, candidates and their few words of context are
-shuffled. A null text counts as empty and has no spans. Repeated rows give repeated results; extra columns are ignored
-by `personal_data` and passed through by `mask`.
+many matches costs little more than its length; candidates are held against base spans in one sorted pass. Only spans,
+candidates and their few words of context are shuffled. A null text counts as empty and has no spans. Repeated rows give
+repeated results, an empty table an empty one; overlapping spans of different kinds are all given, and masked as one;
+extra columns are ignored by `personal_data` and passed through by `mask`.
 """
 
 from __future__ import annotations
@@ -31,11 +37,25 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-#: Strings that may be identifiers: a word with @, digit groups, colon-separated hexadecimal groups.
-CANDIDATE = r"(?:\G|(?<![^\x20\x09-\x0D]))(?:[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++|[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|(?:[0-9A-Fa-f]{1,4}+::?){2,}+[0-9A-Fa-f]{0,4}+)"
-#: The form that a discovered instance of a kind must have.
-FORMS = {"email": r"^[^@]+@[^@]+$", "ip": r"^(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}$", "card": r"^(?:[^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$"}
-CONTEXT = 64
+#: Kinds that only the method finds.
+MORE_KINDS = ("key", "iban")
+#: Strings that may be identifiers: a word with @, digit groups, colon-separated hexadecimal groups; words of letters and digits; account numbers.
+CANDIDATES = {
+    "numbers": r"(?:\G|(?<![^\x20\x09-\x0D]))(?:[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++|[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|(?:[0-9A-Fa-f]{1,4}+::?){2,}+[0-9A-Fa-f]{0,4}+)",
+    "keys": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{12,}+",
+    "accounts": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+}
+#: The form that an instance of a kind must have, and where it is looked for.
+FORMS = {
+    "email": ("numbers", r"^[^@]+@[^@]+$"),
+    "ip": ("numbers", r"^(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}$"),
+    "card": ("numbers", r"^(?:[^0-9]*[0-9]){12,19}[^0-9]*$"),
+    "phone": ("numbers", r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$"),
+    "key": ("keys", ""),
+    "iban": ("accounts", ""),
+}
+#: Access keys that are seeds by their form: prefixes that issuers publish, and long hexadecimal runs.
+KEY_SEED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|[0-9a-f]{32,}|[0-9A-F]{32,})$"
 BLOCK = 256
 
 
@@ -60,28 +80,53 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _iban(value: Column) -> Column:
+    """Whether the check number is right: the value with its first four characters last, letters as 10 to 35, is 1 modulo 97."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(plain, 5, 40), F.left(plain, F.lit(4))), "")
+    digit = lambda ch: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ch) - 1
+    return F.aggregate(turned, F.lit(0), lambda a, ch: F.when(ch == "", a).otherwise((a * F.when(digit(ch) > 9, 100).otherwise(10) + digit(ch)) % 97)) == 1
+
+
+def _sides(gap: Column) -> Column:
+    """The first two and the last three words of the text between two matches, in lower case."""
+    words = F.array(F.array_remove(F.split(F.lower(gap), r"[\x20\x09-\x0D]+"), ""))
+    last = lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))
+    return F.get(F.transform(words, lambda w: F.struct(F.slice(w, 1, 2).alias("first"), last(w).alias("last"))), F.lit(0))
+
+
 def _matches(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
-    """Add column `name`: all matches as array<struct<start, end, value, left, right>>, sides being the text around."""
+    """Add column `name`: all matches as array<struct<start, end, value, left, right>>; left and right are the words around."""
     df = df.select("*", F.when(guard, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).alias("_m"))
     df = df.select("*", F.when(F.size("_m") > 0, F.split("_text", pattern, -1)).alias("_gaps"))
-    df = df.select("*", F.transform("_m", lambda m: F.length(m)).alias("_mlen"), F.transform("_gaps", lambda g: F.length(g)).alias("_glen"))
+    df = df.select("*", F.transform("_m", lambda m: F.length(m)).alias("_mlen"), F.transform("_gaps", lambda g: F.length(g)).alias("_glen"), F.transform("_gaps", _sides).alias("_sides"))
     df = df.select("*", F.when(F.size("_m") > 0, running(F.zip_with("_mlen", F.slice("_glen", F.lit(1), F.size("_m")), lambda a, b: a + b), F.lit(0), lambda a, x: a + x)).alias("_ends"))
+    mark = F.lit(f"<{name}>")
+    left = lambda i: F.concat(F.array(F.when(i > 0, mark).otherwise("^")), F.get("_sides", i)["last"])
+    right = lambda i: F.concat(F.get("_sides", i + 1)["first"], F.array(F.when(i + 1 < F.size("_m"), mark).otherwise("$")))
     out = F.transform(
         "_m",
-        lambda m, i: F.struct(
-            (F.get("_ends", i) - F.length(m)).alias("start"),
-            F.get("_ends", i).alias("end"),
-            m.alias("value"),
-            F.right(F.get("_gaps", i), F.lit(CONTEXT)).alias("left"),
-            F.left(F.get("_gaps", i + 1), F.lit(CONTEXT)).alias("right"),
-        ),
+        lambda m, i: F.struct((F.get("_ends", i) - F.length(m)).alias("start"), F.get("_ends", i).alias("end"), m.alias("value"), left(i).alias("left"), right(i).alias("right")),
     )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    return df.select("*", F.coalesce(F.when(F.size("_m") > 0, out), empty).alias(name)).drop("_m", "_gaps", "_mlen", "_glen", "_ends")
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:array<string>,right:array<string>>>")
+    return df.select("*", F.coalesce(F.when(F.size("_m") > 0, out), empty).alias(name)).drop("_m", "_gaps", "_mlen", "_glen", "_ends", "_sides")
+
+
+def _free(df: DataFrame, name: str) -> DataFrame:
+    """Column `name` without what overlaps a base span: in the order of starts, what ended before and what starts next decide."""
+    far = (1 << 31) - 1
+    spans = F.concat(F.col("_bases"), F.transform(name, lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), i.alias("i"))))
+    df = df.select("*", F.when((F.size("_bases") > 0) & (F.size(name) > 0), F.array_sort(spans)).alias("_s"))
+    before = running(F.transform("_s", lambda s: F.when(s["i"] < 0, s["end"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+    after = F.reverse(running(F.reverse(F.transform("_s", lambda s: F.when(s["i"] < 0, s["start"]).otherwise(far))), F.lit(far), lambda a, x: F.least(a, x)))
+    df = df.select("*", F.when(F.col("_s").isNotNull(), before).alias("_before"), F.when(F.col("_s").isNotNull(), after).alias("_after"))
+    apart = F.filter("_s", lambda s, p: (s["i"] >= 0) & (F.get("_before", p) <= s["start"]) & (F.get("_after", p) >= s["end"]))
+    free = F.when(F.col("_s").isNotNull(), F.transform(apart, lambda s: F.get(name, s["i"]))).otherwise(F.col(name))
+    return df.select(*[free.alias(name) if c == name else f"`{c}`" for c in df.columns if c not in ("_s", "_before", "_after")])
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """docs and, per kind, its base spans, and `candidates`: what overlaps no base span; _stamp tells texts apart."""
+    """docs and, per kind, its base spans, and the candidates that overlap no base span; _stamp tells texts apart."""
     df = docs.select("*", F.coalesce("text", F.lit("")).alias("_text"))
     df = df.select("*", F.xxhash64("_text").alias("_stamp"), F.col("_text").rlike("[0-9]").alias("_digit"))
     for kind, (pattern, needs) in PATTERNS.items():
@@ -90,71 +135,91 @@ def extract(docs: DataFrame) -> DataFrame:
             guard = F.col("_text").rlike(r"[0-9]\.[0-9]")
         df = _matches(df, kind, pattern, guard & (F.lit(True) if kind == "email" else F.col("_digit")))
         df = df.withColumn(kind, F.filter(kind, lambda s: _valid(kind, s["value"])))
-    guard = F.col("_digit") | F.contains(F.col("_text"), F.lit("@")) | F.contains(F.col("_text"), F.lit("::"))
-    df = _matches(df, "candidates", CANDIDATE, guard)
-    seeds = F.when(F.size("candidates") > 0, F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    df = df.select("*", seeds.alias("_seeds"))
-    free = F.filter("candidates", lambda c: ~F.exists("_seeds", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return df.withColumn("candidates", free).drop("_seeds", "_digit")
-
-
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
+    df = df.select("*", F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("i"))) for k in KINDS]).alias("_bases"))
+    guards = {"numbers": F.col("_digit") | F.contains(F.col("_text"), F.lit("@")) | F.contains(F.col("_text"), F.lit("::")), "keys": F.col("_digit"), "accounts": F.col("_text").rlike("[A-Z]{2}[0-9]{2}")}
+    for name, pattern in CANDIDATES.items():
+        df = _free(_matches(df, name, pattern, guards[name]), name)
+    return df.drop("_bases", "_digit")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
     """A row for each span or candidate, kind it could have, and pattern around it."""
-    tagged = [F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), F.lit(True).alias("seed"), s.alias("s"))) for k in KINDS]
-    fits = [F.transform(F.filter("candidates", lambda c: c["value"].rlike(FORMS[k])), lambda s: F.struct(F.lit(k).alias("kind"), F.lit(False).alias("seed"), s.alias("s"))) for k in KINDS]
-    rows = found.select("doc_id", "_stamp", F.explode(F.concat(*tagged, *fits)).alias("x")).select("doc_id", "_stamp", "x.kind", "x.seed", "x.s.*")
-    rows = rows.select("*", _words(F.col("left")).alias("l"), _words(F.col("right")).alias("r"))
-    before = F.when(F.size("l") >= 2, F.concat_ws(" ", F.lit("before"), F.slice("l", F.size("l") - 1, F.lit(2))))
-    around = F.when((F.size("l") >= 1) & (F.size("r") >= 1), F.concat_ws(" ", F.lit("around"), F.element_at("l", -1), F.get("r", 0)))
-    patterns = F.array_compact(F.array(before, around))
-    return rows.select("doc_id", "_stamp", "kind", "seed", "start", "end", F.lower("value").alias("value"), F.explode(patterns).alias("pattern"))
-
-
-def score_patterns(occ: DataFrame, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
-    """(kind, pattern, confidence) of the patterns that have at least `min_seeds` distinct seed instances."""
+    row = lambda k, base, seed, s: F.struct(F.lit(k).alias("kind"), F.lit(base).alias("base"), seed.alias("seed"), s.alias("s"))
+    tagged = [F.transform(k, lambda s: row(k, True, F.lit(True), s)) for k in KINDS]
+    for k in (*KINDS, *MORE_KINDS):
+        name, form = FORMS[k]
+        fits = F.filter(name, lambda c: c["value"].rlike(form)) if form else F.col(name)
+        seed = {"key": lambda s: s["value"].rlike(KEY_SEED), "iban": lambda s: _iban(s["value"])}.get(k, lambda s: F.lit(False))
+        tagged.append(F.transform(fits, lambda s: row(k, False, seed(s), s)))
+    rows = found.select("doc_id", "_stamp", F.explode(F.concat(*tagged)).alias("x")).select("doc_id", "_stamp", "x.kind", "x.base", "x.seed", "x.s.*")
+    ending = lambda n: F.slice("left", F.size("left") - (n - 1), F.lit(n))
+    before = [F.when(F.size("left") >= n, F.concat_ws(" ", F.lit(f"{n} before"), ending(n))) for n in (2, 3)]
+    after = F.when(F.size("right") >= 2, F.concat_ws(" ", F.lit("2 after"), F.slice("right", 1, 2)))
+    around = F.concat_ws(" ", F.lit("around"), F.element_at("left", -1), F.get("right", F.lit(0)))
+    patterns = F.array_compact(F.array(*before, after, around))
+    return rows.select("doc_id", "_stamp", "kind", "base", "seed", "start", "end", F.lower("value").alias("value"), F.explode(patterns).alias("pattern"))
+
+
+def score_patterns(occ: DataFrame, min_confidence: float = 0.8, rounds: int = 4, min_seeds: int = 3) -> DataFrame:
+    """(kind, pattern, confidence, round) of the promoted patterns; round is the first in which a pattern is one.
+
+    Patterns with fewer than `min_seeds` distinct instances can never be promoted and are left out first.
+    """
     edges = occ.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
-    support = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("n")).where(F.col("n") >= min_seeds)
-    edges = checkpoint(edges.join(support.drop("n"), ["kind", "pattern"], "left_semi"))
-    scored = edges.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
-    for _ in range(rounds):
-        confidence = scored.groupBy("kind", "pattern").agg(F.avg("score").alias("confidence"))
-        value = scored.join(confidence, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("seed").alias("s"), F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(1 - 1e-9)))).alias("miss"))
-        score = value.select("kind", "value", F.when(F.col("s"), 1.0).otherwise(1 - F.exp("miss")).alias("score"))
-        scored = edges.join(score, ["kind", "value"])
-    return scored.groupBy("kind", "pattern").agg(F.avg("score").alias("confidence"))
-
-
-def discover(occ: DataFrame, min_confidence: float = 0.8, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
-    """(doc_id, _stamp, kind, start, end) of instances that confident patterns find beside the base spans."""
-    patterns = score_patterns(occ, rounds, min_seeds).where(F.col("confidence") >= min_confidence)
-    return occ.where(~F.col("seed")).join(patterns, ["kind", "pattern"]).select("doc_id", "_stamp", "kind", "start", "end").distinct()
+    some = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
+    edges = checkpoint(edges.join(some.drop("n"), ["kind", "pattern"], "left_semi"))
+    seeds = checkpoint(edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")))
+    scores = seeds.select("kind", "value", F.col("seed").cast("double").alias("score"))
+    out, held = None, -1
+    for k in range(1, rounds + 1):
+        confidence = edges.drop("seed").join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= min_confidence).alias("n"))
+        good = confidence.where((F.col("confidence") >= min_confidence) & (F.col("n") >= min_seeds)).select("kind", "pattern", "confidence", F.lit(k).alias("round"))
+        if out is not None:
+            first = out.select("kind", "pattern", F.col("round").alias("_r"))
+            good = good.join(first, ["kind", "pattern"], "left").select("kind", "pattern", "confidence", F.coalesce("_r", "round").alias("round"))
+        out = checkpoint(good)
+        n = out.count()
+        if n == held:
+            break
+        held = n
+        miss = edges.drop("seed").join(out, ["kind", "pattern"]).groupBy("kind", "value").agg(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(1 - 1e-9)))).alias("miss"))
+        scores = checkpoint(seeds.join(miss, ["kind", "value"], "left").select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("miss", F.lit(0.0)))).alias("score")))
+    return out
+
+
+def discover(occ: DataFrame, min_confidence: float = 0.8, rounds: int = 4, min_seeds: int = 3) -> DataFrame:
+    """(doc_id, _stamp, kind, start, end, round) of instances that promoted patterns find beside the base spans."""
+    patterns = score_patterns(occ, min_confidence, rounds, min_seeds)
+    return occ.where(~F.col("base")).join(patterns, ["kind", "pattern"]).groupBy("doc_id", "_stamp", "kind", "start", "end").agg(F.min("round").alias("round"))
+
+
+def _spans(docs: DataFrame, min_confidence: float, rounds: int, min_seeds: int) -> tuple[DataFrame, DataFrame]:
+    """Base spans per document, and those that the patterns add."""
+    found = checkpoint(extract(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "_stamp", *KINDS, *CANDIDATES))
+    return found.select("doc_id", "_stamp", *KINDS), discover(occurrences(found), min_confidence, rounds, min_seeds)
 
 
 def _rank(kind: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    return F.array_position(F.array(*map(F.lit, (*KINDS, *MORE_KINDS))), kind).cast("int")
 
 
-def personal_data(docs: DataFrame, min_confidence: float = 0.8, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
-    """doc_id, counts of base spans per kind, base_sha256 and spans (base and discovered) for every row of docs."""
-    found = checkpoint(extract(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "_stamp", *KINDS, "candidates"))
-    more = discover(occurrences(found), min_confidence, rounds, min_seeds)
+def personal_data(docs: DataFrame, min_confidence: float = 0.8, rounds: int = 4, min_seeds: int = 3) -> DataFrame:
+    """doc_id, counts of base spans per kind, base_sha256, spans (base and discovered) and n_spans for every row of docs."""
+    found, more = _spans(docs, min_confidence, rounds, min_seeds)
     more = more.groupBy(F.col("doc_id").alias("_id"), F.col("_stamp").alias("_s")).agg(F.collect_list(F.struct(_rank(F.col("kind")).alias("k"), "start", "end", "kind")).alias("more"))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.concat(*[F.transform(k, lambda s: F.struct(F.lit(i + 1).alias("k"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for i, k in enumerate(KINDS)])
     df = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_stamp") == F.col("_s")), "left")
     df = df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), "more")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<k:int,start:int,end:int,kind:string>>")))))
-    return df.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.array_join(F.transform("base", text), ","), 256).alias("base_sha256"), F.array_join(F.transform(every, text), ",").alias("spans"))
+    df = df.select("doc_id", *[f"n_{k}" for k in KINDS], "base", every.alias("every"))
+    joined = lambda name: F.array_join(F.transform(name, text), ",")
+    return df.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("every").alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
-def mask(docs: DataFrame, min_confidence: float = 0.8, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
-    """docs with every span of `text` replaced by its kind in angle brackets; overlapping spans become one."""
-    found = checkpoint(extract(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "_stamp", *KINDS, "candidates"))
-    more = discover(occurrences(found), min_confidence, rounds, min_seeds)
+def mask(docs: DataFrame, min_confidence: float = 0.8, rounds: int = 4, min_seeds: int = 3) -> DataFrame:
+    """docs with every span of `text` replaced by its kind in angle brackets; overlapping spans become one, named for the first."""
+    found, more = _spans(docs, min_confidence, rounds, min_seeds)
     base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS])
     spans = found.select("doc_id", "_stamp", F.explode(base).alias("s")).select("doc_id", "_stamp", "s.*").unionAll(more.select("doc_id", "_stamp", "start", "end", "kind")).distinct()
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("_stamp").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
@@ -162,11 +227,18 @@ def mask(docs: DataFrame, min_confidence: float = 0.8, rounds: int = 3, min_seed
     text = F.col("text")
     df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text, F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
     df = df.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_s")), "left")
-    ends = F.when(F.col("_spans").isNotNull(), running(F.transform("_spans", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)))
-    df = df.withColumn("_reach", ends)
-    # The text goes on where all spans before have ended; a span that starts before that adds nothing.
+    reach = F.when(F.col("_spans").isNotNull(), running(F.transform("_spans", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)))
+    df = df.select("*", reach.alias("_reach"))
+    # Spans that no earlier one reaches open a place; what is kept stands between the reach of one place and the start of the next.
     reached = lambda i: F.when(i > 0, F.get("_reach", i - 1)).otherwise(0)
-    part = lambda s, i: F.when(reached(i) <= s["start"], F.concat(F.substring("text", reached(i) + 1, s["start"] - reached(i)), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
-    masked = F.concat(F.array_join(F.transform("_spans", part), ""), F.substring(text, F.element_at("_reach", -1) + 1, F.length("text")))
-    masked = F.when(F.size("_spans") > 0, masked).otherwise(text)
+    opens = F.filter(F.transform("_spans", lambda s, i: F.struct(reached(i).alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))), lambda p: p["from"] <= p["to"])
+    df = df.select("*", opens.alias("_places"))
+    # A substring is found by counting from the start, so places are taken from stretches of the text, about a root of their number each.
+    n = F.ceil(F.sqrt(F.size("_places"))).cast("int")
+    starts = F.sequence(F.lit(0), F.size("_places") - 1, n)
+    stretch = F.transform(starts, lambda i: F.struct(F.slice("_places", i + 1, n).alias("places"), F.get("_places", i)["from"].alias("from"), F.element_at(F.slice("_places", i + 1, n), -1)["to"].alias("to")))
+    stretch = F.transform(stretch, lambda x: F.struct(x["places"].alias("places"), x["from"].alias("from"), F.substring("text", x["from"] + 1, x["to"] - x["from"]).alias("part")))
+    piece = lambda x: F.array_join(F.transform(x["places"], lambda p: F.concat(F.substring(x["part"], p["from"] - x["from"] + 1, p["to"] - p["from"]), F.lit("<"), p["kind"], F.lit(">"))), "")
+    masked = F.concat(F.array_join(F.transform(stretch, piece), ""), F.substring(text, F.element_at("_reach", -1) + 1, F.length("text")))
+    masked = F.when(F.size("_places") > 0, masked).otherwise(text)
     return df.select(*[(masked if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
