@@ -1,16 +1,22 @@
 """Operator 7: benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts and benchmark items are normalised (lower case, everything but letters and digits becomes one space) and
-compared as UTF-8 bytes. An item is cut into patterns of at most `WINDOW` bytes that overlap by half, so a document that
-holds a part of an item is found as well. A pattern of m bytes with at most k edits shares at least m - q + 1 - kq
-q-grams with the place where it occurs, all within k + 1 neighbouring diagonals. Shared q-grams are counted in bands
-of diagonals that overlap by half, each band being wide enough to hold any such alignment; bands that meet the
-bound are verified by banded semi-global alignment, which gives the edits.
-
-The patterns are taken in blocks of at most `BLOCK_BYTES` bytes, each broadcast and held against all documents; a larger
-benchmark makes more blocks. Every document is searched whole, in overlapping segments if it is long. Null and empty
-texts contain nothing; items of fewer than `MIN_BYTES` normalised bytes have no q-gram bound and are found only as
-exact normalised substrings. Repeated rows give repeated results; item ids may be null and are then left out.
+Texts and benchmark items are normalised (lower case, everything but letters and digits becomes one space) and compared as
+UTF-8 bytes. An item is cut into patterns of some `WINDOW` bytes that overlap by half, so a document that holds
+a part of an item is found as well, for sure from one and a half windows on; an item that is shorter is one pattern,
+with the space before and after it. A pattern may have `EDIT_RATE` edits a byte, rounded down. A pattern of m bytes with k
+edits shares at least m - q + 1 - kq q-grams with the place where it occurs, all within k + 1 neighbouring diagonals;
+q is 12, 6 or 3 by the pattern's length, so that this bound is positive for every pattern and no item goes without. Shared
+q-grams are counted in bands of diagonals that overlap by half, each band being wide enough to hold any such
+alignment; bands that meet the bound are verified by banded semi-global alignment, many at a time.
+
+Every document is searched whole, in overlapping segments of `SEGMENT` bytes, and the q-grams shared in a segment are
+taken by `HITS` at a time, so that repetitive texts and items take time but no more memory. The benchmark is a
+stated set; it is taken in blocks of at most `BLOCK_BYTES` bytes, each broadcast and held against all documents.
+
+Null and empty texts, and texts without a letter or digit, contain nothing and, as items, are found nowhere. Repeated rows
+give repeated results; an item id may be null and stands for all items without one; items of one id are counted as
+one. An empty table on either side gives no matches; extra columns are ignored by `contaminated` and kept by
+`decontaminate`.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import slices
 
-Q = 12
-WINDOW = 192
-MIN_BYTES = 48
-#: Edits per byte of a pattern; fewer are allowed where the bound would sink below MIN_SHARED q-grams.
+WINDOW = 112
+#: Shortest pattern of each q; a shorter item is one pattern with the spaces around it.
+SIZES = ((12, 96), (6, 8), (3, 1))
 EDIT_RATE = 0.07
-MIN_SHARED = 8
+SEGMENT = 1 << 14
+HITS = 1 << 20
+ALIGNED = 1 << 10
 BLOCK_BYTES = 8 << 20
 TABLE_BITS = 22
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -43,125 +50,179 @@ def normalise(text: str | None) -> bytes:
     return SPLIT(" ", (text or "").lower()).strip().encode()
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """Hash of the Q = 12 bytes from each position, by doubling."""
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the q bytes from each position, by doubling."""
+    if len(data) < q:
+        return np.zeros(0, np.uint64)
     h = data.astype(np.uint64) + np.uint64(1)
     h2 = h[:-1] * POWERS[0] + h[1:]
+    if q == 3:
+        return (h2[:-1] * POWERS[0] + h[2:]) * PRIME
     h4 = h2[:-2] * POWERS[1] + h2[2:]
+    if q == 6:
+        return (h4[:-2] * POWERS[1] + h2[4:]) * PRIME
     h8 = h4[:-4] * POWERS[2] + h4[4:]
     return (h8[:-4] * POWERS[2] + h4[8:]) * PRIME
 
 
-class Patterns:
-    """Patterns of a block of items with an index of their q-grams."""
+class Grams:
+    """The q-grams of the patterns of one q, and the bands of a text that share enough of them."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.items, self.short = [], []
-        parts: list[bytes] = []
-        for item, text in items:
-            data = normalise(text)
-            if len(data) < MIN_BYTES:
-                if data:
-                    self.short.append((item, b" " + data + b" "))
-                continue
-            at = 0
-            while True:
-                end = len(data) if len(data) - at <= WINDOW * 5 // 4 else at + WINDOW
-                parts.append(data[at:end])
-                self.items.append(item)
-                if end == len(data):
-                    break
-                at += WINDOW // 2
-        self.parts = parts
+    def __init__(self, q: int, parts: list[bytes]):
+        self.q, self.parts = q, parts
         self.size = np.array([len(p) for p in parts], np.int64)
-        self.edits = np.minimum(np.floor(self.size * EDIT_RATE), (self.size - Q + 1 - MIN_SHARED) // Q).astype(np.int64)
-        self.bound = self.size - Q + 1 - self.edits * Q
+        self.edits = np.floor((self.size - 2 * (q < 12)) * EDIT_RATE).astype(np.int64)
+        self.bound = self.size - q + 1 - self.edits * q
         # One width for all bands: the most edits of any pattern, plus the diagonal itself.
-        self.half = int(self.edits.max()) + 1 if parts else 1
-        hashes = [grams(np.frombuffer(p, np.uint8)) for p in parts]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(parts)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        self.half, self.longest = int(self.edits.max()) + 1, int(self.size.max())
+        hashes = [grams(np.frombuffer(p, np.uint8), q) for p in parts]
+        flat = np.concatenate(hashes)
+        owner = np.repeat(np.arange(len(parts)), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(flat, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def bands(self, data: np.ndarray) -> list[tuple[int, int]]:
-        """(pattern, first diagonal) of the bands of one text that meet their pattern's bound."""
-        if not len(self.keys) or len(data) < Q:
-            return []
-        h = grams(data)
+    def bands(self, data: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(shared q-grams, first diagonal) of the bands that meet their pattern's bound, by pattern."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        if len(data) < self.q:
+            return out
+        h = grams(data, self.q)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if len(at) < self.bound.min():
-            return []
+            return out
         key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         ok = self.keys[key] == h[at]
         at, key = at[ok], key[ok]
+        # The bands that start in a segment need the positions up to one pattern and one band after it.
+        reach = self.longest + 2 * self.half
+        for start in range(0, len(data), SEGMENT):
+            low, high = np.searchsorted(at, (start, start + SEGMENT + reach))
+            if high > low:
+                self._segment(at[low:high], key[low:high], start, out)
+        return out
+
+    def _segment(self, at: np.ndarray, key: np.ndarray, start: int, out: dict[int, list[tuple[int, int]]]) -> None:
         n = self.count[key]
-        total = np.cumsum(n)
-        if not len(total) or total[-1] < self.bound.min():
-            return []
-        hit = np.repeat(self.first[key] - total + n, n) + np.arange(total[-1])
-        who = self.owner[hit]
-        enough = np.bincount(who, minlength=len(self.size)) >= self.bound
-        keep = enough[who]
-        who, diagonal = who[keep], (np.repeat(at, n) - self.place[hit])[keep]
-        if not len(who):
-            return []
-        low = diagonal // self.half
-        span = len(data) // self.half + int(self.size.max()) // self.half + 4
-        off = int(self.size.max()) // self.half + 2
-        # Band b holds the diagonals [b * half, (b + 2) * half): each diagonal is in the bands low and low - 1.
-        code = np.concatenate([who * span + low + off, who * span + low - 1 + off])
-        code, counts = np.unique(code, return_counts=True)
-        good = counts >= self.bound[code // span]
-        return [(int(c // span), int((c % span - off) * self.half)) for c in code[good]]
-
-    def align(self, text: bytes, pattern: int, diagonal: int) -> int:
-        """Fewest edits of the pattern against any part of the text within the band's diagonals."""
-        p, band = self.parts[pattern], 2 * self.half
-        if p in text[max(0, diagonal) : diagonal + band + len(p)]:
-            return 0
-        t = np.frombuffer(text, np.uint8)
-        column = np.arange(band + 1)
-        big = 1 << 20
-        # Row i, column j: the alignment ends before text position diagonal + i + j.
-        spot = diagonal + column
-        row = np.where((spot >= 0) & (spot <= len(t)), 0, big)
-        for i, byte in enumerate(p):
-            spot = diagonal + i + column
-            inside = (spot >= 0) & (spot < len(t))
-            same = np.where(inside, t[np.clip(spot, 0, len(t) - 1)] == byte, False)
-            fresh = np.where(inside, row + ~same, big)  # match or replace
-            fresh[:-1] = np.minimum(fresh[:-1], row[1:] + 1)  # a byte of the pattern is missing
-            fresh = column + np.minimum.accumulate(fresh - column)  # a byte of the text is extra
-            ends = spot + 1
-            row = np.where((ends >= 0) & (ends <= len(t)), fresh, big)
-        return int(row.min())
-
-    def search(self, text: str | None) -> dict[int, int]:
-        """Fewest edits per item that the text holds."""
-        data = normalise(text)
+        ends = np.cumsum(n)
+        if ends[-1] < self.bound.min():
+            return
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(HITS, ends[-1], HITS)), len(at)))
+        parts = [(int(a), int(b)) for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True) if b > a]
+
+        def hits(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            """Pattern and diagonal of what is shared from the a-th to the b-th position."""
+            m = n[a:b]
+            sums = np.cumsum(m)
+            hit = np.repeat(self.first[key[a:b]] - sums + m, m) + np.arange(sums[-1])
+            return self.owner[hit], np.repeat(at[a:b], m) - self.place[hit]
+
+        total = np.zeros(len(self.size), np.int64)
+        for a, b in parts:
+            total += np.bincount(hits(a, b)[0], minlength=len(total))
+        enough = total >= self.bound
+        if not enough.any():
+            return
+        span, off = (SEGMENT + 2 * self.longest) // self.half + 8, self.longest // self.half + 3
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b in parts:
+            who, diagonal = hits(a, b)
+            keep = enough[who]
+            low = (diagonal[keep] - start) // self.half
+            # Band b holds the diagonals [b * half, (b + 2) * half): each diagonal is in the bands low and low - 1.
+            code = who[keep] * span + low + off
+            code, got = np.unique(np.concatenate([code, code - 1]), return_counts=True)
+            codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, got]), len(codes)).astype(np.int64)
+        for c, shared in zip(codes[good := counts >= self.bound[codes // span]].tolist(), counts[good].tolist(), strict=True):
+            diagonal = start + (c % span - off) * self.half
+            if start == 0 or start <= diagonal + self.half:
+                out.setdefault(c // span, []).append((shared, diagonal))
+
+    def align(self, padded: np.ndarray, pad: int, pattern: int, diagonals: np.ndarray) -> np.ndarray:
+        """Fewest edits of the pattern against any part of the text within each band of diagonals.
+
+        Beyond the ends of the text stand bytes that equal none; meeting one costs as much as a missing byte.
+        """
+        column = np.arange(2 * self.half + 1)
+        spot = diagonals[:, None] + column + pad
+        row = np.zeros(spot.shape, np.int64)
+        for i, byte in enumerate(self.parts[pattern]):
+            fresh = row + (padded[spot + i] != byte)  # match or replace
+            fresh[:, :-1] = np.minimum(fresh[:, :-1], row[:, 1:] + 1)  # a byte of the pattern is missing
+            row = column + np.minimum.accumulate(fresh - column, axis=1)  # a byte of the text is extra
+        return row.min(1)
+
+    def search(self, data: bytes) -> dict[int, int]:
+        """Fewest edits of the patterns that the text holds."""
         found: dict[int, int] = {}
-        for item, exact in self.short:
-            if exact in b" " + data + b" ":
-                found[item] = 0
-        for pattern, diagonal in self.bands(np.frombuffer(data, np.uint8)):
-            item = self.items[pattern]
-            if found.get(item, 1 << 20) == 0:
+        pad = self.longest + 2 * self.half + 4
+        padded = None
+        for pattern, bands in self.bands(np.frombuffer(data, np.uint8)).items():
+            if self.parts[pattern] in data:
+                found[pattern] = 0
                 continue
-            edits = self.align(data, pattern, diagonal)
-            if edits <= self.edits[pattern]:
-                found[item] = min(edits, found.get(item, edits))
+            best = int(self.edits[pattern]) + 1
+            bands.sort(reverse=True)
+            if padded is None:
+                padded = np.pad(np.frombuffer(data, np.uint8), pad + 2 * self.half, constant_values=255)
+            for i in range(0, len(bands), ALIGNED):
+                # So many shared q-grams need so many edits at least.
+                least = -(-(int(self.size[pattern]) - self.q + 1 - bands[i][0]) // self.q)
+                if best <= max(least, 1):
+                    break
+                best = min(best, int(self.align(padded, pad + 2 * self.half, pattern, np.array([d for _, d in bands[i : i + ALIGNED]])).min()))
+            if best <= self.edits[pattern]:
+                found[pattern] = best
         return found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+class Patterns:
+    """Patterns of a block of items (id, text), by their q."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.of: dict[int | None, int] = {}
+        by_q: dict[int, list[tuple[int | None, bytes]]] = {}
+        for item, text in items:
+            data = normalise(text)
+            for part in self.cut(data):
+                q = next(q for q, least in SIZES if len(part) >= least)
+                by_q.setdefault(q, []).append((item, part))
+                self.of[item] = self.of.get(item, 0) + 1
+        self.grams = [(Grams(q, [p for _, p in some]), [i for i, _ in some]) for q, some in by_q.items()]
+
+    @staticmethod
+    def cut(data: bytes) -> Iterator[bytes]:
+        if not data:
+            return
+        if len(data) < SIZES[0][1]:
+            yield b" " + data + b" "
+            return
+        for at in range(0, len(data), WINDOW // 2):
+            if len(data) - at <= WINDOW * 5 // 4:
+                yield data[at:]
+                return
+            yield data[at : at + WINDOW]
+
+    def search(self, text: str | None) -> dict[int | None, tuple[int, int]]:
+        """By item that the text holds: fewest edits of a pattern, and how many patterns are there."""
+        data = b" " + normalise(text) + b" "
+        found: dict[int | None, tuple[int, int]] = {}
+        if len(data) > 2:
+            for grams_, items in self.grams:
+                for pattern, edits in grams_.search(data).items():
+                    least, n = found.get(items[pattern], (edits, 0))
+                    found[items[pattern]] = min(least, edits), n + 1
+        return found
+
+
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """The stated set of items in blocks of bounded bytes, in the order of their ids."""
     block, held = [], 0
-    for r in benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(r.text.encode())
         if block and held + n > limit:
             yield block
@@ -172,12 +233,14 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For every row of docs and block of items: `keep`, items array<struct<item_id, edits>> (empty if none)."""
+KIND = "array<struct<item_id: bigint, edits: int, parts: int, of: int>>"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, items): for every row of docs and block of items, an array<struct<item_id, edits, parts, of>>, empty if there is none."""
     sc = docs.sparkSession.sparkContext
-    df = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in keep)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
+    df = docs.select("doc_id", "text")
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("parts", pa.int32()), ("of", pa.int32())]))
     out = None
     for block in blocks(benchmark):
         held = sc.broadcast(Patterns(block))
@@ -185,19 +248,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             patterns = held.value
             for batch in slices(batches):
-                found = [[{"item_id": i, "edits": e} for i, e in sorted(patterns.search(t).items())] for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(found, kind)], [*keep, "items"])
+                found = []
+                for text in batch.column("text").to_pylist():
+                    items = sorted(patterns.search(text).items(), key=lambda x: (x[0] is None, x[0] or 0))
+                    found.append([{"item_id": i, "edits": e, "parts": n, "of": patterns.of[i]} for i, (e, n) in items])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "items"])
 
-        part = df.mapInArrow(run, f"{kinds}, items array<struct<item_id: bigint, edits: int>>")
+        part = df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, items {KIND}")
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = df.select(*keep, F.array().cast("array<struct<item_id: bigint, edits: int>>").alias("items"))
+        out = df.select("doc_id", F.array().cast(KIND).alias("items"))
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, edits: a row for each document and item that it holds in whole or in part."""
-    return matches(docs, benchmark).select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.item_id", "i.edits")
+    """doc_id, item_id, edits, parts, of: a row for each document and item that it holds in whole or in part.
+
+    `edits` is the least of the item's patterns that are there, `parts` how many those are, `of` how many it has.
+    """
+    return matches(docs, benchmark).select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

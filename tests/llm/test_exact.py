@@ -250,7 +250,8 @@ def test_decontamination(spark, data):
     rows = [(1, "Intro. " * 50 + PASSAGE + " outro" * 50), (2, f"<b>{PASSAGE.upper()}!!</b>"), (3, "start " + near + " end"), (4, far), (5, None), (6, ""), (7, "a tiny, answer!"), (8, "a tiny odd answer"), (9, "x" * 50_000), (10, PASSAGE.replace(" ", " !! "))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in decontamination.contaminated(df, bench).collect()}
-    assert got == {(1, 1): 0, (2, 1): 0, (3, 1): 2, (7, 2): 0, (10, 1): 0}
+    # The item without an id has the text of item 1.
+    assert got == {(1, 1): 0, (2, 1): 0, (3, 1): 2, (7, 2): 0, (10, 1): 0} | {(i, None): e for i, e in ((1, 0), (2, 0), (3, 2), (10, 0))}
     kept = decontamination.decontaminate(docs(spark, data), bench)
     assert kept.count() == docs(spark, data).count()
     assert decontamination.contaminated(empty(spark), bench).count() == 0
