@@ -6,13 +6,13 @@ A document's probabilities are its windows' mean, weighted by their bytes. The n
 driver. Each of n languages gives at most `max_labelled` / n documents (one at least, smallest id hashes), and each
 document at most `max_windows` / `max_labelled` of its windows, chosen by hash over its whole text.
 
-A text that is null or has no letter gives `und` with score 0, as do all texts if there is nothing to learn from.
-Repeated rows give repeated results; rows with a null id are scored and never learned from.
+A text that is null or has no letter (`str.isalpha`) gives `und` with score 0, as do all texts if there is nothing to learn
+from. Languages of equal probability go to the first in order. Repeated rows give repeated results, an empty table an
+empty one; rows with a null id are scored and never learned from; long texts make more windows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -30,7 +30,10 @@ EMBED = 8
 #: Bounds of what is learned from.
 MAX_LABELLED = 2000
 MAX_WINDOWS = 6000
-LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, max_labelled: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            has = pa.array([bool(LETTER(t)) for t in batch.column("text").to_pylist()], pa.bool_())
+            has = pa.array([has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_())
             parts = []
             for t in batch.column("text").filter(has).to_pylist():
                 cut = windows(t)[0]
@@ -155,7 +158,7 @@ def languages(docs: DataFrame, modulus: int = 4, held_out: int = 2, **options) -
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if at is not None and t and LETTER(t)]
+            rows = [i for i, t in enumerate(texts) if at is not None and has_letter(t)]
             if rows:
                 cut = [windows(texts[i]) for i in rows]
                 lens = np.concatenate([n for _, n in cut]).astype(np.float64)
