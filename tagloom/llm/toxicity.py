@@ -1,16 +1,22 @@
-"""Operator 2: toxicity from the nearest labelled examples by exact TF-IDF cosine.
-
-Fitting uses at most `max_labelled` labelled rows (smallest id hash, held-out fold left out); document frequencies
-cover all documents. The terms are those that toxic examples use more often than the others by a chi-squared
-test over distinct texts, at most `n_terms`. Labelled examples that have a term are put into an inverted index in blocks of 64
-with, for each term, the largest weight in the block; the index is bounded by max_labelled x n_terms and broadcast.
-A query takes blocks in the order of their upper bound (query weights times block maxima) and stops when no block
-can reach the k-th best example, so the k nearest are exact. Votes weighted by similarity are calibrated by a
-logistic curve fitted to the examples' own votes without themselves; documents without any term get the rate of
-examples without one. `evidence` has the ids of the three nearest examples.
-
-A null text counts as empty. Without labelled rows of both kinds every score is the share of label 1, or 0 if there is
-none. Repeated rows give repeated results; ties among examples go to the smaller id.
+"""Operator 2: toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+
+Every word of the labelled examples is a term; its weight is (1 + log n) * idf, n being its number in the text and idf
+coming from the frequencies over all documents. Vectors have length one, words that no example has counting with the idf of
+an unseen word. The index has a posting list for each term, in blocks of 64 examples, and for each block of a list the
+largest weight. A text is cut into passages of at most `PASSAGE` words that cover it whole, and each is a query: blocks are
+taken in the order of their upper bound (query weights times block maxima, summed over the terms) until no block can
+reach the k-th best example, so the k nearest are exact. Examples vote weighted by similarity, a text's vote is that
+of its most toxic passage, and a logistic curve makes it a probability; the curve is fitted to the votes on the
+examples themselves, an example and its exact copies having no vote on it. `evidence` has the three nearest
+examples of that passage with their similarities.
+
+Fitting uses at most `MAX_LABELLED` labelled rows of at most `MAX_CHARS` characters together (smallest id hash, held-out
+fold left out), which bounds the index that is broadcast; nothing else is bounded.
+
+A null text counts as empty. A text without any term gets the share of label 1 among such examples, or among all if there
+are none. Without labelled rows of both kinds every score is the share of label 1, or 0 if there is no labelled row. Equal
+similarities go to the smaller id, equal votes to the earlier passage. Repeated rows give repeated results, an empty
+table an empty one; very long texts make more passages; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import checkpoint, fold, labelled_sample, slices
+from tagloom.llm.common import fold, labelled_sample, slices
 
-#: Bound of the labelled rows that are used; parameters of the search.
-MAX_LABELLED = 8192
-N_TERMS = 512
-NEIGHBOURS = 32
+#: Bounds of the labelled rows that are used.
+MAX_LABELLED = 4096
+MAX_CHARS = 64 << 20
+NEIGHBOURS = 64
+PASSAGE = 128
 BLOCK = 64
-MIN_CHI2 = 40.0
+PIVOTS = 16
 WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -39,107 +46,11 @@ def words(text: str | None) -> list[str]:
     return WORDS((text or "").lower())
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        terms, ys = [], []
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            found = set(words(text))
-            terms += found
-            ys += [y] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ys, pa.int32())], ["term", "y"])
-
-
-def choose_terms(sample: DataFrame, n_terms: int) -> tuple[list[str], int, int]:
-    """Terms that label 1 prefers, best first, and the numbers of examples with label 1 and 0."""
-    pos, neg = (int(x or 0) for x in sample.dropDuplicates(["text"]).agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
-    if not pos or not neg:
-        return [], pos, neg
-    n = float(pos + neg)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    excess = a * neg - b * pos
-    chi2 = n * excess * excess / (pos * neg * (a + b) * (n - a - b + 1e-9))
-    counts = sample.select("text", F.col("y").cast("int")).dropDuplicates(["text"]).mapInArrow(_terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    rows = counts.where((excess > 0) & (F.col("a") >= 4)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(n_terms).collect()
-    return [r.term for r in rows], pos, neg
-
-
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """How many documents have each term, and how many there are, over all rows."""
-    place = {t: i for i, t in enumerate(terms)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(place) + 1, np.int64)
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                for t in {place[w] for w in words(text) if w in place}:
-                    held[t] += 1
-            held[-1] += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], ["i", "n"])
-
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
-    return out[:-1], int(out[-1])
-
-
-class Index:
-    """Examples in blocks with block maxima, and what is needed to score a text."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, k: int):
-        self.place, self.idf, self.k = {t: i for i, t in enumerate(terms)}, idf.astype(np.float64), k
-        self.curve, self.empty = (0.0, 0.0), 0.0
-        self.memo: dict = {}
-
-    def vector(self, counts: Counter) -> np.ndarray:
-        v = np.zeros(len(self.idf))
-        for i, n in counts.items():
-            v[i] = n * self.idf[i]
-        norm = np.linalg.norm(v)
-        return v / norm if norm else v
-
-    def counts(self, text: str | None) -> Counter:
-        place = self.place
-        return Counter([place[w] for w in words(text) if w in place])
-
-    def fill(self, ids: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> None:
-        """Similar examples share blocks: they are ordered by their heaviest terms."""
-        order = np.lexsort((ids, -vectors.max(1), vectors.argmax(1)))
-        pad = -len(order) % BLOCK
-        self.ids = np.concatenate([ids[order], np.full(pad, np.iinfo(np.int64).max)]).reshape(-1, BLOCK)
-        self.y = np.concatenate([y[order], np.zeros(pad, y.dtype)]).reshape(-1, BLOCK)
-        self.weights = np.concatenate([vectors[order], np.zeros((pad, vectors.shape[1]))]).reshape(-1, BLOCK, vectors.shape[1])
-        self.maxima = self.weights.max(1)
-
-    def nearest(self, query: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Similarities, ids and labels of the k nearest examples with a positive similarity, exactly."""
-        bounds = self.maxima @ query
-        sims, ids, ys, least = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(sims) == self.k and bounds[b] < least - 1e-12):
-                break
-            s = np.round(self.weights[b] @ query, 12)
-            ok = (s > 0) & (self.ids[b] != without)
-            sims, ids, ys = np.concatenate([sims, s[ok]]), np.concatenate([ids, self.ids[b][ok]]), np.concatenate([ys, self.y[b][ok]])
-            keep = np.lexsort((ids, -sims))[: self.k]
-            sims, ids, ys = sims[keep], ids[keep], ys[keep]
-            least = sims[-1] if len(sims) else 0.0
-        return sims, ids, ys
-
-    def vote(self, query: np.ndarray, without: int | None = None) -> tuple[float, list[int]]:
-        sims, ids, ys = self.nearest(query, without)
-        return (float(sims @ ys / sims.sum()) if len(sims) else 0.0), ids[:3].tolist()
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = self.counts(text)
-        if not counts:
-            return self.empty, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            vote, ids = self.vote(self.vector(counts))
-            self.memo[key] = float(1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1])))), ids
-        return self.memo[key]
+def passages(found: list[str], most: int = PASSAGE) -> list[list[str]]:
+    """Cut into the fewest parts of like length, none longer than `most`."""
+    n = -(-len(found) // most)
+    step = -(-len(found) // n) if n else 1
+    return [found[i : i + step] for i in range(0, len(found), step)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -157,43 +68,162 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_labelled: int = MAX_LABELLED, n_terms: int = N_TERMS, k: int = NEIGHBOURS) -> Index:
-    sample = checkpoint(labelled_sample(docs, labels, "toxic", modulus, held_out, max_labelled))
-    terms, pos, neg = choose_terms(sample, n_terms)
-    df, n_docs = document_frequencies(docs, terms)
-    index = Index(terms, np.log((1 + n_docs) / (1 + df)) + 1, k)
-    place = index.place
+def document_frequencies(docs: DataFrame, place: dict[str, int]) -> tuple[np.ndarray, int]:
+    """How many documents have each term of `place`, and how many there are, over all rows."""
+    held = docs.sparkSession.sparkContext.broadcast(place)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held.value
+        counts = np.zeros(len(at) + 1, np.int64)
         for batch in slices(batches):
-            found = [Counter([place[w] for w in words(t) if w in place]) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([list(f.keys()) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "at", "n"])
-
-    rows = sample.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(vectors, "doc_id long, y int, at array<int>, n array<int>").orderBy("doc_id").collect()
-    index.empty = pos / (pos + neg) if pos + neg else 0.0
-    have, none = [r for r in rows if r.at], [r.y for r in rows if not r.at]
-    if not have:
+            for text in batch.column("text").to_pylist():
+                counts[[at[w] for w in set(words(text)) if w in at]] += 1
+            counts[-1] += batch.num_rows
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["i", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(place) + 1, np.int64)
+    out[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Index:
+    """Posting lists of the examples in blocks with their maxima, and what is needed to score a text."""
+
+    def __init__(self, place: dict[str, int], idf: np.ndarray, unseen: float, k: int):
+        self.place, self.idf, self.unseen, self.k = place, idf.astype(np.float64), unseen, k
+        self.curve, self.empty, self.size = (0.0, 0.0), 0.0, 0
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order and their weights in the unit vector of a text."""
+        place = self.place
+        known = sorted((place[w], n) for w, n in counts.items() if w in place)
+        terms = np.array([t for t, _ in known], np.int64)
+        weights = (1 + np.log([n for _, n in known])) * self.idf[terms] if known else np.zeros(0)
+        other = np.array([n for w, n in counts.items() if w not in place], np.float64)
+        norm = np.sqrt((weights**2).sum() + (((1 + np.log(other)) * self.unseen) ** 2).sum())
+        return terms, weights / norm if norm else weights
+
+    def fill(self, ids: np.ndarray, y: np.ndarray, keys: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Similar examples share blocks: they are ordered by the nearest of some of them. keys are equal for equal texts."""
+        pivots = np.zeros((len(self.idf), min(PIVOTS, len(vectors))))
+        for j in range(pivots.shape[1]):
+            terms, weights = vectors[j]
+            pivots[terms, j] = weights
+        near = [weights @ pivots[terms] for terms, weights in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (int(near[i].argmax()), -float(near[i].max()), int(ids[i])))
+        self.size = len(order)
+        self.ids, self.y, self.keys = ids[order], y[order], keys[order]
+        sizes = [len(vectors[i][0]) for i in order]
+        terms, weights = (np.concatenate([vectors[i][j] for i in order]) for j in (0, 1))
+        example = np.repeat(np.arange(self.size), sizes)
+        by_term = np.lexsort((example, terms))
+        terms, self.example, self.weight = terms[by_term], example[by_term].astype(np.int32), weights[by_term]
+        # One entry for each term and block: where its postings start, how many there are, and the largest weight.
+        cell = terms * (-(-self.size // BLOCK)) + self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.start, self.length = first, np.diff(np.append(first, len(cell)))
+        self.block = (self.example[first] // BLOCK).astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.list = np.searchsorted(terms[first], np.arange(len(self.idf) + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the k nearest examples with a positive similarity, exactly; without: a key to leave out."""
+        sizes = self.list[terms + 1] - self.list[terms]
+        entry = ranges(self.list[terms], sizes)
+        share = np.repeat(weights, sizes)
+        block = self.block[entry]
+        bounds = np.bincount(block, share * self.most[entry], -(-self.size // BLOCK))
+        order = np.argsort(-bounds, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        found, sims = np.zeros(0, np.int64), np.zeros(0)
+        done, step = 0, 16
+        while done < len(order):
+            top = bounds[order[done]]
+            if top <= 0 or (len(sims) == self.k and top < sims[-1] - 1e-9):
+                break
+            here = (rank[block] >= done) & (rank[block] < done + step)
+            lengths = self.length[entry[here]]
+            at = ranges(self.start[entry[here]], lengths)
+            s = np.round(np.bincount(self.example[at], np.repeat(share[here], lengths) * self.weight[at], self.size), 12)
+            new = np.flatnonzero(s)
+            if without is not None:
+                new = new[self.keys[new] != without]
+            found, sims = np.concatenate([found, new]), np.concatenate([sims, s[new]])
+            if len(sims) > self.k:
+                keep = sims >= np.partition(sims, -self.k)[-self.k]
+                found, sims = found[keep], sims[keep]
+            best = np.lexsort((self.ids[found], -sims))[: self.k]
+            found, sims = found[best], sims[best]
+            done, step = done + step, step * 2
+        return found, sims
+
+    def vote(self, found: list[str], without: int | None = None) -> tuple[float | None, list[tuple[int, float]]]:
+        """The largest vote of a passage, and the nearest examples of that passage; None if no passage has a neighbour."""
+        best: tuple = (None, np.zeros(0, np.int64), np.zeros(0))
+        for part in passages(found):
+            at, sims = self.nearest(*self.vector(Counter(part)), without)
+            if len(sims):
+                vote = float(sims @ self.y[at] / sims.sum())
+                if best[0] is None or vote > best[0]:
+                    best = vote, at, sims
+        return best[0], [(int(self.ids[i]), float(s)) for i, s in zip(best[1][:3], best[2][:3], strict=True)]
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+        vote, evidence = self.vote(words(text)) if self.size else (None, [])
+        if vote is None:
+            return self.empty, []
+        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * vote + self.curve[1], -30, 30)))), evidence
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in place of texts."""
+    for batch in slices(batches):
+        found = [words(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("key"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "y", "key", "words"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, k: int = NEIGHBOURS) -> Index:
+    sample = labelled_sample(docs, labels, "toxic", modulus, held_out, max_labelled, max_chars)
+    rows = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), F.xxhash64("text").alias("key"), "text").mapInArrow(_examples, "doc_id long, y int, key long, words array<string>").orderBy("doc_id").toArrow()
+    ids, y, keys = (rows.column(c).to_numpy() for c in ("doc_id", "y", "key"))
+    found = rows.column("words").to_pylist()
+    place = {w: i for i, w in enumerate(sorted({w for f in found for w in f}))}
+    df, n_docs = document_frequencies(docs, place)
+    index = Index(place, np.log((1 + n_docs) / (1 + df)) + 1, float(np.log(1 + n_docs)) + 1, k)
+    index.empty = float(y.mean()) if len(y) else 0.0
+    if len(set(y.tolist())) < 2:
         return index
-    if none:
-        index.empty = (sum(none) + 0.5) / (len(none) + 1)
-    counts = [Counter(dict(zip(r.at, r.n, strict=True))) for r in have]
-    matrix, ids, y = np.stack([index.vector(c) for c in counts]), np.array([r.doc_id for r in have], np.int64), np.array([r.y for r in have], np.int64)
-    index.fill(ids, y, matrix)
-    index.curve = logistic(np.array([index.vote(q, i)[0] for q, i in zip(matrix, ids, strict=True)]), y)
+    index.fill(ids, y.astype(np.float64), keys, [index.vector(Counter(f)) for f in found])
+    votes = [index.vote(f, int(key)) for f, key in zip(found, keys, strict=True)]
+    has = np.array([v is not None for v, _ in votes])
+    if not has.all():
+        index.empty = float((y[~has].sum() + 0.5) / ((~has).sum() + 1))
+    if has.any():
+        index.curve = logistic(np.array([v for v, _ in votes if v is not None]), y[has])
     return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, **options) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence for every row of docs (doc_id, text)."""
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, **options))
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
         for batch in slices(batches):
             scored = [at.score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "evidence"])
+            evidence = [[{"doc_id": i, "similarity": s} for i, s in e] for _, e in scored]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in scored], pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
 
     out = F.coalesce(fold(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out")
-    df = docs.select(F.col("doc_id").cast("long"), out, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, evidence array<long>")
+    df = docs.select(F.col("doc_id").cast("long"), out, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, evidence array<struct<doc_id: bigint, similarity: double>>")
     return df.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
