@@ -1,14 +1,17 @@
 """Operator 2: toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Every word of the labelled examples is a term; its weight is (1 + log n) * idf, n being its number in the text and idf
-coming from the frequencies over all documents. Vectors have length one, words that no example has counting with the idf of
+the logarithm of documents by documents with it, over all documents. Vectors have length one, words that no example has counting with the idf of
 an unseen word. The index has a posting list for each term, in blocks of 64 examples, and for each block of a list the
 largest weight. A text is cut into passages of at most `PASSAGE` words that cover it whole, and each is a query: blocks are
 taken in the order of their upper bound (query weights times block maxima, summed over the terms) until no block can
-reach the k-th best example, so the k nearest are exact. Examples vote weighted by similarity, a text's vote is that
-of its most toxic passage, and a logistic curve makes it a probability; the curve is fitted to the votes on the
-examples themselves, an example and its exact copies having no vote on it. `evidence` has the three nearest
-examples of that passage with their similarities.
+reach the k-th best example, so the k nearest are exact. So is every single word, whose nearest examples are those that give
+it the largest weight; their votes are known beforehand. Examples vote weighted by their similarity relative to the
+nearest, and words, which may have few examples, with the weight of `PRIOR` examples of the common share of label 1.
+
+A text has two votes: that of its most toxic passage and the mean of those of its two most toxic words. A logistic curve of
+both makes them a probability; it is fitted to the examples themselves, an example and its exact copies having no vote on
+it. `evidence` has the three nearest examples of the passage with their similarities.
 
 Fitting uses at most `MAX_LABELLED` labelled rows of at most `MAX_CHARS` characters together (smallest id hash, held-out
 fold left out), which bounds the index that is broadcast; nothing else is bounded.
@@ -24,19 +27,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import fold, labelled_sample, slices
+from tagloom.llm.common import fold, labelled_sample, shuffle_partitions, slices
 
 #: Bounds of the labelled rows that are used.
-MAX_LABELLED = 4096
+MAX_LABELLED = 3072
 MAX_CHARS = 64 << 20
 NEIGHBOURS = 64
-PASSAGE = 128
+PRIOR = 4.0
+TOP_WORDS = 2
+PASSAGE = 1024
 BLOCK = 64
 PIVOTS = 16
 WORDS = re.compile(r"[^\W_]+").findall
@@ -53,19 +60,17 @@ def passages(found: list[str], most: int = PASSAGE) -> list[list[str]]:
     return [found[i : i + step] for i in range(0, len(found), step)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic curve by Newton's method."""
-    a = b = 0.0
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of the columns of x, and the offset, of a logistic curve by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - y) * x).sum() + ridge * a, (p - y).sum() + ridge * b])
-        w = p * (1 - p)
-        h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return w
 
 
 def document_frequencies(docs: DataFrame, place: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -99,16 +104,16 @@ class Index:
 
     def __init__(self, place: dict[str, int], idf: np.ndarray, unseen: float, k: int):
         self.place, self.idf, self.unseen, self.k = place, idf.astype(np.float64), unseen, k
-        self.curve, self.empty, self.size = (0.0, 0.0), 0.0, 0
+        self.empty, self.size = 0.0, 0
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order and their weights in the unit vector of a text."""
-        place = self.place
-        known = sorted((place[w], n) for w, n in counts.items() if w in place)
-        terms = np.array([t for t, _ in known], np.int64)
-        weights = (1 + np.log([n for _, n in known])) * self.idf[terms] if known else np.zeros(0)
-        other = np.array([n for w, n in counts.items() if w not in place], np.float64)
-        norm = np.sqrt((weights**2).sum() + (((1 + np.log(other)) * self.unseen) ** 2).sum())
+        """Terms and their weights in the unit vector of a text."""
+        at = np.fromiter(map(self.place.get, counts, repeat(-1)), np.int64, len(counts))
+        tf = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        known = at >= 0
+        terms = at[known]
+        weights = tf[known] * self.idf[terms]
+        norm = np.sqrt((weights**2).sum() + ((tf[~known] * self.unseen) ** 2).sum())
         return terms, weights / norm if norm else weights
 
     def fill(self, ids: np.ndarray, y: np.ndarray, keys: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -125,6 +130,12 @@ class Index:
         terms, weights = (np.concatenate([vectors[i][j] for i in order]) for j in (0, 1))
         example = np.repeat(np.arange(self.size), sizes)
         by_term = np.lexsort((example, terms))
+        # Every list by falling weight as well, for queries of one word.
+        heavy = np.lexsort((self.ids[example], -weights, terms))
+        self.post = np.searchsorted(terms[heavy], np.arange(len(self.idf) + 1))
+        self.heavy, self.heavy_weight = example[heavy].astype(np.int32), weights[heavy]
+        self.share = float(self.y.mean())
+        self.word_votes = self.votes_of(np.arange(len(self.idf)))
         terms, self.example, self.weight = terms[by_term], example[by_term].astype(np.int32), weights[by_term]
         # One entry for each term and block: where its postings start, how many there are, and the largest weight.
         cell = terms * (-(-self.size // BLOCK)) + self.example // BLOCK
@@ -166,22 +177,43 @@ class Index:
             done, step = done + step, step * 2
         return found, sims
 
-    def vote(self, found: list[str], without: int | None = None) -> tuple[float | None, list[tuple[int, float]]]:
-        """The largest vote of a passage, and the nearest examples of that passage; None if no passage has a neighbour."""
+    def votes_of(self, terms: np.ndarray, without: int | None = None) -> np.ndarray:
+        """The vote of the k nearest examples of each word alone."""
+        sizes = self.post[terms + 1] - self.post[terms]
+        at, word = ranges(self.post[terms], sizes), np.repeat(np.arange(len(terms)), sizes)
+        if without is not None:
+            keep = self.keys[self.heavy[at]] != without
+            at, word = at[keep], word[keep]
+        first = np.searchsorted(word, np.arange(len(terms)))
+        keep = np.arange(len(at)) - first[word] < self.k
+        weight = self.heavy_weight[at[keep]] / self.heavy_weight[at[first[word[keep]]]]
+        word, y = word[keep], self.y[self.heavy[at[keep]]]
+        return (np.bincount(word, weight * y, len(terms)) + PRIOR * self.share) / (np.bincount(word, weight, len(terms)) + PRIOR)
+
+    def votes(self, text: str | None, without: int | None = None) -> tuple[tuple[float, float] | None, list[tuple[int, float]]]:
+        """The two votes on a text, and the nearest examples of its most toxic passage; None if the text has no neighbour."""
+        found = words(text)
         best: tuple = (None, np.zeros(0, np.int64), np.zeros(0))
-        for part in passages(found):
-            at, sims = self.nearest(*self.vector(Counter(part)), without)
+        seen = []
+        for part in passages(found) if self.size else []:
+            terms, weights = self.vector(Counter(part))
+            at, sims = self.nearest(terms, weights, without)
+            seen.append(terms)
             if len(sims):
                 vote = float(sims @ self.y[at] / sims.sum())
                 if best[0] is None or vote > best[0]:
                     best = vote, at, sims
-        return best[0], [(int(self.ids[i]), float(s)) for i, s in zip(best[1][:3], best[2][:3], strict=True)]
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        vote, evidence = self.vote(words(text)) if self.size else (None, [])
-        if vote is None:
+        if best[0] is None:
+            return None, []
+        terms = np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]
+        single = np.sort(self.word_votes[terms] if without is None else self.votes_of(terms, without))
+        return (best[0], float(single[-TOP_WORDS:].mean())), [(int(self.ids[i]), float(s)) for i, s in zip(best[1][:3], best[2][:3], strict=True)]
+
+    def score(self, text: str | None, curve: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        votes, evidence = self.votes(text)
+        if votes is None:
             return self.empty, []
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * vote + self.curve[1], -30, 30)))), evidence
+        return float(1 / (1 + np.exp(-np.clip(curve[:-1] @ votes + curve[-1], -30, 30)))), evidence
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,36 +223,48 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("key"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "y", "key", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, k: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, k: int = NEIGHBOURS) -> tuple[Broadcast, np.ndarray]:
+    """The index, broadcast, and the curve."""
     sample = labelled_sample(docs, labels, "toxic", modulus, held_out, max_labelled, max_chars)
-    rows = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), F.xxhash64("text").alias("key"), "text").mapInArrow(_examples, "doc_id long, y int, key long, words array<string>").orderBy("doc_id").toArrow()
+    sample = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), F.xxhash64("text").alias("key"), "text")
+    rows = sample.mapInArrow(_examples, "doc_id long, y int, key long, words array<string>").orderBy("doc_id").toArrow()
     ids, y, keys = (rows.column(c).to_numpy() for c in ("doc_id", "y", "key"))
     found = rows.column("words").to_pylist()
     place = {w: i for i, w in enumerate(sorted({w for f in found for w in f}))}
     df, n_docs = document_frequencies(docs, place)
-    index = Index(place, np.log((1 + n_docs) / (1 + df)) + 1, float(np.log(1 + n_docs)) + 1, k)
+    index = Index(place, np.log((1 + n_docs) / (1 + df)), float(np.log(1 + n_docs)), k)
     index.empty = float(y.mean()) if len(y) else 0.0
-    if len(set(y.tolist())) < 2:
-        return index
-    index.fill(ids, y.astype(np.float64), keys, [index.vector(Counter(f)) for f in found])
-    votes = [index.vote(f, int(key)) for f, key in zip(found, keys, strict=True)]
-    has = np.array([v is not None for v, _ in votes])
+    if len(set(y.tolist())) > 1 and place:
+        index.fill(ids, y.astype(np.float64), keys, [index.vector(Counter(f)) for f in found])
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    if not index.size:
+        return held, np.zeros(3)
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            got = [held.value.votes(t, key)[0] for t, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+            columns = [pa.array([v and v[i] for v in got], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *columns], ["doc_id", "y", "passage", "word"])
+
+    # A curve and a share from at most max_labelled rows of four numbers.
+    votes = sample.repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(own_votes, "doc_id long, y int, passage double, word double").orderBy("doc_id").toArrow()
+    y, x = votes.column("y").to_numpy(), np.column_stack([votes.column(c).to_numpy() for c in ("passage", "word")])
+    has = ~np.isnan(x[:, 0])
     if not has.all():
         index.empty = float((y[~has].sum() + 0.5) / ((~has).sum() + 1))
-    if has.any():
-        index.curve = logistic(np.array([v for v, _ in votes if v is not None]), y[has])
-    return index
+        held = docs.sparkSession.sparkContext.broadcast(index)
+    return held, logistic(x[has], y[has].astype(np.float64)) if has.any() else np.zeros(3)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, **options) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence for every row of docs (doc_id, text)."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, **options))
+    index, curve = fit(docs, labels, modulus, held_out, **options)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
         for batch in slices(batches):
-            scored = [at.score(t) for t in batch.column("text").to_pylist()]
+            scored = [at.score(t, curve) for t in batch.column("text").to_pylist()]
             evidence = [[{"doc_id": i, "similarity": s} for i, s in e] for _, e in scored]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in scored], pa.float64()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "evidence"])
 
