@@ -17,7 +17,7 @@ min-label star contraction with a checkpoint for each round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -27,25 +27,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import checkpoint, slices
+from tagloom.llm.common import checkpoint, shuffle_partitions, slices
 
 SEED = 42
+PART = 1 << 16
+
+
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, repeats included, in arrays of at most PART; ASCII letters lower-cased.
+
+    A text of fewer words than `width` is one shingle, one without words none.
+    """
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    # One space stays after each word.
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    joined = np.where(space[keep], 0x20, data[keep]).astype(np.uint8)
+    joined = joined[:-1] if len(joined) and joined[-1] == 0x20 else joined
+    if not len(joined) or joined[0] == 0x20:
+        joined = joined[1:]
+    if not len(joined):
+        return
+    ends = np.append(np.flatnonzero(joined == 0x20), len(joined))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(ends) - width + 1)
+    starts, ends, whole, xx = starts[:n], ends[-n:], joined.tobytes(), xxhash.xxh64_intdigest
+    for i in range(0, n, PART):
+        at = list(zip(starts[i : i + PART].tolist(), ends[i : i + PART].tolist(), strict=True))
+        yield np.fromiter((xx(whole[a:b], SEED) for a, b in at), np.uint64, len(at))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that over half of all hashes have."""
+    held, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        held += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * held > n).tobytes(), "big")
 
 
 def fingerprint(text: str, width: int = 3) -> int:
-    """64 majority bits of the XXH64 hashes of the word shingles of a text, ASCII letters lower-cased."""
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])
-    n = max(1, len(words) - width + 1)
-    xx = xxhash.xxh64_intdigest
-    hashes = np.array([xx(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    majority = 2 * bits.sum(0, dtype=np.int64) > n
-    return int.from_bytes(np.packbits(majority).tobytes(), "big")
+    """64 majority bits of the hashes of the word shingles of a text; zero without words."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -102,8 +126,10 @@ def links(fps: DataFrame, threshold: int = 2, block: int = 3) -> DataFrame:
                 _, rows, out = anchors(x, block, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(x[np.concatenate(rows)])], ["anchor", "b"])
 
-    home = fps.select("fp").mapInArrow(at_home, "anchor long, a long")
-    near = fps.select("fp").mapInArrow(replicate, "anchor long, b long")
+    # The rows are few bytes each, so that they would be read by few tasks; their replicas are many.
+    dealt = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp")
+    home = dealt.mapInArrow(at_home, "anchor long, a long")
+    near = dealt.mapInArrow(replicate, "anchor long, b long")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     return home.join(near, "anchor").where(close).select("a", "b")
 
@@ -134,7 +160,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2, block:
 
     component_id is the smallest doc_id that links reach, the document's own included. Null and empty texts have
     fingerprint zero and link like any other. Rows with a null id are kept; they take part through their fingerprint
-    and get a null component only if no id is in reach. Repeated rows give repeated results.
+    and get a null component only if no id is in reach. Repeated rows give repeated results, an empty table an empty one;
+    texts of any length are hashed whole, by parts; extra columns are ignored.
     """
     fps = checkpoint(fingerprints(docs, width))
     vertices = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
