@@ -5,8 +5,8 @@ phrases, long runs of words without any sentence punctuation. Failing lines are
 the removed lines hold too large a share of its words, or if it fails the base rules (too few words, or too many words
 in repeated five-word windows).
 
-A null text counts as empty: no words, which the base rules reject. Repeated rows give repeated results; columns other
-than doc_id and text are passed through by `clean` and ignored by `quality_rules`. Windows are hashed first and compared
+A null text counts as empty: no words, which the base rules reject. A share at its limit passes. Repeated rows give repeated
+results, an empty table an empty one; texts of any length are judged whole; columns other than doc_id and text are passed through by `clean` and ignored by `quality_rules`. Windows are hashed first and compared
 as words only where hashes repeat, so equal hashes of different windows don't count.
 """
 
@@ -37,6 +37,7 @@ MIN_SEPARATORS = 3
 MAX_WORDS_PER_SEPARATOR = 3
 MIN_WORDS_UNPUNCTUATED = 30
 MAX_LOST_PERCENT = 30
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -107,8 +108,9 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept for every row of docs (doc_id, text)."""
-    return measure(docs.select("doc_id", "text")).drop("text", "clean_text")
+    """doc_id, the base measures, base_failed, kept and n_lost (words in failing lines) for every row of docs (doc_id, text)."""
+    measured = measure(docs.select("doc_id", "text"))
+    return measured.select("doc_id", *MEASURES, "n_lost")
 
 
 def clean(docs: DataFrame) -> DataFrame:
