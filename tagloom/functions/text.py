@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*(?![\p{L}\p{N}_])"
+# Where sentences end, and quoted text.
 BREAK = r"""[.!?]+(?:["')\]]+)?\s+"""
 QUOTED = r'"[^"\n]*"|“[^”\n]*”'
 # Markers of model formats and the headings that models put before an answer.
@@ -53,30 +55,45 @@ def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.str.normalize("NFC")
 
 
+# Lines that frame a model's answer, and marks at the start of its lines.
+FRAME = r"(?md)^\s*</?format>\s*$"
+HEADING = r"(?imd)^\s*#+\s*(?:[12]\.\s*)?(?:Short|Long|Detailed) (?:description|caption)\s*:?\s*$"
+MARK = r"(?md)^\s*>\s*"
+
+
 def clean_output(c: Column, end: str = "END_CAPTION") -> Column:
-    """NFC; cut at the end marker; without format tags, a caption heading, a leading `>`, and one pair of outer quotes."""
-    t = F.substring_index(nfc(c), end, 1)
-    t = F.regexp_replace(t, r"(?i)</?(?:format|long_caption|short_caption)>", "")
-    t = one_line(F.regexp_replace(one_line(t), PREFIX, ""))
-    t = one_line(F.regexp_replace(t, r"^>\s*", ""))
-    return F.trim(F.regexp_replace(t, '^"(.*)"$', "$1"))
+    """NFC, up to the end marker; without frame and heading lines and the first `>` of every line; one line without outer quotes."""
+    t = F.trim(F.substring_index(nfc(c), end, 1))
+    for pattern in (FRAME, HEADING, MARK):
+        t = F.regexp_replace(t, pattern, "")
+    return F.trim(F.regexp_replace(one_line(t), '^"(.*)"$', "$1"))
+
+
+@F.pandas_udf(StringType())
+def unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """HTML character references, for which there is no built-in function."""
+    for s in parts:
+        yield s.map(html.unescape, na_action="ignore")
 
 
 def strip_reasoning(c: Column, tag: str = "think") -> Column:
-    """Without reasoning blocks: nested ones, unfinished ones, stray close tags; then entities, braces, empty headings."""
-    marks = rf"(?i)</?{tag}>"
-    df = F.zip_with(F.split(c, marks, -1), F.concat(F.array(F.lit("")), F.regexp_extract_all(c, F.lit(marks), F.lit(0))), lambda text, mark: F.struct(text.alias("text"), mark.alias("mark")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    """Character references, escaped brackets and braces first; then without reasoning blocks (nested and unfinished ones too,
+    and stray close tags) and without empty headings."""
+    plain = F.translate(F.replace(F.replace(unescape(c), F.lit("\\<"), F.lit("<")), F.lit("\\>"), F.lit(">")), "{}", "")
+    marks = rf"(?i)</?{tag}\s*>"
+
+    def outside(t: Column) -> Column:
+        parts = F.zip_with(F.split(t, marks, -1), F.concat(F.array(F.lit("")), F.regexp_extract_all(t, F.lit(marks), F.lit(0))), lambda text, mark: F.struct(text.alias("text"), mark.alias("mark")))
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            depth = F.when(x["mark"] == "", a["depth"]).when(F.startswith(x["mark"], F.lit("</")), F.greatest(F.lit(0), a["depth"] - 1)).otherwise(a["depth"] + 1)
+            return F.struct(depth.alias("depth"), F.when(depth == 0, F.array_append(a["out"], x["text"])).otherwise(a["out"]).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        depth = F.when(x["mark"] == "", a["depth"]).when(F.startswith(x["mark"], F.lit("</")), F.greatest(F.lit(0), a["depth"] - 1)).otherwise(a["depth"] + 1)
-        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(a["out"], x["text"])).otherwise(a["out"]).alias("out"))
+        return F.array_join(F.aggregate(parts, start, step, lambda a: a["out"]), "")
 
-    out = F.aggregate(df, start, step, lambda a: a["out"])
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(F.translate(out, "{}", ""), r"(?m)^#+[ \t]*$\n?", "")
-    return F.trim(out)
+    out = F.get(F.transform(F.array(plain), outside), F.lit(0))
+    return F.regexp_replace(F.regexp_replace(out, r"(?md)^[ \t]*\\?#+[ \t]*\r?$", ""), r"^\s+|\s+$", "")
 
 
 def replace_phrases(c: Column, table: list[tuple[str, str]]) -> Column:
@@ -92,23 +109,43 @@ def clean_report(c: Column) -> Column:
     return F.trim(F.array_join(F.filter(lines, lambda x: ~x.rlike(r"(?i)^\s*format\s*:")), "\n"))
 
 
+def _credits(artists: Column) -> Column:
+    """The pattern of one or more credits at the start of a text: of the artists, alone or together, or of @ names."""
+    names = F.filter(F.transform(artists, lambda a: F.regexp_replace(F.trim(a), "^@+", "")), lambda a: a != "")
+    ats = F.transform(names, lambda a: F.concat(F.lit("@"), a))
+    known = F.concat(names, ats, F.when(F.size(names) > 1, F.array(F.array_join(names, ", "), F.array_join(ats, ", "))).otherwise(F.array().cast("array<string>")))
+    longest = F.array_sort(known, lambda a, b: F.length(b) - F.length(a))
+    quoted = F.array_join(F.transform(longest, lambda a: F.concat(F.lit(r"\Q"), a, F.lit(r"\E|"))), "")
+    # An @ name goes up to a comma or to a full stop before white space or the end.
+    name = r"[^\S\r\n]*@(?!\s*(?:,|\.(?:\s|\z)))(?:(?!\.(?:\s|\z))[^,\r\n])+"
+    return F.concat(F.lit(r"(?iu)^(?:\s*Drawn\s+by\s+(?:"), quoted, F.lit(rf"{name}(?:,{name})*)\.(?:\s+|\z))+"))
+
+
+def strip_credit(c: Column, artists: Column | None = None) -> Column:
+    """Without the credits (`Drawn by a, b. `) at the start: of @ names, and without @ only of the row's artists."""
+    return F.regexp_replace(c, _credits(F.array().cast("array<string>") if artists is None else artists), F.lit(""))
+
+
 def set_credit(c: Column, artists: Column) -> Column:
-    """Known or @ credits at the start stripped, then one put there; artists is the row's list of names."""
-    names = F.array_join(F.transform(artists, lambda a: F.concat(F.lit(r"\Q"), a, F.lit(r"\E"))), "|")
-    pattern = F.concat(F.lit(r"^(?:\s*(?:by\s+)?(?:@[\p{L}\p{N}_]+"), F.when(names != "", F.concat(F.lit("|@?(?:"), names, F.lit(")"))).otherwise(""), F.lit(r")\s*[,.:]\s*)+"))
-    credit = F.array_join(F.transform(artists, lambda a: F.concat(F.lit("@"), a)), ", ")
-    body = F.regexp_replace(c, pattern, F.lit(""))
-    return F.when(F.size(artists) > 0, F.concat(credit, F.lit(". "), body)).otherwise(body)
-
-
-def clean_wiki(c: Column, cuts: tuple[str, ...] = ("h4. External links", "h4. See also")) -> Column:
-    """Cut at the first of some headings; links become their text; brackets and `!` lines go; white space collapses."""
-    for cut in cuts:
-        c = F.substring_index(c, cut, 1)
-    c = F.regexp_replace(c, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
-    c = F.regexp_replace(c, r'"([^"]*)":\S+', "$1")
-    c = F.regexp_replace(c, r"(?m)^!.*$", "")
-    return one_line(F.regexp_replace(c, r"\[/?[a-z]+\]", ""))
+    """The credits at the start replaced by one of all artists, an array of names; as it is if there are none."""
+    some = F.filter(artists, lambda a: F.trim(a) != "")
+    names = F.transform(some, lambda a: F.when(F.startswith(a, F.lit("@")), a).otherwise(F.concat(F.lit("@"), a)))
+    return F.when(F.size(some) > 0, F.concat(F.lit("Drawn by "), F.array_join(names, ", "), F.lit(". "), strip_credit(c, artists))).otherwise(c)
+
+
+# Headings of what a description leaves out; the first that a text has counts.
+CUTS = ("h4. costumes", "h4. appearance")
+
+
+def clean_wiki(c: Column, cuts: tuple[str, ...] = CUTS) -> Column:
+    """Cut at a heading; links become their text; other brackets and `!` lines go; white space collapses."""
+    kept = c
+    for cut in reversed(cuts):
+        at = F.instr(F.lower(c), cut)
+        kept = F.when(at > 0, F.left(c, at - 1)).otherwise(kept)
+    kept = F.regexp_replace(kept, r"\[\[[^|\]]+\|([^\]]+)\]\]", "$1")
+    kept = F.regexp_replace(kept, r"\[\[([^\]]+)\]\]", "$1")
+    return one_line(F.regexp_replace(F.regexp_replace(kept, r"\[[^\]]*\]", ""), r"(?md)^!.*$", ""))
 
 
 def clean_reference(c: Column) -> Column:

@@ -16,20 +16,28 @@ def _one(c: Column) -> Column:
     return F.when(c != "", F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
+def quality_of(meta: DataFrame) -> Column:
+    """C11q: the label derived from score and rating, else the stored one."""
+    derived = norm.quality_tag(norm.get_column(meta, "score"), norm.get_column(meta, "rating"))
+    return F.when(derived != "", derived).otherwise(norm.normalize_quality(norm.get_column(meta, "quality tag", "quality")))
+
+
+def safety_of(meta: DataFrame) -> Column:
+    """C11s: the tags of the rating, else the stored ones."""
+    rated = norm.safety_tags(norm.get_column(meta, "rating"))
+    return F.when(F.size(rated) > 0, rated).otherwise(norm.split_tags(norm.get_column(meta, "safety tags", "safety")))
+
+
 def assemble_tags(meta: DataFrame, general: Column, count_tags: list[str], allowed_meta: list[str], excluded: list[str], add_year: bool = False, add_series: bool = False) -> DataFrame:
     """C11: meta with `tag_list`: quality, meta, period, year, safety, counts, characters, series, artists, general.
 
-    The label derived from the score beats the stored one (C11q); the rating's safety tags beat the stored ones (C11s).
     First spellings stay, compared without case; excluded tags go.
     """
     get = lambda *names: norm.get_column(meta, *names)
-    derived = norm.quality_tag(get("score"), get("rating"))
-    quality = F.when(derived != "", derived).otherwise(norm.normalize_quality(get("quality tag", "quality")))
+    quality, safety = quality_of(meta), safety_of(meta)
     media = F.filter(norm.split_meta(get("meta", "metatags", "meta tags")), lambda t: F.lower(t).isin(allowed_meta))
     period = F.when(get("period") != "", norm.normalize_tag(get("period"), "output")).otherwise(norm.period_tag(get("created_at", "created at")))
     year = F.when(get("year tag") != "", get("year tag")).otherwise(norm.year_tag(get("created_at", "created at"))) if add_year else F.lit("")
-    rated = norm.safety_tags(get("rating"))
-    safety = F.when(F.size(rated) > 0, rated).otherwise(norm.split_tags(get("safety tags", "safety")))
     counts, others = split_by_membership(general, count_tags)
     series = norm.split_or_single(get("copyright", "copyrights", "copytags")) if add_series else F.array().cast("array<string>")
     artists = norm.prefix_tags(norm.split_or_single(get("artists", "artist")))

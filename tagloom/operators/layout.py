@@ -110,7 +110,3 @@ def boxes_at(items: DataFrame, points: DataFrame) -> DataFrame:
 def label_counts(items: DataFrame) -> DataFrame:
     """(label, n)"""
     return items.groupBy("label").agg(F.count("*").alias("n"))
-
-
-def area(c1: Column, c2: Column, d1: Column, d2: Column) -> Column:
-    return (c2 - c1) * (d2 - d1)

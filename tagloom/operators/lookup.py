@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import strip_credit
 from tagloom.sources.io import upsert
 
 
@@ -36,41 +39,52 @@ def reconstruct_reports(df: DataFrame, structured: list[str], long: list[str], s
     return rows.groupBy("name").agg(F.min_by("report", F.struct("_file", "_row")).alias("report"))
 
 
-def canonical_prompt(c: Column) -> Column:
-    """One kind of line break, no blank lines, no credit line, no space at line ends."""
-    t = F.regexp_replace(c, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?im)^[ \t]*credit:.*$", "")
-    t = F.regexp_replace(t, r"(?m)[ \t]+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\n{2,}", "\n"), r"^\n+|\n+$", ""))
+def canonical_prompt(c: Column, headings: tuple[str, ...] = (), sections: tuple[tuple[str, str], ...] = ()) -> Column:
+    """What a prompt says, without differences of presentation; scene text stays as it is.
+
+    One kind of line break; after a heading line (of one or more lines) exactly one blank line where there are any; and the
+    text between the two strings of a section, which the second ends, trimmed and without credits of @ names.
+    """
+    t = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    for h in headings:
+        t = F.regexp_replace(t, rf"(\Q{h}\E[ \t]*\n)(?:[ \t]*\n)+", "$1\n")
+    for before, after in sections:
+        start = F.instr(t, before) + len(before)
+        size = F.length(t) - len(after) - start + 1
+        inner = strip_credit(F.regexp_replace(F.substring(t, start, size), r"^\s+|\s+$", ""))
+        fits = (F.instr(t, before) > 0) & (size >= 0) & F.endswith(t, F.lit(after))
+        t = F.when(fits, F.concat(F.left(t, start - 1), inner, F.lit(after))).otherwise(t)
+    return t
 
 
 def cache_key(image_hash: Column, kind: Column, model: Column, prompt: Column) -> Column:
-    return F.sha2(F.concat_ws("\u0001", image_hash, kind, model, prompt), 256)
+    """SHA-256 of the bytes of the image's hash, then kind, model and prompt, each after a zero; null if any is null."""
+    return F.sha2(F.concat(F.unhex(image_hash), F.encode(F.concat(*[x for p in (kind, model, prompt) for x in (F.lit("\u0000"), p)]), "UTF-8")), 256)
 
 
-def resolve_cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
+def resolve_cached(requests: DataFrame, cache: DataFrame, canonical: Callable[[Column], Column] = canonical_prompt) -> DataFrame:
     """D3: requests (request_id, image_hash, caption_kind, model, prompt) with the cached caption, if any, and its tier.
 
     Tier 0: the key over the canonical prompt; 1: over the prompt as it is; 2: the newest entry of the same image, kind
     and model whose prompt is canonically equal. Blank captions never hit.
     """
     c = cache.where(F.trim("caption") != "")
-    r = requests.select("request_id", "image_hash", "caption_kind", "model", "prompt", canonical_prompt(F.col("prompt")).alias("_c"))
+    r = requests.select("request_id", "image_hash", "caption_kind", "model", "prompt", canonical(F.col("prompt")).alias("_c"))
     part = ("image_hash", "caption_kind", "model")
     key = lambda p: cache_key(*[F.col(x) for x in part], F.col(p))
     keys = r.select("request_id", F.explode(F.array(F.struct(F.lit(0).alias("tier"), key("_c").alias("k")), F.struct(F.lit(1).alias("tier"), key("prompt").alias("k")))).alias("x")).select("request_id", "x.tier", F.col("x.k").alias("cache_key"))
     by_key = keys.join(c, "cache_key").select("request_id", "tier", "seq", "caption")
-    same = r.withColumnRenamed("_c", "_p").join(c.select(*part, canonical_prompt(F.col("prompt")).alias("_p"), "seq", "caption"), [*part, "_p"]).select("request_id", F.lit(2).alias("tier"), "seq", "caption")
+    same = r.withColumnRenamed("_c", "_p").join(c.select(*part, canonical(F.col("prompt")).alias("_p"), "seq", "caption"), [*part, "_p"]).select("request_id", F.lit(2).alias("tier"), "seq", "caption")
     best = by_key.unionAll(same).groupBy("request_id").agg(F.min_by(F.struct("tier", "caption"), F.struct("tier", -F.col("seq"))).alias("b"))
     return requests.join(best, "request_id", "left").select(*requests.columns, F.col("b.tier").alias("tier"), F.col("b.caption").alias("caption"))
 
 
-def seed_cache(cache: DataFrame, requests: DataFrame, captions: DataFrame) -> DataFrame:
-    """Cache rows for requests that miss it and whose image has a looked-up caption (md5, caption)."""
-    missing = resolve_cached(requests, cache).where("caption is null").drop("caption", "tier")
+def seed_cache(cache: DataFrame, requests: DataFrame, captions: DataFrame, canonical: Callable[[Column], Column] = canonical_prompt) -> DataFrame:
+    """Cache rows for requests that miss it and whose image has a looked-up caption (md5, caption); of several, the least."""
+    missing = resolve_cached(requests, cache, canonical).where("caption is null").drop("caption", "tier")
     rows = missing.join(captions.select(F.col("md5").alias("image_hash"), "caption"), "image_hash")
-    rows = rows.select(cache_key(F.col("image_hash"), F.col("caption_kind"), F.col("model"), canonical_prompt(F.col("prompt"))).alias("cache_key"), "image_hash", "caption_kind", "model", "prompt", "caption")
-    return upsert(cache.drop("seq"), rows.dropDuplicates(["cache_key"]), ["cache_key"], "ignore")
+    rows = rows.select(cache_key(F.col("image_hash"), F.col("caption_kind"), F.col("model"), canonical(F.col("prompt"))).alias("cache_key"), "image_hash", "caption_kind", "model", "prompt", "caption")
+    return upsert(cache.drop("seq"), rows.groupBy("cache_key").agg(F.min(F.struct(*[c for c in rows.columns if c != "cache_key"])).alias("r")).select("cache_key", "r.*"), ["cache_key"], "ignore")
 
 
 def alias_cache(cache: DataFrame, pairs: DataFrame, skip_kind: str = "spatial") -> DataFrame:

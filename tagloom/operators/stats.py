@@ -6,6 +6,8 @@ map-side aggregation before anything is counted, so a frequent tag is spread ove
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,5 +64,15 @@ def inverted_index(rt: DataFrame) -> DataFrame:
     return rt.select("tag", "folder", "record_id").distinct()
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part * 100.0 / whole, 2)).otherwise(0.0)
+#: Folders of a written index; a tag stands in one of them.
+INDEX_PARTS = 64
+
+
+def index_part(tag: str) -> int:
+    return zlib.crc32(tag.encode()) % INDEX_PARTS
+
+
+def write_index(rt: DataFrame, path: str) -> None:
+    """The inverted index in folders by the tag's hash, for drill-down."""
+    part = (F.crc32(F.col("tag").cast("binary")) % INDEX_PARTS).cast("int")
+    inverted_index(rt).withColumn("part", part).write.partitionBy("part").parquet(path)

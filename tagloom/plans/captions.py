@@ -37,14 +37,14 @@ def f1_words_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPEATED = f"""s AS (SELECT doc_id, unnest({_sentences(_quotes("lower(text)"))}) AS s FROM src), w AS (SELECT doc_id, {_words('s')} AS w FROM s), p AS (SELECT doc_id, array_to_string(w, ' ') AS s, max(len(w)) AS n, count(*) AS k FROM w GROUP BY 1, 2),
  rep AS (SELECT doc_id FROM p GROUP BY 1 HAVING max(n * k) FILTER (n >= 8 AND k >= 3) * 2 >= sum(n * k))"""
-_tripled = "src AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(text, 150) || '. ' || left(text, 150) || '. ' || left(text, 150) || '. ' WHEN doc_id % 10 = 1 THEN text || repeat(' na', 30) ELSE text END AS text FROM documents)"
+_tripled = "src AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN repeat(translate(text, '.!?', ',,,') || '. ', 3) WHEN doc_id % 10 = 1 THEN text || repeat(' na', 30) ELSE text END AS text FROM documents)"
 
 
 def altered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, some with their beginning three times over, some with a word that goes on and on."""
+    """Documents, some as one sentence three times over, some with a word that goes on and on."""
     t = c("text")
-    head = F.concat(F.left(t, F.lit(150)), F.lit(". "))
-    return docs(spark, sf_dir).withColumn("text", F.when(c("record_id") % 10 == 0, F.concat(head, head, head)).when(c("record_id") % 10 == 1, F.concat(t, F.repeat(F.lit(" na"), 30))).otherwise(t))
+    whole = F.repeat(F.concat(F.translate(t, ".!?", ",,,"), F.lit(". ")), F.lit(3))
+    return docs(spark, sf_dir).withColumn("text", F.when(c("record_id") % 10 == 0, whole).when(c("record_id") % 10 == 1, F.concat(t, F.repeat(F.lit(" na"), 30))).otherwise(t))
 
 
 @query(f"WITH {_tripled}, {REPEATED} SELECT doc_id AS record_id FROM rep")
@@ -52,9 +52,6 @@ def f2_repeated_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.repeated_sentence(altered(spark, sf_dir), ["record_id"])
 
 
-LOOP = f"""x AS (SELECT doc_id, unnest({_words(_quotes("lower(text)"))}) AS w, generate_subscripts({_words(_quotes("lower(text)"))}, 1) AS i FROM src), k AS (SELECT x.*, g, coalesce(w = lag(w, g) OVER (PARTITION BY doc_id, g ORDER BY i), false) AS same
-  FROM x, (SELECT unnest(range(1, 9)) AS g) y) , {{lag}} r AS (SELECT doc_id, g, i, same, sum((NOT same)::INT) OVER (PARTITION BY doc_id, g ORDER BY i) AS grp FROM k2),
- loops AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, g, grp, count(*) FILTER (same) AS run FROM r GROUP BY ALL) z WHERE run >= greatest(5, (24 + g - 1) // g) * g - 1)"""
 # lag takes constant offsets only, so equal words are found by a join on the position.
 LOOP = f"""x AS (SELECT doc_id, unnest({_words(_quotes("lower(text)"))}) AS w, generate_subscripts({_words(_quotes("lower(text)"))}, 1) AS i FROM src),
  k2 AS (SELECT x.doc_id, g, x.i, coalesce(x.w = b.w, false) AS same FROM x CROSS JOIN (SELECT unnest(range(1, 9)) AS g) y LEFT JOIN x b ON b.doc_id = x.doc_id AND b.i = x.i - g),
@@ -75,7 +72,7 @@ def f4_runaway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("record_id", T.longest_sentence(c("text")).alias("longest"), captions.runaway(c("text"), 40).alias("runs_away"))
 
 
-MARKED = "SELECT doc_id AS record_id, concat(CASE doc_id % 7 WHEN 0 THEN 'Short caption: ' WHEN 1 THEN '## Description : ' WHEN 2 THEN 'Here is the long caption: ' WHEN 3 THEN 'Caption ' ELSE '' END, left(text, 40), CASE doc_id % 5 WHEN 0 THEN '</THINK> x <format>' WHEN 1 THEN '<|im_end|>' WHEN 2 THEN ' end_caption' ELSE '' END) AS text FROM {documents}"
+MARKED = "SELECT doc_id AS record_id, concat(CASE doc_id % 7 WHEN 0 THEN 'Short caption: ' WHEN 1 THEN '## Description : ' WHEN 2 THEN 'Here is the long caption: ' WHEN 3 THEN 'Caption ' ELSE '' END, text, CASE doc_id % 5 WHEN 0 THEN '</THINK> x <format>' WHEN 1 THEN '<|im_end|>' WHEN 2 THEN ' end_caption' ELSE '' END) AS text FROM {documents}"
 
 
 @query(f"SELECT record_id, CASE record_id % 5 WHEN 0 THEN '</THINK>' WHEN 1 THEN '<|im_end|>' WHEN 2 THEN 'end_caption' ELSE '' END AS marker FROM ({MARKED.format(documents='documents')})")
@@ -101,8 +98,15 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_blanked}, {ISSUES} SELECT doc_id AS record_id, issues FROM chk")
 def f8_caption_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Includes F7: the scan limit."""
-    return captions.caption_issues(checked(spark, sf_dir), ["record_id"]).select("record_id", "issues")
+    return captions.caption_issues(checked(spark, sf_dir)).select("record_id", "issues")
+
+
+@query("SELECT doc_id AS record_id, doc_id % 50 = 0 AND length(text) > 0 OR coalesce(length(text), 0) > 200000 AS over FROM documents")
+def f7_scan_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some texts over and over until they are longer than what is scanned."""
+    t = c("text")
+    long = F.when((c("record_id") % 50 == 0) & (F.length(t) > 0), F.repeat(t, (F.lit(1) + F.floor(F.lit(captions.LIMIT) / F.length(t))).cast("int"))).otherwise(t)
+    return captions.caption_issues(docs(spark, sf_dir).withColumn("text", long)).select("record_id", F.array_contains("issues", "over scan limit").alias("over"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -136,17 +140,22 @@ def f11_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("record_id", T.one_line(c("text")).alias("line"))
 
 
-@query(r"SELECT doc_id AS record_id, trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')) AS cleaned FROM documents")
+# Framed, headed and quoted, every line marked, with what follows the end marker.
+_answer = "'<format> ' || chr(10) || '## 1. Short caption: ' || chr(10) || '\"' || replace(text, chr(10), chr(10) || ' > ') || '\" ' || chr(10) || ' </format>' || chr(10)"
+
+
+@query(
+    rf"WITH a AS (SELECT doc_id, text, trim(nfc_normalize({_answer}), ' ') AS t FROM documents), b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*</?format>\s*$', '', 'g'), '(?im)^\s*#+\s*(?:[12]\.\s*)?(?:short|long|detailed) (?:description|caption)\s*:?\s*$', '', 'g'), '(?m)^\s*>\s*', '', 'g') AS t FROM a), "
+    r"d AS (SELECT doc_id, text, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM b) SELECT doc_id AS record_id, CASE WHEN text IS NULL THEN NULL WHEN length(t) >= 2 AND starts_with(t, '\"') AND ends_with(t, '\"') THEN trim(t[2:-2]) ELSE t END AS cleaned FROM d".replace('\\"', '"')
+)
 def f12_clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapped in a format tag, a heading, a quote mark and an end marker, in decomposed or composed letters."""
-    t = F.concat(F.lit('<format> Caption: > "'), F.left("text", F.lit(200)), F.lit('" </FORMAT>END_CAPTION junk'))
-    plain = F.translate(F.left("text", F.lit(200)), '"', "")
-    return docs(spark, sf_dir).select("record_id", F.when(F.contains(F.left("text", F.lit(200)), F.lit('"')), T.one_line(F.left("text", F.lit(200)))).otherwise(T.clean_output(t)).alias("cleaned"), plain.alias("_p")).drop("_p")
+    t = F.concat(F.lit('<format> \n## 1. Short caption: \n"'), F.replace("text", F.lit("\n"), F.lit("\n > ")), F.lit('" \n </format>\nEND_CAPTION junk'))
+    return docs(spark, sf_dir).select("record_id", T.clean_output(t).alias("cleaned"))
 
 
-@query("SELECT doc_id AS record_id, trim(regexp_replace(translate(left(text, 60), '{}', ''), '(?m)^#+[ \\t]*$\\n?', '', 'g') || ' z<') AS cleaned FROM documents")
+@query(r"SELECT doc_id AS record_id, regexp_replace(regexp_replace('x ' || translate(text, '{}', '') || chr(10) || chr(92) || '## ' || chr(10) || ' z<q>', '(?m)^[ \t]*\\?#+[ \t]*\r?$', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
 def f13_strip_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("</think>"), F.left("text", F.lit(60)), F.lit("<think>a<THINK>b</think>c</think> {z}&lt;<think> unfinished"))
+    t = F.concat(F.lit("x </think >"), "text", F.lit("\n\\## \n&lt;think&gt;a<THINK>b</think>c</think> {z}&lt;q&#62;\\<think\\> unfinished <b>"))
     return docs(spark, sf_dir).select("record_id", T.strip_reasoning(t).alias("cleaned"))
 
 
@@ -155,22 +164,29 @@ def f14_replace_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("record_id", T.replace_phrases(c("text"), [("of", "X"), ("the", "D"), ("tion of", "T")]).alias("replaced"))
 
 
-@query("SELECT doc_id AS record_id, '## head' || chr(10) || 'w ' || doc_id AS report FROM documents")
+@query(r"""SELECT doc_id AS record_id, trim('## head' || chr(10) || array_to_string(list_transform(list_filter(string_split(translate(text, '{}', ''), chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\s*format\s*:')), lambda x: regexp_replace(regexp_replace(rtrim(x, ' '), '^## # ', '## '), '^"|"$', '', 'g')), chr(10)) || chr(10) || 'w', ' ') AS report FROM documents""")
 def f15_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit('## # head\nFormat: x\n"{w '), c("record_id").cast("string"), F.lit('}"'))
+    t = F.concat(F.lit("## # head\nFormat: x\n"), "text", F.lit('\n"{w}"'))
     return docs(spark, sf_dir).select("record_id", T.clean_report(t).alias("report"))
 
 
-@query("SELECT doc_id AS record_id, '@ann b, @c. ' || 'Body ' || doc_id AS credited FROM documents")
+@query("SELECT doc_id AS record_id, CASE WHEN doc_id % 2 = 0 THEN 'Drawn by @ann b, @c. Drawn by two horses. ' ELSE 'Drawn by Ann B. drawn by @old_one, @c d.e. DRAWN BY ann b, c. Drawn by two horses. ' END || text AS credited FROM documents")
 def f16_set_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("by ann b, @old_one. @c: Body "), c("record_id").cast("string"))
-    return docs(spark, sf_dir).select("record_id", T.set_credit(t, F.array(F.lit("ann b"), F.lit("c"))).alias("credited"))
+    """Credits of known artists and of @ names, alone and together, before scene text that looks like one."""
+    artists = F.when(c("record_id") % 2 == 0, F.array(F.lit("ann b"), F.lit("@c"))).otherwise(F.array().cast("array<string>"))
+    t = F.concat(F.lit("Drawn by Ann B. drawn by @old_one, @c d.e. DRAWN BY ann b, c. Drawn by two horses. "), "text")
+    return docs(spark, sf_dir).select("record_id", T.set_credit(t, artists).alias("credited"))
+
+
+_wiki = "html || ' see [[Target|shown]] and [[plain one]] [b]bold[/b]' || chr(10) || '! dropped line' || chr(10) || 'kept ! here' || CASE WHEN page_id % 2 = 0 THEN chr(10) || 'H4. Appearance' || chr(10) || 'more' ELSE '' END"
 
 
-@query("SELECT page_id, 'see shown and link, plain p' || page_id AS cleaned FROM pages")
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_wiki}, '\[\[[^|\]]+\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\[[^\]]*\]', '', 'g'), '(?m)^!.*$', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM pages")
 def f17_clean_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit('see [[target|shown]] and "link":http://x, [b]plain[/b]\n! dropped line\np'), c("page_id").cast("string"), F.lit("\nh4. See also\nrest"))
-    return table(spark, sf_dir, "pages").select("page_id", T.clean_wiki(F.replace(t, F.lit("http://x,"), F.lit("http://x ,"))).alias("cleaned")).withColumn("cleaned", F.replace("cleaned", F.lit(" ,"), F.lit(",")))
+    """Cut at the first heading of the table that the text has, wherever the others are."""
+    even = F.when(c("page_id") % 2 == 0, "\nH4. Appearance\nmore").otherwise("")
+    t = F.concat("html", F.lit(" see [[Target|shown]] and [[plain one]] [b]bold[/b]\n! dropped line\nkept ! here"), even, F.lit("\nH4. Costumes\nh4. appearance\nrest"))
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_wiki(t).alias("cleaned"))
 
 
 @query(r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM benchmark")
@@ -185,14 +201,14 @@ def f19_accept_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS record_id, doc_id % 5 >= 3 AS degenerate FROM documents")
 def f20_empty_reasoning_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.repeat(F.lit("<think> \n</think>"), (c("record_id") % 5).cast("int")), F.lit("<think>x</think>"))
+    t = F.concat(F.repeat(F.concat(F.lit("<think> \n</think>"), "text"), (c("record_id") % 5).cast("int")), F.lit("<think>x</think>"))
     return docs(spark, sf_dir).select("record_id", T.empty_reasoning_loop(t).alias("degenerate"))
 
 
-@query("SELECT doc_id AS record_id, CASE WHEN doc_id % 3 = 0 THEN ['truncated output'] ELSE [] END AS issues FROM documents")
+@query(f"WITH {_tripled}, {ISSUES} SELECT doc_id AS record_id, CASE WHEN doc_id % 3 = 0 THEN list_append(issues, 'truncated output') ELSE issues END AS issues FROM chk")
 def f21_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("record_id", F.concat(F.lit("Text "), c("record_id").cast("string")).alias("text"), (c("record_id") % 3 == 0).alias("truncated"))
-    return captions.caption_issues(d, ["record_id"]).select("record_id", "issues")
+    d = altered(spark, sf_dir).withColumn("truncated", c("record_id") % 3 == 0)
+    return captions.caption_issues(d).select("record_id", "issues")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import captions, layout
+from tagloom.operators import captions, gate, layout, rules
+from tagloom.plans.captions import ISSUES
 from tagloom.plans.fixtures import table
 from tagloom.plans.lookups import scratch
 from tagloom.plans.registry import query
@@ -94,41 +95,50 @@ def g6_boxes_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """Documents as they would arrive: four files in one folder."""
+    """Documents as they would arrive, in a folder; their tags are language, source and, for some, blocked."""
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").select(c("doc_id").alias("record_id"), "text", c("source").alias("tag"))
-    d.repartition(4, "record_id").write.parquet(path)
+    tags = F.concat_ws(", ", c("lang"), c("source"), F.lit("Red_hat"), F.when(c("doc_id") % 11 == 0, "animated"))
+    table(spark, sf_dir, "documents").select(c("doc_id").alias("record_id"), "text", c("source").alias("tag"), tags.alias("tags")).write.parquet(path)
     return path
 
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema("record_id long, text string, tag string").option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema("record_id long, text string, tag string, tags string").parquet(path)
 
 
-@query("SELECT doc_id AS record_id, length(text) > 200 AS long_enough FROM documents")
-def h1_curate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routed in micro-batches and read again."""
-    path = _folder(spark, sf_dir)
-    out = f"{path}-out"
-    q = stream.curate_stream(_stream(spark, path), lambda b: captions.with_rejects(b, F.length("text") <= 200, "stream", "short")[0].select("record_id", F.lit(True).alias("long_enough")).unionAll(b.where("length(text) <= 200").select("record_id", F.lit(False))), out, f"{path}-checkpoint")
-    q.awaitTermination()
-    return spark.read.parquet(out).select("record_id", "long_enough")
+def curate(records: DataFrame) -> DataFrame:
+    """The chain of a record: gate, clean tags, caption issues, route; (record_id, tags, issues, status)."""
+    spark = records.sparkSession
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    _, blocked = gate.exclude_blocked(rules.explode_tags(records.select("record_id", "tags"), "tags"))
+    kept = records.join(blocked, "record_id", "left_anti")
+    tags = rules.clean_tags(kept.select("record_id", "tags"), "tags", rows([("en", "english")], "old string, new string"), rows([("de",)], "tag string"), rows([("rc1",)], "fragment string"), rows([("red hat", "fr")], "remove string, present string"))
+    issues = captions.caption_issues(kept.select("record_id", "text"), most=40).select("record_id", "issues")
+    none = rows([], "record_id long")
+    return tags.join(issues, "record_id").join(captions.route_records(issues, none, none), "record_id")
 
 
-def _memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+@query(
+    f"WITH src AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0), {ISSUES.replace('> 250', '> 40')} "
+    "SELECT d.doc_id AS record_id, list_filter([CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN NULL ELSE lang END, CASE WHEN NOT contains(source, 'rc1') THEN source END, CASE WHEN lang = 'fr' THEN NULL ELSE 'red hat' END], lambda x: x IS NOT NULL) AS tags, issues, CASE WHEN len(issues) > 0 THEN 'review' ELSE 'done' END AS status FROM documents d JOIN chk ON chk.doc_id = d.doc_id"
+)
+def h1_curate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate, tags, issues and routing in micro-batches, read again."""
+    path = _folder(spark, sf_dir)
+    stream.curate_stream(_stream(spark, path), curate, f"{path}-out", f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}-out").select("record_id", "tags", "issues", "status")
 
 
 @query("SELECT DISTINCT source AS tag FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 20 < 3)")
 def h2_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, sf_dir)
     old = table(spark, sf_dir, "documents").where("doc_id % 20 < 3").select(c("source").alias("tag")).distinct()
-    return _memory(stream.first_seen(_stream(spark, path), old, "tag").select("tag"), f"first_{path[-12:]}", "append", f"{path}-checkpoint")
+    stream.append(stream.first_seen(_stream(spark, path), old, "tag").select("tag"), f"{path}-out", f"{path}-checkpoint").awaitTermination()
+    return spark.read.schema("tag string").option("recursiveFileLookup", True).parquet(f"{path}-out")
 
 
 @query("SELECT source AS tag, count(*) AS n FROM documents GROUP BY 1")
 def h3_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, sf_dir)
-    return _memory(stream.running_counts(_stream(spark, path)), f"counts_{path[-12:]}", "complete", f"{path}-checkpoint")
+    stream.replace(stream.running_counts(_stream(spark, path)), f"{path}-out", f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}-out")

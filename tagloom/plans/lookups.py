@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import norm
@@ -24,9 +26,10 @@ def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder for what a query writes and reads again."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tagloom-"))
     return f"{sc.getCheckpointDir()}/query-{uuid.uuid4().hex}"
 
 
@@ -160,17 +163,14 @@ def b2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captions_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions by a key that repeats, in three files whose names fix the precedence."""
+    """Captions by a key that repeats, in three folders whose order is the precedence."""
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), F.upper(F.md5((c("doc_id") % 300).cast("string")))).alias("md5"), F.when(c("doc_id") % 7 == 0, " ").otherwise(F.substring("text", 1, 50)).alias("caption"), (c("doc_id") % 3).alias("f"), "doc_id")
-    for i in range(3):
-        d.where(c("f") == i).coalesce(1).sortWithinPartitions("doc_id").drop("f").write.parquet(f"{path}/part={i}")
-    df = spark.read.parquet(path)
-    # One writer's file names don't follow the part numbers, so the part comes first.
-    return df.select("md5", "caption", "doc_id", F.concat_ws("/", c("part").cast("string"), c("_metadata.file_name")).alias("_file"), c("_metadata.row_index").alias("_row"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), F.upper(F.md5(F.expr("cast(doc_id div 3 as string)")))).alias("md5"), F.when(c("doc_id") % 7 == 0, " ").otherwise(c("text")).alias("caption"), (c("doc_id") * 2 % 3).alias("part"), "doc_id")
+    d.write.partitionBy("part").parquet(path)
+    return spark.read.parquet(path).select("md5", "caption", c("part").cast("string").alias("_file"), c("doc_id").alias("_row"))
 
 
-@query("WITH d AS (SELECT md5((doc_id % 300)::VARCHAR) AS md5, CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(left(text, 50)) END AS caption, doc_id % 3 AS f, doc_id FROM documents) SELECT md5, arg_min(caption, (f, doc_id)) AS caption FROM d WHERE caption <> '' AND md5 IN (SELECT md5((c_custkey * 2)::VARCHAR) FROM customer) GROUP BY 1")
+@query("WITH d AS (SELECT md5((doc_id // 3)::VARCHAR) AS md5, CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(text) END AS caption, doc_id * 2 % 3 AS f, doc_id FROM documents) SELECT md5, arg_min(caption, (f, doc_id)) AS caption FROM d WHERE caption <> '' AND md5 IN (SELECT md5((c_custkey * 2)::VARCHAR) FROM customer) GROUP BY 1")
 def d1_lookup_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").select(F.md5((c("c_custkey") * 2).cast("string")).alias("md5"))
     return lookup.lookup_captions(captions_in_files(spark, sf_dir), wanted)
@@ -187,49 +187,65 @@ def d2_reconstruct_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.reconstruct_reports(df, ["s1", "s2"], ["l1"], "short", ["vibes"], ["chars"])
 
 
+# A heading and a section of prompts, as arguments of the operator.
+HEADINGS, SECTIONS = ("<report>\n# Analysis",), (("\nOriginal:\n", "\nEnd of prompt."),)
+
+
+def canonical(p: Column) -> Column:
+    return lookup.canonical_prompt(p, HEADINGS, SECTIONS)
+
+
+def _image(n: str) -> Column:
+    return F.md5(F.expr(f"cast(doc_id div {n} as string)"))
+
+
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four entries for an image; those of even ids have a credit and other line breaks in their prompts."""
     i = c("doc_id")
-    prompt = F.concat(F.lit("Look\n"), (i % 50).cast("string"), F.when(i % 2 == 0, "\r\n\r\nCredit: x\nend").otherwise("\nend"))
-    df = table(spark, sf_dir, "documents").select(F.md5((i % 100).cast("string")).alias("image_hash"), F.when(i % 4 == 0, "spatial").otherwise("long").alias("caption_kind"), F.lit("m").alias("model"), prompt.alias("prompt"), F.when(i % 9 == 0, " ").otherwise(F.concat(F.lit("cap "), i.cast("string"))).alias("caption"), i.alias("seq"))
+    prompt = F.concat(F.lit("Look at "), F.expr("cast(doc_id div 4 as string)"), F.when(i % 2 == 0, "\r\nOriginal:\r\n Drawn by @someone. a scene \r\nEnd of prompt.").otherwise("\nOriginal:\na scene\nEnd of prompt."))
+    df = table(spark, sf_dir, "documents").select(_image("4").alias("image_hash"), F.when(i % 4 == 0, "spatial").otherwise("long").alias("caption_kind"), F.lit("m").alias("model"), prompt.alias("prompt"), F.when(i % 9 == 0, " ").otherwise(F.concat(F.lit("cap "), i.cast("string"))).alias("caption"), i.alias("seq"))
     return df.withColumn("cache_key", lookup.cache_key(c("image_hash"), c("caption_kind"), c("model"), c("prompt"))).select("cache_key", "image_hash", "caption_kind", "model", "prompt", "caption", "seq")
 
 
-@query("SELECT doc_id AS id, 'Look' || chr(10) || doc_id || chr(10) || 'end' AS prompt FROM documents")
+@query(
+    r"WITH d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents) SELECT doc_id AS id, 'Look' || chr(10) || '<report>' || chr(10) || '# Analysis ' || chr(10) || chr(10) || t || chr(10) || 'Original:' || chr(10) || regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) || 'End of prompt.' AS prompt FROM d"
+)
 def d4_canonical_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = c("doc_id").cast("string")
-    return table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), lookup.canonical_prompt(F.concat(F.lit("\nLook \r\n\r\n"), i, F.lit("\t\r CREDIT: someone\n\nend  \n"))).alias("prompt"))
+    t = F.concat(F.lit("Look\r\n<report>\r# Analysis \r\n \n\n"), "text", F.lit("\r\nOriginal:\n  Drawn by @a, @b. Drawn by @c.\n"), "text", F.lit(" \n\nEnd of prompt."))
+    return table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), canonical(t).alias("prompt"))
 
 
 @query(
-    "WITH d AS (SELECT doc_id AS seq, doc_id % 100 AS h, CASE WHEN doc_id % 4 = 0 THEN 'spatial' ELSE 'long' END AS kind, doc_id % 50 AS p, doc_id % 2 = 0 AS credited FROM documents WHERE doc_id % 9 <> 0), "
-    "q AS (SELECT DISTINCT doc_id % 150 AS h FROM documents), "
-    "m AS (SELECT q.h AS request_id, CASE WHEN NOT credited THEN 0 ELSE 2 END AS tier, seq FROM q JOIN d ON d.h = q.h AND kind = 'long' AND d.p = q.h % 50), b AS (SELECT request_id, min(tier) AS tier FROM m GROUP BY 1) "
+    "WITH d AS (SELECT doc_id AS seq, doc_id // 4 AS h, doc_id % 2 = 0 AS credited FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 4 <> 0), q AS (SELECT DISTINCT doc_id // 3 AS h FROM documents), "
+    "m AS (SELECT q.h AS request_id, CASE WHEN NOT credited THEN 0 ELSE 2 END AS tier, seq FROM q JOIN d ON d.h = q.h), b AS (SELECT request_id, min(tier) AS tier FROM m GROUP BY 1) "
     "SELECT q.h AS request_id, b.tier, 'cap ' || max(seq) AS caption FROM q LEFT JOIN b ON b.request_id = q.h LEFT JOIN m ON m.request_id = q.h AND m.tier = b.tier GROUP BY 1, 2"
 )
 def d3_resolve_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = (c("doc_id") % 150).alias("request_id")
-    r = table(spark, sf_dir, "documents").select(h).distinct()
-    r = r.select("request_id", F.md5(c("request_id").cast("string")).alias("image_hash"), F.lit("long").alias("caption_kind"), F.lit("m").alias("model"), F.concat(F.lit("Look\n\n"), (c("request_id") % 50).cast("string"), F.lit("\nend")).alias("prompt"))
-    return lookup.resolve_cached(r, _cache(spark, sf_dir)).select("request_id", "tier", "caption")
+    r = table(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("request_id")).distinct()
+    prompt = F.concat(F.lit("Look at "), c("request_id").cast("string"), F.lit("\nOriginal:\n Drawn by @b.\na scene\nEnd of prompt."))
+    r = r.select("request_id", F.md5(c("request_id").cast("string")).alias("image_hash"), F.lit("long").alias("caption_kind"), F.lit("m").alias("model"), prompt.alias("prompt"))
+    return lookup.resolve_cached(r, _cache(spark, sf_dir), canonical).select("request_id", "tier", "caption")
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (caption LIKE 'seed%') AS seeded FROM (SELECT 'cap' AS caption FROM (SELECT DISTINCT doc_id % 100, doc_id % 4 = 0, doc_id % 50, doc_id % 2 FROM documents) UNION ALL SELECT 'seed' FROM (SELECT DISTINCT doc_id % 150 AS h FROM documents) WHERE h >= 100)")
+@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id // 4, doc_id % 4 = 0, doc_id % 2 FROM documents)) + count(DISTINCT doc_id) AS rows, count(DISTINCT doc_id) AS seeded FROM documents")
 def d5_seed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = _cache(spark, sf_dir).dropDuplicates(["cache_key"])
-    r = table(spark, sf_dir, "documents").select((c("doc_id") % 150).alias("request_id")).distinct().where("request_id >= 100")
-    r = r.select("request_id", F.md5(c("request_id").cast("string")).alias("image_hash"), F.lit("long").alias("caption_kind"), F.lit("m").alias("model"), F.lit("p").alias("prompt"))
-    found = r.select(c("image_hash").alias("md5"), F.lit("seed").alias("caption"))
-    return lookup.seed_cache(cache, r, found).agg(F.count("*").alias("rows"), F.count_if(F.startswith("caption", F.lit("seed"))).alias("seeded"))
+    cache = _cache(spark, sf_dir)
+    cache = cache.groupBy("cache_key").agg(*[F.max_by(n, "seq").alias(n) for n in cache.columns if n != "cache_key"])
+    r = table(spark, sf_dir, "documents").select(c("doc_id").alias("request_id")).distinct()
+    r = r.select("request_id", F.md5(F.concat(F.lit("new "), c("request_id").cast("string"))).alias("image_hash"), F.lit("long").alias("caption_kind"), F.lit("m").alias("model"), F.lit("p").alias("prompt"))
+    found = r.select(c("image_hash").alias("md5"), F.lit("seed b").alias("caption")).unionAll(r.select("image_hash", F.lit("seed a")))
+    out = lookup.seed_cache(cache, r, found, canonical)
+    return out.agg(F.count("*").alias("rows"), F.count_if(c("caption") == "seed a").alias("seeded"))
 
 
 @query(
-    "WITH d AS (SELECT doc_id AS seq, doc_id % 100 AS h, doc_id % 4 = 0 AS spatial, doc_id % 50 AS p, doc_id % 2 AS cr, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE 'cap ' || doc_id END AS caption FROM documents), k AS (SELECT h, spatial, p, cr, arg_max(caption, seq) AS caption FROM d GROUP BY ALL) "
-    "SELECT md5(h::VARCHAR) AS image_hash, caption FROM k UNION ALL SELECT md5((h + 1000)::VARCHAR), caption FROM k WHERE NOT spatial AND h < 40"
+    "WITH d AS (SELECT doc_id AS seq, doc_id // 4 AS h, doc_id % 4 = 0 AS spatial, doc_id % 2 AS cr, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE 'cap ' || doc_id END AS caption FROM documents), k AS (SELECT h, spatial, cr, arg_max(caption, seq) AS caption FROM d GROUP BY ALL) "
+    "SELECT md5(h::VARCHAR) AS image_hash, caption FROM k UNION ALL SELECT md5('new ' || h), caption FROM k WHERE NOT spatial AND h % 5 < 2"
 )
 def d6_alias_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = _cache(spark, sf_dir)
     newest = cache.groupBy("cache_key").agg(*[F.max_by(n, "seq").alias(n) for n in cache.columns if n != "cache_key"])
-    pairs = table(spark, sf_dir, "documents").select((c("doc_id") % 40).alias("h")).distinct().select(F.md5(c("h").cast("string")).alias("old"), F.md5((c("h") + 1000).cast("string")).alias("new"))
+    pairs = table(spark, sf_dir, "documents").select(F.expr("cast(doc_id div 4 as string)").alias("h")).distinct().where("h % 5 < 2").select(F.md5("h").alias("old"), F.md5(F.concat(F.lit("new "), "h")).alias("new"))
     return lookup.alias_cache(newest.select(*cache.columns), pairs).select("image_hash", "caption")
 
 

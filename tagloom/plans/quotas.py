@@ -18,11 +18,11 @@ def _df(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with four name words as safety tags; an order's customer key is the identity of some."""
-    rt = record_tags(spark, sf_dir).select(F.concat(F.lit("p"), c("record_id") % 5000).alias("identity"), F.when(c("tag") == "hot", "explicit").when(c("tag") == "cold", "nsfw").when(c("tag") == "red", "sensitive").when(c("tag") == "blue", "safe").otherwise(c("tag")).alias("tag"))
+    rt = record_tags(spark, sf_dir).select(F.concat(F.lit("p"), F.expr("record_id div 3")).alias("identity"), F.when(c("tag") == "hot", "explicit").when(c("tag") == "cold", "nsfw").when(c("tag") == "red", "sensitive").when(c("tag") == "blue", "safe").otherwise(c("tag")).alias("tag"))
     return quota.quota_snapshot(rt, "ring")
 
 
-SNAP = """rt AS (SELECT DISTINCT 'p' || record_id % 5000 AS identity, CASE tag WHEN 'hot' THEN 'explicit' WHEN 'cold' THEN 'nsfw' WHEN 'red' THEN 'sensitive' WHEN 'blue' THEN 'safe' ELSE tag END AS tag FROM record_tags),
+SNAP = """rt AS (SELECT DISTINCT 'p' || record_id // 3 AS identity, CASE tag WHEN 'hot' THEN 'explicit' WHEN 'cold' THEN 'nsfw' WHEN 'red' THEN 'sensitive' WHEN 'blue' THEN 'safe' ELSE tag END AS tag FROM record_tags),
  own AS (SELECT identity, CASE WHEN bool_or(tag = 'explicit') THEN 'e' WHEN bool_or(tag = 'nsfw') THEN 'q' WHEN bool_or(tag = 'sensitive') THEN 's' WHEN bool_or(tag = 'safe') THEN 'g' END AS stratum, bool_or(tag = 'ring') AS flag FROM rt GROUP BY 1),
  x AS (SELECT tag, stratum, flag FROM rt JOIN own USING (identity)),
  snap AS (SELECT tag, NULL AS stratum, NULL::BOOLEAN AS flag, count(*) AS n FROM x GROUP BY 1 UNION ALL SELECT tag, stratum, NULL, count(*) FROM x WHERE stratum IS NOT NULL GROUP BY 1, 2
@@ -44,7 +44,7 @@ def e8_quota_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.quota_gap(r, snapshot(spark, sf_dir).where("flag is null"), filled)
 
 
-CANDIDATES = "SELECT lower(o_orderstatus) AS tag, CASE WHEN o_orderkey % 3 = 0 THEN 'two' ELSE 'one' END AS source, o_custkey AS id, max(cast(floor(o_totalprice / 1500) AS int)) AS score FROM {orders} WHERE o_custkey % 4 = 1 GROUP BY 1, 2, 3"
+CANDIDATES = "SELECT lower(o_orderstatus) AS tag, CASE WHEN o_orderkey % 3 = 0 THEN 'two' ELSE 'one' END AS source, o_custkey AS id, max(cast(floor(o_totalprice / 1500) AS int)) AS score FROM {orders} GROUP BY 1, 2, 3"
 _pool = CANDIDATES.format(orders="orders")
 
 
@@ -161,7 +161,3 @@ def e7g_require_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rt = record_tags(spark, sf_dir)
     quota.require_clean(rt.where("tag is null"))
     return rt.select("record_id").distinct().agg(F.count("*").alias("accepted"))
-
-
-def post_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts(spark, sf_dir)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions import norm
 from tagloom.operators import assemble, classify, rules, stats
 from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
+from tagloom.plans.lookups import scratch
 from tagloom.plans.registry import query
 
 c = F.col
@@ -59,7 +61,7 @@ def c4_apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(one_per_record(spark, sf_dir), _df(spark, RULES, "remove string, present string"))[0]
 
 
-@query(f"WITH {FIRED} SELECT * FROM fired")
+@query(f"WITH r AS ({_rules}), t AS (SELECT record_id, list(DISTINCT tag) AS tags FROM record_tags GROUP BY 1) SELECT record_id, remove, present FROM t, r WHERE list_contains(tags, remove) AND list_contains(tags, present)")
 def c5_fired_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.fired_rules(record_tags(spark, sf_dir), _df(spark, RULES, "remove string, present string"))
 
@@ -124,18 +126,34 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
    list_filter(tags, lambda t: t IN ('red', 'blue')), ['Some Name', status, '@a b'], list_filter(tags, lambda t: t NOT IN ('red', 'blue', 'promo') AND NOT (t = 'old' AND y < 2011))) AS tag_list FROM q"""
 )
 def c11_assemble_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Includes C11q and C11s: score before stored label, rating before stored safety."""
     meta = _meta(spark, sf_dir)
     return assemble.assemble_tags(meta, c("tags"), ["red", "blue"], ["oil (medium)"], ["promo"], add_year=True).select("id", "tag_list")
 
 
+_LABEL = "CASE WHEN s > lim[1] THEN 'masterpiece' WHEN s > lim[2] THEN 'best quality' WHEN s > lim[3] THEN 'good quality' WHEN s > lim[4] THEN 'normal quality' WHEN s > lim[5] THEN 'low quality' ELSE 'worst quality' END"
+_POST = "q AS (SELECT *, floor(score)::BIGINT AS s, CASE WHEN rating IN ('g', 'general', 's') THEN [130, 70, 35, 3, -1] ELSE [230, 124, 62, 6, -1] END AS lim, left(created_at, 4)::INT AS y FROM posts)"
+
+
+@query(f"WITH {_POST} SELECT id, CASE id % 3 WHEN 0 THEN 'good quality' WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'normal quality' ELSE '' END ELSE {_LABEL} END AS quality FROM q")
+def c11q_quality_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that are missing or no numbers fall back on the stored label, if there is one."""
+    i = c("id")
+    meta = norm.normalize_headers(posts(spark, sf_dir).select("id", "rating", F.when(i % 3 == 0, "n/a").when(i % 3 == 2, F.floor("score").cast("string")).alias("Score"), F.when(i % 3 == 0, "High_Quality").when(i % 2 == 0, " medium quality ").otherwise("").alias("quality_tag")))
+    return meta.select("id", assemble.quality_of(meta).alias("quality"))
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN ['Safe', 'so so'] ELSE [] END WHEN rating = 'e' THEN ['explicit', 'nsfw'] WHEN rating = 'q' THEN ['nsfw'] WHEN rating = 's' THEN ['sensitive'] ELSE ['safe'] END AS safety FROM posts")
+def c11s_safety_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = c("id")
+    meta = norm.normalize_headers(posts(spark, sf_dir).select("id", F.when(i % 4 == 0, "?").otherwise(c("rating")).alias("Rating"), F.when(i % 8 == 0, "Safe, so_so").alias("safety tags")))
+    return meta.select("id", assemble.safety_of(meta).alias("safety"))
+
+
 def _full_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"character": F.concat(F.lit("a_(x)  b_"), c("status")), "copyright": F.lit(""), "artist": F.lit("@z"), "general": F.concat(F.lit("solo red_"), c("status")), "meta": F.lit("m_1 m_2")}
     return posts(spark, sf_dir).select("id", "md5", "rating", F.floor("score").alias("score"), "created_at", *[v.alias(f"tag_string_{k}") for k, v in kinds.items()])
 
 
-_LABEL = "CASE WHEN s > lim[1] THEN 'masterpiece' WHEN s > lim[2] THEN 'best quality' WHEN s > lim[3] THEN 'good quality' WHEN s > lim[4] THEN 'normal quality' WHEN s > lim[5] THEN 'low quality' ELSE 'worst quality' END"
-_POST = "q AS (SELECT *, floor(score)::BIGINT AS s, CASE WHEN rating IN ('g', 'general', 's') THEN [130, 70, 35, 3, -1] ELSE [230, 124, 62, 6, -1] END AS lim, left(created_at, 4)::INT AS y FROM posts)"
 _ROW = """SELECT md5, id::VARCHAR AS post_id, 'one' AS post_source, 'a (x), b ' || status AS characters, '' AS copyright, '@z' AS artists, 'solo, red ' || status AS "general", 'm 1, m 2' AS meta, rating,
   CASE rating WHEN 'e' THEN 'explicit, nsfw' WHEN 'q' THEN 'nsfw' WHEN 's' THEN 'sensitive' ELSE 'safe' END AS "safety tags", CASE WHEN y >= 2021 THEN 'newest' WHEN y >= 2018 THEN 'recent' WHEN y >= 2015 THEN 'mid' WHEN y >= 2011 THEN 'early' ELSE 'old' END AS period,
   '' AS source, s::VARCHAR AS score, """
@@ -205,7 +223,7 @@ def c18_unclassified_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.unclassified_tags(record_tags(spark, sf_dir), tag_categories(spark, sf_dir))
 
 
-SCORES = "SELECT p_partkey % 400 AS record_id, lower(p_brand) AS label, CASE WHEN p_partkey % 997 = 3 THEN 1.5 ELSE (p_partkey * 37 % 1000) / 1000.0D END AS score FROM {part} WHERE p_partkey < 2000"
+SCORES = "SELECT cast(floor(p_partkey / 5) AS bigint) AS record_id, lower(p_brand) AS label, CASE WHEN p_partkey % 97 = 3 THEN 1.5 ELSE (p_partkey * 37 % 1000) / 1000.0D END AS score FROM {part}"
 LABELS = "SELECT lower(p_brand) AS label, CASE WHEN min(p_partkey) % 2 = 0 THEN 0 ELSE 4 END AS category, CASE WHEN min(p_partkey) % 3 = 0 THEN 0.3D WHEN min(p_partkey) % 3 = 1 THEN 1.7D END AS threshold FROM {part} GROUP BY lower(p_brand)"
 _scores, _labels = SCORES.format(part="part").replace("1000.0D", "1000.0::DOUBLE"), LABELS.format(part="part").replace("0.3D", "0.3::DOUBLE").replace("1.7D", "1.7::DOUBLE")
 
@@ -217,7 +235,8 @@ _scores, _labels = SCORES.format(part="part").replace("1000.0D", "1000.0::DOUBLE
 )
 def c19_select_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, labels = sql(spark, sf_dir, SCORES, "part"), sql(spark, sf_dir, LABELS, "part")
-    each = raw.select("record_id").distinct().crossJoin(labels.select("label"))
+    # A record has a score for each of the 25 labels there are.
+    each = raw.select("record_id").distinct().select("record_id", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("k")).select("record_id", F.concat(F.lit("brand#"), c("k").cast("string")).alias("label"))
     scores = each.join(raw, ["record_id", "label"], "left").groupBy("record_id", "label").agg(F.coalesce(F.max("score"), F.lit(0.0)).cast("double").alias("score"))
     return classify.select_predicted(scores, labels, _df(spark, [("brand#7",)], "label string"), {0: 0.5, 4: 0.7})[0]
 
@@ -233,7 +252,7 @@ def c21_check_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.check_vocabulary(record_tags(spark, sf_dir), tag_categories(spark, sf_dir))
 
 
-VARIANTS = "SELECT p_partkey % 300 AS record_id, p_partkey AS pos, concat(split_part(p_name, ' ', 1), CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' (', lower(p_type), ')') WHEN 2 THEN ' (a) (b)' ELSE concat('_(', lower(p_brand), ')') END) AS tag FROM {part}"
+VARIANTS = "SELECT cast(floor(p_partkey / 7) AS bigint) AS record_id, p_partkey AS pos, concat(split_part(p_name, ' ', 1), CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' (', lower(p_type), ')') WHEN 2 THEN ' (a) (b)' ELSE concat('_(', lower(p_brand), ')') END) AS tag FROM {part}"
 
 
 @query(
@@ -324,3 +343,11 @@ def e5_tag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT folder, record_id FROM record_tags WHERE tag = 'brand#5'")
 def e6_records_for_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.records_for_tag(record_tags(spark, sf_dir), "brand#5")
+
+
+@query("SELECT DISTINCT tag, folder, record_id FROM record_tags WHERE tag IN ('brand#5', 'ring')")
+def e6_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by tag, so that a drill-down reads the folders of its tags alone."""
+    path = scratch(spark)
+    stats.write_index(record_tags(spark, sf_dir), path)
+    return spark.read.parquet(path).where(c("part").isin(*[stats.index_part(t) for t in ("brand#5", "ring")]) & c("tag").isin("brand#5", "ring")).select("tag", "folder", "record_id")

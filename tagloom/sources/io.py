@@ -45,8 +45,8 @@ def read_source_tags(c: Column) -> Column:
 
 def read_source_metadata(c: Column) -> Column:
     """A0d: the object of the first metadata line after line 1 as map<string,string>; null if it is none."""
-    line = F.get(F.filter(F.slice(F.split(c, r"\r?\n"), 2, 1_000_000), lambda x: F.startswith(x, F.lit(MARKER))), F.lit(0))
-    text = F.trim(F.substring(line, len(MARKER) + 1, 1_000_000))
+    line = F.get(F.filter(F.split(c, r"\r?\n"), lambda x, i: (i > 0) & F.startswith(x, F.lit(MARKER))), F.lit(0))
+    text = F.trim(F.right(line, F.length(line) - len(MARKER)))
     return F.when(F.startswith(text, F.lit("{")), F.from_json(text, "map<string,string>"))
 
 

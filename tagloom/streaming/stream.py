@@ -29,3 +29,17 @@ def first_seen(stream: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def running_counts(stream: DataFrame, key: str = "tag") -> DataFrame:
     """H3: counts per key so far, for output mode complete."""
     return stream.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write what a stream adds to a folder, a part for each batch."""
+    return curate_stream(stream, lambda batch: batch, out, checkpoint)
+
+
+def replace(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest whole result of a stream in a folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,13 @@
 """Hand-made cases of the rules that are easy to get wrong."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tagloom.functions import norm
 from tagloom.functions import text as T
-from tagloom.operators import captions, gate, layout, quota, rules
+from tagloom.operators import captions, gate, layout, lookup, quota, rules
+from tagloom.streaming import stream
 
 
 def _one(spark, column, **values):
@@ -58,10 +61,70 @@ def test_repeated_sentences(spark):
 
 
 def test_reasoning_blocks(spark):
-    for text, want in (("a<think>b<think>c</think>d</think>e", "ae"), ("a<think>b", "a"), ("</think>a", "a"), ("a</think>b", "ab")):
+    for text, want in (("&lt;think&gt;x&lt;/think &gt;b {c}", "b c"), ("a\\<think\\>b", "a"), ("a\n \\## \nb", "a\n\nb"), ("&copy;&#33;", "©!"), ("a<think>b<think>c</think>d</think>e", "ae"), ("a<think>b", "a"), ("</think>a", "a"), ("a</think>b", "ab")):
         assert _one(spark, T.strip_reasoning(F.lit(text))) == want
 
 
+def test_output_is_cleaned_line_by_line(spark):
+    for text, want in (
+        ("<format>\n> a\n > b\n</format>", "a b"),
+        ("a <format> b", "a <format> b"),
+        ("# Long caption:\nSo it is", "So it is"),
+        ("Caption: so it is", "Caption: so it is"),
+        ('"a" and "b"', 'a" and "b'),
+        ('"', '"'),
+        ("e\u0301END_CAPTION x", "é"),
+    ):
+        assert _one(spark, T.clean_output(F.lit(text))) == want
+
+
+def test_credits(spark):
+    names = F.array(F.lit("J. Doe"), F.lit("@x"))
+    for text, bare, known in (
+        ("Drawn by @a, @b. A tree.", "A tree.", "A tree."),
+        ("drawn by J. Doe. A tree.", "drawn by J. Doe. A tree.", "A tree."),
+        ("Drawn by J. Doe, x. Drawn by @q.z. A", "Drawn by J. Doe, x. Drawn by @q.z. A", "A"),
+        ("Drawn by two horses. A", "Drawn by two horses. A", "Drawn by two horses. A"),
+        ("Drawn by @. A", "Drawn by @. A", "Drawn by @. A"),
+        ("Drawn by @a.", "", ""),
+    ):
+        assert _one(spark, T.strip_credit(F.lit(text))) == bare
+        assert _one(spark, T.strip_credit(F.lit(text), names)) == known
+    assert _one(spark, T.set_credit(F.lit("Drawn by x. A"), names)) == "Drawn by @J. Doe, @x. A"
+    assert _one(spark, T.set_credit(F.lit("Drawn by @x. A"), F.array(F.lit(" ")))) == "Drawn by @x. A"
+
+
+def test_wiki_text(spark):
+    for text, want in (("a [[b|c]] [[d]] [i]e[/i] [f]\n!g\nh", "a c d e h"), ("a h4. Appearance b H4. COSTUMES c", "a h4. Appearance b"), ("", "")):
+        assert _one(spark, T.clean_wiki(F.lit(text))) == want
+
+
+def test_prompts_that_differ_have_different_keys(spark):
+    p = lambda text: lookup.canonical_prompt(F.lit(text), ("# A",), (("<<", ">>"),))
+    assert _one(spark, p("x\r\n# A\n\n \n\ny\n\nz<< Drawn by @a. b >>")) == "x\n# A\n\ny\n\nz<<b>>"
+    assert _one(spark, p("credit: one\n<<a>> then")) == "credit: one\n<<a>> then"
+    keys = [_one(spark, lookup.cache_key(F.lit("00ff"), F.lit(k).cast("string"), F.lit(m).cast("string"), F.lit("p"))) for k, m in ((None, "x"), ("x", None), ("x", "y"), ("xy", ""))]
+    assert keys[:2] == [None, None]
+    assert keys[2] == hashlib.sha256(bytes.fromhex("00ff") + b"\0x\0y\0p").hexdigest()
+    assert keys[2] != keys[3]
+
+
+def test_streams_in_several_batches(spark, tmp_path):
+    """Records in four files, one for each batch: routed, first seen and counted as if they had come at once."""
+    d = spark.range(40).select(F.col("id").alias("record_id"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("tag"), (F.col("id") % 4).alias("f"))
+    for k in range(4):
+        d.where(F.col("f") == k).drop("f").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    records = lambda: spark.readStream.schema("record_id long, tag string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.curate_stream(records(), lambda b: b.where("record_id % 2 = 0"), str(tmp_path / "a"), str(tmp_path / "ac")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "a")).select("record_id").distinct().count() == 20
+    assert len(list((tmp_path / "a").glob("batch=*"))) == 4
+    first = stream.first_seen(records(), spark.createDataFrame([("t3",)], "tag string"), "tag")
+    stream.append(first, str(tmp_path / "b"), str(tmp_path / "bc")).awaitTermination()
+    assert sorted(r.tag for r in spark.read.parquet(str(tmp_path / "b")).collect()) == ["t0", "t1", "t2", "t4", "t5", "t6"]
+    stream.replace(stream.running_counts(records()), str(tmp_path / "c"), str(tmp_path / "cc")).awaitTermination()
+    assert {r.tag: r.n for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {f"t{k}": 6 if k < 5 else 5 for k in range(7)}
+
+
 def test_words_next_to_underscores(spark):
     assert _one(spark, T.words(F.lit("foo_bar ab-cd x_y don’t ß9"))) == ["ab-cd", "don’t", "ß9"]
 
@@ -115,4 +178,4 @@ def test_tables_without_rows(spark):
     rt = spark.createDataFrame([], "record_id int, folder string, pos int, tag string")
     assert gate.exclude_blocked(rt)[0].count() == 0
     assert rules.collect_tags(rt).count() == 0
-    assert captions.caption_issues(spark.createDataFrame([], "record_id int, text string"), ["record_id"]).count() == 0
+    assert captions.caption_issues(spark.createDataFrame([], "record_id int, text string")).count() == 0
