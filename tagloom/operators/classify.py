@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.norm import candidate_keys, is_quality, normalize_tag
 
+# Codes and names of categories, words of safety and of periods.
 NAMES = {0: "general", 1: "artist", 3: "copyright", 4: "character", 5: "meta"}
 SAFETY = ("safe", "sensitive", "nsfw", "explicit")
 PERIODS = ("newest", "recent", "mid", "early", "old")
@@ -20,25 +21,40 @@ def resolve_category(tags: DataFrame, categories: DataFrame) -> DataFrame:
     return hits.groupBy("tag").agg(best.alias("category"))
 
 
-def classify_tags(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """C14: (record_id, and a list per class), and rejects (record_id, unresolved).
+def classes(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(record_id, a list per class, unresolved): each record's tags by first position, unresolved ones in order.
 
     Quality, safety and period words come first; categories that a record itself states, known (record_id, tag, category),
-    beat the lookup. A record with any unresolved tag is rejected as a whole.
+    beat the lookup. A record's tags meet once.
     """
-    own = rt.groupBy("record_id", "tag").agg(F.min("pos").alias("pos"))
-    df = own.join(resolve_category(own, categories), "tag", "left")
+    found = rt.join(resolve_category(rt, categories), "tag", "left")
+    own = found.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "category"))).alias("rows"))
     if known is not None:
-        df = df.join(known.select("record_id", "tag", F.col("category").alias("_own")), ["record_id", "tag"], "left").withColumn("category", F.coalesce("_own", "category"))
-    t = F.lower("tag")
-    kind = F.when(is_quality(F.col("tag")), "quality").when(t.isin(*SAFETY), "safety").when(t.isin(*PERIODS), "period")
-    for code, name in NAMES.items():
-        kind = kind.when(F.col("category") == code, name)
-    df = df.withColumn("kind", kind)
-    classes = ["quality", "safety", "period", *NAMES.values()]
-    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "tag")))), lambda x: x["tag"]).alias(k) for k in classes]
-    bad = F.array_sort(F.collect_list(F.when(F.col("kind").isNull(), F.col("tag")))).alias("unresolved")
-    out = df.groupBy("record_id").agg(*lists, bad)
+        stated = known.groupBy("record_id", "tag").agg(F.min("category").alias("category"))
+        stated = stated.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "category"))).alias("_own"))
+        own = own.join(stated, "record_id", "left")
+        category = lambda r: F.coalesce(F.element_at("_own", r["tag"]), r["category"])
+    else:
+        category = lambda r: r["category"]
+
+    def kind(r: Column) -> Column:
+        t = F.lower(r["tag"])
+        out = F.when(is_quality(r["tag"]), "quality").when(t.isin(*SAFETY), "safety").when(t.isin(*PERIODS), "period")
+        for code, name in NAMES.items():
+            out = out.when(category(r) == code, name)
+        return F.struct(r["tag"].alias("tag"), out.alias("kind"))
+
+    # The category of a tag is the same in all its rows, so the first of equal structs is its first position.
+    own = own.select("record_id", F.array_distinct(F.transform("rows", kind)).alias("kinds"))
+    of = lambda test: F.transform(F.filter("kinds", test), lambda r: r["tag"])
+    in_class = lambda name: of(lambda r: r["kind"] == name).alias(name)
+    lists = [in_class(n) for n in ("quality", "safety", "period", *NAMES.values())]
+    return own.select("record_id", *lists, F.array_sort(of(lambda r: r["kind"].isNull())).alias("unresolved"))
+
+
+def classify_tags(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """C14: (record_id, and a list per class), and rejects (record_id, unresolved): records with any unresolved tag."""
+    out = classes(rt, categories, known)
     return out.where(F.size("unresolved") == 0).drop("unresolved"), out.where(F.size("unresolved") > 0).select("record_id", "unresolved")
 
 

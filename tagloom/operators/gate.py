@@ -21,20 +21,23 @@ def unescape_html(c: Column) -> Column:
     return c
 
 
-def blocked_matches(record_tags: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """(record_id, matched): sorted blocked tags of each record that has any; blocked has `tag`."""
+def gate_records(record_tags: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """(record_id, matched, rows): each record once, its blocked tags in order (none: empty), and its other columns as structs."""
     spark = record_tags.sparkSession
     always = spark.createDataFrame([(t,) for t in ALWAYS_BLOCKED], "tag string")
     rules = always if blocked is None else always.unionAll(blocked.select("tag"))
-    rules = rules.select(F.lower(F.replace(F.trim("tag"), F.lit("_"), F.lit(" "))).alias("tag")).distinct()
-    tags = record_tags.select("record_id", F.lower(F.replace(F.trim(unescape_html(F.col("tag"))), F.lit("_"), F.lit(" "))).alias("tag"))
-    return tags.join(rules, "tag", "left_semi").groupBy("record_id").agg(F.array_sort(F.collect_set("tag")).alias("matched"))
+    rules = rules.select(F.lower(F.replace(F.trim("tag"), F.lit("_"), F.lit(" "))).alias("_blocked")).distinct()
+    form = F.lower(F.replace(F.trim(unescape_html(F.col("tag"))), F.lit("_"), F.lit(" ")))
+    tagged = record_tags.join(rules, form == F.col("_blocked"), "left")
+    rows = F.collect_list(F.struct(*[c for c in record_tags.columns if c != "record_id"])).alias("rows")
+    return tagged.groupBy("record_id").agg(F.array_sort(F.collect_set("_blocked")).alias("matched"), rows)
 
 
 def exclude_blocked(record_tags: DataFrame, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A1: the tags of records without a blocked tag, and (record_id, matched) of the rest."""
-    rejects = blocked_matches(record_tags, blocked)
-    return record_tags.join(rejects, "record_id", "left_anti"), rejects
+    records = gate_records(record_tags, blocked)
+    kept = records.where(F.size("matched") == 0).select("record_id", F.inline("rows")).select(*record_tags.columns)
+    return kept, records.where(F.size("matched") > 0).select("record_id", "matched")
 
 
 def valid_ids(df: DataFrame, col: str) -> DataFrame:

@@ -34,9 +34,19 @@ def replace_tags(rt: DataFrame, mapping: DataFrame) -> DataFrame:
     return rt.join(m, rt["tag"] == F.col("_old"), "left").select(*[F.coalesce("_new", "tag").alias("tag") if c == "tag" else c for c in rt.columns])
 
 
+def _fragments(fragments: DataFrame) -> DataFrame:
+    """One row with the rule table's fragments."""
+    return fragments.agg(F.collect_set("fragment").alias("_fragments"))
+
+
+def _has_fragment(tag: Column) -> Column:
+    return F.exists("_fragments", lambda f: F.contains(tag, f))
+
+
 def drop_ignored(rt: DataFrame, exact: DataFrame, fragments: DataFrame) -> DataFrame:
     """Without tags of exact (tag), and without tags that contain a fragment (fragment)."""
-    return rt.join(exact.select("tag"), "tag", "left_anti").join(fragments.select("fragment"), F.contains(F.col("tag"), F.col("fragment")), "left_anti").select(*rt.columns)
+    df = rt.join(exact.select("tag"), "tag", "left_anti").crossJoin(F.broadcast(_fragments(fragments)))
+    return df.where(~_has_fragment(F.col("tag"))).select(*rt.columns)
 
 
 def expand_rules(pairs: DataFrame, mains: DataFrame, combos: DataFrame, both: DataFrame, colors: DataFrame) -> DataFrame:
@@ -55,25 +65,54 @@ def expand_rules(pairs: DataFrame, mains: DataFrame, combos: DataFrame, both: Da
     return a.unionAll(b).unionAll(d).unionAll(e).distinct()
 
 
+def _by_removed(rules: DataFrame) -> DataFrame:
+    """(_remove, _present): the tags of a record that remove a tag."""
+    return rules.groupBy(F.col("remove").alias("_remove")).agg(F.collect_set("present").alias("_present"))
+
+
+def rule_records(rt: DataFrame, rules: DataFrame) -> DataFrame:
+    """(record_id, tags, rows): each record once, with its tags and its rows, of which `_present` are the tags that remove each."""
+    tagged = rt.join(_by_removed(rules), rt["tag"] == F.col("_remove"), "left")
+    rows = F.collect_list(F.struct(*[c for c in rt.columns if c != "record_id"], "_present")).alias("rows")
+    return tagged.groupBy("record_id").agg(F.collect_set("tag").alias("tags"), rows)
+
+
+def _removed(row: Column, tags: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(row["_present"], tags), F.lit(False))
+
+
+def _fired(records: DataFrame) -> DataFrame:
+    hits = F.flatten(F.transform(F.filter("rows", lambda r: _removed(r, F.col("tags"))), lambda r: F.transform(F.array_intersect(r["_present"], "tags"), lambda p: F.struct(r["tag"].alias("remove"), p.alias("present")))))
+    return records.select("record_id", F.inline(F.array_distinct(hits)))
+
+
 def fired_rules(rt: DataFrame, rules: DataFrame) -> DataFrame:
     """(record_id, remove, present): rules whose two tags a record has."""
-    own = rt.select("record_id", "tag").distinct()
-    removable = own.join(rules.select("remove", "present").distinct(), own["tag"] == F.col("remove")).select("record_id", "remove", "present")
-    return removable.join(own.withColumnRenamed("tag", "present"), ["record_id", "present"], "left_semi").select("record_id", "remove", "present")
+    return _fired(rule_records(rt.select("record_id", "tag"), rules))
 
 
 def apply_rules(rt: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C4: rt without the tags that fired rules remove, and those rules; one pass on the tags as they came."""
-    fired = fired_rules(rt, rules)
-    gone = fired.select("record_id", F.col("remove").alias("tag")).distinct()
-    return rt.join(gone, ["record_id", "tag"], "left_anti").select(*rt.columns), fired
+    records = rule_records(rt, rules)
+    kept = records.select("record_id", F.inline(F.filter("rows", lambda r: ~_removed(r, F.col("tags"))))).select(*rt.columns)
+    return kept, _fired(records)
 
 
 def clean_tags(records: DataFrame, col: str, mapping: DataFrame, exact: DataFrame, fragments: DataFrame, rules: DataFrame) -> DataFrame:
-    """(record_id, tags): parse, replace, ignore, first occurrences, conditional removal; empty lists stay."""
-    rt = first_occurrences(drop_ignored(replace_tags(explode_tags(records, col), mapping), exact, fragments))
-    kept, _ = apply_rules(rt, rules)
-    return records.select("record_id").join(collect_tags(kept), "record_id", "left").select("record_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    """(record_id, tags): parse, replace, ignore, first occurrences, conditional removal; empty lists stay.
+
+    Ignored tags become null rather than go, so that a record without any tag left is still there.
+    """
+    rt = records.select("record_id", F.posexplode_outer(parse_tags(F.col(col))).alias("pos", "tag"))
+    rt = replace_tags(rt, mapping).join(exact.select(F.col("tag").alias("_exact")).distinct(), F.col("tag") == F.col("_exact"), "left")
+    rt = rt.crossJoin(F.broadcast(_fragments(fragments)))
+    rt = rt.select("record_id", "pos", F.when(F.col("_exact").isNull() & ~_has_fragment(F.col("tag")), F.col("tag")).alias("tag"))
+    rt = rt.join(_by_removed(rules), F.col("tag") == F.col("_remove"), "left")
+    row = F.when(F.col("tag").isNotNull(), F.struct("pos", "tag", "_present"))
+    own = rt.groupBy("record_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    own = own.select("record_id", "rows", F.transform("rows", lambda r: r["tag"]).alias("tags"))
+    kept = F.filter("rows", lambda r: ~_removed(r, F.col("tags")))
+    return own.select("record_id", F.array_distinct(F.transform(kept, lambda r: r["tag"])).alias("tags"))
 
 
 def _draw(tag: Column, seed: int) -> Column:

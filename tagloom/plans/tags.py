@@ -182,12 +182,12 @@ def c13_enrich_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c14_classify_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rt = record_tags(spark, sf_dir)
     known = rt.where("tag = 'hot'").select("record_id", "tag", F.lit(1).alias("category")).distinct()
-    good, bad = classify.classify_tags(rt, tag_categories(spark, sf_dir), known)
-    # The rejected records appear with their unresolved tags and, as in the oracle, with their lists rebuilt.
-    whole, _ = classify.classify_tags(rt.where("tag <> 'brand#25'").join(bad, "record_id", "left_semi"), tag_categories(spark, sf_dir), known)
-    none = F.array().cast("array<string>")
-    out = good.withColumn("unresolved", none).unionByName(whole.join(bad, "record_id"))
-    return out.select("record_id", "general", "artist", "character", "meta", "unresolved")
+    return classify.classes(rt, tag_categories(spark, sf_dir), known).select("record_id", "general", "artist", "character", "meta", "unresolved")
+
+
+@query("WITH t AS (SELECT DISTINCT record_id, tag FROM record_tags), k AS (SELECT record_id, t.tag, category FROM t LEFT JOIN (SELECT tag, min(category) AS category FROM tag_categories GROUP BY 1) c ON t.tag = c.tag) SELECT record_id, list_sort(list(tag) FILTER (category IS NULL AND tag NOT IN ('old'))) AS unresolved FROM k GROUP BY 1 HAVING count(*) FILTER (category IS NULL AND tag NOT IN ('old')) > 0")
+def c14_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify_tags(record_tags(spark, sf_dir), tag_categories(spark, sf_dir))[1]
 
 
 @query("SELECT 'X_' || upper(tag) AS tag, CASE WHEN max(category = 4) THEN 4 ELSE min(category) END AS category FROM tag_categories GROUP BY tag UNION ALL SELECT 'none', NULL UNION ALL SELECT 'A_b', 4")
