@@ -120,8 +120,9 @@ def _free(df: DataFrame, name: str) -> DataFrame:
     before = running(F.transform("_s", lambda s: F.when(s["i"] < 0, s["end"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     after = F.reverse(running(F.reverse(F.transform("_s", lambda s: F.when(s["i"] < 0, s["start"]).otherwise(far))), F.lit(far), lambda a, x: F.least(a, x)))
     df = df.select("*", F.when(F.col("_s").isNotNull(), before).alias("_before"), F.when(F.col("_s").isNotNull(), after).alias("_after"))
-    apart = F.filter("_s", lambda s, p: (s["i"] >= 0) & (F.get("_before", p) <= s["start"]) & (F.get("_after", p) >= s["end"]))
-    free = F.when(F.col("_s").isNotNull(), F.transform(apart, lambda s: F.get(name, s["i"]))).otherwise(F.col(name))
+    # Zipped, as a running array that a lambda refers to once would be built again for every element.
+    apart = F.filter(F.arrays_zip("_s", "_before", "_after"), lambda z: (z["_s"]["i"] >= 0) & (z["_before"] <= z["_s"]["start"]) & (z["_after"] >= z["_s"]["end"]))
+    free = F.when(F.col("_s").isNotNull(), F.transform(apart, lambda z: F.get(name, z["_s"]["i"]))).otherwise(F.col(name))
     return df.select(*[free.alias(name) if c == name else f"`{c}`" for c in df.columns if c not in ("_s", "_before", "_after")])
 
 
