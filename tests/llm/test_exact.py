@@ -10,6 +10,8 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tagloom.llm import decontamination, pii, quality_rules, queries, sentencepiece_bpe, simhash, token_counts, url_filter
 from tests.llm.common import by_id, docs, empty, oracle_rows
 
@@ -182,6 +184,75 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert masked[51] == "only 12345678 here"
 
 
+def test_pattern_scores_by_brute_force(spark):
+    """Confidence, promotion and rounds of the pattern graph against plain loops."""
+    rng = random.Random(8)
+    rows = []
+    for kind in ("phone", "key"):
+        # A chain of patterns: each shares most of its values with the one before, of which the first has seeds.
+        for p in range(6):
+            for v in range(p * 4, p * 4 + 8):
+                rows.append((kind, f"p{p}", f"v{v}", v < 8))
+        for _ in range(120):
+            v = rng.randrange(60)
+            rows.append((kind, f"q{rng.randrange(12)}", f"v{v}", v < 8))
+        rows += [(kind, "rare", "v0", True), (kind, "rare", "v1", True)] * 5
+    got = {(r.kind, r.pattern): (r.confidence, r.round) for r in pii.score_patterns(spark.createDataFrame(rows, "kind string, pattern string, value string, seed boolean"), 0.4, 5, 3).collect()}
+    edges = {(k, p, v) for k, p, v, _ in rows}
+    seeds = {(k, v) for k, _, v, s in rows if s}
+    score = {(k, v): float((k, v) in seeds) for k, _, v in edges}
+    want, held = {}, -1
+    for turn in range(1, 6):
+        promoted = {}
+        for k, p in {(k, p) for k, p, _ in edges}:
+            s = [score[k, v] for kk, pp, v in edges if (kk, pp) == (k, p)]
+            if len(s) >= 3 and sum(s) / len(s) >= 0.4 and sum(x >= 0.4 for x in s) >= 3:
+                promoted[k, p] = (sum(s) / len(s), want.get((k, p), (0, turn))[1])
+        want = promoted
+        if len(promoted) == held:
+            break
+        held = len(promoted)
+        for k, v in score:
+            if (k, v) not in seeds:
+                miss = 1.0
+                for kk, pp, vv in edges:
+                    if (kk, vv) == (k, v) and (kk, pp) in promoted:
+                        miss *= 1 - min(promoted[kk, pp][0], 1 - 1e-9)
+                score[k, v] = 1 - miss
+    assert got.keys() == want.keys()
+    assert max(r for _, r in want.values()) > 2
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def test_promoted_instances_support_other_patterns(spark):
+    """Seeds teach `token =`; what that finds teaches `secret is`, which finds what no seed stands beside."""
+    rows = [(100 + i, f"here token = {i:032x}f") for i in range(40)]
+    rows += [(i, f"there token = abc-{i}-defghijk or my secret is abc-{i}-defghijk") for i in range(8)]
+    rows += [(20, "but my secret is zyx-9-wvutsrq"), (21, "chapter-12-introduction stays")]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[100] == "key:13:46"
+    assert spans[20] == "key:17:30"
+    assert spans[21] == ""
+
+
+def test_account_numbers(spark):
+    good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
+    df = spark.createDataFrame([(good,), (bad,), ("DE89370400440532013000",), ("DE89370400440532013001",)], "t string")
+    assert [r.ok for r in df.select(pii._iban(F.col("t")).alias("ok")).collect()] == [True, False, True, False]
+    rows = [(i, f"pay to account {t} today") for i, t in enumerate(("GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606", "NL91ABNA0417164300", bad))]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("iban:15:" in s for s in spans.values())
+
+
+def test_mask_of_many_spans(spark):
+    """A long text with thousands of spans, wide characters among them, against plain replacement."""
+    rng = random.Random(9)
+    text = " y ".join(rng.choice(["wörd", "😀", "a.b@c.de", "+1 (555) 123-4567", "10.0.0.25", "x"]) for _ in range(3000))
+    got = pii.mask(spark.createDataFrame([(1, text), (2, None), (3, "a.b@c.de"), (4, "")], "doc_id long, text string"))
+    want = text.replace("a.b@c.de", "<email>").replace("+1 (555) 123-4567", "<phone>").replace("10.0.0.25", "<ip>")
+    assert {r.doc_id: r.text for r in got.collect()} == {1: want, 2: None, 3: "<email>", 4: ""}
+
+
 def test_mask_keeps_columns_and_overlaps_once(spark, data):
     df = docs(spark, data)
     out = pii.mask(df)
@@ -262,7 +333,9 @@ def test_decontamination(spark, data):
 def test_lemma_filter_misses_no_alignment():
     rng = random.Random(2)
     patterns = decontamination.Patterns([(1, PASSAGE)])
-    part, budget = patterns.parts[0].decode(), int(patterns.edits[0])
+    (grams, _), = patterns.grams
+    grams.parts, patterns.grams = grams.parts[:1], [(decontamination.Grams(12, grams.parts[:1]), [1])]
+    part, budget = grams.parts[0].decode(), int(grams.edits[0])
     for k in range(60):
         text = list(part)
         for _ in range(rng.randint(0, budget + 3)):
@@ -273,7 +346,46 @@ def test_lemma_filter_misses_no_alignment():
         norm = decontamination.normalise(whole).decode()
         want = edit_distance_in(part, norm)
         found = patterns.search(whole)
-        assert found == ({1: want} if want <= budget else {}), k
+        assert {i: e for i, (e, _) in found.items()} == ({1: want} if want <= budget else {}), k
+
+
+def test_patterns_of_every_length(spark):
+    """Short items with edits, parts of items, and hits across segments, against edit distances by brute force."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+    for n in (1, 2, 3, 5, 12, 24):
+        item = " ".join(word() for _ in range(n))
+        patterns = decontamination.Patterns([(1, item)])
+        for _ in range(5):
+            text = list(item)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(text)) if text else 0
+                text[at : at + 1] = rng.choice(([], ["z"], ["q", "z"]))
+            whole = " ".join([word() for _ in range(rng.randrange(12))] + ["".join(text)] + [word() for _ in range(9)])
+            padded = f" {decontamination.normalise(whole).decode()} "
+            want = []
+            for grams, _ in patterns.grams:
+                want += [e for p, k in zip(grams.parts, grams.edits, strict=True) if (e := edit_distance_in(p.decode(), padded)) <= k]
+            found = patterns.search(whole)
+            assert found == ({1: (min(want), len(want))} if want else {})
+
+
+def test_parts_and_segments():
+    item = " ".join(f"w{i}{i * 7 % 13}" for i in range(90))
+    patterns = decontamination.Patterns([(7, item)])
+    half = item[: len(item) // 2]
+    assert patterns.of[7] > 3
+    for lead in (0, decontamination.SEGMENT - 100, decontamination.SEGMENT, 3 * decontamination.SEGMENT - 50):
+        edits, parts = patterns.search("y " * (lead // 2) + half + " z" * 40)[7]
+        assert edits == 0 and 0 < parts < patterns.of[7]
+    assert patterns.search("y " * 20_000 + item)[7] == (0, patterns.of[7])
+
+
+def test_repetitive_text_and_item():
+    patterns = decontamination.Patterns([(1, "ab cd " * 60)])
+    assert patterns.search("ab cd " * 20_000)[1][0] == 0
+    assert patterns.search("ab ce " * 20_000) == {}
+    assert patterns.search("ab cd ef " * 3_000) == {}
 
 
 def test_blocks_of_a_large_benchmark(spark):
@@ -327,3 +439,27 @@ def test_distrust_spreads_against_links(spark):
             new[a] += 0.85 * d.get(b, 0.0) * w / sum(x for (_, q), x in edges.items() if q == b)
         d = new
     assert abs(got[20].distrust - d["friend.org"] / 2) < 1e-9
+
+
+def test_links_and_tree_are_told_apart(spark):
+    """A made-up web: a ring of sites links to blocked ones, a subdomain has no link at all."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/">' for h in hosts)
+    rows = [(i, f"http://spam{i}.net/es/x", link(f"spam{(i + 1) % 4}.net")) for i in range(4)]
+    rows += [(10 + i, f"http://farm{i}.org/", link("spam0.net", "spam1.net", "spam2.net", f"farm{(i + 1) % 3}.org")) for i in range(3)]
+    rows += [(20 + i, f"http://site{i}.org/", link("good.com", f"site{(i + 1) % 3}.org")) for i in range(3)]
+    rows += [(30, "http://good.com/", link("site0.org")), (40, "http://sub.spam0.net/", ""), (50, None, link("spam0.net")), (30, "http://good.com/", link("site0.org"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    links = {r.page_id: r for r in url_filter.url_verdicts(df, tree=0.0).collect()}
+    both = {r.page_id: r for r in url_filter.url_verdicts(df).collect()}
+    assert [links[10 + i].verdict for i in range(3)] == ["block"] * 3
+    assert [links[20 + i].verdict for i in range(3)] == ["allow"] * 3
+    assert links[20].trust > 0 and links[20].trust == links[20].link_trust
+    assert links[40].distrust == 0 and both[40].distrust > 0 and both[40].link_distrust == 0
+    assert all(abs(both[k].link_distrust - links[k].distrust) < 1e-12 for k in (0, 10, 20, 30) if links[k].distrust is not None)
+
+
+def test_pages_of_one_host(spark):
+    """A host with most pages is dealt to all partitions, each page once."""
+    rows = [(i, f"http://big.org/{i}", "") for i in range(200)] + [(1000 + i, f"http://h{i}.org/", "") for i in range(40)]
+    out = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(r.page_id for r in out.collect()) == sorted(r[0] for r in rows)

@@ -7,7 +7,8 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from tests.llm.common import by_id, docs
+from tagloom.llm import decontamination, pii, quality_rules
+from tests.llm.common import by_id, docs, oracle_rows
 from tests.llm.test_exact import base_spans, closure, fingerprint
 
 
@@ -68,6 +69,44 @@ def test_near_duplicates_by_five_word_similarity(spark, data):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, data).collect()} == {find(i) for i in range(len(texts))}
 
 
+def test_quality_stage_by_plain_rules(spark, data):
+    """What SQL keeps stays, without the lines that fail by rules written out in Python."""
+    columns, rows = oracle_rows(quality_rules.ORACLE, data, ["documents"])
+    want = {r[columns.index("doc_id")] for r in rows if r[columns.index("kept")]}
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    before = {r.doc_id: r.text or "" for r in d.collect()}
+    after = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, d, data).collect()}
+    assert set(after) == want
+    for i, text in after.items():
+        good = []
+        for line in text_lines(before[i]):
+            n, chars = len(line.encode().split()), len(line)
+            seps, count = sum(line.count(x) for x in "|»›"), lambda s, t=line: sum(t.count(x) for x in s)
+            bad = count("#*$%&|<>") * 100 > chars * 10 or (n >= 3 and line.count("!") * 100 > n * 60) or (seps >= 3 and n - seps <= (seps + 1) * 3)
+            bad = bad or any(b in line.lower() for b in quality_rules.BOILERPLATE) or (n >= 30 and not count(".,;:!?…。"))
+            if not (n and bad):
+                good.append(line)
+        assert text == "\n".join(good)
+
+
+def text_lines(text):
+    return text.split("\n")
+
+
+def test_decontamination_stage_by_plain_search(spark, data):
+    """Documents with a normalised item as a substring go; those that share no eight words with any item stay."""
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    items = [decontamination.normalise(r.text).decode() for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    grams = {" ".join(w[k : k + 8]) for t in items for w in [t.split()] for k in range(len(w) - 7)}
+    left = {r.doc_id for r in corpus_pipeline.decontaminate(spark, d, data).collect()}
+    for r in d.collect():
+        norm = decontamination.normalise(r.text).decode()
+        if any(f" {t} " in f" {norm} " for t in items if t):
+            assert r.doc_id not in left
+        elif not any(" ".join(w[k : k + 8]) in grams for w in [norm.split()] for k in range(len(w) - 7)):
+            assert r.doc_id in left
+
+
 def test_run_equals_its_parts(spark, data):
     out = corpus_pipeline.run(spark, data)
     got = by_id(out)
@@ -77,12 +116,24 @@ def test_run_equals_its_parts(spark, data):
         d = stage(spark, d, data)
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in d.collect()}
+    spans = {r.doc_id: r.spans for r in pii.personal_data(d).collect()}
     assert set(got) == set(texts)
     for i, text in texts.items():
         cut, at = "", 0
-        for kind, a, b in sorted(base_spans(text), key=lambda s: (s[1], s[2])):
+        assert {f"{k}:{a}:{b}" for k, a, b in base_spans(text)} <= set(spans[i].split(","))  | {""}
+        every = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans[i].split(",") if s)]
+        for kind, a, b in sorted(every, key=lambda s: (s[1], s[2])):
             if a >= at:
                 cut += text[at:a] + f"<{kind}>"
             at = max(at, b)
         ids = lib.encode(cut + text[at:], add_eos=True)
         assert got[i][0].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_different_texts_of_one_id_and_repeated_rows(spark, data):
+    """Each text is judged by itself: one id with two texts keeps both, equal rows become one, a nameless copy goes."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a, "x"), (5, b, "x"), (5, a, "x"), (5, a, "w"), (9, a + " more", "y"), (None, b, "z"), (None, "alone here it is", "z"), (None, "alone here it is", "z"), (3, None, "n"), (4, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `n.x` string")
+    left = sorted(map(str, (tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, data).collect())))
+    assert left == sorted(map(str, [(5, a, "w"), (5, b, "x"), (None, "alone here it is", "z"), (3, None, "n")]))
