@@ -33,6 +33,11 @@ def gate_records(record_tags: DataFrame, blocked: DataFrame | None = None) -> Da
     return tagged.groupBy("record_id").agg(F.array_sort(F.collect_set("_blocked")).alias("matched"), rows)
 
 
+def blocked_matches(record_tags: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """(record_id, matched): sorted blocked tags of each record that has any."""
+    return gate_records(record_tags, blocked).where(F.size("matched") > 0).select("record_id", "matched")
+
+
 def exclude_blocked(record_tags: DataFrame, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A1: the tags of records without a blocked tag, and (record_id, matched) of the rest."""
     records = gate_records(record_tags, blocked)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import quota
-from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
+from tagloom.plans.fixtures import record_tags, sql, table, tag_categories
 from tagloom.plans.registry import query
 
 c = F.col
