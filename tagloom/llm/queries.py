@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import decontamination, language_id, pii, quality_crf, quality_rules, sentencepiece_bpe, simhash, token_counts, toxicity, url_filter
+from tagloom.llm import centroids, decontamination, language_id, pii, quality_crf, quality_rules, secrets, sentencepiece_bpe, simhash, token_counts, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_simhash, op4_pii, op5_language_id, op6_sentencepiece, op7_decontamination, op8_quality_crf, op9_url_filter, op10_quality_rules)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
 
-ORACLE = {"op10_quality_rules": quality_rules.ORACLE}
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_simhash, op4_pii, op5_language_id, op6_sentencepiece, op7_decontamination, op8_quality_crf, op9_url_filter, op10_quality_rules, op11_secrets, op12_centroids, op13_whitening)}
+
+ORACLE = {"op10_quality_rules": quality_rules.ORACLE, "op12_centroids": centroids.oracle()}
