@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that the candidates of one tag are dealt to.
-PARTS = 64
 STRATA = (("explicit", "e"), ("nsfw", "q"), ("sensitive", "s"), ("safe", "g"))
 
 
@@ -44,27 +42,6 @@ def quota_gap(requests: DataFrame, counts: DataFrame, filled: DataFrame, keys: t
     return df.select(*requests.columns, F.greatest(F.lit(0), F.col("target") - F.coalesce("_n", F.lit(0)) - F.coalesce("_f", F.lit(0))).alias("gap"))
 
 
-def fill_quota(requests: DataFrame, candidates: DataFrame, sources: list[str]) -> DataFrame:
-    """(tag, source, id, score, rank): candidates by descending score until each gap is filled.
-
-    requests (tag, gap), candidates (tag, source, id, score). The second source fills what the first has left; inside a
-    source all tags are filled at once. An id that an earlier source gave to a tag isn't taken again for it.
-    """
-    left, picked = requests.select("tag", "gap"), None
-    for source in sources:
-        pool = candidates.where(F.col("source") == source).groupBy("tag", "id").agg(F.lit(source).alias("source"), F.max("score").alias("score"))
-        if picked is not None:
-            pool = pool.join(picked.select("tag", "id"), ["tag", "id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("score"), "id"))
-        # A tag's candidates are cut to its gap in parts first, so that no task sorts all of a common tag's.
-        part = F.row_number().over(Window.partitionBy("tag", "_part").orderBy(F.desc("score"), "id"))
-        few = pool.join(left.where("gap > 0"), "tag").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).withColumn("_rank", part).where(F.col("_rank") <= F.col("gap"))
-        taken = few.withColumn("rank", rank).where(F.col("rank") <= F.col("gap")).select("tag", "source", "id", "score", "rank")
-        picked = taken if picked is None else picked.unionAll(taken)
-        left = left.join(taken.groupBy("tag").agg(F.count("*").alias("_n")), "tag", "left").select("tag", (F.col("gap") - F.coalesce("_n", F.lit(0))).alias("gap"))
-    return picked
-
-
 def dedupe_posts(posts: DataFrame) -> DataFrame:
     """One post per id, else per md5; posts with neither stay."""
     key = F.coalesce(F.col("id").cast("string"), F.col("md5"))

@@ -52,4 +52,6 @@ def oracle(text: str) -> str:
     body = text.strip()
     if not named:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {named}, {body[15:]}"
     return f"WITH {named}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {named} {body}"

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tagloom.operators import captions, gate, layout, rules
 from tagloom.plans.captions import ISSUES
 from tagloom.plans.fixtures import table
-from tagloom.plans.lookups import scratch
 from tagloom.plans.registry import query
+from tagloom.sources.shared import scratch
 from tagloom.streaming import stream
 
 c = F.col

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +10,7 @@ from tagloom.operators import classify, lookup, stats
 from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
 from tagloom.plans.registry import query
 from tagloom.sources import io
+from tagloom.sources.shared import scratch
 
 c = F.col
 
@@ -22,17 +19,6 @@ def _df(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder for what a query writes and reads again."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tagloom-"))
-    return f"{sc.getCheckpointDir()}/query-{uuid.uuid4().hex}"
-
-
 FILES = """SELECT o_orderstatus AS folder, concat('Rec', cast(o_orderkey % 3999 AS {string}), CASE o_orderkey % 8 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '.long.txt' WHEN 4 THEN '.Review.json' WHEN 5 THEN '.review.webp' WHEN 6 THEN '.csv' ELSE '.tag' END) AS name FROM {orders} GROUP BY 1, 2"""
 _files = FILES.replace("{string}", "VARCHAR").replace("{orders}", "orders")
 

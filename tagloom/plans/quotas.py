@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import quota
+from tagloom.operators import fill, quota
 from tagloom.plans.fixtures import record_tags, sql, table, tag_categories
 from tagloom.plans.registry import query
 
@@ -44,18 +44,32 @@ def e8_quota_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.quota_gap(r, snapshot(spark, sf_dir).where("flag is null"), filled)
 
 
-CANDIDATES = "SELECT lower(o_orderstatus) AS tag, CASE WHEN o_orderkey % 3 = 0 THEN 'two' ELSE 'one' END AS source, o_custkey AS id, max(cast(floor(o_totalprice / 1500) AS int)) AS score FROM {orders} GROUP BY 1, 2, 3"
-_pool = CANDIDATES.format(orders="orders")
+# Orders as posts of two sources, which share some files, with the tags of their first lines; requests for name words, by
+# rating, for posts with one tag, or with a score. What is wanted grows with the table.
+FILL_POSTS = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'two' ELSE 'one' END AS source, o_orderkey AS id, md5(cast(o_orderkey - CASE WHEN o_orderkey % 9 = 3 THEN 3 WHEN o_orderkey % 9 = 4 THEN 1 ELSE 0 END AS {string})) AS md5,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'e' WHEN '2-HIGH' THEN 'q' ELSE 'g' END AS rating, cast(floor(o_totalprice / 1500) AS double) AS score FROM {orders}"""
+FILL_REQUESTS = """SELECT cast(row_number() OVER (ORDER BY word, kind, source DESC) AS int) AS seq, source, word AS tag, CASE kind WHEN 1 THEN 'e' WHEN 2 THEN 'g' END AS stratum, kind = 3 AS flag, CASE WHEN kind = 4 THEN 100 END AS min_score, cast(posts // (150 + 50 * kind) AS int) AS gap
+ FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM {part}), (SELECT count(*) AS posts FROM {orders}), (SELECT unnest(range(5)) AS kind), (SELECT unnest(['one', 'two']) AS source)"""
+_fill = FILL_POSTS.replace("{string}", "VARCHAR").replace("{orders}", "orders")
+_wanted = FILL_REQUESTS.replace("{part}", "part").replace("{orders}", "orders")
 
 
+# One step for a request: what of the posts taken so far counts for it, then the first that are left.
 @query(
-    f"WITH k AS ({_pool}), g AS (SELECT 'f' AS tag, 100 AS gap UNION ALL SELECT 'o', 60 UNION ALL SELECT 'p', 1000000), "
-    "a AS (SELECT k.*, row_number() OVER (PARTITION BY k.tag ORDER BY score DESC, id)::INT AS rank, gap FROM k JOIN g ON k.tag = g.tag WHERE source = 'one'), a1 AS (SELECT * FROM a WHERE rank <= gap), "
-    "b AS (SELECT k.*, row_number() OVER (PARTITION BY k.tag ORDER BY score DESC, id)::INT AS rank, gap - (SELECT count(*) FROM a1 WHERE a1.tag = k.tag) AS gap FROM k JOIN g ON k.tag = g.tag WHERE source = 'two' AND (k.tag, id) NOT IN (SELECT tag, id FROM a1)) "
-    "SELECT tag, source, id, score, rank FROM a1 UNION ALL SELECT tag, source, id, score, rank FROM b WHERE rank <= gap"
+    f"""WITH RECURSIVE p AS MATERIALIZED ({_fill}), r AS MATERIALIZED ({_wanted}), l AS (SELECT record_id AS id, tag FROM record_tags GROUP BY 1, 2), own AS (SELECT id FROM l WHERE tag = 'ring'),
+ m AS MATERIALIZED (SELECT seq, gap, p.*, r.source = p.source AND coalesce(score >= min_score, true) AND md5 NOT IN (SELECT md5(c_custkey::VARCHAR) FROM customer) AS offered FROM p JOIN l USING (id) JOIN r USING (tag) WHERE (stratum IS NULL OR stratum = rating) AND (NOT flag OR id IN (FROM own))),
+ s(k, seq, id, md5, rank) AS (SELECT 0, 0, NULL::BIGINT, NULL::VARCHAR, 0 UNION ALL SELECT * FROM (
+  SELECT k + 1, seq, id, md5, rank FROM s WHERE k < (SELECT max(seq) FROM r) UNION ALL
+  SELECT seq, seq, id, md5, n FROM (SELECT seq, id, md5, gap, (row_number() OVER (ORDER BY score DESC, id))::INT AS n FROM (SELECT seq, md5, arg_min(id, (-score, id)) AS id, max(score) AS score, max(gap) AS gap FROM m WHERE offered AND seq = (SELECT max(k) + 1 FROM s) AND md5 NOT IN (SELECT s.md5 FROM s WHERE s.md5 IS NOT NULL) GROUP BY ALL))
+   WHERE n <= gap - (SELECT count(*) FROM m WHERE m.seq = (SELECT max(k) + 1 FROM s) AND m.id IN (SELECT s.id FROM s))) y)
+ SELECT s.seq, p.source, p.id, p.md5, p.score, s.rank FROM s JOIN p USING (id) WHERE k = (SELECT max(seq) FROM r)"""
 )
 def e9_fill_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quota.fill_quota(_df(spark, [("f", 100), ("o", 60), ("p", 1000000)], "tag string, gap int"), sql(spark, sf_dir, CANDIDATES, "orders"), ["one", "two"])
+    tags = record_tags(spark, sf_dir).groupBy(c("record_id").alias("id")).agg(F.collect_set("tag").alias("tags"))
+    p = sql(spark, sf_dir, FILL_POSTS.replace("{string}", "string"), "orders").join(tags, "id")
+    have = table(spark, sf_dir, "customer").select(F.md5(c("c_custkey").cast("string")).alias("md5"))
+    wanted = sql(spark, sf_dir, FILL_REQUESTS.replace("posts // (", "posts div (").replace("unnest(range(5))", "explode(sequence(0, 4))").replace("unnest(['one', 'two'])", "explode(array('one', 'two'))"), "part", "orders")
+    return fill.fill_requests(wanted, p, have, "ring")
 
 
 @query("SELECT o_custkey AS id, CASE WHEN o_custkey % 2 = 0 THEN md5(o_custkey::VARCHAR) END AS md5, min(o_orderpriority) AS kind FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1 UNION ALL SELECT NULL, md5(o_custkey::VARCHAR), min(o_orderpriority) FROM orders WHERE o_custkey % 7 = 0 GROUP BY o_custkey")
