@@ -1,4 +1,8 @@
-"""Layout documents: parsing, rules, boxes in exact decimals."""
+"""Layout documents: parsing, rules, boxes in exact numbers.
+
+A coordinate is a whole number of pixels and a fraction in units of 10**-28, both exact: the texts of numbers are read digit by
+digit, and scaling divides integers. Fractions of more than 28 places, and edges of more than ten digits, make a box invalid.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,24 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 ITEM = "struct<label:string,caption:string,bbox:array<decimal(38,12)>,text:string,tags:array<string>>"
 SCHEMA = f"struct<summary:struct<caption:string,meta:array<string>,canvas:string,palette:array<string>>,items:array<{ITEM}>,bbox_coord_space:string,bbox_format:string>"
-LABELS = ("object", "person", "text", "background")
-CANVASES = ("landscape", "portrait", "square")
+# Fixed values of the format: labels, kinds of canvas, fields, and the coordinates of drafts and of finished layouts.
+LABELS = ("object", "character", "text")
+CANVASES = ("single", "multi_panel", "collage")
+ROOT_FIELDS = ("summary", "items", "bbox_coord_space", "bbox_format")
+DRAFT_FIELDS = ("width", "height")
+SUMMARY_FIELDS = ("caption", "meta", "canvas", "palette")
+ITEM_FIELDS = ("label", "caption", "bbox", "text", "tags", "palette")
+COORDINATES = {True: ("abs", "xyxy"), False: ("abs_centralized", "yxyx")}
+NUMBER = r"^([+-]?)([0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,3}))?$"
+#: Decimal places of a fraction, and digits of an edge.
+PLACES = 28
+DIGITS = 10
 
 
 @F.pandas_udf(BooleanType())
@@ -46,49 +60,166 @@ def parse_layouts(df: DataFrame, col: str = "layout") -> tuple[DataFrame, DataFr
     return x.where(~bad).drop("_ok"), x.where(bad).select("record_id", F.lit("layout is no strict JSON object").alias("reason"))
 
 
-def layout_violations(df: DataFrame, col: str = "layout") -> DataFrame:
-    """(record_id, item, rule) of parsed layouts; item is null for rules of the whole document."""
-    top = F.array_sort(F.json_object_keys(F.col(col)))
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    whole = [
-        F.when(top != F.array(*map(F.lit, ("bbox_coord_space", "bbox_format", "items", "summary"))), "fields"),
-        F.when(blank(F.col("doc.summary.caption")), "summary caption"),
-        F.when(~F.coalesce(F.col("doc.summary.canvas").isin(*CANVASES), F.lit(False)), "canvas"),
-        F.when(F.coalesce(F.size("doc.items"), F.lit(0)) <= 0, "items"),
-    ]
-    a = df.select("record_id", F.lit(None).cast("int").alias("item"), F.explode(F.array_compact(F.array(*whole))).alias("rule"))
-    i = F.col("i")
-    each = [
-        F.when(~F.coalesce(i["label"].isin(*LABELS), F.lit(False)), "label"),
-        F.when(blank(i["caption"]), "item caption"),
-        F.when(F.coalesce(F.size(i["bbox"]), F.lit(0)) != 4, "bbox"),
-        F.when((i["label"] == "text") & blank(i["text"]), "text"),
-        F.when((i["label"] != "text") & ~blank(i["text"]), "text on another label"),
-    ]
-    b = df.select("record_id", F.posexplode("doc.items").alias("item", "i")).select("record_id", "item", F.explode(F.array_compact(F.array(*each))).alias("rule"))
-    return a.unionAll(b)
+def exact_number(text: Column) -> Column:
+    """struct(i, g) of the text of a number, which is i + g / 10**28 with 0 <= g < 10**28; null if it doesn't fit."""
+    sign, whole, part = (F.regexp_extract(text, NUMBER, k) for k in (1, 2, 3))
+    power = F.coalesce(F.nullif(F.regexp_extract(text, NUMBER, 4), F.lit("")).cast("int"), F.lit(0))
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    # Zeros on either side, so that the point stands inside; numbers that need more of them have no value here.
+    most = DIGITS + PLACES
+    zeros = lambda n: F.repeat(F.lit("0"), F.least(F.greatest(n, F.lit(0)), F.lit(most)))
+    padded, at = F.concat(zeros(-point), digits, zeros(point - F.length(digits))), F.greatest(point, F.lit(0))
+    left, right = F.ltrim(F.left(padded, at), F.lit("0")), F.rtrim(F.substring(padded, at + 1, F.length(padded)), F.lit("0"))
+    null = F.ltrim(digits, F.lit("0")) == ""
+    fits = text.rlike(NUMBER) & (null | ((F.length(left) <= DIGITS) & (F.length(right) <= PLACES) & (F.abs(power) <= most)))
+    i = F.when(null, F.lit(0)).otherwise(F.coalesce(F.nullif(left, F.lit("")).try_cast("long"), F.lit(0))).cast("long")
+    g = F.when(null, F.lit("0")).otherwise(F.rpad(right, PLACES, "0")).try_cast(f"decimal({PLACES},0)")
+    unit = F.lit(10**PLACES).cast(f"decimal({PLACES + 1},0)")
+    below = sign == "-"
+    number = F.struct(
+        F.when(below, -i - F.when(g > 0, 1).otherwise(0)).otherwise(i).alias("i"),
+        F.when(below & (g > 0), (unit - g).cast(f"decimal({PLACES},0)")).otherwise(g).alias("g"),
+    )
+    return F.when(fits, number)
+
+
+def _moved(number: Column, size: Column) -> Column:
+    """The number plus half of a size."""
+    half = F.lit(5 * 10 ** (PLACES - 1)).cast(f"decimal({PLACES + 1},0)")
+    unit = F.lit(10**PLACES).cast(f"decimal({PLACES + 1},0)")
+    g = number["g"] + F.when(F.pmod(size, F.lit(2)) == 1, half).otherwise(F.lit(0).cast(f"decimal({PLACES + 1},0)"))
+    carry = g >= unit
+    i = number["i"] + F.floor(size / 2).cast("long") + F.when(carry, 1).otherwise(0)
+    return F.struct(i.alias("i"), F.when(carry, g - unit).otherwise(g).cast(f"decimal({PLACES},0)").alias("g"))
+
+
+def _edges(box: Column, width: Column, height: Column, space: Column, form: Column, preview_w: Column, preview_h: Column) -> Column:
+    """struct(x1, y1, x2, y2, pw, ph) of exact edges from the upper left corner, if the box is valid; else null."""
+    at = lambda k: F.get(box, F.lit(k))
+    swapped, centred = form == "yxyx", space == "abs_centralized"
+    put = lambda k, other, size: F.when(centred, _moved(F.when(swapped, at(other)).otherwise(at(k)), size)).otherwise(F.when(swapped, at(other)).otherwise(at(k)))
+    x1, y1, x2, y2 = put(0, 1, width), put(1, 0, height), put(2, 3, width), put(3, 2, height)
+    pw, ph = (F.when(centred, size).otherwise(F.coalesce(p, size)).cast("long") for p, size in ((preview_w, width), (preview_h, height)))
+    zero = F.lit(0).cast(f"decimal({PLACES},0)")
+    end = lambda n: F.struct(n.alias("i"), zero.alias("g"))
+    null = end(F.lit(0).cast("long"))
+    known = form.isin("xyxy", "yxyx") & space.isin("abs", "abs_centralized") & (F.size(box) == 4) & F.forall(box, lambda n: n.isNotNull())
+    sizes = (width > 0) & (height > 0) & (pw > 0) & (ph > 0) & (F.greatest(width, height, pw, ph) < 1 << 31)
+    inside = (x1 >= null) & (x1 < x2) & (x2 <= end(pw)) & (y1 >= null) & (y1 < y2) & (y2 <= end(ph))
+    return F.when(F.coalesce(known & sizes & inside, F.lit(False)), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), pw.alias("pw"), ph.alias("ph")))
+
+
+def _scaled(edge: Column, size: Column, preview: Column, up: bool) -> Column:
+    """edge * size / preview in whole pixels, down or up: quotient and rest of the whole part, then the fraction on the rest."""
+    product = edge["i"] * size.cast("long")
+    quotient, rest = F.floor(product / preview), F.pmod(product, preview)
+    # Division of longs goes by way of doubles; the rest gives the exact quotient.
+    quotient = F.round((product - rest).cast("decimal(38,0)") / preview.cast("decimal(20,0)"), 0).cast("long")
+    unit = F.lit(10**PLACES).cast("decimal(29,0)")
+    over = (rest.cast("decimal(10,0)") * unit + edge["g"] * size.cast("decimal(10,0)")).cast("decimal(38,0)")
+    under = (preview.cast("decimal(10,0)") * unit).cast("decimal(38,0)")
+    more = F.pmod(over, under)
+    whole = F.round((over - more) / under, 0).cast("long")
+    return quotient + whole + (F.when(more > 0, 1).otherwise(0) if up else F.lit(0))
 
 
 def box_to_pixels(df: DataFrame) -> DataFrame:
     """Df (box array, width, height, space, format, preview_w, preview_h) with x1, y1, x2, y2 pixels and valid.
 
-    Edges are checked before rounding; low edges are rounded down and high ones up. Spaces: abs (scaled from the preview
-    if there is one), abs_centralized (origin in the middle of the canvas).
+    box holds numbers or their texts. Edges are checked before rounding; low edges are rounded down and high ones up.
+    Spaces: abs (scaled from the preview if there is one), abs_centralized (origin in the middle of the canvas). Null or missing
+    numbers, ones too long for exact arithmetic, reversed, empty or outer boxes and sizes that aren't positive are not valid.
     """
-    # Edges in whole millionths of a pixel, so that all arithmetic is on integers and nothing rounds by itself.
-    at = lambda i: (F.get("box", F.lit(i)).cast("decimal(20,6)") * 1_000_000).cast("long")
-    xy, centered = F.col("format") == "xyxy", F.col("space") == "abs_centralized"
-    move = lambda c, size: F.when(centered, c + F.col(size).cast("long") * 500_000).otherwise(c)
-    edges = [move(F.when(xy, at(i)).otherwise(at(j)), size).alias(n) for n, i, j, size in (("x1", 0, 1, "width"), ("y1", 1, 0, "height"), ("x2", 2, 3, "width"), ("y2", 3, 2, "height"))]
-    limit = lambda p, size: (F.when(centered, F.col(size)).otherwise(F.coalesce(p, size)).cast("long") * 1_000_000).alias(f"p{size[0]}")
-    df = df.withColumn("_e", F.struct(*edges, limit("preview_w", "width"), limit("preview_h", "height")))
+    numbers = F.transform("box", lambda n: exact_number(n.cast("string")))
+    df = df.select("*", numbers.alias("_n"))
+    df = df.select("*", _edges(*[F.col(c) for c in ("_n", "width", "height", "space", "format", "preview_w", "preview_h")]).alias("_e")).drop("_n")
     e = F.col("_e")
-    known = F.col("format").isin("xyxy", "yxyx") & F.col("space").isin("abs", "abs_centralized") & (F.size("box") == 4)
-    inside = (e["x1"] >= 0) & (e["x1"] < e["x2"]) & (e["x2"] <= e["pw"]) & (e["y1"] >= 0) & (e["y1"] < e["y2"]) & (e["y2"] <= e["ph"])
-    df = df.withColumn("valid", F.coalesce(known & inside, F.lit(False)))
-    low = lambda n, p, size: F.expr(f"case when valid then (_e.{n} * {size}) div _e.{p} end").alias(n)
-    high = lambda n, p, size: F.expr(f"case when valid then (_e.{n} * {size} + _e.{p} - 1) div _e.{p} end").alias(n)
-    return df.select("*", low("x1", "pw", "width"), low("y1", "ph", "height"), high("x2", "pw", "width"), high("y2", "ph", "height")).drop("_e")
+    x1, x2 = (_scaled(e[n], F.col("width"), e["pw"], n == "x2").alias(n) for n in ("x1", "x2"))
+    y1, y2 = (_scaled(e[n], F.col("height"), e["ph"], n == "y2").alias(n) for n in ("y1", "y2"))
+    return df.select("*", e.isNotNull().alias("valid"), x1, y1, x2, y2).drop("_e")
+
+
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, a number's type, BOOLEAN or VOID; null for a field that isn't there."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _filled(v: Column) -> Column:
+    """Whether a variant is a string with more than white space."""
+    return (_kind(v) == "STRING") & F.try_variant_get(v, "$", "string").rlike(r"[^\s\p{Z}\x1c-\x1f\x85]")
+
+
+def _filled_strings(v: Column) -> Column:
+    return (_kind(v) == "ARRAY") & F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(_filled(x), F.lit(False)))
+
+
+def _keys(v: Column) -> Column:
+    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+
+
+def _fields(v: Column, keys: Column, allowed: tuple[str, ...], required: tuple[str, ...]) -> Column:
+    """Whether a variant is an object with all required fields and no others than the allowed ones."""
+    of = lambda names: F.array(*map(F.lit, names))
+    return F.coalesce((_kind(v) == "OBJECT") & (F.size(F.array_except(keys, of(allowed))) == 0) & (F.size(F.array_except(of(required), keys)) == 0), F.lit(False))
+
+
+def layout_violations(df: DataFrame, col: str = "layout", draft: bool = False) -> DataFrame:
+    """(record_id, item, rule) of all rules that the layouts of df (record_id, `col`, width, height) break.
+
+    item is null for rules of the whole document. Rules of a value hold where its field is there; a missing or unknown field breaks
+    the rule of the fields alone, and what stands inside an object of wrong fields is judged as far as it is there. Rules: canvas
+    size, json, fields, coordinates, dimensions (drafts state the size of the canvas), unicode (half of a surrogate pair),
+    summary fields, summary caption, canvas, meta, palette, items; of each item item fields, label, item caption, text, item
+    tags, item palette, bbox. Drafts have their boxes from the upper left corner in x, y, others from the middle in y, x.
+    A null layout breaks json; an empty table gives no rows; repeated rows give repeated ones.
+    """
+    space, form = COORDINATES[draft]
+    root = ROOT_FIELDS + (DRAFT_FIELDS if draft else ())
+    field = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    v = F.col("_v")
+    x = df.select("record_id", F.col("width").cast("long").alias("_w"), F.col("height").cast("long").alias("_h"), F.col(col).alias("_text"), F.try_parse_json(col).alias("_v"))
+    x = x.select("*", _keys(v).alias("_keys"), field(v, "summary").alias("_summary"), field(v, "items").alias("_items"))
+    x = x.select("*", _keys(F.col("_summary")).alias("_own"))
+    s, own = F.col("_summary"), F.col("_own")
+    there = lambda name: F.array_contains("_keys", name)
+    broken = lambda test, rule: F.when(~F.coalesce(test, F.lit(False)), rule)
+    has = lambda keys, name, test: ~F.array_contains(keys, name) | F.coalesce(test, F.lit(False))
+    word = lambda name, want: has(F.col("_keys"), name, (_kind(field(v, name)) == "STRING") & (F.try_variant_get(v, f"$.{name}", "string") == want))
+    size = lambda name, want: has(F.col("_keys"), name, (_kind(field(v, name)) == "BIGINT") & (F.try_variant_get(v, f"$.{name}", "long") == want))
+    inner = F.coalesce(_kind(s) == "OBJECT", F.lit(False))
+    whole = [
+        broken((F.col("_w") > 0) & (F.col("_h") > 0), "canvas size"),
+        broken(v.isNotNull(), "json"),
+        F.when(v.isNotNull(), broken(_fields(v, F.col("_keys"), root, root), "fields")),
+        broken(word("bbox_coord_space", space) & word("bbox_format", form), "coordinates"),
+        broken(size("width", F.col("_w")) & size("height", F.col("_h")), "dimensions") if draft else F.lit(None).cast("string"),
+        F.when(F.col("_text").rlike(r"(?i)\\u(?:d[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2}\\u)d[c-f][0-9a-f]{2})"), "unicode"),
+        F.when(there("summary"), broken(_fields(s, own, SUMMARY_FIELDS, ("caption",)), "summary fields")),
+        F.when(inner, broken(has(own, "caption", _filled(field(s, "caption"))), "summary caption")),
+        F.when(inner, broken(has(own, "canvas", (_kind(field(s, "canvas")) == "STRING") & F.try_variant_get(s, "$.canvas", "string").isin(*CANVASES)), "canvas")),
+        *[F.when(inner, broken(has(own, n, _filled_strings(field(s, n))), n)) for n in ("meta", "palette")],
+        F.when(there("items"), broken((_kind(F.col("_items")) == "ARRAY") & (F.size(F.try_variant_get("_items", "$", "array<variant>")) > 0), "items")),
+    ]
+    a = x.select("record_id", F.lit(None).cast("int").alias("item"), F.explode(F.array_compact(F.array(*whole))).alias("rule"))
+    i, k = F.col("_i"), F.col("_k")
+    y = x.select("record_id", "_w", "_h", F.posexplode(F.try_variant_get("_items", "$", "array<variant>")).alias("item", "_i")).select("*", _keys(i).alias("_k"))
+    y = y.select("*", F.try_variant_get(i, "$.bbox", "array<variant>").alias("_b"))
+    number = F.forall("_b", lambda n: F.coalesce(_kind(n).isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False)))
+    y = y.select("*", F.when(number, F.transform("_b", lambda n: exact_number(F.try_variant_get(n, "$", "string")))).alias("_n"))
+    none = F.lit(None).cast("long")
+    valid = _edges(F.col("_n"), F.col("_w"), F.col("_h"), F.lit(space), F.lit(form), none, none).isNotNull()
+    one = F.coalesce(_kind(i) == "OBJECT", F.lit(False))
+    label = F.try_variant_get(i, "$.label", "string")
+    each = [
+        broken(_fields(i, k, ITEM_FIELDS, ("label", "caption", "bbox")), "item fields"),
+        F.when(one, broken(has(k, "label", (_kind(field(i, "label")) == "STRING") & label.isin(*LABELS)), "label")),
+        F.when(one, broken(has(k, "caption", _filled(field(i, "caption"))), "item caption")),
+        F.when(one, broken(has(k, "text", _filled(field(i, "text"))) & (F.array_contains(k, "text") | F.coalesce(label != "text", F.lit(True))), "text")),
+        *[F.when(one, broken(has(k, n, _filled_strings(field(i, n))), f"item {n}")) for n in ("tags", "palette")],
+        F.when(one, broken(has(k, "bbox", valid), "bbox")),
+    ]
+    b = y.select("record_id", "item", F.explode(F.array_compact(F.array(*each))).alias("rule"))
+    return a.unionAll(b)
 
 
 def center_boxes(df: DataFrame) -> DataFrame:
@@ -102,8 +233,8 @@ def layout_items(df: DataFrame) -> DataFrame:
 
 
 def boxes_at(items: DataFrame, points: DataFrame) -> DataFrame:
-    """(point_id, item): the top-most box (highest item) of the point's record that holds it; items (x1, y1, x2, y2)."""
-    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    """(point_id, item): the top-most box (highest item) of the point's record that holds it, edges included; items (x1, y1, x2, y2)."""
+    inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
     return points.join(items, "record_id").where(inside).groupBy("point_id").agg(F.max("item").alias("item"))
 
 

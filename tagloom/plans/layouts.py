@@ -16,16 +16,16 @@ c = F.col
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A layout per part: a person box, and a text box whose fields break a rule for some parts."""
+    """A draft layout per part, of 60 by 60 pixels: a character's box and a text's; each of some rules is broken by some parts."""
     i = c("p_partkey")
-    t = F.when(i % 5 == 0, " ").otherwise(F.concat(F.lit("say "), i.cast("string")))
-    items = F.array(
-        F.struct(F.when(i % 11 == 0, "ghost").otherwise("person").alias("label"), F.lit("c").alias("caption"), F.array(i % 20, i % 10, i % 20 + 30, i % 10 + 40).alias("bbox"), F.lit("").alias("text"), F.array(F.lower("p_brand")).alias("tags")),
-        F.struct(F.lit("text").alias("label"), F.lit("d").alias("caption"), F.when(i % 7 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(5), F.lit(5), F.lit(25), F.lit(30))).alias("bbox"), t.alias("text"), F.array().cast("array<string>").alias("tags")),
-    )
-    doc = F.to_json(F.struct(F.struct(F.lit("s").alias("caption"), F.array().cast("array<string>").alias("meta"), F.when(i % 13 == 0, "round").otherwise("square").alias("canvas"), F.array().cast("array<string>").alias("palette")).alias("summary"), items.alias("items"), F.lit("abs").alias("bbox_coord_space"), F.lit("xyxy").alias("bbox_format")))
+    cut = lambda k, bad, good: F.when(i % k == 0, bad).otherwise(good)
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    first = join('{"label":"', cut(11, "ghost", "character"), '"', cut(41, "", ',"caption":"c"'), ',"bbox":[', i % 20, ",", i % 10, ",", cut(47, F.lit(0), i % 20 + 30), ",", i % 10 + 40, '.5],"tags":', cut(61, '"t"', F.concat(F.lit('["'), F.lower("p_brand"), F.lit('"]'))), "}")
+    second = join('{"label":"text","caption":"d","bbox":', cut(7, "[1,2,3]", "[5,5,25,30]"), F.when(i % 43 == 0, "").when(i % 5 == 0, ',"text":" "').otherwise(F.concat(F.lit(',"text":"say '), i.cast("string"), F.lit('"'))), "}")
+    summary = join("{", cut(31, "", '"caption":"s",'), '"meta":', cut(37, "[1]", "[]"), ',"canvas":"', cut(13, "round", "single"), '"}')
+    doc = join('{"width":', cut(59, "61", "60"), ',"height":60,"summary":', summary, ',"items":', F.when(i % 67 == 0, "[]").otherwise(F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))), ',"bbox_coord_space":"', cut(53, "abs_centralized", "abs"), '","bbox_format":"xyxy"', cut(29, ',"more":1', ""), "}")
     text = F.when(i % 17 == 0, F.lit('{"summary": 1, "summary": 2}')).when(i % 19 == 0, F.lit('{"items": NaN}')).when(i % 23 == 0, F.lit("{")).otherwise(doc)
-    return table(spark, sf_dir, "part").select(i.alias("record_id"), text.alias("layout"))
+    return table(spark, sf_dir, "part").select(i.alias("record_id"), text.alias("layout"), F.lit(60).alias("width"), F.lit(60).alias("height"))
 
 
 BAD = "(p_partkey % 17 = 0 OR p_partkey % 19 = 0 OR p_partkey % 23 = 0)"
@@ -37,11 +37,13 @@ def g1_parse_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("record_id", F.lit(True).alias("parsed")).unionAll(bad.select("record_id", F.lit(False)))
 
 
-@query(
-    f"SELECT p_partkey AS record_id, NULL::INT AS item, 'canvas' AS rule FROM part WHERE NOT {BAD} AND p_partkey % 13 = 0 UNION ALL SELECT p_partkey, 0, 'label' FROM part WHERE NOT {BAD} AND p_partkey % 11 = 0 UNION ALL SELECT p_partkey, 1, 'bbox' FROM part WHERE NOT {BAD} AND p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 1, 'text' FROM part WHERE NOT {BAD} AND p_partkey % 5 = 0"
-)
+_rules = ((29, None, "fields"), (53, None, "coordinates"), (59, None, "dimensions"), (31, None, "summary fields"), (37, None, "meta"), (13, None, "canvas"), (67, None, "items"), (11, 0, "label"), (41, 0, "item fields"), (47, 0, "bbox"), (61, 0, "item tags"), (7, 1, "bbox"))
+_each = " UNION ALL ".join(f"SELECT p_partkey AS record_id, {'NULL::INT' if item is None else item} AS item, '{rule}' AS rule FROM part WHERE NOT {BAD} AND p_partkey % {k} = 0" + (" AND p_partkey % 67 <> 0" if item is not None else "") for k, item, rule in _rules)
+
+
+@query(f"{_each} UNION ALL SELECT p_partkey, 1, 'text' FROM part WHERE NOT {BAD} AND (p_partkey % 5 = 0 OR p_partkey % 43 = 0) AND p_partkey % 67 <> 0")
 def g2_layout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_violations(layout.parse_layouts(documents(spark, sf_dir))[0])
+    return layout.layout_violations(layout.parse_layouts(documents(spark, sf_dir))[0], draft=True)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,20 +79,20 @@ def g4_center_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.center_boxes(layout.box_to_pixels(boxes(spark, sf_dir)).where("valid")).select("record_id", "cy1", "cx1", "cy2", "cx2")
 
 
-@query(f"SELECT CASE WHEN p_partkey % 11 = 0 THEN 'ghost' ELSE 'person' END AS label, count(*) AS n FROM part WHERE NOT {BAD} GROUP BY 1 UNION ALL SELECT 'text', count(*) FROM part WHERE NOT {BAD}")
+@query(f"SELECT CASE WHEN p_partkey % 11 = 0 THEN 'ghost' ELSE 'character' END AS label, count(*) AS n FROM part WHERE NOT {BAD} AND p_partkey % 67 <> 0 GROUP BY 1 UNION ALL SELECT 'text', count(*) FROM part WHERE NOT {BAD} AND p_partkey % 67 <> 0")
 def g5_layout_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.label_counts(layout.layout_items(layout.parse_layouts(documents(spark, sf_dir))[0]))
 
 
 @query(
-    f"WITH b AS (SELECT p_partkey AS r, 0 AS item, p_partkey % 20 AS x1, p_partkey % 10 AS y1, p_partkey % 20 + 30 AS x2, p_partkey % 10 + 40 AS y2 FROM part WHERE NOT {BAD} UNION ALL SELECT p_partkey, 1, 5, 5, 25, 30 FROM part WHERE NOT {BAD} AND p_partkey % 7 <> 0), p AS (SELECT o_orderkey AS point_id, o_orderkey % 2000 AS r, o_orderkey % 61 AS x, o_orderkey % 53 AS y FROM orders) "
-    "SELECT point_id, max(item) AS item FROM p JOIN b USING (r) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY 1"
+    f"WITH b AS (SELECT p_partkey AS r, 0 AS item, p_partkey % 20 AS x1, p_partkey % 10 AS y1, CASE WHEN p_partkey % 47 = 0 THEN 0 ELSE p_partkey % 20 + 30 END AS x2, p_partkey % 10 + 40.5 AS y2 FROM part WHERE NOT {BAD} AND p_partkey % 67 <> 0 UNION ALL SELECT p_partkey, 1, 5, 5, 25, 30 FROM part WHERE NOT {BAD} AND p_partkey % 67 <> 0 AND p_partkey % 7 <> 0), "
+    "p AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, l_partkey AS r, l_orderkey % 61 AS x, l_suppkey % 53 AS y FROM lineitem) SELECT point_id, max(item) AS item FROM p JOIN b USING (r) WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY 1"
 )
 def g6_boxes_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point in its part's layout for each line of an order."""
     items = layout.layout_items(layout.parse_layouts(documents(spark, sf_dir))[0]).where(F.size("box") == 4)
     items = items.select("record_id", "item", *[F.get("box", F.lit(k)).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
-    k = c("o_orderkey")
-    points = table(spark, sf_dir, "orders").select(k.alias("point_id"), (k % 2000).alias("record_id"), (k % 61).alias("x"), (k % 53).alias("y"))
+    points = table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 8 + c("l_linenumber")).alias("point_id"), c("l_partkey").alias("record_id"), (c("l_orderkey") % 61).alias("x"), (c("l_suppkey") % 53).alias("y"))
     return layout.boxes_at(items, points)
 
 
