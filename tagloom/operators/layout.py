@@ -74,7 +74,7 @@ def exact_number(text: Column) -> Column:
     fits = text.rlike(NUMBER) & (null | ((F.length(left) <= DIGITS) & (F.length(right) <= PLACES) & (F.abs(power) <= most)))
     i = F.when(null, F.lit(0)).otherwise(F.coalesce(F.nullif(left, F.lit("")).try_cast("long"), F.lit(0))).cast("long")
     g = F.when(null, F.lit("0")).otherwise(F.rpad(right, PLACES, "0")).try_cast(f"decimal({PLACES},0)")
-    unit = F.lit(10**PLACES).cast(f"decimal({PLACES + 1},0)")
+    unit = F.lit(str(10**PLACES)).cast(f"decimal({PLACES + 1},0)")
     below = sign == "-"
     number = F.struct(
         F.when(below, -i - F.when(g > 0, 1).otherwise(0)).otherwise(i).alias("i"),
@@ -85,8 +85,8 @@ def exact_number(text: Column) -> Column:
 
 def _moved(number: Column, size: Column) -> Column:
     """The number plus half of a size."""
-    half = F.lit(5 * 10 ** (PLACES - 1)).cast(f"decimal({PLACES + 1},0)")
-    unit = F.lit(10**PLACES).cast(f"decimal({PLACES + 1},0)")
+    half = F.lit(str(5 * 10 ** (PLACES - 1))).cast(f"decimal({PLACES + 1},0)")
+    unit = F.lit(str(10**PLACES)).cast(f"decimal({PLACES + 1},0)")
     g = number["g"] + F.when(F.pmod(size, F.lit(2)) == 1, half).otherwise(F.lit(0).cast(f"decimal({PLACES + 1},0)"))
     carry = g >= unit
     i = number["i"] + F.floor(size / 2).cast("long") + F.when(carry, 1).otherwise(0)
@@ -112,14 +112,14 @@ def _edges(box: Column, width: Column, height: Column, space: Column, form: Colu
 def _scaled(edge: Column, size: Column, preview: Column, up: bool) -> Column:
     """edge * size / preview in whole pixels, down or up: quotient and rest of the whole part, then the fraction on the rest."""
     product = edge["i"] * size.cast("long")
-    quotient, rest = F.floor(product / preview), F.pmod(product, preview)
-    # Division of longs goes by way of doubles; the rest gives the exact quotient.
-    quotient = F.round((product - rest).cast("decimal(38,0)") / preview.cast("decimal(20,0)"), 0).cast("long")
-    unit = F.lit(10**PLACES).cast("decimal(29,0)")
+    rest = F.pmod(product, preview)
+    # Quotients without a rest are exact as decimals.
+    quotient = ((product - rest).cast("decimal(20,0)") / preview.cast("decimal(10,0)")).cast("long")
+    unit = F.lit(str(10**PLACES)).cast("decimal(29,0)")
     over = (rest.cast("decimal(10,0)") * unit + edge["g"] * size.cast("decimal(10,0)")).cast("decimal(38,0)")
     under = (preview.cast("decimal(10,0)") * unit).cast("decimal(38,0)")
     more = F.pmod(over, under)
-    whole = F.round((over - more) / under, 0).cast("long")
+    whole = ((over - more) / under).cast("long")
     return quotient + whole + (F.when(more > 0, 1).otherwise(0) if up else F.lit(0))
 
 
