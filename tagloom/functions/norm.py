@@ -5,6 +5,8 @@ All are built-in expressions. A null input gives null unless stated; lists never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +99,20 @@ def format_tags(c: Column) -> Column:
     return F.array_join(F.transform(_filled(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+")), _spaced), ", ")
 
 
+def first_by(a: Column, key: Callable[[Column], Column]) -> Column:
+    """The first element of each key, in the order of the array.
+
+    Elements are sorted with their keys once and held against the one before; no expression is built again for every element.
+    """
+    ordered = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda s: s["k"]))
+    first = F.filter(F.zip_with(ordered, F.slice(before, F.lit(1), F.size(ordered)), lambda s, b: F.when(~s["k"].eqNullSafe(b), F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s.isNotNull())
+    return F.transform(F.array_sort(first), lambda s: s["x"])
+
+
 def dedupe_ci(a: Column) -> Column:
     """First spelling of each tag, compared without case; blanks go."""
-    tags = _filled(F.transform(a, lambda x: normalize_tag(x, "output")))
-    keys = F.transform(tags, lambda x: F.lower(x))
-    return F.filter(tags, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return first_by(_filled(F.transform(a, lambda x: normalize_tag(x, "output"))), lambda x: F.lower(x))
 
 
 def escape_parentheses(c: Column) -> Column:
@@ -204,6 +215,11 @@ def character_key(c: Column) -> Column:
     return normalize_tag(c, "character")
 
 
+def site_key(c: Column) -> Column:
+    """A tag as sites store it: trimmed, unescaped, lower case, with underscores."""
+    return normalize_tag(c, "compare")
+
+
 def candidate_keys(c: Column) -> Column:
     """Spellings under which a tag may be stored, distinct, in order of preference."""
     plain = _unescape(F.trim(c))

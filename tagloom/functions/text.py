@@ -103,10 +103,17 @@ def replace_phrases(c: Column, table: list[tuple[str, str]]) -> Column:
     return c
 
 
+# Lines that frame a report and are no part of it.
+FRAME_LINES = (">", "# <format>", "<format>", "</format>")
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def clean_report(c: Column) -> Column:
-    """Lines without braces and format lines; `## # ` headings mended; one outer quote off each end of a line."""
-    lines = F.transform(F.split(F.translate(c, "{}", ""), "\n"), lambda x: F.regexp_replace(F.regexp_replace(F.rtrim(x), r"^## # ", "## "), r'^"|"$', ""))
-    return F.trim(F.array_join(F.filter(lines, lambda x: ~x.rlike(r"(?i)^\s*format\s*:")), "\n"))
+    """Without braces and frame lines; `## # x` lines become `# x`; one quote goes off each end of the text."""
+    edges = lambda x: F.regexp_replace(x, r"^[\s\x1C-\x1F\x85\p{Z}]+|[\s\x1C-\x1F\x85\p{Z}]+$", "")
+    lines = F.filter(F.split(edges(F.translate(c, "{}", "")), LINE_BREAK), lambda x: ~edges(x).isin(*FRAME_LINES))
+    mended = F.transform(lines, lambda x: F.when(F.startswith(edges(x), F.lit("## # ")), F.concat(F.lit("# "), F.substring(edges(x), F.lit(6), F.length(x)))).otherwise(x))
+    return F.regexp_replace(F.regexp_replace(edges(F.array_join(mended, "\n")), r'^"', ""), r'"\z', "")
 
 
 def _credits(artists: Column) -> Column:
@@ -149,8 +156,8 @@ def clean_wiki(c: Column, cuts: tuple[str, ...] = CUTS) -> Column:
 
 
 def clean_reference(c: Column) -> Column:
-    """What stands before an h4 or h5 heading or a voice credit, on one line."""
-    return one_line(F.get(F.split(c, r"(?i)h[45]\.|voiced by"), F.lit(0)))
+    """What stands before the word h4 or h5 or a voice credit, on one line."""
+    return one_line(F.get(F.split(c, r"(?iU)\bh[45]\b|voiced by"), F.lit(0)))
 
 
 def accept_description(c: Column, banned: list[str]) -> Column:

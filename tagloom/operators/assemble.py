@@ -9,6 +9,7 @@ from tagloom.functions import norm
 from tagloom.operators.rules import split_by_membership
 
 NONE = F.array
+# The columns of a metadata row.
 FIELDS = ("md5", "post_id", "post_source", "characters", "copyright", "artists", "general", "meta", "rating", "safety tags", "period", "source", "score", "quality tag", "created_at", "year tag")
 
 
@@ -82,12 +83,13 @@ def enrich_metadata(new: DataFrame, old: DataFrame) -> DataFrame:
 def select_variants(rt: DataFrame, exclusions: DataFrame) -> DataFrame:
     """One tag per (record_id, display name): most parentheses, then longest, then first.
 
-    exclusions (older, newer): older goes if its newer partner is there.
+    exclusions (older, newer): older goes if its newer partner is there; all are met by their character keys.
     """
-    own = rt.select("record_id", "pos", "tag")
-    gone = own.join(exclusions, own["tag"] == F.col("older")).select("record_id", F.col("older").alias("tag"), F.col("newer"))
-    gone = gone.join(own.select("record_id", F.col("tag").alias("newer")), ["record_id", "newer"], "left_semi").select("record_id", "tag").distinct()
-    df = own.join(gone, ["record_id", "tag"], "left_anti").withColumn("name", norm.display_name(F.col("tag")))
+    own = rt.select("record_id", "pos", "tag", norm.character_key(F.col("tag")).alias("_key"))
+    pairs = exclusions.select(norm.character_key(F.col("older")).alias("_key"), norm.character_key(F.col("newer")).alias("_newer")).distinct()
+    gone = own.join(pairs, "_key").select("record_id", "_key", "_newer")
+    gone = gone.join(own.select("record_id", F.col("_key").alias("_newer")).distinct(), ["record_id", "_newer"], "left_semi").select("record_id", "_key").distinct()
+    df = own.join(gone, ["record_id", "_key"], "left_anti").withColumn("name", norm.display_name(F.col("tag"))).where("name <> ''")
     order = Window.partitionBy("record_id", F.lower("name")).orderBy(F.desc(F.length("tag") - F.length(F.replace(F.col("tag"), F.lit("("), F.lit("")))), F.desc(F.length("tag")), "pos")
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("record_id", "pos", "tag", "name")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.norm import candidate_keys, is_quality, normalize_tag
+from tagloom.functions.norm import candidate_keys, first_by, is_quality, normalize_tag, site_key
 
 # Codes and names of categories, words of safety and of periods.
 NAMES = {0: "general", 1: "artist", 3: "copyright", 4: "character", 5: "meta"}
@@ -24,16 +24,17 @@ def resolve_category(tags: DataFrame, categories: DataFrame) -> DataFrame:
 def classes(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(record_id, a list per class, unresolved): each record's tags by first position, unresolved ones in order.
 
-    Quality, safety and period words come first; categories that a record itself states, known (record_id, tag, category),
-    beat the lookup. A record's tags meet once.
+    Quality, safety and period words come first; categories that a record itself states, known (record_id, tag, category), beat
+    the lookup, the largest where it states several. Tags and stated ones meet by their site keys, and of several spellings
+    with one key only the first stays. A record's tags meet once.
     """
     found = rt.join(resolve_category(rt, categories), "tag", "left")
     own = found.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "category"))).alias("rows"))
     if known is not None:
-        stated = known.groupBy("record_id", "tag").agg(F.min("category").alias("category"))
-        stated = stated.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "category"))).alias("_own"))
+        stated = known.groupBy("record_id", site_key(F.col("tag")).alias("key")).agg(F.max("category").alias("category"))
+        stated = stated.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "category"))).alias("_own"))
         own = own.join(stated, "record_id", "left")
-        category = lambda r: F.coalesce(F.element_at("_own", r["tag"]), r["category"])
+        category = lambda r: F.coalesce(F.try_element_at("_own", site_key(r["tag"])), r["category"])
     else:
         category = lambda r: r["category"]
 
@@ -44,8 +45,8 @@ def classes(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None
             out = out.when(category(r) == code, name)
         return F.struct(r["tag"].alias("tag"), out.alias("kind"))
 
-    # The category of a tag is the same in all its rows, so the first of equal structs is its first position.
-    own = own.select("record_id", F.array_distinct(F.transform("rows", kind)).alias("kinds"))
+    first = first_by(F.col("rows"), lambda r: site_key(r["tag"]))
+    own = own.select("record_id", F.transform(first, kind).alias("kinds"))
     of = lambda test: F.transform(F.filter("kinds", test), lambda r: r["tag"])
     in_class = lambda name: of(lambda r: r["kind"] == name).alias(name)
     lists = [in_class(n) for n in ("quality", "safety", "period", *NAMES.values())]
@@ -101,7 +102,8 @@ def select_predicted(scores: DataFrame, labels: DataFrame, banned: DataFrame, fa
     """(record_id, rank, label, score) by descending score, and rejects (record_id).
 
     scores (record_id, label, score), labels (label, category, threshold). A label's own threshold counts if it lies in
-    [0, 1], else its category's. Records with scores that are missing, doubled, not finite or outside [0, 1] are rejected.
+    [0, 1], else its category's. Labels of categories without one (ratings) are never selected, but need a score as well; banned
+    tags are met by their site keys. Records with scores that are missing, doubled, not finite or outside [0, 1] are rejected.
     """
     odd = F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1)
     total = labels.agg(F.count("*").alias("_total"))
@@ -112,7 +114,8 @@ def select_predicted(scores: DataFrame, labels: DataFrame, banned: DataFrame, fa
     for code, limit in fallback.items():
         by = F.when(F.col("category") == code, F.lit(limit)).otherwise(by)
     limit = F.lit(override) if override is not None else F.when(F.col("threshold").between(0, 1), F.col("threshold")).otherwise(by)
-    good = scores.join(rejects, "record_id", "left_anti").join(labels, "label").where(F.col("score") >= limit).join(banned.select("label"), "label", "left_anti")
+    usable = labels.where(F.col("category").isin(*fallback)).withColumn("_key", site_key(F.col("label"))).join(banned.select(site_key(F.col("label")).alias("_key")), "_key", "left_anti").drop("_key")
+    good = scores.join(rejects, "record_id", "left_anti").join(usable, "label").where(F.col("score") >= limit)
     rank = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("score"), "label"))
     return good.select("record_id", rank.alias("rank"), "label", "score"), rejects
 

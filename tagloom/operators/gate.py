@@ -1,5 +1,10 @@
 """Admission: which records, posts and requests enter a pipeline.
 
+The gate A1 drops records by their tags. Its own words block a tag that is one of them or holds one as a word, so that compounds
+(with a space, a hyphen or parentheses) don't pass; they are part of an expression. Callers add whole tags to them and can't
+take any away. Tags in a row are judged in that row, without a shuffle; a caller's table of more than some hundred tags is
+joined instead.
+
 Rule tables are arguments. Tables that a caller is meant to keep small (rules, folders, ratings) are left to the
 planner, which broadcasts them by their size; nothing is forced.
 """
@@ -9,8 +14,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tags that always block a record: minors in words, and animated posts. Callers add to the table; they can't shrink it.
-ALWAYS_BLOCKED = ("animated", "child", "children", "kid", "loli", "lolicon", "minor", "shota", "shotacon", "toddler", "toddlercon", "underage")
+from tagloom.operators.literals import small_rows
+
+#: Words that always block a record, alone or inside a tag: minors in words, and animated posts.
+ALWAYS_BLOCKED = (
+    "age regression",
+    "aged down",
+    "animated",
+    "child",
+    "childlike",
+    "children",
+    "infant",
+    "infants",
+    "juvenile",
+    "kid",
+    "kids",
+    "kindergarten",
+    "kindergartener",
+    "loli",
+    "lolicon",
+    "lolidom",
+    "lolis",
+    "minor",
+    "minors",
+    "preschool",
+    "preschooler",
+    "preteen",
+    "preteens",
+    "prepubescent",
+    "schoolboy",
+    "schoolchild",
+    "schoolchildren",
+    "shota",
+    "shotacon",
+    "shotadom",
+    "shotas",
+    "teen",
+    "teenage",
+    "teenager",
+    "teenagers",
+    "teens",
+    "toddler",
+    "toddlercon",
+    "toddlers",
+    "tween",
+    "underage",
+    "underaged",
+)
 MD5 = r"^[0-9a-f]{32}$"
 IMAGE_TYPES = ("jpg", "jpeg", "png", "webp")
 
@@ -21,28 +71,84 @@ def unescape_html(c: Column) -> Column:
     return c
 
 
-def gate_records(record_tags: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """(record_id, matched, rows): each record once, its blocked tags in order (none: empty), and its other columns as structs."""
-    spark = record_tags.sparkSession
-    always = spark.createDataFrame([(t,) for t in ALWAYS_BLOCKED], "tag string")
-    rules = always if blocked is None else always.unionAll(blocked.select("tag"))
-    rules = rules.select(F.lower(F.replace(F.trim("tag"), F.lit("_"), F.lit(" "))).alias("_blocked")).distinct()
-    form = F.lower(F.replace(F.trim(unescape_html(F.col("tag"))), F.lit("_"), F.lit(" ")))
-    tagged = record_tags.join(rules, form == F.col("_blocked"), "left")
-    rows = F.collect_list(F.struct(*[c for c in record_tags.columns if c != "record_id"])).alias("rows")
-    return tagged.groupBy("record_id").agg(F.array_sort(F.collect_set("_blocked")).alias("matched"), rows)
+def blocking_form(tag: Column) -> Column:
+    """What tags are compared by: unescaped, lower case, with spaces."""
+    return F.lower(F.replace(F.trim(unescape_html(tag)), F.lit("_"), F.lit(" ")))
+
+
+def always_blocked(tag: Column) -> Column:
+    """The words of a tag that block it in any case, as they occur; null for a null tag."""
+    words = "|".join(w.replace(" ", r"[\s-]+") for w in sorted(ALWAYS_BLOCKED, key=len, reverse=True))
+    found = F.regexp_extract_all(blocking_form(tag), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(w, r"[\s-]+", " "))
+
+
+def _forms(blocked: DataFrame) -> DataFrame:
+    return blocked.where("tag is not null").select(blocking_form(F.col("tag")).alias("_blocked")).distinct()
+
+
+def _own_matches(tag: Column, forms: list[str]) -> Column:
+    """The array of what blocks a tag: always-blocked words in it, and itself if it is among forms."""
+    words = F.coalesce(always_blocked(tag), F.array().cast("array<string>"))
+    if not forms:
+        return words
+    form = blocking_form(tag)
+    return F.when(F.coalesce(form.isin(forms), F.lit(False)), F.concat(words, F.array(form))).otherwise(words)
+
+
+def tag_matches(record_tags: DataFrame, blocked: DataFrame | None = None, small: int | None = None) -> DataFrame:
+    """record_tags with `_matches`, what blocks each tag."""
+    rows = [] if blocked is None else small_rows(_forms(blocked), small)
+    if rows is not None:
+        return record_tags.withColumn("_matches", _own_matches(F.col("tag"), [r[0] for r in rows]))
+    joined = record_tags.join(_forms(blocked), blocking_form(F.col("tag")) == F.col("_blocked"), "left")
+    return joined.withColumn("_matches", F.array_compact(F.array_append(_own_matches(F.col("tag"), []), F.col("_blocked")))).drop("_blocked")
+
 
+def gate_records(record_tags: DataFrame, blocked: DataFrame | None = None, small: int | None = None) -> DataFrame:
+    """(record_id, matched): each record once, with what blocks it in order (nothing: empty). Only matches are gathered."""
+    rows = tag_matches(record_tags, blocked, small).select("record_id", F.explode_outer("_matches").alias("m"))
+    return rows.groupBy("record_id").agg(F.array_sort(F.collect_set("m")).alias("matched"))
 
-def blocked_matches(record_tags: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """(record_id, matched): sorted blocked tags of each record that has any."""
-    return gate_records(record_tags, blocked).where(F.size("matched") > 0).select("record_id", "matched")
+
+def blocked_matches(record_tags: DataFrame, blocked: DataFrame | None = None, small: int | None = None) -> DataFrame:
+    """(record_id, matched): what blocks each record that is blocked, in order; no other record is shuffled."""
+    rows = tag_matches(record_tags, blocked, small).select("record_id", F.explode("_matches").alias("m"))
+    return rows.groupBy("record_id").agg(F.array_sort(F.collect_set("m")).alias("matched"))
+
+
+def exclude_blocked(record_tags: DataFrame, blocked: DataFrame | None = None, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A1: the tags of records without a blocked tag, and (record_id, matched) of the rest.
+
+    The ids of blocked records are held against the tags, by broadcast where the planner finds them few. Rows without an id
+    are one record. A null tag blocks nothing.
+    """
+    rejects = blocked_matches(record_tags, blocked, small)
+    kept = record_tags.join(rejects.select(F.col("record_id").alias("_id")), F.col("record_id").eqNullSafe(F.col("_id")), "left_anti")
+    return kept, rejects
+
+
+def with_matches(records: DataFrame, col: str, blocked: DataFrame | None = None, key: str = "record_id", small: int | None = None) -> DataFrame:
+    """records with `matched`: what blocks the tags in array column `col`, in order. A null array has nothing.
+
+    In the row, unless blocked has many tags: then those of the array are joined, and meet again by key.
+    """
+    rows = [] if blocked is None else small_rows(_forms(blocked), small)
+    none = F.array().cast("array<string>")
+    if rows is not None:
+        forms = [r[0] for r in rows]
+        found = F.flatten(F.transform(F.filter(col, lambda t: t.isNotNull()), lambda t: _own_matches(t, forms)))
+        return records.withColumn("matched", F.coalesce(F.array_sort(F.array_distinct(found)), none))
+    tags = records.select(F.col(key).alias("record_id"), F.explode(col).alias("tag"))
+    bad = blocked_matches(tags, blocked, small).select(F.col("record_id").alias("_id"), F.col("matched").alias("_matched"))
+    joined = records.join(bad, F.col(key).eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn("matched", F.coalesce("_matched", none)).drop("_id", "_matched")
 
 
-def exclude_blocked(record_tags: DataFrame, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """A1: the tags of records without a blocked tag, and (record_id, matched) of the rest."""
-    records = gate_records(record_tags, blocked)
-    kept = records.where(F.size("matched") == 0).select("record_id", F.inline("rows")).select(*record_tags.columns)
-    return kept, records.where(F.size("matched") > 0).select("record_id", "matched")
+def exclude_blocked_rows(records: DataFrame, col: str = "tags", blocked: DataFrame | None = None, key: str = "record_id", small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A1 for tags in a row: records (with an array of tags) that nothing blocks, and the others with `matched`."""
+    judged = with_matches(records, col, blocked, key, small)
+    return judged.where(F.size("matched") == 0).drop("matched"), judged.where(F.size("matched") > 0)
 
 
 def valid_ids(df: DataFrame, col: str) -> DataFrame:
@@ -92,14 +198,16 @@ def filter_posts(posts: DataFrame, rating: str, required_tag: str | None = None)
     return out.where(F.array_contains("tags", required_tag)) if required_tag else out
 
 
-SCORE = r"^score:(>=|<=|>|<)?(-?\d+)$"
+SCORE = r"^score:(>=|<=|>|<|=)?(-?\d+)$"
+# The names of ratings that a search can ask for.
+RATING_NAMES = ("g", "general", "s", "sensitive", "safe", "q", "questionable", "e", "explicit")
 
 
 def parse_query(df: DataFrame, col: str = "query") -> DataFrame:
     """Tag, rating, score_op, score_value, flag and valid of a search string.
 
-    Sort words are dropped. Valid means one positive tag beside at most one rating, score filter and flag tag. A query that
-    is only the flag tag has it as its tag.
+    Sort words are dropped. Valid means one positive tag beside at most one rating of a known name, one score filter and the flag
+    tag. A query that is only the flag tag has it as its tag. A null query has no tag and is not valid.
     """
     words = F.filter(F.split(F.lower(F.trim(col)), r"\s+"), lambda w: (w != "") & ~w.isin("order:score", "sort:score"))
     df = df.withColumn("_w", words)
@@ -110,11 +218,12 @@ def parse_query(df: DataFrame, col: str = "query") -> DataFrame:
     flag = (F.size("_t") > 1) & (F.size(F.filter("_t", lambda w: w == "official_art")) == 1)
     df = df.withColumn("flag", flag).withColumn("_t", F.when(flag, F.array_remove("_t", "official_art")).otherwise(F.col("_t")))
     tag, score = F.get("_t", F.lit(0)), F.get("_s", F.lit(0))
-    valid = (F.size("_t") == 1) & (F.size("_s") <= 1) & (F.size("_r") <= 1) & ~F.coalesce(F.startswith(tag, F.lit("-")), F.lit(True)) & ~tag.rlike("^(order|sort|score):")
+    rating = F.substring(F.get("_r", F.lit(0)), F.lit(8), F.length(F.get("_r", F.lit(0))))
+    valid = (F.size("_t") == 1) & (F.size("_s") <= 1) & (F.size("_r") <= 1) & (rating.isNull() | rating.isin(*RATING_NAMES)) & ~F.coalesce(F.startswith(tag, F.lit("-")), F.lit(True)) & ~tag.rlike("^(order|sort|score):")
     out = df.select(
         *[c for c in df.columns if not c.startswith("_") and c != "flag"],
         tag.alias("tag"),
-        F.substring(F.get("_r", F.lit(0)), 8, 20).alias("rating"),
+        rating.alias("rating"),
         F.when(score.isNotNull(), F.when(F.regexp_extract(score, SCORE, 1) == "", "=").otherwise(F.regexp_extract(score, SCORE, 1))).alias("score_op"),
         F.regexp_extract(score, SCORE, 2).try_cast("int").alias("score_value"),
         "flag",
@@ -130,10 +239,8 @@ def score_matches(score: Column, op: Column, value: Column) -> Column:
 
 def triage_posts(posts: DataFrame, existing: DataFrame, blocked: DataFrame) -> DataFrame:
     """A10: posts (id, md5, tags, file_url, file_ext) with outcome: blacklisted, unavailable, skipped or eligible."""
-    tags = posts.select(F.col("id").alias("record_id"), F.explode("tags").alias("tag"))
-    bad = blocked_matches(tags, blocked).select(F.col("record_id").alias("id"), F.lit(True).alias("_bad"))
     have = existing.select(F.lower("md5").alias("_md5")).distinct().withColumn("_have", F.lit(True))
-    df = posts.join(bad, "id", "left").join(have, F.lower(F.col("md5")) == F.col("_md5"), "left")
+    df = with_matches(posts, "tags", blocked, "id").withColumn("_bad", F.size("matched") > 0).join(have, F.lower(F.col("md5")) == F.col("_md5"), "left")
     outcome = (
         F.when(F.col("_bad"), "blacklisted")
         .when(~F.coalesce(F.lower("md5").rlike(MD5), F.lit(False)), "unavailable")

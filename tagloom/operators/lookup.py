@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.norm import strip
 from tagloom.functions.text import strip_credit
 from tagloom.sources.io import upsert
 
@@ -25,17 +26,23 @@ def lookup_captions(df: DataFrame, wanted: DataFrame | None = None, key: str = "
     return rows.groupBy("md5").agg(F.min_by("caption", F.struct("_file", "_row")).alias("caption"))
 
 
-def reconstruct_reports(df: DataFrame, structured: list[str], long: list[str], short: str, extra: list[str], lists: list[str], wanted: DataFrame | None = None) -> DataFrame:
-    """(name, report) from sparse columns: the first non-empty structured, long and short text, each once, then extra
-    sections under their names and list columns joined by commas; rows without any text give no report."""
-    first = lambda names: F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
-    parts = [first(structured), first(long), first([short])]
-    extras = [F.when(F.trim(n) != "", F.concat(F.lit(f"{n}: "), F.trim(n))) for n in extra]
-    joined = [F.when(F.size(F.col(n)) > 0, F.concat(F.lit(f"{n}: "), F.array_join(n, ", "))) for n in lists]
-    report = F.array_join(F.array_compact(F.concat(F.array_distinct(F.array(*parts)), F.array(*extras, *joined))), "\n")
-    rows = df.select(F.lower(F.trim("name")).alias("name"), report.alias("report"), "_file", "_row").where("name <> '' and report <> ''")
+def reconstruct_reports(df: DataFrame, structured: list[str], long: list[str], short: str, headings: tuple[str, str, str], extra: list[tuple[str, str]], lists: list[tuple[str, str]], wanted: DataFrame | None = None) -> DataFrame:
+    """(name, report) from sparse columns, in sections with a heading each.
+
+    The first section has the first non-empty structured text, or else the long one, or the short one; without any of them
+    there is no report. Then come the first long and the short text, each unless an earlier section has it, then extra columns and
+    list columns (joined by commas) under their headings: (column, heading). The first row with a report wins.
+    """
+    text = lambda n: F.nullif(strip(F.col(n)), F.lit(""))
+    x, y, z = F.coalesce(*map(text, structured)), F.coalesce(*map(text, long)), text(short)
+    section = lambda h, t: F.concat(F.lit(f"# {h}\n\n"), t)
+    main = F.coalesce(x, y, z)
+    parts = [section(headings[0], main), section(headings[1], F.when(y != main, y)), section(headings[2], F.when((z != main) & ~z.eqNullSafe(y), z))]
+    parts += [section(h, text(n)) for n, h in extra] + [section(h, F.when(F.size(F.col(n)) > 0, F.array_join(n, ", "))) for n, h in lists]
+    report = F.when(main.isNotNull(), strip(F.array_join(F.array_compact(F.array(*parts)), "\n\n")))
+    rows = df.select(F.lower(strip(F.col("name"))).alias("name"), report.alias("report"), "_file", "_row").where("name <> '' and report <> ''")
     if wanted is not None:
-        rows = rows.join(wanted.select(F.lower(F.trim("name")).alias("name")).distinct(), "name", "left_semi")
+        rows = rows.join(wanted.select(F.lower(strip(F.col("name"))).alias("name")).distinct(), "name", "left_semi")
     return rows.groupBy("name").agg(F.min_by("report", F.struct("_file", "_row")).alias("report"))
 
 
@@ -66,14 +73,17 @@ def resolve_cached(requests: DataFrame, cache: DataFrame, canonical: Callable[[C
     """D3: requests (request_id, image_hash, caption_kind, model, prompt) with the cached caption, if any, and its tier.
 
     Tier 0: the key over the canonical prompt; 1: over the prompt as it is; 2: the newest entry of the same image, kind
-    and model whose prompt is canonically equal. Blank captions never hit.
+    and model. In all of them the entry's own image, kind, model and canonical prompt must be the request's, since a key
+    may have been made by other rules. Blank captions never hit.
     """
-    c = cache.where(F.trim("caption") != "")
+    c = cache.where(strip(F.col("caption")) != "")
     r = requests.select("request_id", "image_hash", "caption_kind", "model", "prompt", canonical(F.col("prompt")).alias("_c"))
     part = ("image_hash", "caption_kind", "model")
     key = lambda p: cache_key(*[F.col(x) for x in part], F.col(p))
     keys = r.select("request_id", F.explode(F.array(F.struct(F.lit(0).alias("tier"), key("_c").alias("k")), F.struct(F.lit(1).alias("tier"), key("prompt").alias("k")))).alias("x")).select("request_id", "x.tier", F.col("x.k").alias("cache_key"))
-    by_key = keys.join(c, "cache_key").select("request_id", "tier", "seq", "caption")
+    stored = c.select("cache_key", "seq", "caption", *[F.col(x).alias(f"_{x}") for x in part], canonical(F.col("prompt")).alias("_p"))
+    met = keys.join(stored, "cache_key").join(r.drop("prompt"), "request_id")
+    by_key = met.where((F.col("_p") == F.col("_c")) & (F.col("_image_hash") == F.col("image_hash")) & (F.col("_caption_kind") == F.col("caption_kind")) & (F.col("_model") == F.col("model"))).select("request_id", "tier", "seq", "caption")
     same = r.withColumnRenamed("_c", "_p").join(c.select(*part, canonical(F.col("prompt")).alias("_p"), "seq", "caption"), [*part, "_p"]).select("request_id", F.lit(2).alias("tier"), "seq", "caption")
     best = by_key.unionAll(same).groupBy("request_id").agg(F.min_by(F.struct("tier", "caption"), F.struct("tier", -F.col("seq"))).alias("b"))
     return requests.join(best, "request_id", "left").select(*requests.columns, F.col("b.tier").alias("tier"), F.col("b.caption").alias("caption"))
@@ -96,11 +106,17 @@ def alias_cache(cache: DataFrame, pairs: DataFrame, skip_kind: str = "spatial")
 
 
 def upgrade_candidates(local: DataFrame, posts: DataFrame, edge: int = 3000) -> DataFrame:
-    """(md5, width, height) of posts whose edges, scaled down to `edge`, are both larger than the local image's."""
+    """(md5, width, height) of posts that may be larger than the local image.
+
+    They are if the longer or the shorter edge, scaled so that the longer one is at most `edge`, exceeds the local one. Sizes
+    that are missing or not positive are unknown, and such posts stay.
+    """
     df = local.select("md5", F.greatest("width", "height").alias("_l"), F.least("width", "height").alias("_s")).join(posts.select("md5", "width", "height"), "md5")
-    long, short = F.greatest("width", "height"), F.least("width", "height")
-    scale = F.least(F.lit(1.0), F.lit(float(edge)) / long)
-    return df.where((F.floor(long * scale) > F.col("_l")) & (F.floor(short * scale) > F.col("_s"))).select("md5", "width", "height")
+    long, short = F.greatest("width", "height").cast("double"), F.least("width", "height").cast("double")
+    scale = F.least(F.lit(1.0), F.try_divide(F.lit(float(edge)), long))
+    known = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    larger = (long * scale > F.col("_l")) | (short * scale > F.col("_s"))
+    return df.where(~known | F.coalesce(larger, F.lit(True))).select("md5", "width", "height")
 
 
 def first_source(wanted: DataFrame, sources: list[DataFrame], key: str = "md5") -> DataFrame:

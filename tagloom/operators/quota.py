@@ -43,20 +43,39 @@ def quota_gap(requests: DataFrame, counts: DataFrame, filled: DataFrame, keys: t
 
 
 def dedupe_posts(posts: DataFrame) -> DataFrame:
-    """One post per id, else per md5; posts with neither stay."""
-    key = F.coalesce(F.col("id").cast("string"), F.col("md5"))
-    keyed = posts.where(key.isNotNull()).groupBy(key.alias("_k")).agg(F.min(F.struct(*posts.columns)).alias("_r")).select("_r.*")
-    return keyed.unionAll(posts.where(key.isNull()))
-
-
-def underfilled(candidates: DataFrame, counts: DataFrame, targets: dict[str, int], absent_only: bool = False) -> DataFrame:
-    """(tag, missing map<stratum, target>) of candidates (tag) with a stratum below its target, or with none at all."""
-    per = counts.where(F.col("stratum").isNotNull()).groupBy("tag").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("_n"))
-    df = candidates.select("tag").distinct().join(per, "tag", "left")
-    wanted = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))])
-    have = lambda k: F.coalesce(F.element_at(F.col("_n"), k), F.lit(0))
-    missing = F.map_filter(wanted, lambda k, v: have(k) == 0 if absent_only else have(k) < v)
-    return df.select("tag", missing.alias("missing")).where(F.size("missing") > 0)
+    """One post per id, else per md5, else per whole row; the least row of each stays.
+
+    An id of zero and empty texts count as missing.
+    """
+    missing = F.col("id").cast("string") == "" if posts.schema["id"].dataType.typeName() == "string" else F.col("id") == 0
+    named = F.coalesce(F.when(~F.coalesce(missing, F.lit(True)), F.col("id").cast("string")), F.nullif("md5", F.lit("")))
+    keyed = posts.where(named.isNotNull()).groupBy(named.alias("_k")).agg(F.min(F.struct(*posts.columns)).alias("_r")).select("_r.*")
+    return keyed.unionAll(posts.where(named.isNull()).distinct())
+
+
+def underfilled(candidates: DataFrame, counts: DataFrame, targets: dict[str, int] | None = None, absent_only: bool = False, total_target: int = 0, flag_target: int = 0) -> DataFrame:
+    """(tag, current, missing map<stratum, target>, flag_target) of candidates (tag) for which anything is missing.
+
+    counts (tag, stratum, flag, n) as of `quota_snapshot`; a tag that has none of a kind counts as 0. With targets by stratum,
+    those strata are missing that have fewer; without them (missing is null) a tag is if it has fewer than total_target in
+    all. flag_target is 0 where enough posts of the tag have the flag. Tags that need neither go, and with `absent_only` all
+    that have any post at all.
+    """
+    n = lambda test: F.coalesce(F.max(F.when(test, F.col("n"))), F.lit(0))
+    any_stratum, flagged = F.col("stratum").isNull(), F.coalesce("flag", F.lit(False))
+    strata = F.collect_list(F.when(~any_stratum & ~flagged, F.struct("stratum", "n")))
+    per = counts.groupBy("tag").agg(n(any_stratum & ~flagged).alias("_all"), n(any_stratum & flagged).alias("_flag"), F.map_from_entries(strata).alias("_n"))
+    df = candidates.select("tag").distinct().join(per, "tag", "left").select("tag", F.coalesce("_all", F.lit(0)).alias("current"), F.coalesce("_flag", F.lit(0)).alias("_flag"), "_n")
+    have = lambda k: F.coalesce(F.try_element_at(F.col("_n"), k), F.lit(0))
+    if targets is None:
+        missing, short = F.lit(None).cast("map<string,int>"), F.col("current") < total_target
+    else:
+        wanted = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))])
+        missing = F.map_filter(wanted, lambda k, v: have(k) < v)
+        short = F.size(missing) > 0
+    flag = F.when(F.col("_flag") < flag_target, flag_target).otherwise(0)
+    out = df.where(short | (flag > 0)).select("tag", "current", missing.alias("missing"), flag.alias("flag_target"))
+    return out.where("current = 0") if absent_only else out
 
 
 def history_filter(candidates: DataFrame, versions: DataFrame, cutoff: Column) -> DataFrame:

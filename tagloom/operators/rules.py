@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.norm import normalize_tag, parse_tags
+from tagloom.operators.literals import small_rows
 
 
 def explode_tags(records: DataFrame, col: str) -> DataFrame:
@@ -28,9 +29,14 @@ def first_occurrences(rt: DataFrame) -> DataFrame:
     return rt.groupBy("record_id", "tag").agg(F.min("pos").alias("pos")).select("record_id", "pos", "tag")
 
 
+def _replacements(mapping: DataFrame) -> DataFrame:
+    """(_old, _new) in clean form; the smallest new of each old."""
+    return mapping.select(normalize_tag(F.col("old")).alias("_old"), normalize_tag(F.col("new")).alias("_new")).where("_old <> '' and _new <> ''").groupBy("_old").agg(F.min("_new").alias("_new"))
+
+
 def replace_tags(rt: DataFrame, mapping: DataFrame) -> DataFrame:
     """Tags replaced through mapping (old, new), both normalised; if old repeats, its smallest new counts."""
-    m = mapping.select(normalize_tag(F.col("old")).alias("_old"), normalize_tag(F.col("new")).alias("_new")).where("_old <> '' and _new <> ''").groupBy("_old").agg(F.min("_new").alias("_new"))
+    m = _replacements(mapping)
     return rt.join(m, rt["tag"] == F.col("_old"), "left").select(*[F.coalesce("_new", "tag").alias("tag") if c == "tag" else c for c in rt.columns])
 
 
@@ -98,9 +104,50 @@ def apply_rules(rt: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, _fired(records)
 
 
-def clean_tags(records: DataFrame, col: str, mapping: DataFrame, exact: DataFrame, fragments: DataFrame, rules: DataFrame) -> DataFrame:
+def clean_in_row(tags: Column, mapping: dict[str, str], exact: list[str], fragments: list[str]) -> Column:
+    """C1 and C2 on an array of parsed tags, then first occurrences."""
+    if mapping:
+        table = F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair])
+        tags = F.transform(tags, lambda t: F.coalesce(F.try_element_at(table, t), t))
+    if exact:
+        tags = F.filter(tags, lambda t: ~t.isin(exact))
+    if fragments:
+        tags = F.filter(tags, lambda t: ~F.exists(F.array(*map(F.lit, fragments)), lambda f: F.contains(t, f)))
+    return F.array_distinct(tags)
+
+
+def apply_in_row(df: DataFrame, col: str, rules: dict[str, list[str]]) -> DataFrame:
+    """C4 on an array column of distinct tags: those go that a rule removes, by the tags as they came. rules: tag to the tags that remove it."""
+    if not rules:
+        return df
+    table = F.create_map(*[x for tag, present in sorted(rules.items()) for x in (F.lit(tag), F.array(*map(F.lit, sorted(present))))])
+    kept = F.filter(col, lambda t: ~F.coalesce(F.arrays_overlap(F.try_element_at(table, t), F.col(col)), F.lit(False)))
+    return df.withColumn(col, kept)
+
+
+def clean_tags(records: DataFrame, col: str, mapping: DataFrame, exact: DataFrame, fragments: DataFrame, rules: DataFrame, small: int | None = None) -> DataFrame:
     """(record_id, tags): parse, replace, ignore, first occurrences, conditional removal; empty lists stay.
 
+    With rule tables of some hundred rows all of it runs in the row, without a shuffle; larger ones are joined. A null text has no
+    tags, null rules are left out, repeated records give repeated rows in the row and one row by joins.
+    """
+    tables = [
+        small_rows(t, small)
+        for t in (_replacements(mapping), exact.where("tag is not null").select("tag"), fragments.where("fragment is not null").select("fragment"), rules.where("remove is not null and present is not null").select("remove", "present"))
+    ]
+    if any(t is None for t in tables):
+        return _clean_by_joins(records, col, mapping, exact, fragments, rules)
+    old, whole, parts, pairs = tables
+    present: dict[str, list[str]] = {}
+    for r in pairs:
+        present.setdefault(r.remove, []).append(r.present)
+    df = records.select("record_id", clean_in_row(parse_tags(F.col(col)), {r[0]: r[1] for r in old}, [r[0] for r in whole], [r[0] for r in parts]).alias("tags"))
+    return apply_in_row(df, "tags", present)
+
+
+def _clean_by_joins(records: DataFrame, col: str, mapping: DataFrame, exact: DataFrame, fragments: DataFrame, rules: DataFrame) -> DataFrame:
+    """C6 for rule tables of any size but the fragments, which every tag is held against.
+
     Ignored tags become null rather than go, so that a record without any tag left is still there.
     """
     rt = records.select("record_id", F.posexplode_outer(parse_tags(F.col(col))).alias("pos", "tag"))

@@ -38,11 +38,11 @@ def category_histogram(counts: DataFrame, categories: DataFrame) -> DataFrame:
 def tag_stats(counts: DataFrame, categories: DataFrame, total: DataFrame, least: int = 1, most: int | None = None, contains: str = "", category: str | None = None, sort: tuple[str, bool] = ("images", True)) -> DataFrame:
     """E5: counts with category and percent of all images, filtered and sorted; ties go by tag in the same direction.
 
-    total is one row (total).
+    total is one row (total); where it is 0, so are all percentages.
     """
     df = counts.join(categories, "tag", "left").withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit("Unknown")))
     df = df.crossJoin(F.broadcast(total.select(F.col("total").alias("_total"))))
-    df = df.withColumn("percent", F.round(F.col("images") * 100.0 / F.col("_total"), 2)).drop("_total")
+    df = df.withColumn("percent", F.coalesce(F.round(F.try_divide(F.col("images") * F.lit(100.0), F.col("_total")), 2), F.lit(0.0))).drop("_total")
     df = df.where(F.col("images") >= least)
     if most is not None:
         df = df.where(F.col("images") <= most)

@@ -164,9 +164,15 @@ def f14_replace_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("record_id", T.replace_phrases(c("text"), [("of", "X"), ("the", "D"), ("tion of", "T")]).alias("replaced"))
 
 
-@query(r"""SELECT doc_id AS record_id, trim('## head' || chr(10) || array_to_string(list_transform(list_filter(string_split(translate(text, '{}', ''), chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\s*format\s*:')), lambda x: regexp_replace(regexp_replace(rtrim(x, ' '), '^## # ', '## '), '^"|"$', '', 'g')), chr(10)) || chr(10) || 'w', ' ') AS report FROM documents""")
+_edge = r"[\s\x0B\x1C-\x1F\x{85}\pZ]+"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, regexp_split_to_array(translate(text, '{{}}', ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM documents), e AS (SELECT doc_id, list_transform(lines, lambda x: struct_pack(x := x, s := regexp_replace(x, '^{_edge}|{_edge}$', '', 'g'))) AS lines FROM d)
+ SELECT doc_id AS record_id, '## # head' || chr(10) || array_to_string(list_transform(list_filter(lines, lambda x: x.s NOT IN ('>', '# <format>', '<format>', '</format>')), lambda x: CASE WHEN starts_with(x.s, '## # ') THEN '# ' || substr(x.s, 6) ELSE x.x END), chr(10)) || chr(10) || '# tail' AS report FROM e"""
+)
 def f15_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("## # head\nFormat: x\n"), "text", F.lit('\n"{w}"'))
+    t = F.concat(F.lit(' {"## # head\n <format>\r\n'), "text", F.lit('\n>\n## # tail"} '))
     return docs(spark, sf_dir).select("record_id", T.clean_report(t).alias("report"))
 
 
@@ -189,9 +195,9 @@ def f17_clean_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.clean_wiki(t).alias("cleaned"))
 
 
-@query(r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM benchmark")
+@query(r"SELECT item_id, trim('at oh4.com h4x ' || regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM benchmark")
 def f18_clean_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_reference(F.concat("text", F.lit("\nH5. Notes\nmore"))).alias("cleaned"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_reference(F.concat(F.lit("at oh4.com h4x "), "text", F.when(c("item_id") % 2 == 0, "\nH5 Notes\nmore").otherwise(" Voiced By x"))).alias("cleaned"))
 
 
 @query(r"SELECT item_id, trim(text) <> '' AND NOT contains(trim(text), chr(10)) AND len(regexp_split_to_array(trim(text), '\s+')) <= 100 AND NOT contains(lower(text), 'thon') AS accepted FROM benchmark")

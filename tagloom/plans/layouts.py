@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions import norm
 from tagloom.operators import captions, gate, layout, rules
 from tagloom.plans.captions import ISSUES
 from tagloom.plans.fixtures import table
@@ -112,8 +113,7 @@ def curate(records: DataFrame) -> DataFrame:
     """The chain of a record: gate, clean tags, caption issues, route; (record_id, tags, issues, status)."""
     spark = records.sparkSession
     rows = lambda data, schema: spark.createDataFrame(data, schema)
-    _, blocked = gate.exclude_blocked(rules.explode_tags(records.select("record_id", "tags"), "tags"))
-    kept = records.join(blocked, "record_id", "left_anti")
+    kept = gate.exclude_blocked_rows(records.withColumn("_tags", norm.parse_tags(c("tags"))), "_tags")[0].drop("_tags")
     tags = rules.clean_tags(kept.select("record_id", "tags"), "tags", rows([("en", "english")], "old string, new string"), rows([("de",)], "tag string"), rows([("rc1",)], "fragment string"), rows([("red hat", "fr")], "remove string, present string"))
     issues = captions.caption_issues(kept.select("record_id", "text"), most=40).select("record_id", "issues")
     none = rows([], "record_id long")

@@ -163,14 +163,14 @@ def d1_lookup_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'S ' || doc_id END AS s, CASE WHEN doc_id % 3 = 0 THEN 'L ' || doc_id END AS l, CASE WHEN doc_id % 5 = 0 THEN 'S ' || doc_id END AS t, CASE WHEN doc_id % 7 = 0 THEN 'vibes: v' END AS v, CASE WHEN doc_id % 11 = 0 THEN 'chars: a, b' END AS ch FROM documents), "
-    "r AS (SELECT 'n' || doc_id AS name, concat_ws(chr(10), s, l, CASE WHEN s IS NULL THEN t END, v, ch) AS report FROM d) SELECT name, report FROM r WHERE report <> ''"
+    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'S ' || doc_id END AS s, CASE WHEN doc_id % 3 = 0 THEN 'L ' || doc_id END AS l, CASE WHEN doc_id % 5 = 0 THEN 'S ' || doc_id END AS t, '# ' AS h, chr(10) || chr(10) AS n, doc_id % 7 = 0 AS v, doc_id % 11 = 0 AS ch FROM documents), "
+    "r AS (SELECT 'n' || doc_id AS name, concat_ws(n, '# Analysis' || n || coalesce(s, l, t), '# Long' || n || CASE WHEN s IS NOT NULL THEN l END, '# Summary' || n || CASE WHEN s IS NULL AND l IS NOT NULL THEN t END, CASE WHEN v THEN '# Mood' || n || 'v' END, CASE WHEN ch THEN '# Tags' || n || 'a, b' END) AS report FROM d WHERE coalesce(s, l, t) IS NOT NULL) SELECT name, report FROM r"
 )
 def d2_reconstruct_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = c("doc_id")
     text = lambda n, k, v: F.when(i % k == 0, F.concat(F.lit(v), i.cast("string"))).alias(n)
     df = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), i.cast("string")).alias("name"), F.lit(" ").alias("s1"), text("s2", 2, "S "), text("l1", 3, "L "), text("short", 5, "S "), F.when(i % 7 == 0, "v").alias("vibes"), F.when(i % 11 == 0, F.array(F.lit("a"), F.lit("b"))).alias("chars"), F.lit("f").alias("_file"), i.alias("_row"))
-    return lookup.reconstruct_reports(df, ["s1", "s2"], ["l1"], "short", ["vibes"], ["chars"])
+    return lookup.reconstruct_reports(df, ["s1", "s2"], ["l1"], "short", ("Analysis", "Long", "Summary"), [("vibes", "Mood")], [("chars", "Tags")])
 
 
 # A heading and a section of prompts, as arguments of the operator.
@@ -236,12 +236,13 @@ def d6_alias_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT p_partkey AS md5, p_size * 100 AS w, p_size * 60 + p_partkey % 700 AS h FROM part), s AS (SELECT *, greatest(w, h) AS l, least(w, h) AS s, least(1.0::DOUBLE, 3000.0::DOUBLE / greatest(w, h)) AS f FROM p) SELECT md5, w AS width, h AS height FROM s WHERE floor(l * f) > greatest(2000, 1500) AND floor(s * f) > 1500"
+    "WITH p AS (SELECT p_partkey AS md5, CASE WHEN p_partkey % 10 = 0 THEN 0 WHEN p_partkey % 10 <> 1 THEN p_size * 100 END AS w, p_size * 60 + p_partkey % 700 AS h FROM part), s AS (SELECT *, greatest(w, h) AS l, least(w, h) AS s, least(1.0::DOUBLE, 3000.0::DOUBLE / greatest(w, h)) AS f FROM p) SELECT md5, w AS width, h AS height FROM s WHERE w IS NULL OR w = 0 OR l * f > 2000 OR s * f > 1500"
 )
 def d7_upgrade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    remote = p.select(c("p_partkey").alias("md5"), (c("p_size") * 100).alias("width"), (c("p_size") * 60 + c("p_partkey") % 700).alias("height"))
-    return lookup.upgrade_candidates(p.select(c("p_partkey").alias("md5"), F.lit(1500).alias("width"), F.lit(2000).alias("height")), remote)
+    """Some sizes are zero or missing."""
+    p, i = table(spark, sf_dir, "part"), c("p_partkey")
+    remote = p.select(i.alias("md5"), F.when(i % 10 == 0, 0).when(i % 10 != 1, c("p_size") * 100).alias("width"), (c("p_size") * 60 + i % 700).alias("height"))
+    return lookup.upgrade_candidates(p.select(i.alias("md5"), F.lit(1500).alias("width"), F.lit(2000).alias("height")), remote)
 
 
 @query("SELECT o_custkey AS md5, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END AS source_no, CASE WHEN o_custkey % 3 = 0 THEN 'first' ELSE 'second' END AS v FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey % 3 = 0 OR o_custkey % 2 = 0")

@@ -72,21 +72,27 @@ def e9_fill_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill.fill_requests(wanted, p, have, "ring")
 
 
-@query("SELECT o_custkey AS id, CASE WHEN o_custkey % 2 = 0 THEN md5(o_custkey::VARCHAR) END AS md5, min(o_orderpriority) AS kind FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1 UNION ALL SELECT NULL, md5(o_custkey::VARCHAR), min(o_orderpriority) FROM orders WHERE o_custkey % 7 = 0 GROUP BY o_custkey")
+@query(
+    "SELECT o_custkey AS id, CASE WHEN o_custkey % 2 = 0 THEN md5(o_custkey::VARCHAR) END AS md5, min(o_orderpriority) AS kind FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1 "
+    "UNION ALL SELECT 0, md5(o_custkey::VARCHAR), min(o_orderpriority) FROM orders WHERE o_custkey % 14 = 0 GROUP BY o_custkey UNION ALL SELECT DISTINCT NULL, '', o_orderpriority || o_custkey FROM orders WHERE o_custkey % 14 = 7"
+)
 def e10_dedupe_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with an id, with an md5 alone, and with neither."""
     md5 = F.md5(c("o_custkey").cast("string"))
-    seven = c("o_custkey") % 7 == 0
-    p = table(spark, sf_dir, "orders").select(F.when(~seven, c("o_custkey")).alias("id"), F.when(seven | (c("o_custkey") % 2 == 0), md5).alias("md5"), c("o_orderpriority").alias("kind"))
-    return quota.dedupe_posts(p)
+    seven, even = c("o_custkey") % 7 == 0, c("o_custkey") % 2 == 0
+    id_, kind = F.when(~seven, c("o_custkey")).when(even, 0), F.when(seven & ~even, F.concat("o_orderpriority", c("o_custkey").cast("string"))).otherwise(c("o_orderpriority"))
+    return quota.dedupe_posts(table(spark, sf_dir, "orders").select(id_.alias("id"), F.when(even, md5).when(seven, "").alias("md5"), kind.alias("kind")))
 
 
 @query(
-    f"WITH {SNAP}, t AS (SELECT DISTINCT tag FROM record_tags), w AS (SELECT * FROM t, (SELECT 'e' AS stratum, 900 AS target UNION ALL SELECT 'g', 20) y), m AS (SELECT w.tag, w.stratum, target FROM w LEFT JOIN (SELECT * FROM snap WHERE flag IS NULL) s ON w.tag = s.tag AND w.stratum = s.stratum WHERE coalesce(n, 0) < target) "
-    "SELECT tag, string_agg(stratum || ':' || target, ',' ORDER BY stratum) AS missing FROM m GROUP BY 1"
+    f"WITH {SNAP}, t AS (SELECT DISTINCT tag FROM record_tags), w AS (SELECT * FROM t, (SELECT 'e' AS stratum, 900 AS target UNION ALL SELECT 'g', 20) y), "
+    "m AS (SELECT w.tag, string_agg(w.stratum || ':' || target, ',' ORDER BY w.stratum) FILTER (coalesce(n, 0) < target) AS missing FROM w LEFT JOIN (SELECT * FROM snap WHERE flag IS NULL) s ON w.tag = s.tag AND w.stratum = s.stratum GROUP BY 1), "
+    "a AS (SELECT m.*, coalesce(max(n) FILTER (flag IS NULL AND stratum IS NULL), 0) AS current, coalesce(max(n) FILTER (flag AND stratum IS NULL), 0) AS flagged FROM m LEFT JOIN snap USING (tag) GROUP BY ALL) "
+    "SELECT tag, current, coalesce(missing, '') AS missing, CASE WHEN flagged < 1500 THEN 1500 ELSE 0 END AS flag_target FROM a WHERE missing IS NOT NULL OR flagged < 1500"
 )
 def e11_underfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = quota.underfilled(record_tags(spark, sf_dir), snapshot(spark, sf_dir).where("flag is null"), {"e": 900, "g": 20})
-    return df.select("tag", F.array_join(F.array_sort(F.transform(F.map_entries("missing"), lambda e: F.concat_ws(":", e["key"], e["value"]))), ",").alias("missing"))
+    df = quota.underfilled(record_tags(spark, sf_dir), snapshot(spark, sf_dir), {"e": 900, "g": 20}, flag_target=1500)
+    return df.select("tag", "current", F.array_join(F.array_sort(F.transform(F.map_entries("missing"), lambda e: F.concat_ws(":", e["key"], e["value"]))), ",").alias("missing"), "flag_target")
 
 
 @query("WITH v AS (SELECT o_custkey AS tag_id, min(o_orderdate) AS first FROM orders GROUP BY 1) SELECT c_custkey AS tag_id FROM customer LEFT JOIN v ON c_custkey = tag_id WHERE first IS NULL OR first >= TIMESTAMP '1995-04-01'")

@@ -181,7 +181,7 @@ def c13_enrich_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def c14_classify_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rt = record_tags(spark, sf_dir)
-    known = rt.where("tag = 'hot'").select("record_id", "tag", F.lit(1).alias("category")).distinct()
+    known = rt.where("tag = 'hot'").select("record_id", F.lit(" HOT").alias("tag"), F.lit(1).alias("category")).distinct()
     return classify.classes(rt, tag_categories(spark, sf_dir), known).select("record_id", "general", "artist", "character", "meta", "unresolved")
 
 
@@ -224,21 +224,21 @@ def c18_unclassified_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORES = "SELECT cast(floor(p_partkey / 5) AS bigint) AS record_id, lower(p_brand) AS label, CASE WHEN p_partkey % 97 = 3 THEN 1.5 ELSE (p_partkey * 37 % 1000) / 1000.0D END AS score FROM {part}"
-LABELS = "SELECT lower(p_brand) AS label, CASE WHEN min(p_partkey) % 2 = 0 THEN 0 ELSE 4 END AS category, CASE WHEN min(p_partkey) % 3 = 0 THEN 0.3D WHEN min(p_partkey) % 3 = 1 THEN 1.7D END AS threshold FROM {part} GROUP BY lower(p_brand)"
+LABELS = "SELECT lower(p_brand) AS label, CASE WHEN min(p_partkey) % 5 = 4 THEN 9 WHEN min(p_partkey) % 2 = 0 THEN 0 ELSE 4 END AS category, CASE WHEN min(p_partkey) % 3 = 0 THEN 0.3D WHEN min(p_partkey) % 3 = 1 THEN 1.7D END AS threshold FROM {part} GROUP BY lower(p_brand)"
 _scores, _labels = SCORES.format(part="part").replace("1000.0D", "1000.0::DOUBLE"), LABELS.format(part="part").replace("0.3D", "0.3::DOUBLE").replace("1.7D", "1.7::DOUBLE")
 
 
 @query(
     f"WITH raw AS ({_scores}), l AS ({_labels}), ids AS (SELECT DISTINCT record_id FROM raw), s AS (SELECT record_id, label, coalesce(max(score), 0) AS score FROM ids CROSS JOIN l LEFT JOIN raw USING (record_id, label) GROUP BY ALL), "
     "bad AS (SELECT record_id FROM s WHERE score > 1) SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, label)::INT AS rank, label, score FROM s JOIN l USING (label) "
-    "WHERE record_id NOT IN (SELECT * FROM bad) AND label <> 'brand#7' AND score >= CASE WHEN threshold BETWEEN 0 AND 1 THEN threshold WHEN category = 0 THEN 0.5 ELSE 0.7 END"
+    "WHERE record_id NOT IN (SELECT * FROM bad) AND label <> 'brand#7' AND category <> 9 AND score >= CASE WHEN threshold BETWEEN 0 AND 1 THEN threshold WHEN category = 0 THEN 0.5 ELSE 0.7 END"
 )
 def c19_select_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, labels = sql(spark, sf_dir, SCORES, "part"), sql(spark, sf_dir, LABELS, "part")
     # A record has a score for each of the 25 labels there are.
     each = raw.select("record_id").distinct().select("record_id", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("k")).select("record_id", F.concat(F.lit("brand#"), c("k").cast("string")).alias("label"))
     scores = each.join(raw, ["record_id", "label"], "left").groupBy("record_id", "label").agg(F.coalesce(F.max("score"), F.lit(0.0)).cast("double").alias("score"))
-    return classify.select_predicted(scores, labels, _df(spark, [("brand#7",)], "label string"), {0: 0.5, 4: 0.7})[0]
+    return classify.select_predicted(scores, labels, _df(spark, [(" Brand#7 ",)], "label string"), {0: 0.5, 4: 0.7})[0]
 
 
 @query(f"WITH {OWN} SELECT record_id, list_concat(list(tag ORDER BY pos), CASE WHEN bool_or(tag = 'red') THEN ['new one'] ELSE ['Red', 'new one'] END) AS tags FROM own GROUP BY 1")
@@ -261,7 +261,7 @@ VARIANTS = "SELECT cast(floor(p_partkey / 7) AS bigint) AS record_id, p_partkey
     "SELECT record_id, pos, tag, name FROM n QUALIFY row_number() OVER (PARTITION BY record_id, lower(name) ORDER BY length(tag) - length(replace(tag, '(', '')) DESC, length(tag) DESC, pos) = 1"
 )
 def c22_select_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.select_variants(sql(spark, sf_dir, VARIANTS, "part"), _df(spark, [("red", "blue")], "older string, newer string"))
+    return assemble.select_variants(sql(spark, sf_dir, VARIANTS, "part"), _df(spark, [("Red", "_blue ")], "older string, newer string"))
 
 
 @query("SELECT record_id, bool_or(tag IN ('red', 'blue')) AS colored, bool_or(tag = 'hot') AS hot FROM record_tags GROUP BY 1")
