@@ -12,14 +12,12 @@ from tagloom.functions.text import strip_credit
 from tagloom.sources.io import upsert
 
 
-def with_origin(df: DataFrame) -> DataFrame:
-    """A Parquet scan with file and row of every row, in that order the precedence of lookups."""
-    return df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-
-
 def lookup_captions(df: DataFrame, wanted: DataFrame | None = None, key: str = "md5", text: str = "caption") -> DataFrame:
-    """(md5, caption): the first non-empty text of each key in (_file, _row) order; keys trimmed and lower-cased."""
-    k, t = F.lower(F.trim(key)), F.trim(text)
+    """(md5, caption): the first non-empty text of each key in (_file, _row) order; keys trimmed and lower-cased.
+
+    df is what `sources.io.read_lookup_files` gives. Null keys and texts give nothing.
+    """
+    k, t = F.lower(strip(F.col(key))), strip(F.col(text))
     rows = df.select(k.alias("md5"), t.alias("caption"), "_file", "_row").where("md5 <> '' and caption <> ''")
     if wanted is not None:
         rows = rows.join(wanted.select(F.lower(F.trim("md5")).alias("md5")).distinct(), "md5", "left_semi")

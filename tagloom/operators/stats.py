@@ -6,8 +6,6 @@ map-side aggregation before anything is counted, so a frequent tag is spread ove
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +58,5 @@ def records_for_tag(rt: DataFrame, tag: str) -> DataFrame:
 
 
 def inverted_index(rt: DataFrame) -> DataFrame:
-    """Distinct (tag, folder, record_id), to be written partitioned or bucketed by tag for drill-down."""
+    """Distinct (tag, folder, record_id); `sources.index` writes it for drill-down."""
     return rt.select("tag", "folder", "record_id").distinct()
-
-
-#: Folders of a written index; a tag stands in one of them.
-INDEX_PARTS = 64
-
-
-def index_part(tag: str) -> int:
-    return zlib.crc32(tag.encode()) % INDEX_PARTS
-
-
-def write_index(rt: DataFrame, path: str) -> None:
-    """The inverted index in folders by the tag's hash, for drill-down."""
-    part = (F.crc32(F.col("tag").cast("binary")) % INDEX_PARTS).cast("int")
-    inverted_index(rt).withColumn("part", part).write.partitionBy("part").parquet(path)

@@ -10,8 +10,9 @@ from tagloom.operators import captions, gate, layout, rules
 from tagloom.plans.captions import ISSUES
 from tagloom.plans.fixtures import table
 from tagloom.plans.registry import query
+from tagloom.sources import snapshots
 from tagloom.sources.shared import scratch
-from tagloom.streaming import stream
+from tagloom.streaming import first_seen, stream
 
 c = F.col
 
@@ -131,16 +132,19 @@ def h1_curate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}-out").select("record_id", "tags", "issues", "status")
 
 
-@query("SELECT DISTINCT source AS tag FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 20 < 3)")
+@query("SELECT md5(doc_id // 2 || lang) AS tag FROM documents GROUP BY 1 EXCEPT SELECT md5(doc_id // 2 || lang) FROM documents WHERE doc_id % 20 < 3")
 def h2_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, sf_dir)
-    old = table(spark, sf_dir, "documents").where("doc_id % 20 < 3").select(c("source").alias("tag")).distinct()
-    stream.append(stream.first_seen(_stream(spark, path), old, "tag").select("tag"), f"{path}-out", f"{path}-checkpoint").awaitTermination()
-    return spark.read.schema("tag string").option("recursiveFileLookup", True).parquet(f"{path}-out")
+    """Keys that two documents may share, in batches of files, against those of a table."""
+    path, key = scratch(spark), F.md5(F.concat(F.expr("cast(doc_id div 2 as string)"), "lang")).alias("tag")
+    d = table(spark, sf_dir, "documents")
+    d.select(c("doc_id").alias("record_id"), "text", key, c("source").alias("tags")).repartitionByRange(4, "record_id").write.parquet(path)
+    files = spark.readStream.schema("record_id long, text string, tag string, tags string").option("maxFilesPerTrigger", 1).parquet(path)
+    first_seen.first_seen_stream(files, d.where("doc_id % 20 < 3").select(key), "tag", f"{path}-out", f"{path}-state", f"{path}-checkpoint", every=2).awaitTermination()
+    return spark.read.parquet(f"{path}-out").select("tag")
 
 
 @query("SELECT source AS tag, count(*) AS n FROM documents GROUP BY 1")
 def h3_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, sf_dir)
     stream.replace(stream.running_counts(_stream(spark, path)), f"{path}-out", f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}-out")
+    return snapshots.read(spark, f"{path}-out")

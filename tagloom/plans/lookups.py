@@ -9,7 +9,7 @@ from tagloom.functions import norm
 from tagloom.operators import classify, lookup, stats
 from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
 from tagloom.plans.registry import query
-from tagloom.sources import io
+from tagloom.sources import io, snapshots
 from tagloom.sources.shared import scratch
 
 c = F.col
@@ -19,7 +19,7 @@ def _df(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-FILES = """SELECT o_orderstatus AS folder, concat('Rec', cast(o_orderkey % 3999 AS {string}), CASE o_orderkey % 8 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '.long.txt' WHEN 4 THEN '.Review.json' WHEN 5 THEN '.review.webp' WHEN 6 THEN '.csv' ELSE '.tag' END) AS name FROM {orders} GROUP BY 1, 2"""
+FILES = """SELECT o_orderstatus AS folder, concat('Rec', cast(cast(floor(o_orderkey / 8) AS bigint) AS {string}), CASE o_orderkey % 8 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '.long.txt' WHEN 4 THEN '.Review.json' WHEN 5 THEN '.review.webp' WHEN 6 THEN '.csv' ELSE '.tag' END) AS name FROM {orders} GROUP BY 1, 2"""
 _files = FILES.replace("{string}", "VARCHAR").replace("{orders}", "orders")
 
 
@@ -35,12 +35,9 @@ def a0a_bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.bundle_files(files(spark, sf_dir))
 
 
-_one_image = _files.replace("% 3999", "% 399")
-
-
-@query(f"WITH f AS ({_one_image}), k AS (SELECT folder, name, regexp_replace(lower(name), '\\.[^.]*$', '') AS stem FROM f WHERE regexp_matches(lower(name), '\\.(jpg|jpeg|png|webp)$')) SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY folder, stem) > 1")
+@query(f"WITH f AS ({_files}), k AS (SELECT folder, name, regexp_replace(lower(name), '\\.[^.]*$', '') AS stem FROM f WHERE regexp_matches(lower(name), '\\.(jpg|jpeg|png|webp)$')) SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY folder, stem) > 1")
 def a0b_stem_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.stem_conflicts(sql(spark, sf_dir, FILES.replace("{string}", "string").replace("% 3999", "% 399"), "orders"))
+    return io.stem_conflicts(files(spark, sf_dir))
 
 
 TEXTS = """SELECT p_partkey AS id, concat(p_name, ', ', p_type, ' ,, x_', p_brand, chr(10), '#note, skipped', chr(10), upper(p_name), ',  b  c', chr(10), '# metadata: ', CASE p_partkey % 3 WHEN 0 THEN concat('{{"a": "', p_type, '"}}') WHEN 1 THEN '[1]' ELSE 'plain' END, chr(10), 'after, marker') AS text FROM {part}"""
@@ -76,9 +73,9 @@ def a0g_read_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_metadata(spark, path).select("post id", "extra column")
 
 
-@query("WITH l AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN ' ' ELSE lower(p_brand) || '-' || p_partkey % 1900 END AS label, p_partkey % 8 AS category FROM part) SELECT label, CASE WHEN trim(label) = '' THEN 'blank' WHEN count(*) > 1 THEN 'repeated' ELSE 'category' END AS reason FROM l GROUP BY 1 HAVING trim(label) = '' OR count(*) > 1 OR bool_or(category NOT IN (0, 4, 9))")
+@query("WITH l AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN ' ' ELSE lower(p_brand) || '-' || p_partkey // 9 END AS label, p_partkey % 8 AS category FROM part) SELECT label, CASE WHEN trim(label) = '' THEN 'blank' WHEN count(*) > 1 THEN 'repeated' ELSE 'category' END AS reason FROM l GROUP BY 1 HAVING trim(label) = '' OR count(*) > 1 OR bool_or(category NOT IN (0, 4, 9))")
 def a0h_validate_label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "part").select(F.when(c("p_partkey") % 50 == 0, " ").otherwise(F.concat_ws("-", F.lower("p_brand"), (c("p_partkey") % 1900).cast("string"))).alias("label"), (c("p_partkey") % 8).alias("category"))
+    labels = table(spark, sf_dir, "part").select(F.when(c("p_partkey") % 50 == 0, " ").otherwise(F.concat_ws("-", F.lower("p_brand"), F.expr("cast(p_partkey div 9 as string)"))).alias("label"), (c("p_partkey") % 8).alias("category"))
     return classify.validate_label_table(labels)
 
 
@@ -114,9 +111,14 @@ def a0k_export_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("tag string, category long").json(path)
 
 
-@query("SELECT id AS record_id FROM posts WHERE id NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT c_custkey AS record_id, 'old' AS kind FROM customer UNION ALL SELECT id, min(rating) FROM posts WHERE id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
 def a0l_write_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.write_missing(posts(spark, sf_dir).select(c("id").alias("record_id")), table(spark, sf_dir, "customer").select(c("c_custkey").alias("record_id")))
+    """A snapshot of customers, then the orders that it lacks, then those again."""
+    path = scratch(spark)
+    snapshots.create_missing(path, table(spark, sf_dir, "customer").select(c("c_custkey").alias("record_id"), F.lit("old").alias("kind")))
+    for _ in range(2):
+        snapshots.create_missing(path, posts(spark, sf_dir).select(c("id").alias("record_id"), c("rating").alias("kind")))
+    return snapshots.read(spark, path)
 
 
 OLD = "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment END AS v FROM {customer}"
@@ -128,10 +130,14 @@ NEW = "SELECT o_custkey + 300 AS k, min(o_orderpriority) AS v FROM {orders} GROU
     "SELECT 'replace' AS mode, k, CASE WHEN hn THEN b ELSE a END AS v FROM j UNION ALL SELECT 'ignore', k, CASE WHEN ho THEN a ELSE b END FROM j UNION ALL SELECT 'fill_blank', k, CASE WHEN NOT ho OR trim(a) = '' THEN coalesce(b, a) ELSE a END FROM j"
 )
 def a0m_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published as the second version of a snapshot, and read again."""
     old, new = sql(spark, sf_dir, OLD, "customer"), sql(spark, sf_dir, NEW, "orders")
     out = None
     for mode in ("replace", "ignore", "fill_blank"):
-        part = io.upsert(old, new, ["k"], mode).select(F.lit(mode).alias("mode"), "k", "v")
+        path = scratch(spark)
+        snapshots.publish(old, path)
+        snapshots.upsert_into(path, new, ["k"], mode)
+        part = snapshots.read(spark, path).select(F.lit(mode).alias("mode"), "k", "v")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -149,14 +155,17 @@ def b2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captions_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions by a key that repeats, in three folders whose order is the precedence."""
+    """Captions by a key that repeats, in files in the order of ids, beside files without captions, with other columns and other types."""
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), F.upper(F.md5(F.expr("cast(doc_id div 3 as string)")))).alias("md5"), F.when(c("doc_id") % 7 == 0, " ").otherwise(c("text")).alias("caption"), (c("doc_id") * 2 % 3).alias("part"), "doc_id")
-    d.write.partitionBy("part").parquet(path)
-    return spark.read.parquet(path).select("md5", "caption", c("part").cast("string").alias("_file"), c("doc_id").alias("_row"))
+    key = F.concat(F.lit(" "), F.upper(F.md5(F.expr("cast(doc_id div 3 as string)"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", key.alias("md5"), F.when(c("doc_id") % 7 == 0, " ").otherwise(c("text")).alias("caption"))
+    d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    d.select("md5", "doc_id").write.mode("append").parquet(path)
+    d.select("md5", F.lit(7).alias("caption")).write.mode("append").parquet(path)
+    return io.read_lookup_files(spark, path, "md5 string, caption string")
 
 
-@query("WITH d AS (SELECT md5((doc_id // 3)::VARCHAR) AS md5, CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(text) END AS caption, doc_id * 2 % 3 AS f, doc_id FROM documents) SELECT md5, arg_min(caption, (f, doc_id)) AS caption FROM d WHERE caption <> '' AND md5 IN (SELECT md5((c_custkey * 2)::VARCHAR) FROM customer) GROUP BY 1")
+@query("WITH d AS (SELECT md5((doc_id // 3)::VARCHAR) AS md5, CASE WHEN doc_id % 7 = 0 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS caption, doc_id FROM documents) SELECT md5, arg_min(caption, doc_id) AS caption FROM d WHERE caption <> '' AND md5 IN (SELECT md5((c_custkey * 2)::VARCHAR) FROM customer) GROUP BY 1")
 def d1_lookup_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").select(F.md5((c("c_custkey") * 2).cast("string")).alias("md5"))
     return lookup.lookup_captions(captions_in_files(spark, sf_dir), wanted)

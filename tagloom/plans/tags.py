@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tagloom.functions import norm
 from tagloom.operators import assemble, classify, rules, stats
 from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
-from tagloom.plans.lookups import scratch
 from tagloom.plans.registry import query
+from tagloom.sources import index
+from tagloom.sources.shared import scratch
 
 c = F.col
 
@@ -347,7 +348,7 @@ def e6_records_for_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT tag, folder, record_id FROM record_tags WHERE tag IN ('brand#5', 'ring')")
 def e6_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written by tag, so that a drill-down reads the folders of its tags alone."""
+    """Written in buckets by tag, common tags in several, of which the lookup reads its own."""
     path = scratch(spark)
-    stats.write_index(record_tags(spark, sf_dir), path)
-    return spark.read.parquet(path).where(c("part").isin(*[stats.index_part(t) for t in ("brand#5", "ring")]) & c("tag").isin("brand#5", "ring")).select("tag", "folder", "record_id")
+    index.write_index(record_tags(spark, sf_dir), path, 20_000)
+    return index.lookup(spark, path, ["brand#5", "ring"])

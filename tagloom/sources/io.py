@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,37 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return norm.normalize_headers(first.drop("_n", "_i", "_file"))
 
 
+def with_origin(df: DataFrame) -> DataFrame:
+    """A file scan with file and row of every row, in that order the precedence of lookups."""
+    return df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def read_lookup_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The given columns of all Parquet files of a folder, with `_file` and `_row`.
+
+    Files may have other schemas. A column that a file lacks is null in its rows, so that files without a key or a text give
+    nothing. Spark reads all footers in one job; only if they don't agree on the columns' types are they looked at one by one, and
+    files in which a column has another type are left out. An empty folder gives no rows.
+    """
+    wanted = spark.createDataFrame([], schema).schema
+    fits = lambda found: all(found[f.name].dataType == f.dataType for f in wanted.fields if f.name in found.names)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    if listed.select("path").isEmpty():
+        return spark.createDataFrame([], f"{schema}, _file string, _row long")
+    try:
+        agree = fits(spark.read.option("mergeSchema", True).parquet(path).schema)
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE" not in (str(error.java_exception) if isinstance(error, Py4JJavaError) else str(error)):
+            raise
+        agree = False
+    if agree:
+        return with_origin(spark.read.schema(wanted).parquet(path))
+    usable = [r.path for r in listed.select("path").collect() if fits(spark.read.parquet(r.path).schema)]
+    if not usable:
+        return spark.createDataFrame([], f"{schema}, _file string, _row long")
+    return with_origin(spark.read.schema(wanted).parquet(*usable))
+
+
 def export_training_text(df: DataFrame, kinds: tuple[str, ...] = ("combined", "long", "short", "tag")) -> DataFrame:
     """A0i: (kind, name, content) of accepted records (record_id, a column per kind), a row for each text that is there."""
     present = [F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.concat(F.col("record_id").cast("string"), F.lit(f".{k}")).alias("name"), F.col(k).alias("content"))) for k in kinds]

@@ -1,4 +1,4 @@
-"""Streams over a growing folder of records: incremental curation, first-seen ids, running counts."""
+"""Streams over a growing folder of records: incremental curation and running counts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tagloom.sources import snapshots
+
 
 def curate_stream(stream: DataFrame, curate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """H1: run a stateless curation on every new batch of records and append it, each batch once.
@@ -21,25 +23,15 @@ def curate_stream(stream: DataFrame, curate: Callable[[DataFrame], DataFrame], o
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_seen(stream: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """H2: rows of the stream whose key neither existing nor the stream so far has."""
-    return stream.join(existing.select(key), key, "left_anti").dropDuplicates([key])
-
-
 def running_counts(stream: DataFrame, key: str = "tag") -> DataFrame:
     """H3: counts per key so far, for output mode complete."""
     return stream.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write what a stream adds to a folder, a part for each batch."""
-    return curate_stream(stream, lambda batch: batch, out, checkpoint)
-
-
 def replace(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest whole result of a stream in a folder."""
+    """Keep the latest whole result of a stream as a snapshot; readers see the one before until the next is complete."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        snapshots.publish(batch, out)
 
     return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
