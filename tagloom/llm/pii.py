@@ -1,8 +1,9 @@
 """Operator 4: personal data by bootstrapped contextual extraction, with SQL functions only.
 
 Base extraction finds e-mail addresses, IPv4 addresses, payment cards and telephone numbers by their formats. These
-are seeds, as are access keys of well-known or very random forms and account numbers (IBAN) with a right check
-number. Other strings that could be identifiers of a kind by their form are its candidates. Seeds and candidates are the
+are seeds, as are access keys with a prefix that an issuer publishes and account numbers (IBAN) with a right check number, which
+are spans of their own wherever they stand, and lower-case hexadecimal strings of 40 digits, which are not: alone they may be
+anything, so they only support patterns. Other strings that could be identifiers of a kind by their form are its candidates. Seeds and candidates are the
 instances; the words around an instance are its lexical patterns: the two and the three before it, the two after it, and
 one on either side. Another span of the same kind counts as one word, as do the ends of the text; nothing is cut.
 
@@ -54,8 +55,10 @@ FORMS = {
     "key": ("keys", ""),
     "iban": ("accounts", ""),
 }
-#: Access keys that are seeds by their form: prefixes that issuers publish, and long hexadecimal runs.
-KEY_SEED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|[0-9a-f]{32,}|[0-9A-F]{32,})$"
+#: Access keys by the prefixes that issuers publish.
+KEY_SEED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
+#: Strings that support a pattern of keys and are no span by themselves.
+KEY_SUPPORT = r"^[0-9a-f]{40}$"
 BLOCK = 256
 
 
@@ -145,20 +148,22 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def occurrences(found: DataFrame) -> DataFrame:
     """A row for each span or candidate, kind it could have, and pattern around it."""
-    row = lambda k, base, seed, s: F.struct(F.lit(k).alias("kind"), F.lit(base).alias("base"), seed.alias("seed"), s.alias("s"))
-    tagged = [F.transform(k, lambda s: row(k, True, F.lit(True), s)) for k in KINDS]
+    row = lambda k, base, own, seed, s: F.struct(F.lit(k).alias("kind"), F.lit(base).alias("base"), own.alias("own"), seed.alias("seed"), s.alias("s"))
+    yes, no = F.lit(True), F.lit(False)
+    tagged = [F.transform(k, lambda s: row(k, True, yes, yes, s)) for k in KINDS]
     for k in (*KINDS, *MORE_KINDS):
         name, form = FORMS[k]
         fits = F.filter(name, lambda c: c["value"].rlike(form)) if form else F.col(name)
-        seed = {"key": lambda s: s["value"].rlike(KEY_SEED), "iban": lambda s: _iban(s["value"])}.get(k, lambda s: F.lit(False))
-        tagged.append(F.transform(fits, lambda s: row(k, False, seed(s), s)))
-    rows = found.select("doc_id", "_stamp", F.explode(F.concat(*tagged)).alias("x")).select("doc_id", "_stamp", "x.kind", "x.base", "x.seed", "x.s.*")
+        own = {"key": lambda s: s["value"].rlike(KEY_SEED), "iban": lambda s: _iban(s["value"])}.get(k, lambda s: no)
+        seed = (lambda s: own(s) | s["value"].rlike(KEY_SUPPORT)) if k == "key" else own
+        tagged.append(F.transform(fits, lambda s: row(k, False, own(s), seed(s), s)))
+    rows = found.select("doc_id", "_stamp", F.explode(F.concat(*tagged)).alias("x")).select("doc_id", "_stamp", "x.kind", "x.base", "x.own", "x.seed", "x.s.*")
     ending = lambda n: F.slice("left", F.size("left") - (n - 1), F.lit(n))
     before = [F.when(F.size("left") >= n, F.concat_ws(" ", F.lit(f"{n} before"), ending(n))) for n in (2, 3)]
     after = F.when(F.size("right") >= 2, F.concat_ws(" ", F.lit("2 after"), F.slice("right", 1, 2)))
     around = F.concat_ws(" ", F.lit("around"), F.element_at("left", -1), F.get("right", F.lit(0)))
     patterns = F.array_compact(F.array(*before, after, around))
-    return rows.select("doc_id", "_stamp", "kind", "base", "seed", "start", "end", F.lower("value").alias("value"), F.explode(patterns).alias("pattern"))
+    return rows.select("doc_id", "_stamp", "kind", "base", "own", "seed", "start", "end", F.lower("value").alias("value"), F.explode(patterns).alias("pattern"))
 
 
 def score_patterns(occ: DataFrame, min_confidence: float = 0.8, rounds: int = 4, min_seeds: int = 3) -> DataFrame:
@@ -189,9 +194,14 @@ def score_patterns(occ: DataFrame, min_confidence: float = 0.8, rounds: int = 4,
 
 
 def discover(occ: DataFrame, min_confidence: float = 0.8, rounds: int = 4, min_seeds: int = 3) -> DataFrame:
-    """(doc_id, _stamp, kind, start, end, round) of instances that promoted patterns find beside the base spans."""
+    """(doc_id, _stamp, kind, start, end, round) of spans beside the base ones.
+
+    Round 0 are keys and account numbers recognised by themselves; the others are what promoted patterns find, and their first round.
+    """
     patterns = score_patterns(occ, min_confidence, rounds, min_seeds)
-    return occ.where(~F.col("base")).join(patterns, ["kind", "pattern"]).groupBy("doc_id", "_stamp", "kind", "start", "end").agg(F.min("round").alias("round"))
+    at, more = ["doc_id", "_stamp", "kind", "start", "end"], occ.where(~F.col("base"))
+    found = more.join(patterns, ["kind", "pattern"]).select(*at, "round").unionAll(more.where("own").select(*at, F.lit(0).alias("round")))
+    return found.groupBy(*at).agg(F.min("round").alias("round"))
 
 
 def _spans(docs: DataFrame, min_confidence: float, rounds: int, min_seeds: int) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,9 @@ allowed seeds, distrust one against the links from the blocked seeds; both run a
 rounds. Relative to its share of pages, a host whose distrust reaches `threshold` and exceeds its trust is blocked;
 every other page without a rule is allowed.
 
-Links are the absolute ones in the pages' html. With `tree` a host and the host without its first label are joined both
-ways as well, with that weight for each pair; 0 leaves the links alone. link_trust and link_distrust are the ranks by the
-links alone, so that one sees what the tree has decided.
+Links are those in the pages' html that name a host, with a scheme or without one (`//host/path`). With `tree` a host and the
+host without its first label are joined both ways as well, with that weight for each pair; by default links alone count, as
+edges of the tree are none. link_trust and link_distrust are the ranks by the links alone.
 
 A null URL or one without `://` has empty host and path, no rule, and is allowed. Null html has no links. Repeated rows give
 repeated results (and count as pages of their host), an empty table an empty one; extra columns are ignored.
@@ -27,8 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROUNDS = 10
 DAMPING = 0.85
 THRESHOLD = 0.2
-TREE = 1.0
-LINK = r"""(?i)(?:href|src)\s*+=\s*+["']?+[a-z]++://([^/?#"'\s>]++)"""
+TREE = 0.0
+LINK = r"""(?i)(?:href|src)\s*+=\s*+["']?+(?:[a-z][a-z0-9+.-]*+:)?+//([^/?#"'\s>]++)"""
 
 
 def with_parts(pages: DataFrame) -> DataFrame:

@@ -226,15 +226,31 @@ def test_pattern_scores_by_brute_force(spark):
 
 def test_promoted_instances_support_other_patterns(spark):
     """Seeds teach `token =`; what that finds teaches `secret is`, which finds what no seed stands beside."""
-    rows = [(100 + i, f"here token = {i:032x}f") for i in range(40)]
+    rows = [(100 + i, f"here token = {i:039x}f") for i in range(40)]
     rows += [(i, f"there token = abc-{i}-defghijk or my secret is abc-{i}-defghijk") for i in range(8)]
     rows += [(20, "but my secret is zyx-9-wvutsrq"), (21, "chapter-12-introduction stays")]
     spans = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert spans[100] == "key:13:46"
+    assert spans[100] == "key:13:53"
     assert spans[20] == "key:17:30"
     assert spans[21] == ""
 
 
+def test_keys_and_accounts_alone(spark):
+    """A key with an issuer's prefix or a right account number is a span without any pattern; other strings are not."""
+    key, account, digest = "ghp_" + "Ab1" * 12, "DE89370400440532013000", "ab" * 20
+    rows = [(1, f"one {key} here"), (2, "x " * 50_000 + f"an {account} there"), (3, f"commit {digest} stays"), (4, f"bad {account[:-1]}1 stays"), (5, f"{key} {account}")]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans == {1: f"key:4:{4 + len(key)}", 2: "iban:100003:100025", 3: "", 4: "", 5: f"key:0:{len(key)},iban:{len(key) + 1}:{len(key) + 23}"}
+    assert {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()} == {1: "one <key> here"}
+
+
+def test_patterns_find_what_no_seed_looks_like(spark):
+    """Lower-case digests support the pattern; upper-case and other strings in it are found, the same ones elsewhere are not."""
+    rows = [(100 + i, f"text {i} token = \"{i:039x}f\" more") for i in range(30)] + [(1, 'say TOKEN = "9F3A27C1D4E8B6055A0C7E93F1D28B46" end'), (2, "plain 9F3A27C1D4E8B6055A0C7E93F1D28B46 end"), (3, 'the token = "q7Xz2LpV9sKd4" end')]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[1] == "key:13:45" and spans[3] == "key:13:26" and spans[2] == ""
+
+
 def test_account_numbers(spark):
     good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
     df = spark.createDataFrame([(good,), (bad,), ("DE89370400440532013000",), ("DE89370400440532013001",)], "t string")
@@ -450,7 +466,7 @@ def test_links_and_tree_are_told_apart(spark):
     rows += [(30, "http://good.com/", link("site0.org")), (40, "http://sub.spam0.net/", ""), (50, None, link("spam0.net")), (30, "http://good.com/", link("site0.org"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     links = {r.page_id: r for r in url_filter.url_verdicts(df, tree=0.0).collect()}
-    both = {r.page_id: r for r in url_filter.url_verdicts(df).collect()}
+    both = {r.page_id: r for r in url_filter.url_verdicts(df, tree=1.0).collect()}
     assert [links[10 + i].verdict for i in range(3)] == ["block"] * 3
     assert [links[20 + i].verdict for i in range(3)] == ["allow"] * 3
     assert links[20].trust > 0 and links[20].trust == links[20].link_trust
@@ -458,6 +474,14 @@ def test_links_and_tree_are_told_apart(spark):
     assert all(abs(both[k].link_distrust - links[k].distrust) < 1e-12 for k in (0, 10, 20, 30) if links[k].distrust is not None)
 
 
+def test_links_without_a_scheme(spark):
+    rows = [(1, "http://bad.net/es/1", ""), (2, "http://a.org/", "<a href='//Bad.net/x'>" * 9), (3, "http://b.org/", '<img src="/local//bad.net/x"><p data-x="//bad.net">')]
+    got = {r.page_id: r for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2].distrust > 0 and got[2].verdict == "block"
+    assert got[3].distrust == 0 and got[3].verdict == "allow"
+    assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_pages_of_one_host(spark):
     """A host with most pages is dealt to all partitions, each page once."""
     rows = [(i, f"http://big.org/{i}", "") for i in range(200)] + [(1000 + i, f"http://h{i}.org/", "") for i in range(40)]
