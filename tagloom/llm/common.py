@@ -33,6 +33,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that a task takes at least.
+FEW_ROWS = 500_000
+LEAST_PARTS = 12
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for so many rows of a few numbers: not all that a session shuffles to, where the rows would be few in each."""
+    return max(LEAST_PARTS, -(-rows // FEW_ROWS))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import checkpoint, shuffle_partitions, slices
+from tagloom.llm.common import checkpoint, parts_for, shuffle_partitions, slices
 
 SEED = 42
 PART = 1 << 16
@@ -137,16 +137,19 @@ def links(fps: DataFrame, threshold: int = 2, block: int = 3) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for all ends of edges (a, b); two fingerprints have one root if links reach from one to the other.
 
-    Alternates large-star and small-star contraction until no edge changes; each round is one checkpoint.
+    Alternates large-star and small-star contraction until no edge changes; each round is one checkpoint. Edges never become
+    more, so all steps run in as many partitions as the first edges need.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = parts_for(edges.count())
+    edges = edges.coalesce(n)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = checkpoint(small.distinct())
+        after = checkpoint(small.coalesce(n).distinct().coalesce(n))
         changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count()
         edges = after
         if not changed:
