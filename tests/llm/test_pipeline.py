@@ -130,6 +130,12 @@ def test_run_equals_its_parts(spark, data):
         assert got[i][0].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_run_over_no_documents(spark, data, tmp_path):
+    spark.read.parquet(f"{data}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_different_texts_of_one_id_and_repeated_rows(spark, data):
     """Each text is judged by itself: one id with two texts keeps both, equal rows become one, a nameless copy goes."""
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
