@@ -100,14 +100,13 @@ def format_tags(c: Column) -> Column:
 
 
 def first_by(a: Column, key: Callable[[Column], Column]) -> Column:
-    """The first element of each key, in the order of the array.
+    """The first element of each key, in the order of the array; null for a null array.
 
-    Elements are sorted with their keys once and held against the one before; no expression is built again for every element.
+    The array and its keys are each bound as the only element of an array first, so that they are built once for a row and not
+    again for every element that is held against them.
     """
-    ordered = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda s: s["k"]))
-    first = F.filter(F.zip_with(ordered, F.slice(before, F.lit(1), F.size(ordered)), lambda s, b: F.when(~s["k"].eqNullSafe(b), F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s.isNotNull())
-    return F.transform(F.array_sort(first), lambda s: s["x"])
+    first = lambda t, k: F.filter(t, lambda x, i: F.array_position(k, F.get(k, i)) == i + 1)
+    return F.flatten(F.transform(F.array(a), lambda t: F.flatten(F.transform(F.array(F.transform(t, key)), lambda k: first(t, k)))))
 
 
 def dedupe_ci(a: Column) -> Column:

@@ -1,7 +1,7 @@
 """Tag rules over record_tags (record_id, pos, tag): replacement, ignoring, conditional removal, dropout, order.
 
-Rule tables are DataFrames. Lists are rebuilt by position, so order survives the shuffle; a record's tags meet in one
-aggregation on record_id.
+Rule tables are DataFrames. Lists are rebuilt by position, so order survives the shuffle; of a record's tags only those that
+rules name meet, in one aggregation on record_id.
 """
 
 from __future__ import annotations
@@ -40,19 +40,30 @@ def replace_tags(rt: DataFrame, mapping: DataFrame) -> DataFrame:
     return rt.join(m, rt["tag"] == F.col("_old"), "left").select(*[F.coalesce("_new", "tag").alias("tag") if c == "tag" else c for c in rt.columns])
 
 
-def _fragments(fragments: DataFrame) -> DataFrame:
-    """One row with the rule table's fragments."""
-    return fragments.agg(F.collect_set("fragment").alias("_fragments"))
+def tags_with_fragment(tags: DataFrame, fragments: DataFrame) -> DataFrame:
+    """The distinct tags (tag) that contain a fragment (fragment).
+
+    Every distinct tag is cut into its parts of the lengths that fragments have, and these are joined; a null or empty fragment is in
+    none. So the fragments can be as many as there are.
+    """
+    some = fragments.where(F.length("fragment") > 0).select("fragment").distinct()
+    lengths = some.agg(F.collect_set(F.length("fragment")).alias("_lengths"))  # one row: no more numbers than the longest fragment has characters
+    cut = lambda n: F.when(F.length("tag") >= n, F.transform(F.sequence(F.lit(1), F.length("tag") - n + 1), lambda i: F.substring("tag", i, n))).otherwise(F.array().cast("array<string>"))
+    parts = tags.select("tag").where("tag is not null").distinct().crossJoin(F.broadcast(lengths)).select("tag", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", cut)))).alias("fragment"))
+    return parts.join(some, "fragment", "left_semi").select("tag").distinct()
 
 
-def _has_fragment(tag: Column) -> Column:
-    return F.exists("_fragments", lambda f: F.contains(tag, f))
+def _has_any(tag: Column, fragments: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, fragments)), lambda f: F.contains(tag, f)) if fragments else F.lit(False)
 
 
-def drop_ignored(rt: DataFrame, exact: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Without tags of exact (tag), and without tags that contain a fragment (fragment)."""
-    df = rt.join(exact.select("tag"), "tag", "left_anti").crossJoin(F.broadcast(_fragments(fragments)))
-    return df.where(~_has_fragment(F.col("tag"))).select(*rt.columns)
+def drop_ignored(rt: DataFrame, exact: DataFrame, fragments: DataFrame, small: int | None = None) -> DataFrame:
+    """Without tags of exact (tag), and without tags that contain a fragment (fragment); a null tag stays."""
+    df = rt.join(exact.select("tag"), "tag", "left_anti")
+    few = small_rows(fragments.where(F.length("fragment") > 0).select("fragment"), small)
+    if few is None:
+        return df.join(tags_with_fragment(rt, fragments), "tag", "left_anti").select(*rt.columns)
+    return df.where(F.coalesce(~_has_any(F.col("tag"), [r.fragment for r in few]), F.lit(True))).select(*rt.columns)
 
 
 def expand_rules(pairs: DataFrame, mains: DataFrame, combos: DataFrame, both: DataFrame, colors: DataFrame) -> DataFrame:
@@ -76,32 +87,26 @@ def _by_removed(rules: DataFrame) -> DataFrame:
     return rules.groupBy(F.col("remove").alias("_remove")).agg(F.collect_set("present").alias("_present"))
 
 
-def rule_records(rt: DataFrame, rules: DataFrame) -> DataFrame:
-    """(record_id, tags, rows): each record once, with its tags and its rows, of which `_present` are the tags that remove each."""
-    tagged = rt.join(_by_removed(rules), rt["tag"] == F.col("_remove"), "left")
-    rows = F.collect_list(F.struct(*[c for c in rt.columns if c != "record_id"], "_present")).alias("rows")
-    return tagged.groupBy("record_id").agg(F.collect_set("tag").alias("tags"), rows)
-
-
-def _removed(row: Column, tags: Column) -> Column:
-    return F.coalesce(F.arrays_overlap(row["_present"], tags), F.lit(False))
-
-
-def _fired(records: DataFrame) -> DataFrame:
-    hits = F.flatten(F.transform(F.filter("rows", lambda r: _removed(r, F.col("tags"))), lambda r: F.transform(F.array_intersect(r["_present"], "tags"), lambda p: F.struct(r["tag"].alias("remove"), p.alias("present")))))
-    return records.select("record_id", F.inline(F.array_distinct(hits)))
-
-
 def fired_rules(rt: DataFrame, rules: DataFrame) -> DataFrame:
-    """(record_id, remove, present): rules whose two tags a record has."""
-    return _fired(rule_records(rt.select("record_id", "tag"), rules))
+    """(record_id, remove, present): rules whose two tags a record has, each once.
+
+    Only tags that a rule names are gathered, by record, without the other columns.
+    """
+    named = rules.select(F.explode(F.array("remove", "present")).alias("tag")).where("tag is not null").distinct()
+    own = rt.select("record_id", "tag").join(named, "tag", "left_semi").groupBy("record_id").agg(F.collect_set("tag").alias("tags"))
+    met = own.select("record_id", "tags", F.explode("tags").alias("_remove")).join(_by_removed(rules), "_remove")
+    return met.select("record_id", F.col("_remove").alias("remove"), F.explode(F.array_intersect("_present", "tags")).alias("present"))
 
 
 def apply_rules(rt: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """C4: rt without the tags that fired rules remove, and those rules; one pass on the tags as they came."""
-    records = rule_records(rt, rules)
-    kept = records.select("record_id", F.inline(F.filter("rows", lambda r: ~_removed(r, F.col("tags"))))).select(*rt.columns)
-    return kept, _fired(records)
+    """C4: rt without the tags that fired rules remove, and those rules; one pass on the tags as they came.
+
+    What is removed is held against the tags by record and tag, by broadcast where the planner finds it little. Rows without an
+    id are one record.
+    """
+    fired = fired_rules(rt, rules)
+    gone = fired.select(F.col("record_id").alias("_id"), F.col("remove").alias("_tag")).distinct()
+    return rt.join(gone, F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_anti"), fired
 
 
 def clean_in_row(tags: Column, mapping: dict[str, str], exact: list[str], fragments: list[str]) -> Column:
@@ -112,7 +117,7 @@ def clean_in_row(tags: Column, mapping: dict[str, str], exact: list[str], fragme
     if exact:
         tags = F.filter(tags, lambda t: ~t.isin(exact))
     if fragments:
-        tags = F.filter(tags, lambda t: ~F.exists(F.array(*map(F.lit, fragments)), lambda f: F.contains(t, f)))
+        tags = F.filter(tags, lambda t: ~_has_any(t, fragments))
     return F.array_distinct(tags)
 
 
@@ -133,7 +138,7 @@ def clean_tags(records: DataFrame, col: str, mapping: DataFrame, exact: DataFram
     """
     tables = [
         small_rows(t, small)
-        for t in (_replacements(mapping), exact.where("tag is not null").select("tag"), fragments.where("fragment is not null").select("fragment"), rules.where("remove is not null and present is not null").select("remove", "present"))
+        for t in (_replacements(mapping), exact.where("tag is not null").select("tag"), fragments.where(F.length("fragment") > 0).select("fragment"), rules.where("remove is not null and present is not null").select("remove", "present"))
     ]
     if any(t is None for t in tables):
         return _clean_by_joins(records, col, mapping, exact, fragments, rules)
@@ -146,19 +151,19 @@ def clean_tags(records: DataFrame, col: str, mapping: DataFrame, exact: DataFram
 
 
 def _clean_by_joins(records: DataFrame, col: str, mapping: DataFrame, exact: DataFrame, fragments: DataFrame, rules: DataFrame) -> DataFrame:
-    """C6 for rule tables of any size but the fragments, which every tag is held against.
+    """C6 for rule tables of any size.
 
     Ignored tags become null rather than go, so that a record without any tag left is still there.
     """
     rt = records.select("record_id", F.posexplode_outer(parse_tags(F.col(col))).alias("pos", "tag"))
     rt = replace_tags(rt, mapping).join(exact.select(F.col("tag").alias("_exact")).distinct(), F.col("tag") == F.col("_exact"), "left")
-    rt = rt.crossJoin(F.broadcast(_fragments(fragments)))
-    rt = rt.select("record_id", "pos", F.when(F.col("_exact").isNull() & ~_has_fragment(F.col("tag")), F.col("tag")).alias("tag"))
+    rt = rt.join(tags_with_fragment(rt, fragments).select("tag", F.lit(True).alias("_part")), "tag", "left")
+    rt = rt.select("record_id", "pos", F.when(F.col("_exact").isNull() & F.col("_part").isNull(), F.col("tag")).alias("tag"))
     rt = rt.join(_by_removed(rules), F.col("tag") == F.col("_remove"), "left")
     row = F.when(F.col("tag").isNotNull(), F.struct("pos", "tag", "_present"))
     own = rt.groupBy("record_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     own = own.select("record_id", "rows", F.transform("rows", lambda r: r["tag"]).alias("tags"))
-    kept = F.filter("rows", lambda r: ~_removed(r, F.col("tags")))
+    kept = F.filter("rows", lambda r: ~F.coalesce(F.arrays_overlap(r["_present"], "tags"), F.lit(False)))
     return own.select("record_id", F.array_distinct(F.transform(kept, lambda r: r["tag"])).alias("tags"))
 
 

@@ -2,8 +2,9 @@
 
 A snapshot is a list of data folders. Data is written to a new folder first, and only then one row to the manifest, a small table
 beside the data: (version, parent, token, folders). Readers follow the manifest's last version, so a write that fails or is
-still going on leaves the old one as it was, and its data is never read. Two writers that start from one version both write a row
-for the next; the one with the smaller token has it, the other sees that and raises `Conflict`. Older versions stay readable.
+still going on leaves the old one as it was, and its data is never read. Of two writers that start from one version, the one whose
+row came first has the next (by the time of the manifest's file, then by the token); the other sees that and raises `Conflict`.
+Older versions stay readable.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ class Conflict(RuntimeError):
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The rows that count: of each version the one with the smallest token whose parent is the version before."""
+    """The rows that count: of each version the first one whose parent is the version before."""
     try:
         rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], MANIFEST)
-    return rows.where("parent = version - 1").groupBy("version").agg(F.min(F.struct("token", "folders")).alias("m")).select("version", "m.*")
+    rows = rows.where("parent = version - 1").select("*", F.col("_metadata.file_modification_time").alias("at"))
+    return rows.groupBy("version").agg(F.min(F.struct("at", "token", "folders")).alias("m")).select("version", "m.token", "m.folders")
 
 
 def current(spark: SparkSession, path: str) -> tuple[int, list[str]]:

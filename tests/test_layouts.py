@@ -93,7 +93,7 @@ def test_finished_layouts_are_centred(spark):
     doc["items"] = [{"label": "object", "caption": "c", "bbox": [-20.5, -30, 20.5, 30]}, {"label": "object", "caption": "c", "bbox": [-20.6, -30, 20, 30]}]
     df = spark.createDataFrame([(1, json.dumps(doc), 60, 41), (2, json.dumps(GOOD), 60, 40), (3, json.dumps(doc), 0, 41)], "record_id int, layout string, width int, height int")
     got = sorted((r.record_id, r.item if r.item is not None else -1, r.rule) for r in layout.layout_violations(df).collect())
-    assert got == [(1, 1, "bbox"), (2, -1, "coordinates"), (2, -1, "fields"), (2, 0, "bbox"), (3, -1, "canvas size"), (3, 0, "bbox"), (3, 1, "bbox")] or got == [(1, 1, "bbox"), (2, -1, "coordinates"), (2, -1, "fields"), (3, -1, "canvas size"), (3, 0, "bbox"), (3, 1, "bbox")]
+    assert got == [(1, 1, "bbox"), (2, -1, "coordinates"), (2, -1, "fields"), (2, 0, "bbox"), (3, -1, "canvas size"), (3, 0, "bbox"), (3, 1, "bbox")]
     assert layout.layout_violations(df.limit(0)).collect() == []
 
 

@@ -135,6 +135,24 @@ def test_cleaning_in_rows_equals_joins(spark):
     assert "Exchange" not in plan_of(here) and "Exchange" in plan_of(there)
 
 
+def test_fragments_by_parts_equal_contains(spark):
+    rt = spark.createDataFrame([(1, 0, "red hat"), (1, 1, "hat"), (2, 0, "ha"), (2, 1, None), (3, 0, ""), (3, 1, "héat")], "record_id int, pos int, tag string")
+    exact = spark.createDataFrame([("ha",)], "tag string")
+    for fragments in ([], ["d h"], ["at", "zzzzzzzzzz", None, ""], ["hat", "é"]):
+        f = spark.createDataFrame([(x,) for x in fragments], "fragment string")
+        want = {(r, p) for r, p, t in map(tuple, rt.collect()) if t != "ha" and not any(x and t and x in t for x in fragments)}
+        for small in (None, 0):
+            assert {(r.record_id, r.pos) for r in rules.drop_ignored(rt, exact, f, small).collect()} == want
+
+
+def test_fired_rules_once_and_by_record(spark):
+    rt = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (None, "a"), (None, "b"), (3, None)], "record_id int, tag string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "z"), (None, "a")], "remove string, present string")
+    kept, fired = rules.apply_rules(rt, pairs)
+    assert sorted(map(tuple, fired.collect()), key=repr) == [(1, "a", "b"), (None, "a", "b")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "b"), (1, "b"), (2, "a"), (None, "b"), (3, None)], key=repr)
+
+
 def test_first_spellings_stay_in_order(spark):
     a = F.array(*map(F.lit, ["B", "a", "b", " ", "A", "c_d", "C d"]))
     assert one(spark, norm.dedupe_ci(a)) == ["B", "a", "c d"]

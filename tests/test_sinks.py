@@ -1,5 +1,7 @@
 """Snapshots, the tag index, keys over a long stream, and files of differing schemas."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,8 +40,11 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     assert snapshots.publish(df, path, base) == 2
     with pytest.raises(snapshots.Conflict):
         snapshots.publish(df, path, base)
-    # Both rows in the manifest: the smaller token has the version.
-    spark.createDataFrame([(3, 2, "a", ["data/mine"]), (3, 2, "b", ["data/other"]), (5, 4, "a", ["data/no parent"])][:2], snapshots.MANIFEST).write.mode("append").parquet(f"{path}/manifest")
+    # Both rows in the manifest at once: the smaller token has the version. A row that comes later changes nothing.
+    spark.createDataFrame([(3, 2, "b", ["data/mine"]), (3, 2, "c", ["data/other"])], snapshots.MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    assert snapshots.current(spark, path) == (3, ["data/mine"])
+    time.sleep(1.1)
+    spark.createDataFrame([(3, 2, "a", ["data/late"])], snapshots.MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     assert snapshots.current(spark, path) == (3, ["data/mine"])
 
 
