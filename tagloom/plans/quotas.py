@@ -163,7 +163,7 @@ def e17_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH e AS (SELECT count(*) FILTER (event_type = 'view') AS p, count(*) FILTER (event_type = 'click') AS s, count(*) FILTER (event_type = 'error') AS t, sum(value) AS v FROM events) SELECT p AS processed, s AS skipped, t AS truncated, round(100.0 * p / 1000000, 0)::DOUBLE AS percent, round(v / p, 3) AS average, round(v / p * (1000000 - p), 1) AS remaining FROM e"
+    "WITH e AS (SELECT count(*) FILTER (event_type = 'view') AS p, count(*) FILTER (event_type = 'click') AS s, count(*) FILTER (event_type = 'error') AS t, coalesce(sum(value), 0) AS v FROM events) SELECT p AS processed, s AS skipped, t AS truncated, round(100.0 * p / 1000000, 0)::DOUBLE AS percent, round(CASE WHEN p > 0 THEN v / p ELSE 0 END, 3) AS average, round(CASE WHEN p > 0 THEN v / p ELSE 0 END * greatest(0, 1000000 - p), 1) AS remaining FROM e"
 )
 def e18_progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.when(c("event_type") == "view", "processed").when(c("event_type") == "click", "skipped").when(c("event_type") == "error", "truncated").alias("outcome"), c("value").alias("seconds"))
