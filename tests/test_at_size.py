@@ -23,3 +23,10 @@ def test_progress_past_the_total(spark, tmp_path, views):
     got, want = both(spark, tmp_path, "e18_progress_report", events=f"SELECT CASE WHEN i < {views} THEN 'view' ELSE 'click' END AS event_type, 0.5::DOUBLE AS value FROM range({views + 2}) t(i)")
     assert got == want
     assert got[0][-1] == 0 and got[0][0] == views
+
+
+def test_repeated_sentence_within_the_scan_limit(spark, tmp_path):
+    # The third copies of the first text's sentence end after 200,000 characters, those of the second before.
+    texts = "SELECT 10 AS doc_id, repeat('one two three four five six seven eight ', 1750) AS text UNION ALL SELECT 20, repeat('one two three four five six seven eight ', 1600)"
+    got, want = both(spark, tmp_path, "f2_repeated_sentence", documents=texts)
+    assert got == want == [(20,)]
