@@ -7,7 +7,7 @@ digit, and scaling divides integers. Fractions of more than 28 places, and edges
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,72 +55,106 @@ def strict_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def parse_layouts(df: DataFrame, col: str = "layout") -> tuple[DataFrame, DataFrame]:
     """G1: df with the parsed `doc`, and rejects (record_id, reason)."""
-    x = df.withColumn("_ok", strict_json(F.col(col))).withColumn("doc", F.from_json(F.col(col), SCHEMA))
+    # A generated column is parsed once, where the rows are, and not in a filter before they are dealt out.
+    x = df.withColumn("_ok", strict_json(F.col(col))).select("*", F.inline(F.array(F.struct(F.from_json(F.col(col), SCHEMA).alias("doc")))))
     bad = ~F.col("_ok") | F.col("doc").isNull()
     return x.where(~bad).drop("_ok"), x.where(bad).select("record_id", F.lit("layout is no strict JSON object").alias("reason"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def exact_number(text: Column) -> Column:
     """struct(i, g) of the text of a number, which is i + g / 10**28 with 0 <= g < 10**28; null if it doesn't fit."""
-    sign, whole, part = (F.regexp_extract(text, NUMBER, k) for k in (1, 2, 3))
-    power = F.coalesce(F.nullif(F.regexp_extract(text, NUMBER, 4), F.lit("")).cast("int"), F.lit(0))
-    digits, point = F.concat(whole, part), F.length(whole) + power
-    # Zeros on either side, so that the point stands inside; numbers that need more of them have no value here.
     most = DIGITS + PLACES
-    zeros = lambda n: F.repeat(F.lit("0"), F.least(F.greatest(n, F.lit(0)), F.lit(most)))
-    padded, at = F.concat(zeros(-point), digits, zeros(point - F.length(digits))), F.greatest(point, F.lit(0))
-    left, right = F.ltrim(F.left(padded, at), F.lit("0")), F.rtrim(F.substring(padded, at + 1, F.length(padded)), F.lit("0"))
-    null = F.ltrim(digits, F.lit("0")) == ""
-    fits = text.rlike(NUMBER) & (null | ((F.length(left) <= DIGITS) & (F.length(right) <= PLACES) & (F.abs(power) <= most)))
-    i = F.when(null, F.lit(0)).otherwise(F.coalesce(F.nullif(left, F.lit("")).try_cast("long"), F.lit(0))).cast("long")
-    g = F.when(null, F.lit("0")).otherwise(F.rpad(right, PLACES, "0")).try_cast(f"decimal({PLACES},0)")
     unit = F.lit(str(10**PLACES)).cast(f"decimal({PLACES + 1},0)")
-    below = sign == "-"
-    number = F.struct(
-        F.when(below, -i - F.when(g > 0, 1).otherwise(0)).otherwise(i).alias("i"),
-        F.when(below & (g > 0), (unit - g).cast(f"decimal({PLACES},0)")).otherwise(g).alias("g"),
-    )
-    return F.when(fits, number)
+    # Zeros on either side, so that the point stands inside; numbers that need more of them have no value here.
+    zeros = lambda n: F.repeat(F.lit("0"), F.least(F.greatest(n, F.lit(0)), F.lit(most)))
+
+    def parts(t: Column) -> Column:
+        power = F.coalesce(F.nullif(F.regexp_extract(t, NUMBER, 4), F.lit("")).cast("int"), F.lit(0))
+        return F.struct(F.regexp_extract(t, NUMBER, 1).alias("sign"), F.regexp_extract(t, NUMBER, 2).alias("whole"), F.regexp_extract(t, NUMBER, 3).alias("part"), power.alias("power"))
+
+    def pointed(p: Column) -> Column:
+        digits, point = F.concat(p["whole"], p["part"]), F.length(p["whole"]) + p["power"]
+        return F.struct(p["sign"].alias("sign"), p["power"].alias("power"), (F.ltrim(digits, F.lit("0")) == "").alias("null"), F.concat(zeros(-point), digits, zeros(point - F.length(digits))).alias("padded"), F.greatest(point, F.lit(0)).alias("at"))
+
+    def sides(p: Column) -> Column:
+        left, right = F.ltrim(F.left(p["padded"], p["at"]), F.lit("0")), F.rtrim(F.substring(p["padded"], p["at"] + 1, F.length(p["padded"])), F.lit("0"))
+        return F.struct(p["sign"].alias("sign"), p["power"].alias("power"), p["null"].alias("null"), left.alias("left"), right.alias("right"))
+
+    def values(p: Column) -> Column:
+        fits = p["null"] | ((F.length(p["left"]) <= DIGITS) & (F.length(p["right"]) <= PLACES) & (F.abs(p["power"]) <= most))
+        i = F.when(p["null"], F.lit(0)).otherwise(F.coalesce(F.nullif(p["left"], F.lit("")).try_cast("long"), F.lit(0))).cast("long")
+        g = F.when(p["null"], F.lit("0")).otherwise(F.rpad(p["right"], PLACES, "0")).try_cast(f"decimal({PLACES},0)")
+        return F.when(fits, F.struct((p["sign"] == "-").alias("below"), i.alias("i"), g.alias("g")))
+
+    def number(n: Column) -> Column:
+        signed = F.struct(
+            F.when(n["below"], -n["i"] - F.when(n["g"] > 0, 1).otherwise(0)).otherwise(n["i"]).alias("i"),
+            F.when(n["below"] & (n["g"] > 0), (unit - n["g"]).cast(f"decimal({PLACES},0)")).otherwise(n["g"]).alias("g"),
+        )
+        return F.when(n.isNotNull(), signed)
+
+    found = _once(_once(_once(_once(parts(text), pointed), sides), values), number)
+    return F.when(text.rlike(NUMBER), found)
 
 
 def _moved(number: Column, size: Column) -> Column:
     """The number plus half of a size."""
     half = F.lit(str(5 * 10 ** (PLACES - 1))).cast(f"decimal({PLACES + 1},0)")
     unit = F.lit(str(10**PLACES)).cast(f"decimal({PLACES + 1},0)")
+
+    def carried(n: Column) -> Column:
+        carry = n["g"] >= unit
+        return F.struct((n["i"] + F.when(carry, 1).otherwise(0)).alias("i"), F.when(carry, n["g"] - unit).otherwise(n["g"]).cast(f"decimal({PLACES},0)").alias("g"))
+
     g = number["g"] + F.when(F.pmod(size, F.lit(2)) == 1, half).otherwise(F.lit(0).cast(f"decimal({PLACES + 1},0)"))
-    carry = g >= unit
-    i = number["i"] + F.floor(size / 2).cast("long") + F.when(carry, 1).otherwise(0)
-    return F.struct(i.alias("i"), F.when(carry, g - unit).otherwise(g).cast(f"decimal({PLACES},0)").alias("g"))
+    return _once(F.struct((number["i"] + F.floor(size / 2).cast("long")).alias("i"), g.alias("g")), carried)
 
 
 def _edges(box: Column, width: Column, height: Column, space: Column, form: Column, preview_w: Column, preview_h: Column) -> Column:
     """struct(x1, y1, x2, y2, pw, ph) of exact edges from the upper left corner, if the box is valid; else null."""
     at = lambda k: F.get(box, F.lit(k))
     swapped, centred = form == "yxyx", space == "abs_centralized"
-    put = lambda k, other, size: F.when(centred, _moved(F.when(swapped, at(other)).otherwise(at(k)), size)).otherwise(F.when(swapped, at(other)).otherwise(at(k)))
+
+    def put(k: int, other: int, size: Column) -> Column:
+        return _once(F.when(swapped, at(other)).otherwise(at(k)), lambda n: F.when(centred, _moved(n, size)).otherwise(n))
+
     x1, y1, x2, y2 = put(0, 1, width), put(1, 0, height), put(2, 3, width), put(3, 2, height)
     pw, ph = (F.when(centred, size).otherwise(F.coalesce(p, size)).cast("long") for p, size in ((preview_w, width), (preview_h, height)))
     zero = F.lit(0).cast(f"decimal({PLACES},0)")
     end = lambda n: F.struct(n.alias("i"), zero.alias("g"))
     null = end(F.lit(0).cast("long"))
     known = form.isin("xyxy", "yxyx") & space.isin("abs", "abs_centralized") & (F.size(box) == 4) & F.forall(box, lambda n: n.isNotNull())
-    sizes = (width > 0) & (height > 0) & (pw > 0) & (ph > 0) & (F.greatest(width, height, pw, ph) < 1 << 31)
-    inside = (x1 >= null) & (x1 < x2) & (x2 <= end(pw)) & (y1 >= null) & (y1 < y2) & (y2 <= end(ph))
-    return F.when(F.coalesce(known & sizes & inside, F.lit(False)), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), pw.alias("pw"), ph.alias("ph")))
+
+    def valid(e: Column) -> Column:
+        sizes = (width > 0) & (height > 0) & (e["pw"] > 0) & (e["ph"] > 0) & (F.greatest(width, height, e["pw"], e["ph"]) < 1 << 31)
+        inside = (e["x1"] >= null) & (e["x1"] < e["x2"]) & (e["x2"] <= end(e["pw"])) & (e["y1"] >= null) & (e["y1"] < e["y2"]) & (e["y2"] <= end(e["ph"]))
+        return F.when(F.coalesce(known & sizes & inside, F.lit(False)), e)
+
+    return _once(F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), pw.alias("pw"), ph.alias("ph")), valid)
 
 
 def _scaled(edge: Column, size: Column, preview: Column, up: bool) -> Column:
     """edge * size / preview in whole pixels, down or up: quotient and rest of the whole part, then the fraction on the rest."""
-    product = edge["i"] * size.cast("long")
-    rest = F.pmod(product, preview)
-    # Quotients without a rest are exact as decimals.
-    quotient = ((product - rest).cast("decimal(20,0)") / preview.cast("decimal(10,0)")).cast("long")
     unit = F.lit(str(10**PLACES)).cast("decimal(29,0)")
-    over = (rest.cast("decimal(10,0)") * unit + edge["g"] * size.cast("decimal(10,0)")).cast("decimal(38,0)")
     under = (preview.cast("decimal(10,0)") * unit).cast("decimal(38,0)")
-    more = F.pmod(over, under)
-    whole = ((over - more) / under).cast("long")
-    return quotient + whole + (F.when(more > 0, 1).otherwise(0) if up else F.lit(0))
+
+    def parted(p: Column) -> Column:
+        over = (p["rest"].cast("decimal(10,0)") * unit + edge["g"] * size.cast("decimal(10,0)")).cast("decimal(38,0)")
+        # Quotients without a rest are exact as decimals.
+        quotient = ((p["product"] - p["rest"]).cast("decimal(20,0)") / preview.cast("decimal(10,0)")).cast("long")
+        return F.struct(quotient.alias("quotient"), over.alias("over"), F.pmod(over, under).alias("more"))
+
+    def added(p: Column) -> Column:
+        whole = ((p["over"] - p["more"]) / under).cast("long")
+        return p["quotient"] + whole + (F.when(p["more"] > 0, 1).otherwise(0) if up else F.lit(0))
+
+    product = edge["i"] * size.cast("long")
+    return _once(_once(F.struct(product.alias("product"), F.pmod(product, preview).alias("rest")), parted), added)
 
 
 def box_to_pixels(df: DataFrame) -> DataFrame:
@@ -136,7 +170,8 @@ def box_to_pixels(df: DataFrame) -> DataFrame:
     e = F.col("_e")
     x1, x2 = (_scaled(e[n], F.col("width"), e["pw"], n == "x2").alias(n) for n in ("x1", "x2"))
     y1, y2 = (_scaled(e[n], F.col("height"), e["ph"], n == "y2").alias(n) for n in ("y1", "y2"))
-    return df.select("*", e.isNotNull().alias("valid"), x1, y1, x2, y2).drop("_e")
+    # As generated columns, so that a filter on them isn't pushed below and worked out apart.
+    return df.select("*", F.inline(F.array(F.struct(e.isNotNull().alias("valid"), x1, y1, x2, y2)))).drop("_e")
 
 
 def _kind(v: Column) -> Column:

@@ -30,3 +30,11 @@ def test_repeated_sentence_within_the_scan_limit(spark, tmp_path):
     texts = "SELECT 10 AS doc_id, repeat('one two three four five six seven eight ', 1750) AS text UNION ALL SELECT 20, repeat('one two three four five six seven eight ', 1600)"
     got, want = both(spark, tmp_path, "f2_repeated_sentence", documents=texts)
     assert got == want == [(20,)]
+
+
+@pytest.mark.parametrize("name", ["g2_layout_violations", "g3_box_to_pixels", "g4_center_boxes"])
+def test_layouts_use_all_cores_and_read_a_number_once(spark, data, name):
+    df = registry.QUERIES[name](spark, data)
+    assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    # Four groups and a test of each number, and the same of the exponent, in each of the branches.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 20 + 40 * (name == "g2_layout_violations")
