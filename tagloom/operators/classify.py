@@ -103,11 +103,12 @@ def select_predicted(scores: DataFrame, labels: DataFrame, banned: DataFrame, fa
 
     scores (record_id, label, score), labels (label, category, threshold). A label's own threshold counts if it lies in
     [0, 1], else its category's. Labels of categories without one (ratings) are never selected, but need a score as well; banned
-    tags are met by their site keys. Records with scores that are missing, doubled, not finite or outside [0, 1] are rejected.
+    tags are met by their site keys. Labels are the rows of a model's table and go to every task, since by label the scores would
+    meet in as few tasks as there are labels. Records with scores that are missing, doubled, not finite or outside [0, 1] are rejected.
     """
     odd = F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1)
     total = labels.agg(F.count("*").alias("_total"))
-    per = scores.join(labels.select("label"), "label", "left_semi").groupBy("record_id", "label").agg(F.count("*").alias("n"), F.max(odd.cast("int")).alias("odd"))
+    per = scores.join(F.broadcast(labels.select("label")), "label", "left_semi").groupBy("record_id", "label").agg(F.count("*").alias("n"), F.max(odd.cast("int")).alias("odd"))
     per = per.groupBy("record_id").agg(F.count("*").alias("n_labels"), F.max("n").alias("n"), F.max("odd").alias("odd")).crossJoin(F.broadcast(total))
     rejects = per.where((F.col("odd") == 1) | (F.col("n") > 1) | (F.col("n_labels") != F.col("_total"))).select("record_id")
     by = F.lit(None).cast("double")
@@ -115,7 +116,7 @@ def select_predicted(scores: DataFrame, labels: DataFrame, banned: DataFrame, fa
         by = F.when(F.col("category") == code, F.lit(limit)).otherwise(by)
     limit = F.lit(override) if override is not None else F.when(F.col("threshold").between(0, 1), F.col("threshold")).otherwise(by)
     usable = labels.where(F.col("category").isin(*fallback)).withColumn("_key", site_key(F.col("label"))).join(banned.select(site_key(F.col("label")).alias("_key")), "_key", "left_anti").drop("_key")
-    good = scores.join(rejects, "record_id", "left_anti").join(usable, "label").where(F.col("score") >= limit)
+    good = scores.join(rejects, "record_id", "left_anti").join(F.broadcast(usable), "label").where(F.col("score") >= limit)
     rank = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("score"), "label"))
     return good.select("record_id", rank.alias("rank"), "label", "score"), rejects
 

@@ -1,8 +1,11 @@
 """What only larger or odd tables show: queries against their SQL, and the work that steps do."""
 
+import re
+
 import duckdb
 import pytest
 
+from tagloom.operators import rules
 from tagloom.plans import registry
 
 
@@ -38,3 +41,21 @@ def test_layouts_use_all_cores_and_read_a_number_once(spark, data, name):
     assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     # Four groups and a test of each number, and the same of the exponent, in each of the branches.
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 20 + 40 * (name == "g2_layout_violations")
+
+
+def test_scores_meet_once_and_by_record(spark, data):
+    plan = registry.QUERIES["c19_select_predicted"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert not re.search(r"Join \[record_id#\w+, label#", plan)
+
+
+def test_combinations_in_the_row_equal_joins(spark):
+    rt = spark.createDataFrame([(i, t) for i, ts in enumerate(["ab", "abb", "abc", "c", "", "b", "bd"]) for t in ts], "record_id int, tag string")
+    made = spark.createDataFrame([("x", ["a", "b"], ["c"], "n"), ("y", ["b"], None, None), ("z", [], ["a"], "none"), ("w", ["b", None], [], "null"), ("v", ["d", "d"], [None], "twice"), (None, ["a"], [], "nameless")], "rule string, all_of array<string>, none_of array<string>, note string")
+    rows = lambda small: sorted(map(tuple, rules.combination_rules(rt, made, small).collect()), key=repr)
+    assert rows(None) == rows(0) == sorted([(0, "x", "n"), (1, "x", "n"), (0, "y", None), (1, "y", None), (2, "y", None), (5, "y", None), (6, "y", None), (6, "v", "twice")], key=repr)
+
+
+def test_combinations_shuffle_by_record_alone(spark, data):
+    plan = registry.QUERIES["c26_combination_rules"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
