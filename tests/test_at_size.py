@@ -59,3 +59,15 @@ def test_combinations_in_the_row_equal_joins(spark):
 def test_combinations_shuffle_by_record_alone(spark, data):
     plan = registry.QUERIES["c26_combination_rules"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fired_rules_do_not_meet_by_tag(spark, data):
+    plan = registry.QUERIES["c5_fired_rules"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
+def test_fired_rules_by_filter_equal_joins(spark):
+    rt = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None), (None, "a"), (None, "b")], "record_id int, tag string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", None), (None, "b")], "remove string, present string")
+    rows = lambda small: sorted(map(tuple, rules.fired_rules(rt, pairs, small).collect()), key=repr)
+    assert rows(None) == rows(0) == sorted([(1, "a", "b"), (1, "b", "a"), (None, "a", "b"), (None, "b", "a")], key=repr)
