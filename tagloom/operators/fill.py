@@ -12,19 +12,20 @@ many rounds as the longest chain of requests that change each other.
 
 Few candidates can ever be taken. One that is the only post with its md5 is credited to the request when an earlier one
 takes it, so the picks lie among those with fewer such posts before them than the gap has places. Candidates are cut to these
-in parts of a request first, in ever fewer parts, so that no task ranks all candidates of a common tag.
+by counts for each level of score first, for which no candidate is shuffled, then in parts of a request, in ever fewer parts, so
+that no task ranks all candidates of a common tag.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.gate import MD5
 from tagloom.sources.shared import checkpoint
 
 #: Parts of a request's candidates that are ranked and cut one after the other.
-PARTS = (64, 8, 1)
+PARTS = (64, 8)
 FLAG_TAG = "official art"
 
 
@@ -39,9 +40,25 @@ def candidate_posts(posts: DataFrame, existing: DataFrame | None = None, flag_ta
     rows = rows.groupBy("source", "id", "md5").agg(F.min(F.struct("rating", "score", "tags")).alias("r")).select("source", "id", "md5", "r.*")
     if existing is not None:
         rows = rows.join(existing.select(F.lower("md5").alias("md5")).distinct(), "md5", "left_anti")
-    several = rows.groupBy("md5").agg(F.count("*").alias("_n")).where("_n > 1").select("md5", F.lit(False).alias("alone"))
     flag = F.coalesce(F.array_contains("tags", flag_tag), F.lit(False))
-    return rows.join(several, "md5", "left").select("source", "id", "md5", "rating", "score", "tags", flag.alias("flag"), F.coalesce("alone", F.lit(True)).alias("alone"))
+    alone = F.count("*").over(Window.partitionBy("md5")) == 1
+    return rows.select("source", "id", "md5", "rating", "score", "tags", flag.alias("flag"), alone.alias("alone"))
+
+
+def level() -> Column:
+    """A scale that keeps the order of scores, with some hundred levels for each tenfold; null is the lowest."""
+    return F.coalesce(F.signum("score") * F.rint(F.log1p(F.abs("score")) * 256), F.lit(float("-inf")))
+
+
+def lowest_levels(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """(seq, gap, _cut): the highest level before which a request has as many posts alone with their md5 as its gap has places.
+
+    _cut is null if there is none.
+    """
+    counts = edges.groupBy("seq", level().alias("_level")).agg(F.sum(F.col("alone").cast("int")).alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("seq").orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_above", F.coalesce(above, F.lit(0))).join(requests.select("seq", "gap"), "seq")
+    return counts.groupBy("seq", "gap").agg(F.max(F.when(F.col("_above") >= F.col("gap"), F.col("_level"))).alias("_cut"))
 
 
 def candidate_edges(requests: DataFrame, posts: DataFrame) -> DataFrame:
@@ -53,14 +70,17 @@ def candidate_edges(requests: DataFrame, posts: DataFrame) -> DataFrame:
     p = posts.select("source", "id", "md5", "rating", "score", "flag", "alone", F.explode("tags").alias("tag"))
     fits = (F.col("stratum").isNull() | (F.col("stratum") == F.col("rating"))) & (~F.col("_flag") | F.col("flag"))
     offered = (F.col("source") == F.col("_source")) & (F.col("gap") > 0) & (F.col("min_score").isNull() | (F.col("score") >= F.col("min_score")))
-    hit = F.struct("seq", "gap", F.coalesce(offered, F.lit(False)).alias("offered"))
+    hit = F.struct("seq", F.coalesce(offered, F.lit(False)).alias("offered"))
     met = p.join(r, "tag").where(F.coalesce(fits, F.lit(False))).groupBy("source", "id", "md5", "score", "alone").agg(F.collect_list(hit).alias("hits"))
-    met = met.select("source", "id", "md5", "score", "alone", F.transform("hits", lambda h: h["seq"]).alias("matches"), F.filter("hits", lambda h: h["offered"]).alias("hits"))
-    edges = met.select(F.inline("hits"), "source", "id", "md5", "score", "alone", "matches").drop("offered")
+    # A post that is offered to no request is never taken, so it is credited to none.
+    met = checkpoint(met.where(F.exists("hits", lambda h: h["offered"])))
+    edges = met.select(F.explode(F.filter("hits", lambda h: h["offered"])["seq"]).alias("seq"), "source", "id", "md5", "score", "alone", F.col("hits.seq").alias("matches"))
+    # One row for a request.
+    edges = edges.join(F.broadcast(lowest_levels(edges, r)), "seq").where(F.col("_cut").isNull() | (level() > F.col("_cut"))).drop("_cut")
     order = (F.col("score").desc_nulls_last(), F.col("id"), F.col("md5"))
-    for parts in PARTS:
-        w = Window.partitionBy("seq", F.pmod(F.xxhash64("md5", "id"), F.lit(parts))).orderBy(*order)
-        before = F.sum(F.col("alone").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = [Window.partitionBy("seq", F.pmod(F.xxhash64("md5", "id"), F.lit(n))) for n in PARTS]
+    for w in (*parts, Window.partitionBy("seq")):
+        before = F.sum(F.col("alone").cast("int")).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
         edges = edges.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < F.col("gap")).drop("_before")
     # Of a request's posts with one md5 only the first can be taken.
     edges = edges.withColumn("place", F.row_number().over(Window.partitionBy("seq").orderBy(*order)))

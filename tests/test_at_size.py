@@ -4,8 +4,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tagloom.operators import rules
+from tagloom.operators import fill, rules
 from tagloom.plans import registry
 
 
@@ -71,3 +72,18 @@ def test_fired_rules_by_filter_equal_joins(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", None), (None, "b")], "remove string, present string")
     rows = lambda small: sorted(map(tuple, rules.fired_rules(rt, pairs, small).collect()), key=repr)
     assert rows(None) == rows(0) == sorted([(1, "a", "b"), (1, "b", "a"), (None, "a", "b"), (None, "b", "a")], key=repr)
+
+
+def test_posts_are_read_once_for_their_md5(spark):
+    p = spark.createDataFrame([("one", i, f"{i // 2 if i < 4 else i:032x}", "g", 1.0, ["x"]) for i in range(6)], "source string, id long, md5 string, rating string, score double, tags array<string>")
+    df = fill.candidate_posts(p)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in df.where("alone").collect()) == [4, 5]
+
+
+def test_levels_cut_what_cannot_be_taken(spark):
+    scores = [float("nan"), float("inf"), 7.0, 7.0, 5.0, 0.0, -0.0, -2.0, float("-inf"), None]
+    edges = spark.createDataFrame([(gap, float(s) if s is not None else None, i != 2) for gap in (1, 3, 4, 20) for i, s in enumerate(scores)], "seq int, score double, alone boolean")
+    requests = spark.createDataFrame([(g, g) for g in (1, 3, 4, 20)], "seq int, gap int")
+    kept = edges.join(fill.lowest_levels(edges, requests), "seq").where(F.col("_cut").isNull() | (fill.level() > F.col("_cut")))
+    assert {r["seq"]: r["count"] for r in kept.groupBy("seq").count().collect()} == {1: 1, 3: 4, 4: 5, 20: 10}
