@@ -3,7 +3,8 @@
 Rows are dealt to buckets by their tag, sorted by tag in each, and every bucket is one file, so the statistics of its row groups
 leave out all but those of a tag. A tag with more than `rows` rows is dealt to as many buckets as it needs, by its records;
 a small table beside the index names these tags. A lookup computes a tag's buckets and reads their files only: one, or as
-many as `width` tells for a common tag. The number of buckets follows from the number of rows.
+many as `width` tells for a common tag. The number of buckets follows from the number of rows. A task writes all buckets that
+it gets, one after the other, so small buckets make many files but not as many tasks and pieces of a shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ def _home(tag: Column, buckets: int | Column) -> Column:
     return F.pmod(F.xxhash64(tag), F.lit(buckets) if isinstance(buckets, int) else buckets)
 
 
+def _tasks(spark: SparkSession, total: int, buckets: int) -> int:
+    """At most one for each bucket, and for as many rows as a bucket has by default, but enough for the session's cores."""
+    return min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS)))
+
+
 def write_index(rt: DataFrame, path: str, rows: int = ROWS) -> None:
     """Write the index of rt (record_id, folder, tag); repeated rows count once, null tags are left out."""
     spark = rt.sparkSession
@@ -36,7 +42,7 @@ def write_index(rt: DataFrame, path: str, rows: int = ROWS) -> None:
     dealt = index.join(F.broadcast(wide), "tag", "left")
     share = F.when(F.col("width").isNotNull(), F.pmod(F.xxhash64("record_id", "folder"), F.col("width"))).otherwise(0)
     dealt = dealt.withColumn("bucket", F.pmod(_home(F.col("tag"), buckets) + share, F.lit(buckets)).cast("int")).drop("width")
-    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tag", "folder", "record_id").write.partitionBy("bucket").parquet(f"{path}/rows")
+    dealt.repartition(_tasks(spark, total, buckets), "bucket").sortWithinPartitions("bucket", "tag", "folder", "record_id").write.partitionBy("bucket").parquet(f"{path}/rows")
 
 
 def buckets_of(spark: SparkSession, path: str, tags: list[str]) -> list[int]:

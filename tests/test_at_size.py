@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import fill, rules
 from tagloom.plans import registry
+from tagloom.sources import index
 
 
 def both(spark, folder, name, **tables):
@@ -87,3 +88,15 @@ def test_levels_cut_what_cannot_be_taken(spark):
     requests = spark.createDataFrame([(g, g) for g in (1, 3, 4, 20)], "seq int, gap int")
     kept = edges.join(fill.lowest_levels(edges, requests), "seq").where(F.col("_cut").isNull() | (fill.level() > F.col("_cut")))
     assert {r["seq"]: r["count"] for r in kept.groupBy("seq").count().collect()} == {1: 1, 3: 4, 4: 5, 20: 10}
+
+
+def test_small_buckets_share_tasks(spark, tmp_path):
+    rt = spark.range(3000).selectExpr("id AS record_id", "'f' AS folder", "concat('t', id % 50) AS tag")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    index.write_index(rt, str(tmp_path / "i"), 20)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    newest = max((stages.apply(i) for i in range(stages.size())), key=lambda s: s.stageId())
+    assert newest.numTasks() == 4
+    files = [f.parent.name for f in (tmp_path / "i" / "rows").rglob("*.parquet")]
+    assert len(files) == len(set(files)) > 80
+    assert sorted(map(tuple, index.lookup(spark, str(tmp_path / "i"), ["t7", "none"]).collect())) == [("t7", "f", i) for i in range(7, 3000, 50)]
