@@ -10,7 +10,7 @@ from tagloom.operators import classify, lookup, stats
 from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
 from tagloom.plans.registry import query
 from tagloom.sources import io, snapshots
-from tagloom.sources.shared import scratch
+from tagloom.sources.shared import scratch, spread
 
 c = F.col
 
@@ -44,14 +44,19 @@ TEXTS = """SELECT p_partkey AS id, concat(p_name, ', ', p_type, ' ,, x_', p_bran
 _texts = TEXTS.replace("{{", "{").replace("}}", "}").replace("{part}", "part")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag texts (id, text), dealt out to all cores."""
+    return spark.sql(TEXTS, part=spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey"))
+
+
 @query(r"SELECT p_partkey AS id, [split_part(p_name, ',', 1), p_type, 'x_' || p_brand || chr(10) || '#note', 'skipped' || chr(10) || upper(p_name), 'b  c'] AS tags FROM part")
 def a0c_read_source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, TEXTS, "part").select("id", io.read_source_tags(c("text")).alias("tags"))
+    return texts(spark, sf_dir).select("id", io.read_source_tags(c("text")).alias("tags"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS a FROM part")
 def a0d_read_source_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, TEXTS, "part").select("id", F.element_at(io.read_source_metadata(c("text")), "a").alias("a"))
+    return texts(spark, sf_dir).select("id", F.element_at(io.read_source_metadata(c("text")), "a").alias("a"))
 
 
 @query(f"SELECT folder, name FROM ({_files}) WHERE lower(name) LIKE '%.txt' AND lower(name) NOT LIKE '%.long.txt'")
@@ -61,7 +66,7 @@ def a0e_source_tag_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, list_sort(list_distinct([p_name, lower(p_type), 'x ' || lower(p_brand), 'b c'])) AS tags FROM part")
 def a0f_read_dataset_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, TEXTS, "part").select("id", io.read_dataset_tags(c("text")).alias("tags"))
+    return texts(spark, sf_dir).select("id", io.read_dataset_tags(c("text")).alias("tags"))
 
 
 @query("SELECT min(p_partkey)::VARCHAR AS \"post id\", p_brand AS \"extra column\" FROM part GROUP BY p_brand")

@@ -100,3 +100,8 @@ def test_small_buckets_share_tasks(spark, tmp_path):
     files = [f.parent.name for f in (tmp_path / "i" / "rows").rglob("*.parquet")]
     assert len(files) == len(set(files)) > 80
     assert sorted(map(tuple, index.lookup(spark, str(tmp_path / "i"), ["t7", "none"]).collect())) == [("t7", "f", i) for i in range(7, 3000, 50)]
+
+
+@pytest.mark.parametrize("name", ["a0c_read_source_tags", "a0d_read_source_metadata", "a0f_read_dataset_tags"])
+def test_tag_texts_use_all_cores(spark, data, name):
+    assert registry.QUERIES[name](spark, data).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
