@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import fill, rules
-from tagloom.plans import registry
+from tagloom.plans import layouts, registry
 from tagloom.sources import index
 
 
@@ -105,3 +105,10 @@ def test_small_buckets_share_tasks(spark, tmp_path):
 @pytest.mark.parametrize("name", ["a0c_read_source_tags", "a0d_read_source_metadata", "a0f_read_dataset_tags"])
 def test_tag_texts_use_all_cores(spark, data, name):
     assert registry.QUERIES[name](spark, data).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_first_seen_files_are_many_and_batches_four(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(layouts, "scratch", lambda spark: str(tmp_path / "s"))
+    assert registry.QUERIES["h2_first_seen"](spark, data).count() > 0
+    assert len(list((tmp_path / "s").glob("*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "s-out").glob("batch=*"))) == 4
