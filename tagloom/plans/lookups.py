@@ -10,7 +10,7 @@ from tagloom.operators import classify, lookup, stats
 from tagloom.plans.fixtures import posts, record_tags, sql, table, tag_categories
 from tagloom.plans.registry import query
 from tagloom.sources import io, snapshots
-from tagloom.sources.shared import scratch, spread
+from tagloom.sources.shared import many, scratch, spread
 
 c = F.col
 
@@ -164,7 +164,7 @@ def captions_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     key = F.concat(F.lit(" "), F.upper(F.md5(F.expr("cast(doc_id div 3 as string)"))))
     d = table(spark, sf_dir, "documents").select("doc_id", key.alias("md5"), F.when(c("doc_id") % 7 == 0, " ").otherwise(c("text")).alias("caption"))
-    d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    d.repartitionByRange(many(spark), "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
     d.select("md5", "doc_id").write.mode("append").parquet(path)
     d.select("md5", F.lit(7).alias("caption")).write.mode("append").parquet(path)
     return io.read_lookup_files(spark, path, "md5 string, caption string")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import fill, rules
-from tagloom.plans import layouts, registry
+from tagloom.plans import layouts, lookups, registry
 from tagloom.sources import index
 
 
@@ -112,3 +112,9 @@ def test_first_seen_files_are_many_and_batches_four(spark, data, tmp_path, monke
     assert registry.QUERIES["h2_first_seen"](spark, data).count() > 0
     assert len(list((tmp_path / "s").glob("*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism
     assert len(list((tmp_path / "s-out").glob("batch=*"))) == 4
+
+
+def test_caption_files_are_many(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(lookups, "scratch", lambda spark: str(tmp_path / "c"))
+    files = lookups.captions_in_files(spark, data).where("caption <> '7'").select("_file").distinct().count()
+    assert files >= 2 * spark.sparkContext.defaultParallelism
