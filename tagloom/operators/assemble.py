@@ -14,19 +14,19 @@ FIELDS = ("md5", "post_id", "post_source", "characters", "copyright", "artists",
 
 
 def _one(c: Column) -> Column:
-    return F.when(c != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array(c), lambda x: x != "")
 
 
 def quality_of(meta: DataFrame) -> Column:
     """C11q: the label derived from score and rating, else the stored one."""
     derived = norm.quality_tag(norm.get_column(meta, "score"), norm.get_column(meta, "rating"))
-    return F.when(derived != "", derived).otherwise(norm.normalize_quality(norm.get_column(meta, "quality tag", "quality")))
+    return norm.once(derived, lambda d: F.when(d != "", d).otherwise(norm.normalize_quality(norm.get_column(meta, "quality tag", "quality"))))
 
 
 def safety_of(meta: DataFrame) -> Column:
     """C11s: the tags of the rating, else the stored ones."""
     rated = norm.safety_tags(norm.get_column(meta, "rating"))
-    return F.when(F.size(rated) > 0, rated).otherwise(norm.split_tags(norm.get_column(meta, "safety tags", "safety")))
+    return norm.once(rated, lambda r: F.when(F.size(r) > 0, r).otherwise(norm.split_tags(norm.get_column(meta, "safety tags", "safety"))))
 
 
 def assemble_tags(meta: DataFrame, general: Column, count_tags: list[str], allowed_meta: list[str], excluded: list[str], add_year: bool = False, add_series: bool = False) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.norm import candidate_keys, first_by, is_quality, normalize_tag, site_key
+from tagloom.functions.norm import candidate_keys, first_by, is_quality, normalize_tag, once, site_key
+from tagloom.operators.literals import small_rows
+from tagloom.operators.rules import collect_tags
 
 # Codes and names of categories, words of safety and of periods.
 NAMES = {0: "general", 1: "artist", 3: "copyright", 4: "character", 5: "meta"}
@@ -21,42 +23,86 @@ def resolve_category(tags: DataFrame, categories: DataFrame) -> DataFrame:
     return hits.groupBy("tag").agg(best.alias("category"))
 
 
-def classes(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(record_id, a list per class, unresolved): each record's tags by first position, unresolved ones in order.
+def _fixed(t: Column) -> Column:
+    """The class of quality, safety and period words, else null."""
+    low = F.lower(t)
+    return F.when(is_quality(t), "quality").when(low.isin(*SAFETY), "safety").when(low.isin(*PERIODS), "period")
 
-    Quality, safety and period words come first; categories that a record itself states, known (record_id, tag, category), beat
-    the lookup, the largest where it states several. Tags and stated ones meet by their site keys, and of several spellings
-    with one key only the first stays. A record's tags meet once.
+
+def gathered_classes(lists: DataFrame, resolved: DataFrame, known: DataFrame | None = None, small: int | None = None) -> DataFrame:
+    """`classes` of tags that are gathered by record, lists (record_id, tags in order): each record once.
+
+    resolved (tag, category) has every tag once. What a tag alone decides is worked out for distinct tags. Up to 256 of them
+    are lists in the expressions, and tags are sorted into classes in the row; more are joined by tag and gathered again, with
+    the same rows.
     """
-    found = rt.join(resolve_category(rt, categories), "tag", "left")
-    own = found.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "category"))).alias("rows"))
+    info = resolved.where("tag is not null").select("tag", site_key(F.col("tag")).alias("key"), _fixed(F.col("tag")).alias("fixed"), "category")
+    few = small_rows(info, small)
+    stated = None
     if known is not None:
         stated = known.groupBy("record_id", site_key(F.col("tag")).alias("key")).agg(F.max("category").alias("category"))
         stated = stated.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "category"))).alias("_own"))
-        own = own.join(stated, "record_id", "left")
-        category = lambda r: F.coalesce(F.try_element_at("_own", site_key(r["tag"])), r["category"])
+    own_category = lambda key: F.when(F.col("_own").isNotNull(), F.try_element_at("_own", key)) if known is not None else F.lit(None).cast("int")
+    if few is None:
+        found = lists.select("record_id", F.posexplode("tags").alias("pos", "tag")).join(info, "tag")
+        own = found.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tag", "key", "fixed", "category"))).alias("tags"))
+        own = lists.select("record_id").join(own, "record_id", "left").select("record_id", F.coalesce("tags", F.array().cast(own.schema["tags"].dataType)).alias("tags"))
+        own = own.withColumn("tags", first_by(F.col("tags"), lambda r: r["key"]))
     else:
-        category = lambda r: r["category"]
+        shared = len({r.key for r in few}) < len(few)
+        first = first_by(F.array_distinct("tags"), site_key) if shared else F.array_compact(F.array_distinct("tags"))
+        own = lists.select("record_id", first.alias("tags"))
+    if stated is not None:
+        own = own.join(stated, "record_id", "left")
+
+    def of(fixed: str | None, code: int | None) -> Column:
+        """Tags of a fixed class, or of a category, or, if both are null, without a class."""
+        if few is None:
+
+            def test(r: Column) -> Column:
+                category = F.coalesce(own_category(r["key"]), r["category"])
+                here = F.coalesce(~category.isin(*NAMES), F.lit(True)) if code is None else category == code
+                return r["fixed"] == fixed if fixed else r["fixed"].isNull() & here
+
+            return F.transform(F.filter("tags", test), lambda r: r["tag"])
+        if fixed:
+            return F.filter("tags", lambda t: t.isin([r.tag for r in few if r.fixed == fixed]))
+        free = [r for r in few if r.fixed is None]
+        mine = [r.tag for r in free if (r.category not in NAMES if code is None else r.category == code)]
+        if known is None:
+            return F.filter("tags", lambda t: t.isin(mine))
+
+        def test_own(t: Column) -> Column:
+            own_ = own_category(site_key(t))
+            here = once(own_, lambda c: F.when(c.isNull(), t.isin(mine)).otherwise(~c.isin(*NAMES) if code is None else c == code))
+            return t.isin([r.tag for r in free]) & here
+
+        return F.when(F.col("_own").isNull(), F.filter("tags", lambda t: t.isin(mine))).otherwise(F.filter("tags", test_own))
 
-    def kind(r: Column) -> Column:
-        t = F.lower(r["tag"])
-        out = F.when(is_quality(r["tag"]), "quality").when(t.isin(*SAFETY), "safety").when(t.isin(*PERIODS), "period")
-        for code, name in NAMES.items():
-            out = out.when(category(r) == code, name)
-        return F.struct(r["tag"].alias("tag"), out.alias("kind"))
+    out = [of(n, None).alias(n) for n in ("quality", "safety", "period")] + [of(None, code).alias(name) for code, name in NAMES.items()]
+    return own.select("record_id", *out, F.sort_array(of(None, None)).alias("unresolved"))
 
-    first = first_by(F.col("rows"), lambda r: site_key(r["tag"]))
-    own = own.select("record_id", F.transform(first, kind).alias("kinds"))
-    of = lambda test: F.transform(F.filter("kinds", test), lambda r: r["tag"])
-    in_class = lambda name: of(lambda r: r["kind"] == name).alias(name)
-    lists = [in_class(n) for n in ("quality", "safety", "period", *NAMES.values())]
-    return own.select("record_id", *lists, F.array_sort(of(lambda r: r["kind"].isNull())).alias("unresolved"))
+
+def classes(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None, small: int | None = None) -> DataFrame:
+    """(record_id, a list per class, unresolved): each record's tags by first position, unresolved ones in order.
+
+    Quality, safety and period words come first; categories that a record itself states, known (record_id, tag, category), beat
+    the lookup, the largest where it states several. Tags and stated ones meet by their site keys, and of several spellings
+    with one key only the first stays. A record's tags meet once.
+    """
+    return gathered_classes(collect_tags(rt), resolve_category(rt, categories), known, small)
+
+
+def split_classes(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records without unresolved tags, and rejects (record_id, unresolved)."""
+    # An array of none or one is exploded: a filter would be pushed down and build the list twice.
+    some = F.explode(F.filter(F.array("unresolved"), lambda u: F.size(u) > 0))
+    return out.where(F.size("unresolved") == 0).drop("unresolved"), out.select("record_id", some.alias("unresolved"))
 
 
 def classify_tags(rt: DataFrame, categories: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """C14: (record_id, and a list per class), and rejects (record_id, unresolved): records with any unresolved tag."""
-    out = classes(rt, categories, known)
-    return out.where(F.size("unresolved") == 0).drop("unresolved"), out.where(F.size("unresolved") > 0).select("record_id", "unresolved")
+    return split_classes(classes(rt, categories, known))
 
 
 def merge_categories(sources: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -77,11 +123,25 @@ def merge_categories(sources: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     return merged.withColumn("name", name), every.agg(F.count_if(blank).alias("invalid"))
 
 
-def group_post_tags(posts: DataFrame, categories: DataFrame) -> DataFrame:
-    """C17: (id, a sorted list per category) of posts (id, tags array); tags without a category are general."""
-    own = posts.select("id", F.explode("tags").alias("tag")).distinct()
-    df = own.join(categories.select("tag", "category"), "tag", "left").withColumn("category", F.coalesce("category", F.lit(0)))
-    return df.groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("category") == code, F.col("tag")))).alias(name) for code, name in NAMES.items()])
+def group_post_tags(posts: DataFrame, categories: DataFrame, small: int | None = None) -> DataFrame:
+    """C17: (id, a sorted list per category) of posts (id, tags array); tags without a category are general.
+
+    Rows of one id are put together; ids without tags are left out. A table of up to 256 rows is looked up in the row, a
+    larger one is joined, with the same rows.
+    """
+    named = categories.where("tag is not null").select("tag", F.coalesce("category", F.lit(0)).alias("category")).distinct()
+    few = small_rows(named, small)
+    if few is None:
+        own = posts.select("id", F.explode("tags").alias("tag")).distinct()
+        df = own.join(named, "tag", "left").withColumn("category", F.coalesce("category", F.lit(0)))
+        return df.groupBy("id").agg(*[F.sort_array(F.collect_list(F.when(F.col("category") == code, F.col("tag")))).alias(name) for code, name in NAMES.items()])
+    own = posts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags")).where(F.size("tags") > 0)
+
+    def of(code: int) -> Column:
+        mine = [r.tag for r in few if r.category == code]
+        return F.filter("tags", lambda t: t.isin(mine) | (F.lit(code == 0) & ~t.isin([r.tag for r in few])))
+
+    return own.select("id", *[F.sort_array(of(code)).alias(name) for code, name in NAMES.items()])
 
 
 def unclassified_tags(rt: DataFrame, categories: DataFrame, batch: int = 100) -> DataFrame:
@@ -123,11 +183,12 @@ def select_predicted(scores: DataFrame, labels: DataFrame, banned: DataFrame, fa
 
 def append_missing(existing: DataFrame, predicted: DataFrame) -> DataFrame:
     """C20: (record_id, tags): existing tags in order, then predicted ones that no existing tag equals in compare form."""
-    key = lambda a: F.transform(a, lambda t: normalize_tag(t, "compare"))
     df = existing.join(predicted.withColumnRenamed("tags", "_p"), "record_id", "left")
-    df = df.select("record_id", "tags", "_p", key(F.col("tags")).alias("_k"))
-    more = F.filter(F.coalesce("_p", F.array().cast("array<string>")), lambda t: ~F.array_contains("_k", normalize_tag(t, "compare")))
-    return df.select("record_id", F.concat("tags", F.array_distinct(more)).alias("tags"))
+    key = lambda t: normalize_tag(t, "compare")
+    # Predicted tags become distinct first, so each is brought to its form once, and existing ones once for all of them.
+    new = F.array_distinct(F.coalesce("_p", F.array().cast("array<string>")))
+    more = F.flatten(F.transform(F.array(F.transform("tags", key)), lambda k: F.filter(new, lambda t: ~F.array_contains(k, key(t)))))
+    return df.select("record_id", F.concat("tags", more).alias("tags"))
 
 
 def check_vocabulary(rt: DataFrame, vocabulary: DataFrame) -> DataFrame:

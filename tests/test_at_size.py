@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import fill, rules
+from tagloom.operators import classify, fill, rules
 from tagloom.plans import layouts, lookups, registry
 from tagloom.sources import index
 
@@ -118,3 +118,30 @@ def test_caption_files_are_many(spark, data, tmp_path, monkeypatch):
     monkeypatch.setattr(lookups, "scratch", lambda spark: str(tmp_path / "c"))
     files = lookups.captions_in_files(spark, data).where("caption <> '7'").select("_file").distinct().count()
     assert files >= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["c9_split_by_membership", "c11_assemble_tags", "c14_classify_tags", "c14_rejects", "c17_group_post_tags", "c20_append_missing"])
+def test_tags_are_gathered_once_by_record(spark, data, name):
+    plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*tag#", plan.replace("_tag#", ""))
+    assert "collect_list(struct(pos" not in plan
+
+
+def test_classes_in_the_row_equal_joins(spark):
+    lists = ["a", "b c", "b_c", "B c ", "hot", "x quality", "Safe", "old", "zz", "q", None]
+    rt = spark.createDataFrame([(i, p, t) for i in range(4) for p, t in enumerate(lists[i:] + lists[:3])] + [(5, 0, None)], "record_id int, pos int, tag string")
+    cats = spark.createDataFrame([("a", 0), ("b c", 1), ("hot", 5), ("q", 9), ("old", 4)], "tag string, category int")
+    known = spark.createDataFrame([(0, " HOT", 1), (0, "zz", 7), (1, "a", 4), (1, "a", 3), (2, "safe", 1)], "record_id int, tag string, category int")
+    rows = lambda k, small: sorted(map(tuple, classify.classes(rt, cats, k, small).collect()), key=repr)
+    assert rows(None, None) == rows(None, 0)
+    assert rows(known, None) == rows(known, 0)
+    got = {r[0]: r for r in rows(known, None)}
+    assert got[0][1:] == (["x quality"], ["Safe"], ["old"], ["a"], ["b c", "hot"], [], [], [], ["q", "zz"])
+    assert got[5][1:] == ([],) * 9
+
+
+def test_post_tags_in_the_row_equal_joins(spark):
+    posts = spark.createDataFrame([(1, ["b", "a", None]), (1, ["a", "z"]), (2, ["q"]), (3, []), (4, None), (5, [None])], "id int, tags array<string>")
+    cats = spark.createDataFrame([("a", 0), ("a", 4), ("b", 1), ("b", 1), ("q", 9), (None, 3)], "tag string, category int")
+    rows = lambda small: sorted(map(tuple, classify.group_post_tags(posts, cats, small).collect()), key=repr)
+    assert rows(None) == rows(0) == [(1, ["a", "z"], ["b"], [], ["a"], []), (2, [], [], [], [], []), (5, [], [], [], [], [])]
