@@ -14,13 +14,16 @@ def quota_snapshot(rt: DataFrame, flag_tag: str) -> DataFrame:
     The identity is a record's md5, or its path if it has none. A record in several folders counts once, with the
     strictest of its safety tags.
     """
-    pairs = rt.select("identity", "tag").distinct()
+    # Identities are dealt out once; their distinct tags, strata and flags are all found there.
+    dealt = rt.where("identity is not null").select("identity", "tag").repartition("identity")
+    safety = [tag for tag, _ in STRATA]
     level = F.lit(None).cast("int")
-    for i, (tag, _) in enumerate(reversed(STRATA)):
-        level = F.when(F.col("tag") == tag, i + 1).otherwise(level)
-    own = pairs.groupBy("identity").agg(F.max(level).alias("_level"), F.max((F.col("tag") == flag_tag).cast("int")).alias("_flag"))
-    codes = F.element_at(F.array(*[F.lit(c) for _, c in reversed(STRATA)]), F.col("_level"))
-    df = pairs.join(own, "identity").select("tag", F.when(F.col("_level").isNotNull(), codes).alias("stratum"), (F.col("_flag") == 1).alias("flag"))
+    for i, tag in enumerate(reversed(safety)):
+        level = F.when(F.array_contains("tags", tag), i + 1).otherwise(level)
+    codes = F.array(*[F.lit(c) for _, c in reversed(STRATA)])
+    own = dealt.groupBy("identity").agg(F.collect_set(F.struct("tag")).alias("rows")).select(F.col("rows.tag").alias("tags"))
+    own = own.select("tags", level.alias("_level"), F.coalesce(F.array_contains("tags", flag_tag), F.lit(False)).alias("flag"))
+    df = own.select(F.explode("tags").alias("tag"), F.when(F.col("_level").isNotNull(), F.element_at(codes, F.col("_level"))).alias("stratum"), "flag")
     # One pass gives the finest counts; the coarser sets are sums of these few rows.
     finest = df.groupBy("tag", "stratum", "flag").agg(F.count("*").alias("n"))
     any_ = lambda kind: F.lit(None).cast(kind)

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import classify, fill, rules
+from tagloom.functions import text as T
+from tagloom.operators import captions, classify, fill, quota, rules
 from tagloom.plans import layouts, lookups, registry
 from tagloom.sources import index
 
@@ -145,3 +146,55 @@ def test_post_tags_in_the_row_equal_joins(spark):
     cats = spark.createDataFrame([("a", 0), ("a", 4), ("b", 1), ("b", 1), ("q", 9), (None, 3)], "tag string, category int")
     rows = lambda small: sorted(map(tuple, classify.group_post_tags(posts, cats, small).collect()), key=repr)
     assert rows(None) == rows(0) == [(1, ["a", "z"], ["b"], [], ["a"], []), (2, [], [], [], [], []), (5, [], [], [], [], [])]
+
+
+def test_identities_are_dealt_out_once(spark):
+    rt = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "safe"), ("a", "explicit"), ("b", "x"), ("b", "f"), ("b", None), ("c", None), (None, "x")], "identity string, tag string")
+    df = quota.quota_snapshot(rt, "f")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = {tuple(r) for r in df.collect()}
+    assert {r for r in rows if r[0] == "x"} == {("x", None, None, 2), ("x", "e", None, 1), ("x", None, True, 1)}
+    assert {r for r in rows if r[0] is None} == {(None, None, None, 2), (None, None, True, 1)}
+
+
+def test_loops_by_every_seventh_place_equal_all_places(spark):
+    """Every width, run length and place of a run, against the rule in plain Python."""
+
+    def loops(ws):
+        for w in range(1, 9):
+            need, run = max(5, -(-24 // w)) * w - 1, 0
+            for i in range(w, len(ws)):
+                run = run + 1 if ws[i] == ws[i - w] else 0
+                if run >= need:
+                    return len(ws) >= 24
+        return False
+
+    rows = []
+    for w in range(1, 9):
+        for n in (max(5, -(-24 // w)) * w + d for d in (-1, 0, 1)):
+            for before in range(9):
+                rows.append([f"x{i}" for i in range(before)] + [f"p{i % w}" for i in range(n)] + [f"y{i}" for i in range(3)])
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "i int, text string").select("i", captions.phrase_loop(F.col("text")).alias("looping"))
+    assert {r.i: r.looping for r in df.collect()} == {i: loops(r) for i, r in enumerate(rows)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sequence(7") == 8
+
+
+def test_short_sentences_do_not_run_away(spark):
+    texts = [" ".join("a" * n) + ". b" for n in (39, 40, 41, 42)] + ["", None, "a " * 30 + "_b" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = df.select("i", captions.runaway(F.col("text"), 40).alias("r"), (T.longest_sentence(F.col("text")) > 40).alias("plain")).collect()
+    assert [r.r for r in got] == [r.plain for r in got] == [False, False, True, True, False, False, False]
+
+
+def test_only_texts_that_need_python_go_there(spark):
+    texts = [None, "", "plain END_CAPTION", "e\u0301 \u212b", "\uac00\u11a8", "x &lt;&eacute;", "End_Caption", "a < b", "<THINK>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = df.select(T.nfc(F.col("text")).alias("n"), T.unescape(F.col("text")).alias("u"), T.control_marker(F.col("text")).alias("m"))
+    assert "ArrowEvalPython" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "[^" in plan
+    rows = got.collect()
+    import html
+    import unicodedata
+
+    assert [r.n for r in rows] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert [r.u for r in rows] == [t and html.unescape(t) for t in texts]
+    assert [r.m for r in rows] == [None, "", "END_CAPTION", "", "", "", "End_Caption", "", "<THINK>"]
