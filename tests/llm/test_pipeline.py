@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from tagloom.llm import decontamination, pii, quality_rules
+from tagloom.llm import decontamination, pii, quality_rules, shingle_sets
 from tests.llm.common import by_id, docs, oracle_rows
 from tests.llm.test_exact import base_spans, closure, fingerprint
 
@@ -69,6 +69,45 @@ def test_near_duplicates_by_five_word_similarity(spark, data):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, data).collect()} == {find(i) for i in range(len(texts))}
 
 
+def test_near_copies_below_the_limit_make_no_pairs(spark, data, monkeypatch):
+    """Copies of one text that share many bands but are pairwise below 0.8 are hardly held against each other."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        other = list(base)
+        for i in (20, 60, 90, 120):
+            other[i] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    texts += [texts[0] + " more", texts[1] + " more"]
+    held, confirm = [], shingle_sets.confirm
+
+    def counted(pairs, *rest):
+        held.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(shingle_sets, "confirm", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(df).collect()}
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) >= 0.8 * len(a | b)}
+    find = closure_of(len(texts), near)
+    assert got == {i: find[i] for i in range(len(texts))}
+    assert sum(held) < 4 * len(texts)
+
+
+def closure_of(n, pairs):
+    """The smallest number that pairs reach from each of n."""
+    least, changed = list(range(n)), True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if least[i] != least[j]:
+                least[i] = least[j] = min(least[i], least[j])
+                changed = True
+    return least
+
+
 def test_quality_stage_by_plain_rules(spark, data):
     """What SQL keeps stays, without the lines that fail by rules written out in Python."""
     columns, rows = oracle_rows(quality_rules.ORACLE, data, ["documents"])
