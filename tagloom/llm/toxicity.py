@@ -79,13 +79,13 @@ def document_frequencies(docs: DataFrame, place: dict[str, int]) -> tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = held.value
-        counts = np.zeros(len(at) + 1, np.int64)
+        terms, counts, n = frozenset(at), Counter(), 0
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                counts[[at[w] for w in set(words(text)) if w in at]] += 1
-            counts[-1] += batch.num_rows
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["i", "n"])
+                counts.update(terms.intersection(words(text)))
+            n += batch.num_rows
+        some = [*(at[w] for w in counts), *[len(at)] * (n > 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([*counts.values(), *[n] * (n > 0)], pa.int64())], ["i", "n"])
 
     rows = docs.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(place) + 1, np.int64)
@@ -136,7 +136,7 @@ class Index:
         self.heavy, self.heavy_weight = example[heavy].astype(np.int32), weights[heavy]
         self.share = float(self.y.mean())
         self.word_votes = self.votes_of(np.arange(len(self.idf)))
-        terms, self.example, self.weight = terms[by_term], example[by_term].astype(np.int32), weights[by_term]
+        terms, self.example, self.weight = terms[by_term], example[by_term].astype(np.int64), weights[by_term]
         # One entry for each term and block: where its postings start, how many there are, and the largest weight.
         cell = terms * (-(-self.size // BLOCK)) + self.example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
@@ -155,15 +155,17 @@ class Index:
         order = np.argsort(-bounds, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
+        rank = rank[block]
         found, sims = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, 16
         while done < len(order):
             top = bounds[order[done]]
             if top <= 0 or (len(sims) == self.k and top < sims[-1] - 1e-9):
                 break
-            here = (rank[block] >= done) & (rank[block] < done + step)
-            lengths = self.length[entry[here]]
-            at = ranges(self.start[entry[here]], lengths)
+            here = np.flatnonzero((rank >= done) & (rank < done + step))
+            taken = entry[here]
+            lengths = self.length[taken]
+            at = ranges(self.start[taken], lengths)
             s = np.round(np.bincount(self.example[at], np.repeat(share[here], lengths) * self.weight[at], self.size), 12)
             new = np.flatnonzero(s)
             if without is not None:
