@@ -129,7 +129,8 @@ def links(fps: DataFrame, threshold: int = 2, block: int = 3) -> DataFrame:
     # The rows are few bytes each, so that they would be read by few tasks; their replicas are many.
     dealt = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp")
     home = dealt.mapInArrow(at_home, "anchor long, a long")
-    near = dealt.mapInArrow(replicate, "anchor long, b long")
+    # Spark sizes the replicas by the few rows that they are made of, and would broadcast them.
+    near = dealt.mapInArrow(replicate, "anchor long, b long").hint("merge")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     return home.join(near, "anchor").where(close).select("a", "b")
 

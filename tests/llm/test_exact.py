@@ -144,6 +144,14 @@ def test_simhash_links_miss_no_pair(spark, block):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_replicas_are_not_broadcast(spark):
+    """Spark sizes the replicas by the few rows that they are made of; they are many times as many."""
+    df = simhash.links(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def luhn(digits):
     total = 0
     for i, ch in enumerate(reversed(digits)):
