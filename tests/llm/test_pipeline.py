@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagloom.llm import decontamination, pii, quality_rules, shingle_sets
@@ -96,6 +97,27 @@ def test_near_copies_below_the_limit_make_no_pairs(spark, data, monkeypatch):
     assert sum(held) < 4 * len(texts)
 
 
+def test_all_texts_within_two_bits_meet(spark, monkeypatch):
+    """Without any band: similar texts with one fingerprint, or with ones of two bits' distance, whatever the smallest of them are."""
+    rng = random.Random(7)
+    texts = []
+    for family in range(5):
+        base = [f"w{family}x{i}" for i in range(150)]
+        for _ in range(6):
+            other = list(base)
+            other[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    order = rng.sample(range(30), 30)
+    sketches = shingle_sets.sketches
+    # 0, 1 and 3 differ in two bits at most; repeats give one set two fingerprints.
+    fp, none = F.get(F.array(*map(F.lit, (0, 1, 3))), (F.col("doc_id") % 3).cast("int")).cast("long"), F.array().cast("array<long>")
+    monkeypatch.setattr(shingle_sets, "sketches", lambda docs, width: sketches(docs, width).withColumns({"fp": fp, "bands": none}))
+    df = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)] + [(30, texts[0]), (31, texts[9])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(df).collect()}
+    want = {order[i]: min(order[i // 6 * 6 : i // 6 * 6 + 6]) for i in range(30)}
+    assert got == want | {30: want[order[0]], 31: want[order[9]]}
+
+
 def closure_of(n, pairs):
     """The smallest number that pairs reach from each of n."""
     least, changed = list(range(n)), True
